@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallworks.functions.expressions import calendar_days, elapsed_days, month_start
+from stallworks.functions.expressions import calendar_days, cents, elapsed_days, month_start
 from stallworks.sources.tables import Tables
 
 DELIVERED = "delivered"
@@ -27,10 +27,10 @@ def valid_orders(orders: DataFrame, status: str = DELIVERED) -> DataFrame:
 
 
 def order_value(items: DataFrame) -> DataFrame:
-    """order_id -> gmv, freight, units."""
+    """order_id -> gmv and freight in cents, units."""
     return items.groupBy("order_id").agg(
-        F.sum("price").alias("gmv"),
-        F.sum("freight_value").alias("freight"),
+        F.sum(cents(F.col("price"))).alias("gmv"),
+        F.sum(cents(F.col("freight_value"))).alias("freight"),
         F.count("*").alias("units"),
     )
 
@@ -56,11 +56,11 @@ def distinct_grain(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def seller_order_value(t: Tables, status: str = DELIVERED) -> DataFrame:
-    """(seller, valid order) -> gmv, units."""
+    """(seller, valid order) -> gmv in cents, units."""
     lines = (
         t["order_items"]
         .groupBy("seller_id", "order_id")
-        .agg(F.sum("price").alias("gmv"), F.count("*").alias("units"))
+        .agg(F.sum(cents(F.col("price"))).alias("gmv"), F.count("*").alias("units"))
     )
     return lines.join(valid_orders(t["orders"], status).select("order_id"), "order_id")
 
@@ -95,7 +95,8 @@ def category_label(english: str, raw: str, fallback: str | None):
 
 
 def category_order_value(t: Tables, status: str = DELIVERED) -> DataFrame:
-    """(raw category, valid order) -> gmv, freight, units and the counts behind averages.
+    """(raw category, valid order) -> gmv and freight in cents, units, and the counts
+    behind averages.
 
     The raw name decides the English one, so translation waits until the categories
     are aggregated (see ``with_labels``).
@@ -110,8 +111,8 @@ def category_order_value(t: Tables, status: str = DELIVERED) -> DataFrame:
         )
         .groupBy("raw_category", "order_id")
         .agg(
-            F.sum("price").alias("gmv"),
-            F.sum("freight_value").alias("freight"),
+            F.sum(cents(F.col("price"))).alias("gmv"),
+            F.sum(cents(F.col("freight_value"))).alias("freight"),
             F.count("*").alias("units"),
             F.count("price").alias("priced"),
             F.count("freight_value").alias("freighted"),
@@ -230,10 +231,10 @@ def delivery(
 
 
 def payment_by_order(payments: DataFrame) -> DataFrame:
-    """order_id -> paid amount, number of records, distinct payment types."""
+    """order_id -> paid amount in cents, number of records, distinct payment types."""
     return (
         payments.groupBy("order_id", "payment_type")
-        .agg(F.sum("payment_value").alias("paid"), F.count("*").alias("records"))
+        .agg(F.sum(cents(F.col("payment_value"))).alias("paid"), F.count("*").alias("records"))
         .groupBy("order_id")
         .agg(
             F.sum("paid").alias("paid"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallworks.functions.expressions import money, month_label, month_start, pct, ratio
+from stallworks.functions.expressions import money, money_ratio, month_label, month_start, pct
 from stallworks.operators.grain import (
     DELIVERED,
     category_order_value,
@@ -18,7 +18,7 @@ from stallworks.sources.tables import Tables
 
 
 def sales_totals(t: Tables, status: str = DELIVERED) -> DataFrame:
-    """One row of unrounded totals over valid orders with items."""
+    """One row of totals, in cents, over valid orders with items."""
     return valid_order_value(t, status).agg(
         F.sum("gmv").alias("gmv"),
         F.sum("freight").alias("freight"),
@@ -34,7 +34,7 @@ def biz_core_kpis(t: Tables, status: str = DELIVERED) -> DataFrame:
         money(F.col("gmv")).alias("gmv"),
         money(F.col("freight")).alias("freight"),
         F.col("orders").alias("valid_orders"),
-        ratio(F.col("gmv"), F.col("orders")).alias("aov"),
+        money_ratio(F.col("gmv"), F.col("orders")).alias("aov"),
         whole("customers", "customer_unique_id").alias("persons"),
         whole("sellers", "seller_id").alias("sellers"),
         whole("products", "product_id").alias("products"),
@@ -54,13 +54,13 @@ def biz_all_vs_delivered(t: Tables, status: str = DELIVERED) -> DataFrame:
     return totals.select(
         F.col("orders").alias("all_orders"),
         money(F.col("gmv")).alias("all_gmv"),
-        ratio(F.col("gmv"), F.col("orders")).alias("all_aov"),
+        money_ratio(F.col("gmv"), F.col("orders")).alias("all_aov"),
         money(F.col("delivered")).alias("delivered_gmv"),
     )
 
 
 def monthly_sales(t: Tables, status: str = DELIVERED) -> DataFrame:
-    """month -> orders, exact gmv (a bounded table: one row per month)."""
+    """month -> orders, gmv in cents (a bounded table: one row per month)."""
     return (
         valid_order_value(t, status)
         .groupBy(month_start(F.col("order_purchase_timestamp")).alias("month"))
@@ -80,7 +80,7 @@ def trend_report(months: DataFrame) -> DataFrame:
             month_label(F.col("month")).alias("ym"),
             "orders",
             money(F.col("gmv")).alias("gmv"),
-            ratio(F.col("gmv"), F.col("orders")).alias("aov"),
+            money_ratio(F.col("gmv"), F.col("orders")).alias("aov"),
             "gmv_pct",
         )
     )
@@ -127,7 +127,7 @@ def biz_state_performance(t: Tables, k: int = 15, status: str = DELIVERED) -> Da
         "state",
         "orders",
         money(F.col("gmv")).alias("gmv"),
-        ratio(F.col("gmv"), F.col("orders")).alias("aov"),
+        money_ratio(F.col("gmv"), F.col("orders")).alias("aov"),
         "persons",
         "gmv_pct",
     )

@@ -129,7 +129,7 @@ def cust_cohort_retention(t: Tables, status: str = DELIVERED) -> DataFrame:
 
 
 def person_rfm(t: Tables, status: str = DELIVERED) -> DataFrame:
-    """person -> days since the last purchase (from the latest one of all), orders, GMV."""
+    """person -> days since the last purchase (from the latest one of all), orders, GMV in cents."""
     placed = valid_orders(t["orders"], status).select(
         "order_id", "customer_id", "order_purchase_timestamp"
     )
@@ -171,7 +171,7 @@ def rfm_bands(t: Tables, top_pct: int = 30, status: str = DELIVERED) -> DataFram
         return F.struct(
             F.lit(measure).alias("measure"),
             key.isNull().alias("unknown"),
-            key.cast("decimal(28,2)").alias("key"),
+            key.alias("key"),
         )
 
     r, f, m = F.col("r_days"), -F.col("f_orders"), -F.col("m_gmv")
@@ -201,7 +201,7 @@ def rfm_bands(t: Tables, top_pct: int = 30, status: str = DELIVERED) -> DataFram
 
     def inside(name: str, key) -> Column:
         mine = F.struct(
-            key.isNull().alias("unknown"), key.cast("decimal(28,2)").alias("key"), F.col("person")
+            key.isNull().alias("unknown"), key.alias("key"), F.col("person")
         )
         return F.coalesce(mine <= cut.getField(name), F.lit(False))
 

@@ -13,7 +13,16 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallworks.functions.expressions import mean, money, month_label, month_start, pct, ratio, share_true
+from stallworks.functions.expressions import (
+    cents,
+    mean,
+    money,
+    money_ratio,
+    month_label,
+    month_start,
+    pct,
+    share_true,
+)
 from stallworks.operators.grain import (
     DELIVERED,
     delivery,
@@ -30,7 +39,7 @@ SALES_MEASURES: dict[str, Callable[[], Column]] = {
     "gmv": lambda: money(F.sum("gmv")),
     "freight": lambda: money(F.sum("freight")),
     "valid_orders": lambda: F.sum("item_orders"),
-    "aov": lambda: ratio(F.sum("gmv"), F.sum("item_orders")),
+    "aov": lambda: money_ratio(F.sum("gmv"), F.sum("item_orders")),
     "buyers": lambda: F.count("person"),
     "repeat_buyers": lambda: F.count_if(F.col("orders") >= 2),
     "repeat_rate": lambda: pct(F.count_if(F.col("orders") >= 2), F.count("person")),
@@ -107,7 +116,10 @@ def metric_table(
     split = [d for d in dims if d in ITEM_DIMENSIONS]
     values = (
         lines.groupBy("order_id", *split)
-        .agg(F.sum("price").alias("gmv"), F.sum("freight_value").alias("freight"))
+        .agg(
+            F.sum(cents(F.col("price"))).alias("gmv"),
+            F.sum(cents(F.col("freight_value"))).alias("freight"),
+        )
         .withColumn("has_items", F.lit(1))
     )
     facts = orders.join(values, "order_id", "inner" if of_items else "left")

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallworks.functions.expressions import money, pct, quotient, ratio, rounded
+from stallworks.functions.expressions import (
+    cents,
+    money,
+    money_ratio,
+    pct,
+    quotient,
+    ratio,
+    rounded,
+)
 from stallworks.operators.grain import (
     DELIVERED,
     category_order_value,
@@ -41,7 +49,7 @@ def prod_category_rank(t: Tables, k: int = 20, status: str = DELIVERED) -> DataF
         "orders",
         money(F.col("gmv")).alias("gmv"),
         "units",
-        ratio(F.col("gmv"), F.col("orders")).alias("gmv_per_order"),
+        money_ratio(F.col("gmv"), F.col("orders")).alias("gmv_per_order"),
         ratio(F.col("units"), F.col("orders")).alias("units_per_order"),
         "gmv_rank",
         "units_rank",
@@ -71,7 +79,7 @@ def prod_top_per_category(
     per_product = (
         t["order_items"]
         .groupBy("product_id", "order_id")
-        .agg(F.sum("price").alias("gmv"))
+        .agg(F.sum(cents(F.col("price"))).alias("gmv"))
         .join(valid_orders(t["orders"], status).select("order_id"), "order_id")
         .groupBy("product_id")
         .agg(F.count("*").alias("orders"), F.sum("gmv").alias("gmv"))
@@ -91,8 +99,8 @@ def prod_freight_sensitivity(
     t: Tables, min_orders: int = 50, k: int = 15, status: str = DELIVERED
 ) -> DataFrame:
     """Mean freight against mean price per category."""
-    price = quotient(F.col("gmv"), F.col("priced"))
-    freight = quotient(F.col("freight"), F.col("freighted"))
+    price = quotient(money(F.col("gmv")), F.col("priced"))
+    freight = quotient(money(F.col("freight")), F.col("freighted"))
     rated = (
         with_labels(category_totals(t, status), t, fallback=None)
         .filter(F.col("orders") >= min_orders)

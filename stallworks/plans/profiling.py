@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallworks.functions.expressions import mean, money, pct, ratio, rounded
+from stallworks.functions.expressions import mean, money, money_ratio, pct, rounded
 from stallworks.operators.checks import stacked
 from stallworks.operators.cleaning import duplicate_reviews
 from stallworks.operators.grain import DELIVERED, valid_orders
@@ -83,7 +83,7 @@ def sales_check(t: Tables, status: str = DELIVERED) -> DataFrame:
     return sales_totals(t, status).select(
         F.col("orders").alias("valid_orders"),
         money(F.col("gmv")).alias("gmv"),
-        ratio(F.col("gmv"), F.col("orders")).alias("aov"),
+        money_ratio(F.col("gmv"), F.col("orders")).alias("aov"),
         money(F.col("freight")).alias("freight"),
     )
 

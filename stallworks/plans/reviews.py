@@ -41,10 +41,10 @@ def rev_value_band_vs_score(
     labels: Sequence[str] = VALUE_LABELS,
     status: str = DELIVERED,
 ) -> DataFrame:
-    """Orders are banded by their whole value, not line by line."""
+    """Orders are banded by their whole value (in cents), not line by line."""
     scored = valid_order_value(t, status).join(order_score(t["order_reviews"]), "order_id")
     return by_band(
-        band(scored, "gmv", edges, labels, closed="left"),
+        band(scored, "gmv", [edge * 100 for edge in edges], labels, closed="left"),
         F.count("*").alias("orders"),
         mean(F.col("score")).alias("avg_score"),
     ).orderBy("band_order")
