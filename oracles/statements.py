@@ -650,12 +650,15 @@ def _sales_by(*dims: str, rows: str = SALES_ROWS, where: str = "true") -> str:
         FROM sums a JOIN repeats b ON {on}"""
 
 
-ITEM_ROWS = """
-    SELECT b.order_id, b.person, b.state, strftime(b.bought, '%Y-%m') AS ym, s.order_id AS item_order,
-           s.price, s.freight, coalesce(s.english, s.raw_name, 'unknown') AS category,
-           s.seller_id, v.seller_state
-    FROM bought_by b JOIN sold_named s ON s.order_id = b.order_id
-    JOIN r_sellers v ON v.seller_id = s.seller_id"""
+CATEGORY_ROWS = """
+    SELECT b.order_id, b.person, s.order_id AS item_order, s.price, s.freight,
+           coalesce(s.english, s.raw_name, 'unknown') AS category
+    FROM bought_by b JOIN sold_named s ON s.order_id = b.order_id"""
+SELLER_ROWS = """
+    SELECT b.order_id, b.person, strftime(b.bought, '%Y-%m') AS ym, i.order_id AS item_order,
+           i.price, i.freight, v.seller_state
+    FROM bought_by b JOIN r_items i ON i.order_id = b.order_id
+    JOIN r_sellers v ON v.seller_id = i.seller_id"""
 
 
 def _service_by(*dims: str) -> str:
@@ -675,8 +678,8 @@ METRICS = {
     "metric_sales_total": _sales_by(),
     "metric_sales_by_month": _sales_by("ym"),
     "metric_sales_by_state": _sales_by("state"),
-    "metric_sales_by_category": _sales_by("category", rows=ITEM_ROWS),
-    "metric_sales_by_seller_state_month": _sales_by("seller_state", "ym", rows=ITEM_ROWS),
+    "metric_sales_by_category": _sales_by("category", rows=CATEGORY_ROWS),
+    "metric_sales_by_seller_state_month": _sales_by("seller_state", "ym", rows=SELLER_ROWS),
     "metric_sales_filtered": _sales_by("ym", where="state = 'NATION_3'"),
     "metric_service_total": _service_by(),
     "metric_service_by_state": _service_by("state"),

@@ -7,7 +7,6 @@ and ranks do not add up across summaries and are always taken from the facts.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +38,7 @@ def month_summary(facts: DataFrame) -> DataFrame:
     """(month, status) -> additive sums."""
     return facts.groupBy(MONTH, "order_status").agg(
         F.count("*").alias("placed_orders"),
-        F.count("gmv").alias("orders"),
+        F.count("units").alias("orders"),
         F.sum("gmv").alias("gmv"),
         F.sum("freight").alias("freight"),
         F.count("is_late").alias("eligible"),
@@ -68,7 +67,7 @@ def refresh_layers(t: Tables, folder: str, months: Sequence[str] | None = None)
             return df
         return df.filter(F.col(MONTH).isin(list(months)))
 
-    pruned = replace(t, orders=chosen(t["orders"]), order_items=chosen(t["order_items"]))
+    pruned = t.replaced(orders=chosen(t["orders"]), order_items=chosen(t["order_items"]))
     facts = chosen(order_facts(pruned))
     _store(facts, f"{folder}/order_facts")
     stored = facts.sparkSession.read.schema(facts.schema).parquet(f"{folder}/order_facts")

@@ -22,29 +22,29 @@ from stallworks.sources.tables import Tables
 def seller_concentration(t: Tables, k: int = 15, status: str = DELIVERED) -> DataFrame:
     """Largest sellers with share and running share (equal GMV shares one running value).
 
-    A running share only depends on sellers of the same or higher GMV, so the window
-    needs the top rows and not the whole table: the k-th GMV decides which rows can
-    matter, and all that tie with it are folded into one amount per GMV.
+    A running share depends only on sellers of the same or a higher GMV. Sellers of equal
+    GMV fold into one amount, and the k highest amounts hold all that the top k need, so
+    the window runs over k rows and not over all sellers.
     """
     sellers = seller_totals(t, status)
-    # Both columns, so that this reads the shuffle the main branch writes.
+    # Both sums, so that Spark reuses the shuffle of the main branch for the total.
     whole = sellers.agg(
         F.struct(F.sum("gmv").alias("gmv"), F.sum("orders").alias("orders"))
     ).scalar()
     top = top_k(sellers, k, F.desc("gmv"), F.col("seller_id"))
-    peers_of_top = (
-        sellers.groupBy("gmv")
-        .agg((F.col("gmv") * F.count("*")).alias("peer_gmv"), F.sum("orders").alias("_orders"))
-        .orderBy(F.desc("gmv"))
-        .limit(k)
-        .select(
-            "gmv",
-            F.sum("peer_gmv").over(Window.orderBy(F.desc("gmv"))).alias("running"),
-        )
+    levels = top_k(
+        sellers.groupBy(F.col("gmv").alias("level")).agg(
+            (F.col("level") * F.count("*")).alias("level_gmv")
+        ),
+        k,
+        F.desc("level"),
+    )
+    running = levels.select(
+        "level", F.sum("level_gmv").over(Window.orderBy(F.desc("level"))).alias("running")
     )
     total = whole.getField("gmv")
     return (
-        top.join(F.broadcast(peers_of_top), "gmv")  # k rows at most
+        top.join(F.broadcast(running), F.col("gmv").eqNullSafe(F.col("level")))  # k rows
         .orderBy(F.desc("gmv"), "seller_id")
         .select(
             "seller_id",

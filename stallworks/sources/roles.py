@@ -111,24 +111,28 @@ def role_tables(spark: SparkSession, sf_dir: str) -> Tables:
     def source(name: str) -> DataFrame:
         return spark.read.schema(SOURCES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
-    orders, lines, part, nation = (source(n) for n in ("orders", "lineitem", "part", "nation"))
-    buyers = orders.join(source("customer"), F.col("o_custkey") == F.col("c_custkey")).join(
-        nation, F.col("c_nationkey") == F.col("n_nationkey")
-    )
+    def with_nation(df: DataFrame, key: str) -> DataFrame:
+        return df.join(source("nation"), F.col(key) == F.col("n_nationkey"))
+
+    def customers() -> DataFrame:
+        buyers = source("orders").join(
+            source("customer"), F.col("o_custkey") == F.col("c_custkey")
+        )
+        return with_nation(buyers, "c_nationkey").selectExpr(*CUSTOMERS)
+
+    def category_name() -> DataFrame:
+        brands = source("part").select("p_brand").distinct()
+        return brands.filter(F.col("p_brand") != "Brand#25").selectExpr(*CATEGORY_NAME)
+
     return Tables(
-        customers=buyers.selectExpr(*CUSTOMERS),
-        orders=orders.selectExpr(*ORDERS),
-        order_items=lines.selectExpr(*ORDER_ITEMS),
-        order_payments=lines.selectExpr(*ORDER_PAYMENTS),
-        order_reviews=source("events").selectExpr(*ORDER_REVIEWS),
-        products=part.selectExpr(*PRODUCTS),
-        sellers=source("supplier")
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .selectExpr(*SELLERS),
-        category_name=part.select("p_brand")
-        .distinct()
-        .filter(F.col("p_brand") != "Brand#25")
-        .selectExpr(*CATEGORY_NAME),
+        customers=customers,
+        orders=lambda: source("orders").selectExpr(*ORDERS),
+        order_items=lambda: source("lineitem").selectExpr(*ORDER_ITEMS),
+        order_payments=lambda: source("lineitem").selectExpr(*ORDER_PAYMENTS),
+        order_reviews=lambda: source("events").selectExpr(*ORDER_REVIEWS),
+        products=lambda: source("part").selectExpr(*PRODUCTS),
+        sellers=lambda: with_nation(source("supplier"), "s_nationkey").selectExpr(*SELLERS),
+        category_name=category_name,
     )
 
 

@@ -2,36 +2,43 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 from stallworks.sources.schemas import TABLE_NAMES
 
+Source = DataFrame | Callable[[], DataFrame]
+
 
-@dataclass(frozen=True)
 class Tables:
-    """Eight DataFrames; a table a query does not touch may be left out."""
+    """Up to eight tables by name; a table a query does not touch may be left out.
+
+    A table may be given as a function, which is called when a query first asks for it.
+    """
 
-    customers: DataFrame | None = None
-    orders: DataFrame | None = None
-    order_items: DataFrame | None = None
-    order_payments: DataFrame | None = None
-    order_reviews: DataFrame | None = None
-    products: DataFrame | None = None
-    sellers: DataFrame | None = None
-    category_name: DataFrame | None = None
+    def __init__(self, **sources: Source):
+        unknown = set(sources) - set(TABLE_NAMES)
+        if unknown:
+            raise KeyError(f"unknown tables {sorted(unknown)}")
+        self._sources = sources
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in TABLE_NAMES:
             raise KeyError(f"unknown table {name!r}")
-        table = getattr(self, name)
-        if table is None:
+        if name not in self._sources:
             raise KeyError(f"table {name!r} was not loaded")
-        return table
+        source = self._sources[name]
+        if not isinstance(source, DataFrame):
+            source = self._sources[name] = source()
+        return source
 
     def present(self) -> list[str]:
-        return [f.name for f in fields(self) if getattr(self, f.name) is not None]
+        """Names of the loaded tables, parents before children."""
+        return [name for name in TABLE_NAMES if name in self._sources]
+
+    def replaced(self, **sources: Source) -> Tables:
+        return Tables(**(self._sources | sources))
 
     def register_views(self) -> None:
         """Expose the tables to ``spark.sql`` under their own names."""
