@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stallworks.operators.checks import stacked
 from stallworks.operators.cleaning import CLEANERS, FILE_ORDER
+from stallworks.sources.formats import CSV, format_options
 from stallworks.sources.schemas import TABLE_NAMES, text_schema
 
 # Every business file is "<source>_<table>_dataset.csv" in the public data
@@ -26,11 +27,8 @@ def read_raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
     reviews = name == "order_reviews"
     raw = (
         spark.read.schema(text_schema(name))
-        .option("header", True)
+        .options(**CSV, multiLine=reviews)
         .option("enforceSchema", False)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", reviews)
         .csv(f"{folder}/{FILE_PATTERNS[name]}")
     )
     if not reviews:
@@ -52,9 +50,10 @@ def clean_all(
     for name in TABLE_NAMES:
         path = f"{clean_folder}/{name}"
         table = CLEANERS[name](read_raw(spark, raw_folder, name))
-        writer = table.write.mode("overwrite").format(fmt)
-        (writer.option("header", True) if fmt == "csv" else writer).save(path)
-        stored = spark.read.format(fmt).schema(table.schema).option("header", True).load(path)
+        table.write.mode("overwrite").format(fmt).options(**format_options(fmt, name)).save(path)
+        stored = (
+            spark.read.format(fmt).schema(table.schema).options(**format_options(fmt, name)).load(path)
+        )
         reports.append(
             stored.agg(F.count("*").alias("rows_cnt")).select(
                 F.lit(name).alias("tbl"),

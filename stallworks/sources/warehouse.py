@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallworks.functions.expressions import month_label, month_start
+from stallworks.sources.formats import format_options
 from stallworks.sources.schemas import (
     FOREIGN_KEYS,
     LOOKUP_COLUMNS,
@@ -34,9 +36,8 @@ def read_clean(spark: SparkSession, folder: str, fmt: str = "parquet") -> Loaded
     """Read the cleaned tables, parents first; absent ones are reported and skipped."""
     found, missing = {}, []
     for name in TABLE_NAMES:
-        reader = spark.read.format(fmt).schema(nullable_schema(name)).option("header", True)
-        if fmt == "csv":
-            reader = reader.option("escape", '"').option("multiLine", name == "order_reviews")
+        reader = spark.read.format(fmt).schema(nullable_schema(name))
+        reader = reader.options(**format_options(fmt, name))
         try:
             found[name] = reader.load(f"{folder}/{name}")
         except AnalysisException as problem:
@@ -114,13 +115,12 @@ def load_warehouse(t: Tables, folder: str) -> dict[str, str]:
 
 def read_warehouse(spark: SparkSession, folder: str) -> Tables:
     """The loaded tables; a filter on ``purchase_ym`` prunes months of the monthly ones."""
-    found = {}
-    for name in TABLE_NAMES:
-        schema = nullable_schema(name)
-        if name in MONTHLY:
-            schema = schema.add(MONTH, "string")
-        found[name] = spark.read.schema(schema).parquet(f"{folder}/{name}")
-    return Tables(**found)
+
+    def stored(name: str) -> DataFrame:
+        table = spark.read.parquet(f"{folder}/{name}")
+        return table.withColumn(MONTH, F.col(MONTH).cast("string")) if name in MONTHLY else table
+
+    return Tables(**{name: partial(stored, name) for name in TABLE_NAMES})
 
 
 def read_jdbc(
