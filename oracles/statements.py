@@ -46,15 +46,15 @@ QUALITY = {
         UNION ALL SELECT 'sellers', count(*) FROM r_sellers
         UNION ALL SELECT 'category_name', count(*) FROM r_names""",
     "dq_pk_duplicates": """
-        SELECT 'orders.order_id' AS check_item, count(order_id) - count(DISTINCT order_id) AS dup_cnt
+        SELECT 'orders.order_id' AS check_item, count(*) - count(DISTINCT order_id) AS dup_cnt
         FROM r_orders
-        UNION ALL SELECT 'customers.customer_id', count(customer_id) - count(DISTINCT customer_id)
+        UNION ALL SELECT 'customers.customer_id', count(*) - count(DISTINCT customer_id)
         FROM r_customers
-        UNION ALL SELECT 'products.product_id', count(product_id) - count(DISTINCT product_id)
+        UNION ALL SELECT 'products.product_id', count(*) - count(DISTINCT product_id)
         FROM r_products
-        UNION ALL SELECT 'sellers.seller_id', count(seller_id) - count(DISTINCT seller_id)
+        UNION ALL SELECT 'sellers.seller_id', count(*) - count(DISTINCT seller_id)
         FROM r_sellers
-        UNION ALL SELECT 'order_reviews.review_id', count(review_id) - count(DISTINCT review_id)
+        UNION ALL SELECT 'order_reviews.review_id', count(*) - count(DISTINCT review_id)
         FROM r_reviews""",
     "dq_status_distribution": f"""
         SELECT order_status, count(*) AS order_cnt,
@@ -507,7 +507,9 @@ CLEANING = {
     "clean_products": f"""
         SELECT cast(product_id AS varchar) AS product_id,
                coalesce(raw_name, 'unknown') AS product_category_name,
-               {dbl('name_length')} AS product_name_lenght, {dbl('weight')} AS product_weight_g
+               {dbl('name_length')} AS product_name_lenght, {dbl('weight')} AS product_weight_g,
+               {', '.join(f"{dbl('NULL')} AS product_{c}" for c in (
+                   'description_lenght', 'photos_qty', 'length_cm', 'height_cm', 'width_cm'))}
         FROM r_products""",
     "clean_sellers": """
         SELECT cast(seller_id AS varchar) AS seller_id, cast(zip AS bigint) AS seller_zip_code_prefix,
@@ -744,7 +746,56 @@ PAGES = {
         WHERE late IS NOT NULL GROUP BY c.customer_state""",
 }
 
+GRAINS = {
+    "grain_valid_orders": f"""
+        SELECT order_id, customer_id, {YM.format('bought')} AS ym
+        FROM r_orders WHERE order_status = 'delivered'""",
+    "grain_order_value": f"""
+        SELECT order_id, {dbl('sum(price)')} AS gmv, {dbl('sum(freight)')} AS freight,
+               count(*) AS units
+        FROM r_items GROUP BY order_id""",
+    "grain_order_score": f"""
+        SELECT order_id, {dbl('score')} AS score FROM stars_of""",
+    "grain_seller_orders": f"""
+        SELECT seller_id, order_id, {dbl('sum(price)')} AS gmv, count(*) AS units
+        FROM sold GROUP BY seller_id, order_id""",
+    "grain_category_orders": """
+        SELECT DISTINCT coalesce(english, raw_name, 'unknown') AS category, order_id
+        FROM sold_named""",
+    "grain_payment_types": """
+        SELECT DISTINCT order_id, payment_type FROM r_payments""",
+    "grain_delivery": f"""
+        SELECT order_id, {big('days')} AS delivery_days, {big('overdue')} AS late_days,
+               CASE WHEN late THEN 1 ELSE 0 END::bigint AS is_late
+        FROM arrivals WHERE late IS NOT NULL""",
+    "grain_category_label": """
+        SELECT product_id, p.raw_name AS raw_category, english AS english_category,
+               coalesce(english, p.raw_name, 'unknown') AS category
+        FROM r_products p LEFT JOIN r_names n ON n.raw_name = p.raw_name""",
+    "grain_person_orders": f"""
+        SELECT person, order_id, {YM.format('bought')} AS ym FROM bought_by""",
+    "seller_ranking": f"""
+        SELECT seller_id, {dbl('gmv')} AS gmv, place,
+               {share('passed', 'whole', 4)} AS running_pct
+        FROM (SELECT seller_id, gmv, row_number() OVER w AS place,
+                     sum(gmv) OVER (w ROWS UNBOUNDED PRECEDING) AS passed,
+                     sum(gmv) OVER () AS whole
+              FROM (SELECT seller_id, sum(price) AS gmv FROM sold GROUP BY seller_id)
+              WINDOW w AS (ORDER BY gmv DESC NULLS LAST, seller_id NULLS FIRST))""",
+    "prod_top5_per_category": f"""
+        SELECT category, product_id, orders, {dbl('gmv')} AS gmv
+        FROM (SELECT coalesce(english, raw_name) AS category, product_id, sum(price) AS gmv,
+                     count(DISTINCT order_id) AS orders,
+                     row_number() OVER (
+                         PARTITION BY coalesce(english, raw_name)
+                         ORDER BY count(DISTINCT order_id) DESC, sum(price) DESC, product_id) AS place
+              FROM sold_named GROUP BY english, raw_name, product_id) p
+        WHERE place <= 5 ORDER BY p.gmv DESC, product_id LIMIT 100""",
+}
+
 LAYERS = {
+    "csv_monthly_trend": BUSINESS["biz_monthly_trend"],
+    "warehouse_monthly_trend": BUSINESS["biz_monthly_trend"],
     "layer_monthly_trend": BUSINESS["biz_monthly_trend"],
     "layer_monthly_service": f"""
         SELECT strftime(o.bought, '%Y-%m') AS ym, count(late) AS eligible,
@@ -757,7 +808,7 @@ LAYERS = {
 
 GROUPS = (
     QUALITY, CHECKS, BUSINESS, CUSTOMERS, PRODUCTS, SELLERS, LOGISTICS, REVIEWS,
-    CLEANING, PROFILING, DERIVED, METRICS, PAGES, LAYERS,
+    CLEANING, PROFILING, DERIVED, METRICS, PAGES, GRAINS, LAYERS,
 )
 
 

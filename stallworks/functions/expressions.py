@@ -92,6 +92,16 @@ def calendar_days(start: Column, end: Column) -> Column:
 
 
 def elapsed_days(start: Column, end: Column) -> Column:
-    """Whole 24-hour days, rounded down (23:50 to 00:10 next day is zero days)."""
-    micros = F.timestamp_diff("MICROSECOND", start, end)
-    return F.floor(micros / F.lit(86_400_000_000)).cast("int")
+    """Whole 24-hour days, rounded down (23:50 to 00:10 next day is zero days).
+
+    Wall-clock arithmetic throughout: a session time zone with daylight saving must not
+    shorten or lengthen a day.
+    """
+    days = calendar_days(start, end)
+    unfinished = end - F.make_dt_interval(days) < start
+    return days - F.when(unfinished, 1).otherwise(0)
+
+
+def clock_text(moment: Column) -> Column:
+    """Wall-clock time as ``yyyy-MM-dd HH:mm:ss``, whatever the session time zone."""
+    return F.substring(moment.cast("string"), 1, 19)

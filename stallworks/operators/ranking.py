@@ -85,17 +85,23 @@ def with_rank(df: DataFrame, *order: Column, name: str = "rn") -> DataFrame:
 
 
 def with_running_sum(df: DataFrame, measure: str, *order: Column, name: str) -> DataFrame:
-    """Add the exact running sum up to and including each row, in the given order."""
+    """Add the row number ``rn`` and the exact running sum up to and including each row.
+
+    NULL amounts add nothing; a sum that has met no amount yet is zero.
+    """
     rows = sliced(df, *order)
-    offsets = _preceding(rows.groupBy("_slice").agg(F.sum(measure).alias("s")), "s")
+    offsets = _preceding(
+        rows.groupBy("_slice").agg(F.sum(measure).alias("s"), F.count("*").alias("n")), "s", "n"
+    )
     inside = F.sum(measure).over(
         Window.partitionBy("_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
         rows.withColumn("_inside", inside)
         .join(F.broadcast(offsets), "_slice")
-        .withColumn(name, F.col("s_before") + F.col("_inside"))
-        .drop("_slice", "_at", "s_before", "_inside")
+        .withColumn(name, F.col("s_before") + F.coalesce("_inside", F.lit(0)))
+        .withColumn("rn", F.col("n_before") + F.col("_at") + 1)
+        .drop("_slice", "_at", "s_before", "n_before", "_inside")
     )
 
 

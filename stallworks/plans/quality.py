@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallworks.functions.expressions import pct
-from stallworks.operators.checks import stacked, surplus_keys
+from stallworks.operators.checks import stacked
 from stallworks.operators.shaping import share_of_total
 from stallworks.sources.schemas import PRIMARY_KEYS
 from stallworks.sources.tables import Tables
@@ -21,6 +21,8 @@ ORDER_TIMES = {
     "estimated": "order_estimated_delivery_date",
 }
 
+SINGLE_KEY_TABLES = ("orders", "customers", "products", "sellers", "order_reviews")
+
 
 def dq_row_counts(t: Tables) -> DataFrame:
     return stacked(
@@ -32,16 +34,17 @@ def dq_row_counts(t: Tables) -> DataFrame:
 
 
 def dq_pk_duplicates(t: Tables) -> DataFrame:
-    single = [n for n in ("orders", "customers", "products", "sellers", "order_reviews")]
-    return stacked(
-        [
-            surplus_keys(t[name], *PRIMARY_KEYS[name]).select(
-                F.lit(f"{name}.{PRIMARY_KEYS[name][0]}").alias("check_item"),
-                F.col("surplus_rows").alias("dup_cnt"),
-            )
-            for name in single
-        ]
-    )
+    """Rows beyond the distinct keys; rows without a key are all in excess."""
+
+    def excess(name: str) -> DataFrame:
+        key = PRIMARY_KEYS[name][0]
+        per_key = t[name].groupBy(key).agg(F.count("*").alias("n"))
+        rows = F.coalesce(F.sum("n"), F.lit(0))
+        return per_key.agg((rows - F.count(key)).alias("dup_cnt")).select(
+            F.lit(f"{name}.{key}").alias("check_item"), "dup_cnt"
+        )
+
+    return stacked([excess(name) for name in SINGLE_KEY_TABLES])
 
 
 def dq_status_distribution(t: Tables) -> DataFrame:

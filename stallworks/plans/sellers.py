@@ -14,7 +14,7 @@ from stallworks.operators.grain import (
     seller_order_value,
     seller_totals,
 )
-from stallworks.operators.ranking import tier, with_rank
+from stallworks.operators.ranking import tier, with_rank, with_running_sum
 from stallworks.operators.shaping import band, by_band, share_of_total, top_k
 from stallworks.sources.tables import Tables
 
@@ -56,6 +56,24 @@ def seller_concentration(t: Tables, k: int = 15, status: str = DELIVERED) -> Dat
     )
 
 
+def seller_ranking(t: Tables, status: str = DELIVERED) -> DataFrame:
+    """Every seller with its place and the share of GMV reached up to it.
+
+    Unlike ``seller_concentration`` this runs down the whole list, ties settled by id.
+    """
+    order = [F.desc_nulls_last("gmv"), F.asc("seller_id")]
+    ranked = with_running_sum(
+        seller_totals(t, status).select("seller_id", "gmv"), "gmv", *order, name="running"
+    )
+    total = ranked.agg(F.sum("gmv")).scalar()
+    return ranked.select(
+        "seller_id",
+        money(F.col("gmv")).alias("gmv"),
+        F.col("rn").alias("place"),
+        pct(F.col("running"), total, 4).alias("running_pct"),
+    )
+
+
 def seller_tiers(
     t: Tables, head_pct: int = 2, mid_pct: int = 20, status: str = DELIVERED
 ) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stallworks.operators import checks, cleaning
+from stallworks.functions.expressions import clock_text, money, month_label, month_start
+from stallworks.operators import checks, cleaning, grain
 from stallworks.operators.ranking import shared_folder
 from stallworks.plans import (
     business,
@@ -26,8 +27,9 @@ from stallworks.plans import (
     reviews,
     sellers,
 )
+from stallworks.sources import raw_csv, warehouse
+from stallworks.sources.formats import CSV
 from stallworks.sources.roles import raw_tables, role_tables
-from stallworks.sources.schemas import SCHEMAS
 from stallworks.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +72,7 @@ PLANS: dict[str, Plan] = {
         sellers.seller_order_bands,
         sellers.seller_quality_risk,
         sellers.seller_geography,
+        sellers.seller_ranking,
         logistics.log_delivery_time,
         logistics.log_on_time_rate,
         logistics.log_late_bands,
@@ -95,10 +98,41 @@ PLANS: dict[str, Plan] = {
 
 # The business reports of the analysis proper; the benchmark times these.
 REPORTS = [n for n in PLANS if n.split("_")[0] in ("dq", "biz", "cust", "prod", "log", "rev")] + [
-    n for n in PLANS if n.startswith("seller_") and n != "seller_health"
+    n for n in PLANS if n.startswith("seller_") and n not in ("seller_health", "seller_ranking")
 ]
 
+GRAINS: dict[str, Plan] = {
+    "grain_valid_orders": lambda t: grain.valid_orders(t["orders"]).select(
+        "order_id", "customer_id", _purchase_month()
+    ),
+    "grain_order_value": lambda t: _in_currency(grain.order_value(t["order_items"])),
+    "grain_order_score": lambda t: grain.order_score(t["order_reviews"]),
+    "grain_seller_orders": lambda t: _in_currency(grain.seller_order_value(t)),
+    "grain_category_orders": grain.label_orders,
+    "grain_payment_types": lambda t: grain.distinct_grain(
+        t["order_payments"], "order_id", "payment_type"
+    ),
+    "grain_delivery": lambda t: grain.delivery(t["orders"]).select(
+        "order_id", "delivery_days", "late_days", F.col("is_late").cast("int").alias("is_late")
+    ),
+    "grain_category_label": grain.product_category,
+    "grain_person_orders": lambda t: grain.person_orders(t).select(
+        "person", "order_id", _purchase_month()
+    ),
+}
+
+
+def _purchase_month():
+    return month_label(month_start(F.col("order_purchase_timestamp"))).alias("ym")
+
+
+def _in_currency(df: DataFrame) -> DataFrame:
+    amounts = [c for c in ("gmv", "freight") if c in df.columns]
+    return df.withColumns({c: money(F.col(c)) for c in amounts})
+
+
 VARIANTS: dict[str, Plan] = {
+    "prod_top5_per_category": partial(products.prod_top_per_category, per_group=5, k=100),
     "check_primary_keys": checks.primary_key_check,
     "check_foreign_keys": checks.foreign_key_check,
     "check_not_null": checks.not_null_check,
@@ -149,7 +183,7 @@ def _plain(df: DataFrame) -> DataFrame:
     def plain(field: T.StructField):
         column = F.col(field.name)
         if isinstance(field.dataType, T.TimestampNTZType):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+            column = clock_text(column)
         elif isinstance(field.dataType, T.DecimalType) or field.name == "review_score":
             column = column.cast("double")
         elif isinstance(field.dataType, T.IntegerType):
@@ -160,14 +194,31 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 def _cleaned(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_tables(spark, sf_dir)[name]
-    absent = [F.lit(None).cast("string").alias(c) for c in SCHEMAS[name].names if c not in raw.columns]
-    cleaned = cleaning.CLEANERS[name](raw.select("*", *absent))
-    return _plain(cleaned.select(*raw.columns))
+    return _plain(cleaning.CLEANERS[name](raw_tables(spark, sf_dir)[name]))
+
+
+def _new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stallworks/{uuid.uuid4().hex}"
+
+
+def _from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files out, read back raw, cleaned, stored and reported."""
+    folder = _new_folder(spark)
+    for name, raw in raw_tables(spark, sf_dir).items():
+        target = raw_csv.FILE_PATTERNS[name].replace("*", "shop")
+        raw.write.options(**CSV).csv(f"{folder}/raw/{target}")
+    raw_csv.clean_all(spark, f"{folder}/raw", f"{folder}/clean")
+    return business.biz_monthly_trend(warehouse.read_clean(spark, f"{folder}/clean").tables)
+
+
+def _from_warehouse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _new_folder(spark)
+    warehouse.load_warehouse(role_tables(spark, sf_dir), folder)
+    return business.biz_monthly_trend(warehouse.read_warehouse(spark, folder))
 
 
 def _from_layers(read: Callable[[DataFrame], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/stallworks/{uuid.uuid4().hex}"
+    folder = _new_folder(spark)
     layers.refresh_layers(role_tables(spark, sf_dir), folder)
     return read(layers.read_layer(spark, folder, "month_summary"))
 
@@ -180,10 +231,16 @@ def registered_queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         name: partial(_over_roles, plan) for name, plan in (PLANS | VARIANTS).items()
     }
+    found |= {
+        name: partial(_over_roles, lambda t, plan=plan: _plain(plan(t)))
+        for name, plan in GRAINS.items()
+    }
     found |= {f"clean_{name}": partial(_cleaned, name) for name in cleaning.CLEANERS}
     found["eda_review_duplicates"] = lambda spark, sf_dir: profiling.review_duplicates(
         raw_tables(spark, sf_dir)["order_reviews"]
     )
+    found["csv_monthly_trend"] = _from_csv
+    found["warehouse_monthly_trend"] = _from_warehouse
     found["layer_monthly_trend"] = partial(_from_layers, layers.trend_from_summary)
     found["layer_monthly_service"] = partial(_from_layers, layers.service_from_summary)
     return found

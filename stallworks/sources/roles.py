@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stallworks.sources.schemas import SCHEMAS
 from stallworks.sources.tables import Tables
 
 CUSTOMERS = [
@@ -136,8 +137,18 @@ def role_tables(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
 
+def whole_row(df: DataFrame, name: str) -> DataFrame:
+    """All columns of the raw file in order; those the source lacks are empty."""
+    return df.select(
+        *[
+            F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
+            for c in SCHEMAS[name].names
+        ]
+    )
+
+
 def as_text(moment: str) -> str:
-    return f"date_format({moment}, 'yyyy-MM-dd HH:mm:ss')"
+    return f"substring(cast({moment} AS string), 1, 19)"
 
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -180,7 +191,7 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             ]
         )
 
-    return {
+    raw = {
         "customers": text(
             t["customers"],
             customer_zip_code_prefix="lpad(cast(customer_zip_code_prefix AS string), 5, '0')",
@@ -198,3 +209,4 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         ),
         "category_name": text(t["category_name"]),
     }
+    return {name: whole_row(df, name) for name, df in raw.items()}

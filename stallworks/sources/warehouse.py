@@ -113,6 +113,25 @@ def load_warehouse(t: Tables, folder: str) -> dict[str, str]:
     return paths
 
 
+def load_database(t: Tables, database: str) -> None:
+    """Fill the declared tables; a rerun replaces what it wrote, month by month."""
+    for name in t.present():
+        monthly = name in MONTHLY
+        table = (with_month(t, name) if monthly else t[name]).select(
+            *SCHEMAS[name].names, *([MONTH] if monthly else [])
+        )
+        (
+            (table.hint("rebalance", MONTH) if monthly else table)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .insertInto(f"{database}.{name}")
+        )
+
+
+def read_database(spark: SparkSession, database: str) -> Tables:
+    return Tables(**{name: partial(spark.table, f"{database}.{name}") for name in TABLE_NAMES})
+
+
 def read_warehouse(spark: SparkSession, folder: str) -> Tables:
     """The loaded tables; a filter on ``purchase_ym`` prunes months of the monthly ones."""
 

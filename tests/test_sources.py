@@ -161,7 +161,7 @@ def test_loading_twice_changes_nothing(spark, small_dir, tmp_path):
     assert "PartitionFilters: [isnotnull(purchase_ym" in plan
 
 
-def test_declared_tables(spark, tmp_path):
+def test_declared_tables(spark, raw, tmp_path):
     statements = warehouse.create_statements("shop")
     assert len(statements) == 8
     # Keys and references are declared as properties, parents before children.
@@ -173,6 +173,15 @@ def test_declared_tables(spark, tmp_path):
     warehouse.create_schema(spark, "declared")
     found = {r.tableName for r in spark.sql("SHOW TABLES IN declared").collect() if not r.isTemporary}
     assert found == set(TABLE_NAMES)
+
+    folder = str(tmp_path / "clean")
+    clean_all(spark, raw, folder)
+    t = warehouse.read_clean(spark, folder).tables
+    for _ in range(2):
+        warehouse.load_database(t, "declared")
+    stored = warehouse.read_database(spark, "declared")
+    assert {n: stored[n].count() for n in TABLE_NAMES} == {n: t[n].count() for n in TABLE_NAMES}
+    assert rows(biz_core_kpis(stored))[0]["gmv"] == 30.09
     spark.sql("DROP DATABASE declared CASCADE")
 
 
