@@ -497,12 +497,14 @@ CLEANING = {
         SELECT review_id, review_id AS order_id, {dbl('stars')} AS review_score,
                title AS review_comment_title, message AS review_comment_message,
                created AS review_creation_date, answered AS review_answer_timestamp
-        FROM (SELECT cast(order_id AS varchar) AS review_id, stars, title, message,
-                     strftime(created, '{STAMP}') AS created,
-                     CASE WHEN review_id % 100 <> 3 THEN strftime(answered, '{STAMP}') END AS answered,
-                     row_number() OVER (PARTITION BY order_id ORDER BY date_trunc('second', created))
-                         AS place
-              FROM r_reviews)
+        FROM (SELECT *, row_number() OVER (
+                     PARTITION BY review_id
+                     ORDER BY created, answered NULLS FIRST, stars NULLS FIRST, title, message) AS place
+              FROM (SELECT cast(order_id AS varchar) AS review_id, stars, title, message,
+                           strftime(created, '{STAMP}') AS created,
+                           CASE WHEN review_id % 100 <> 3
+                                THEN strftime(answered, '{STAMP}') END AS answered
+                    FROM r_reviews))
         WHERE place = 1""",
     "clean_products": f"""
         SELECT cast(product_id AS varchar) AS product_id,
