@@ -116,6 +116,11 @@ def domain_check(t: Tables, lowest_score: int = 1, highest_score: int = 5) -> Da
             )
         },
     }
+    loaded = t.present()
     return stacked(
-        [_counted(t[name], name, tests, "bad_rows") for name, tests in rules.items()]
+        [
+            _counted(t[name], name, tests, "bad_rows")
+            for name, tests in rules.items()
+            if name in loaded
+        ]
     )

@@ -131,12 +131,15 @@ def _in_currency(df: DataFrame) -> DataFrame:
     return df.withColumns({c: money(F.col(c)) for c in amounts})
 
 
-VARIANTS: dict[str, Plan] = {
-    "prod_top5_per_category": partial(products.prod_top_per_category, per_group=5, k=100),
+CHECKS: dict[str, Plan] = {
     "check_primary_keys": checks.primary_key_check,
     "check_foreign_keys": checks.foreign_key_check,
     "check_not_null": checks.not_null_check,
     "check_domains": checks.domain_check,
+}
+
+VARIANTS: dict[str, Plan] = CHECKS | {
+    "prod_top5_per_category": partial(products.prod_top_per_category, per_group=5, k=100),
     "seller_order_bands_wide": partial(sellers.seller_order_bands, edges=(160, 180, 200)),
     "seller_quality_risk_strict": partial(
         sellers.seller_quality_risk, score_threshold=3, gmv_threshold=10400

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallworks.operators.checks import stacked
@@ -16,6 +16,16 @@ FILE_PATTERNS = {name: f"*_{name}_dataset.csv" for name in TABLE_NAMES} | {
     "category_name": "product_category_name_translation.csv"
 }
 
+# What pandas reads as a missing value by default.
+MISSING_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
+def known(column: str) -> Column:
+    return F.when(~F.col(column).isin(*MISSING_WORDS), F.col(column)).alias(column)
+
 
 def read_raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One raw table, every column as text.
@@ -32,13 +42,15 @@ def read_raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
         .csv(f"{folder}/{FILE_PATTERNS[name]}")
     )
     if not reviews:
-        return raw
+        return raw.select(*[known(c) for c in raw.columns])
     file, block, row = FILE_ORDER
+    place = {
+        file: F.col("_metadata.file_path"),
+        block: F.col("_metadata.file_block_start"),
+        row: F.monotonically_increasing_id(),
+    }
     return raw.select(
-        "*",
-        F.col("_metadata.file_path").alias(file),
-        F.col("_metadata.file_block_start").alias(block),
-        F.monotonically_increasing_id().alias(row),
+        *[known(c) for c in raw.columns], *[column.alias(c) for c, column in place.items()]
     )
 
 

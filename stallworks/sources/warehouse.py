@@ -33,13 +33,17 @@ class Loaded:
 
 
 def read_clean(spark: SparkSession, folder: str, fmt: str = "parquet") -> Loaded:
-    """Read the cleaned tables, parents first; absent ones are reported and skipped."""
+    """Read the cleaned tables, parents first; absent ones are reported and skipped.
+
+    A CSV table may be a folder ``orders`` or a single file ``orders.csv``.
+    """
+    suffix = "{,.csv}" if fmt == "csv" else ""
     found, missing = {}, []
     for name in TABLE_NAMES:
         reader = spark.read.format(fmt).schema(nullable_schema(name))
         reader = reader.options(**format_options(fmt, name))
         try:
-            found[name] = reader.load(f"{folder}/{name}")
+            found[name] = reader.load(f"{folder}/{name}{suffix}")
         except AnalysisException as problem:
             if "PATH_NOT_FOUND" not in str(problem):
                 raise

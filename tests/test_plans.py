@@ -48,6 +48,11 @@ def test_top_products_are_cut_before_the_shuffle(spark, small_dir):
     assert plan.count("WindowGroupLimit") == 2
 
 
+def test_repeated_reviews_are_cut_before_the_shuffle(spark, small_dir):
+    plan = physical(QUERIES["clean_order_reviews"](spark, small_dir))
+    assert plan.count("WindowGroupLimit") == 2
+
+
 def test_items_are_reduced_before_they_are_shuffled(spark, small_dir):
     """Each exchange of line items sits on a partial aggregate, so that a hot key
     leaves every task as one row."""

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stallworks.__main__ import main
 from stallworks.operators.cleaning import CLEANERS, clean_order_reviews
 from stallworks.plans import layers
 from stallworks.plans.business import biz_core_kpis, biz_monthly_trend
@@ -43,7 +44,7 @@ a second line","2018-01-18 00:00:00","2018-01-18 21:46:59"
 ''',
     "shop_products_dataset.csv": """product_id,product_category_name,product_name_lenght,product_description_lenght,product_photos_qty,product_weight_g,product_length_cm,product_height_cm,product_width_cm
 p1,perfumaria,40,287,1,225,16,10,14
-p2,,,,,,,,
+p2,NA,,,,,,,
 """,
     "shop_sellers_dataset.csv": """seller_id,seller_zip_code_prefix,seller_city,seller_state
 s1,04195,"sao paulo, sp",SP
@@ -148,6 +149,36 @@ def test_csv_sink_round_trip(spark, raw, tmp_path):
     assert t["order_reviews"].count() == 2
 
 
+def test_single_cleaned_files_are_read(spark, tmp_path):
+    (tmp_path / "orders.csv").write_text(
+        "order_id,customer_id,order_status,order_purchase_timestamp,order_approved_at,"
+        "order_delivered_carrier_date,order_delivered_customer_date,"
+        "order_estimated_delivery_date\n"
+        "o1,c1,delivered,2017-10-15 00:30:00,,,2017-10-20 21:25:13,2017-10-28\n"
+    )
+    loaded = warehouse.read_clean(spark, str(tmp_path), fmt="csv")
+    assert loaded.tables.present() == ["orders"]
+    only = rows(loaded.tables["orders"])[0]
+    assert only["order_purchase_timestamp"] == datetime(2017, 10, 15, 0, 30)
+    assert only["order_approved_at"] is None
+    assert only["order_estimated_delivery_date"] == datetime(2017, 10, 28)
+
+
+def test_command_line(spark, raw, tmp_path, capsys):
+    clean, stored, out = (str(tmp_path / n) for n in ("clean", "stored", "out"))
+    main(["clean", raw, clean])
+    main(["check", clean])
+    main(["report", clean, "biz_core_kpis"])
+    main(["report", clean, "biz_monthly_trend", "--out", out])
+    main(["load", clean, stored])
+    main(["list"])
+    printed = capsys.readouterr().out
+    assert "30.09" in printed and "order_items: " in printed and "cust_rfm" in printed
+    assert rows(spark.read.parquet(out))[0]["ym"] == "2017-10"
+    with pytest.raises(SystemExit):
+        main(["report", clean, "no_such_report"])
+
+
 def test_loading_twice_changes_nothing(spark, small_dir, tmp_path):
     t, folder = role_tables(spark, small_dir), str(tmp_path / "w")
     warehouse.load_warehouse(t, folder)
@@ -161,6 +192,12 @@ def test_loading_twice_changes_nothing(spark, small_dir, tmp_path):
     assert "PartitionFilters: [isnotnull(purchase_ym" in plan
 
 
+def test_months_are_gathered_and_split_by_a_rebalance(spark, small_dir):
+    t = role_tables(spark, small_dir)
+    plan = warehouse.with_month(t, "orders").hint("rebalance", warehouse.MONTH)
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_declared_tables(spark, raw, tmp_path):
     statements = warehouse.create_statements("shop")
     assert len(statements) == 8
