@@ -167,17 +167,27 @@ def rfm_bands(t: Tables, top_pct: int = 30, status: str = DELIVERED) -> DataFram
     """
     people = person_rfm(t, status)
 
-    def entry(measure: str, key) -> Column:
-        return F.struct(
-            F.lit(measure).alias("measure"),
-            key.isNull().alias("unknown"),
-            key.alias("key"),
-        )
+    values = ("r_days", "f_orders", "m_gmv")
+    keys = {"r": F.col("r_days"), "f": -F.col("f_orders"), "m": -F.col("m_gmv")}
+
+    def position(key: Column) -> Column:
+        return F.struct(key.isNull().alias("unknown"), key.alias("key"), F.col("person"))
 
-    r, f, m = F.col("r_days"), -F.col("f_orders"), -F.col("m_gmv")
     entries = people.select(
-        "person", "r_days", "f_orders", "m_gmv",
-        F.inline(F.array(entry("r", r), entry("f", f), entry("m", m))),
+        *values,
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(name).alias("measure"), position(key).alias("at"))
+                    for name, key in keys.items()
+                ]
+            )
+        ),
+    ).select(
+        "measure",
+        "at.*",
+        # One of a person's three entries carries the values.
+        *[F.when(F.col("measure") == "m", F.col(v)).alias(v) for v in values],
     )
     order = [F.col(c) for c in ("measure", "unknown", "key", "person")]
     ranked = with_rank(entries, *order)
@@ -192,27 +202,22 @@ def rfm_bands(t: Tables, top_pct: int = 30, status: str = DELIVERED) -> DataFram
     )
     # Three rows at most, one per measure.
     cut_rows = ranked.join(F.broadcast(last_inside), ["measure", "rn"], "left_semi")
-    position = F.struct("unknown", "key", "person")
+    place = F.struct("unknown", "key", "person")
     cut = cut_rows.agg(
-        F.struct(
-            *[F.max(F.when(F.col("measure") == name, position)).alias(name) for name in "rfm"]
-        )
+        F.struct(*[F.max(F.when(F.col("measure") == name, place)).alias(name) for name in keys])
     ).scalar()
 
-    def inside(name: str, key) -> Column:
-        mine = F.struct(
-            key.isNull().alias("unknown"), key.alias("key"), F.col("person")
-        )
-        return F.coalesce(mine <= cut.getField(name), F.lit(False))
+    def banded(name: str, best: str, rest: str) -> Column:
+        # A NULL cut means that nobody is inside; the comparison is then not true.
+        inside = position(keys[name]) <= cut.getField(name)
+        return F.when(inside, best).otherwise(rest).alias(f"{name}_band")
 
     return everyone.select(
         "person",
-        "r_days",
-        "f_orders",
-        "m_gmv",
-        F.when(inside("r", r), "near").otherwise("far").alias("r_band"),
-        F.when(inside("f", f), "high").otherwise("low").alias("f_band"),
-        F.when(inside("m", m), "high").otherwise("low").alias("m_band"),
+        *values,
+        banded("r", "near", "far"),
+        banded("f", "high", "low"),
+        banded("m", "high", "low"),
     )
 
 
