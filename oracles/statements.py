@@ -799,6 +799,11 @@ LAYERS = {
     "csv_monthly_trend": BUSINESS["biz_monthly_trend"],
     "warehouse_monthly_trend": BUSINESS["biz_monthly_trend"],
     "layer_monthly_trend": BUSINESS["biz_monthly_trend"],
+    "layer_core_kpis": BUSINESS["biz_core_kpis"],
+    "layer_seller_tiers": SELLERS["seller_tiers"],
+    "layer_seller_concentration": SELLERS["seller_concentration"],
+    "layer_category_rank": PRODUCTS["prod_category_rank"],
+    "layer_top_products": PRODUCTS["prod_top_per_category"],
     "layer_monthly_service": f"""
         SELECT strftime(o.bought, '%Y-%m') AS ym, count(late) AS eligible,
                {share('count(*) FILTER (WHERE late)', 'count(late)')} AS late_pct,

@@ -55,25 +55,33 @@ def distinct_grain(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys).distinct()
 
 
-def seller_order_value(t: Tables, status: str = DELIVERED) -> DataFrame:
-    """(seller, valid order) -> gmv in cents, units."""
-    lines = (
+def seller_lines(t: Tables) -> DataFrame:
+    """(seller, order of any status) -> gmv in cents, units."""
+    return (
         t["order_items"]
         .groupBy("seller_id", "order_id")
         .agg(F.sum(cents(F.col("price"))).alias("gmv"), F.count("*").alias("units"))
     )
-    return lines.join(valid_orders(t["orders"], status).select("order_id"), "order_id")
 
 
-def seller_totals(t: Tables, status: str = DELIVERED) -> DataFrame:
-    """seller -> gmv, distinct valid orders."""
+def product_lines(t: Tables) -> DataFrame:
+    """(product, order of any status) -> gmv in cents."""
     return (
-        seller_order_value(t, status)
-        .groupBy("seller_id")
-        .agg(F.sum("gmv").alias("gmv"), F.count("*").alias("orders"))
+        t["order_items"]
+        .groupBy("product_id", "order_id")
+        .agg(F.sum(cents(F.col("price"))).alias("gmv"))
     )
 
 
+def of_valid_orders(lines: DataFrame, t: Tables, status: str = DELIVERED) -> DataFrame:
+    return lines.join(valid_orders(t["orders"], status).select("order_id"), "order_id")
+
+
+def seller_order_value(t: Tables, status: str = DELIVERED) -> DataFrame:
+    """(seller, valid order) -> gmv in cents, units."""
+    return of_valid_orders(seller_lines(t), t, status)
+
+
 def product_category(t: Tables, fallback: str | None = UNKNOWN_CATEGORY) -> DataFrame:
     """product -> raw category, English name, and the label shown in reports."""
     translated = t["products"].select("product_id", "product_category_name").join(
@@ -94,21 +102,19 @@ def category_label(english: str, raw: str, fallback: str | None):
     return F.coalesce(*names).alias("category")
 
 
-def category_order_value(t: Tables, status: str = DELIVERED) -> DataFrame:
-    """(raw category, valid order) -> gmv and freight in cents, units, and the counts
-    behind averages.
+def category_lines(t: Tables) -> DataFrame:
+    """(raw category, order of any status) -> gmv and freight in cents, units, and the
+    counts behind averages.
 
     The raw name decides the English one, so translation waits until the categories
     are aggregated (see ``with_labels``).
     """
-    lines = (
+    categories = t["products"].select(
+        "product_id", F.col("product_category_name").alias("raw_category")
+    )
+    return (
         t["order_items"]
-        .join(
-            t["products"].select(
-                "product_id", F.col("product_category_name").alias("raw_category")
-            ),
-            "product_id",
-        )
+        .join(categories, "product_id")
         .groupBy("raw_category", "order_id")
         .agg(
             F.sum(cents(F.col("price"))).alias("gmv"),
@@ -118,7 +124,11 @@ def category_order_value(t: Tables, status: str = DELIVERED) -> DataFrame:
             F.count("freight_value").alias("freighted"),
         )
     )
-    return lines.join(valid_orders(t["orders"], status).select("order_id"), "order_id")
+
+
+def category_order_value(t: Tables, status: str = DELIVERED) -> DataFrame:
+    """``category_lines`` of valid orders."""
+    return of_valid_orders(category_lines(t), t, status)
 
 
 def with_labels(
@@ -142,7 +152,7 @@ def label_orders(t: Tables, status: str = DELIVERED) -> DataFrame:
         "category",
         "order_id",
     )
-    return pairs.join(valid_orders(t["orders"], status).select("order_id"), "order_id")
+    return of_valid_orders(pairs, t, status)
 
 
 def person_orders(t: Tables, status: str = DELIVERED) -> DataFrame:

@@ -5,27 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallworks.functions.expressions import money, money_ratio, month_label, month_start, pct
+from stallworks.functions.expressions import money, money_ratio, month_label, pct
 from stallworks.operators.grain import (
     DELIVERED,
-    category_order_value,
     order_value,
     valid_order_value,
     with_labels,
 )
 from stallworks.operators.shaping import share_of_total, top_k
+from stallworks.operators.totals import category_totals, monthly_sales, sales_totals
 from stallworks.sources.tables import Tables
 
 
-def sales_totals(t: Tables, status: str = DELIVERED) -> DataFrame:
-    """One row of totals, in cents, over valid orders with items."""
-    return valid_order_value(t, status).agg(
-        F.sum("gmv").alias("gmv"),
-        F.sum("freight").alias("freight"),
-        F.count("*").alias("orders"),
-    )
-
-
 def biz_core_kpis(t: Tables, status: str = DELIVERED) -> DataFrame:
     def whole(table: str, key: str):
         return t[table].agg(F.count_distinct(key)).scalar()
@@ -59,15 +50,6 @@ def biz_all_vs_delivered(t: Tables, status: str = DELIVERED) -> DataFrame:
     )
 
 
-def monthly_sales(t: Tables, status: str = DELIVERED) -> DataFrame:
-    """month -> orders, gmv in cents (a bounded table: one row per month)."""
-    return (
-        valid_order_value(t, status)
-        .groupBy(month_start(F.col("order_purchase_timestamp")).alias("month"))
-        .agg(F.count("*").alias("orders"), F.sum("gmv").alias("gmv"))
-    )
-
-
 def biz_monthly_trend(t: Tables, status: str = DELIVERED) -> DataFrame:
     return trend_report(monthly_sales(t, status))
 
@@ -135,11 +117,6 @@ def biz_state_performance(t: Tables, k: int = 15, status: str = DELIVERED) -> Da
 
 def biz_category_structure(t: Tables, k: int = 20, status: str = DELIVERED) -> DataFrame:
     """Orders and GMV per raw category; raw names that share an English name stay apart."""
-    per_category = (
-        category_order_value(t, status)
-        .groupBy("raw_category")
-        .agg(F.count("*").alias("orders"), F.sum("gmv").alias("gmv"))
-    )
     return top_k(
-        with_labels(per_category, t), k, F.desc("gmv"), F.col("category"), F.col("raw_category")
+        with_labels(category_totals(t, status), t), k, F.desc("gmv"), F.col("category"), F.col("raw_category")
     ).select("category", "orders", money(F.col("gmv")).alias("gmv"))

@@ -23,11 +23,10 @@ from stallworks.operators.grain import (
     person_months,
     person_orders,
     seller_order_value,
-    seller_totals,
 )
 from stallworks.operators.ranking import with_running_sum
 from stallworks.operators.shaping import share_of_total
-from stallworks.plans.business import monthly_sales, sales_totals
+from stallworks.operators.totals import monthly_sales, sales_totals, seller_totals
 from stallworks.plans.customers import rfm_bands
 from stallworks.sources.tables import Tables
 

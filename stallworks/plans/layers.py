@@ -1,41 +1,57 @@
-"""Stored summary layers: order facts by month, refreshed month by month.
+"""Stored layers, refreshed month by month: order facts, and additive monthly summaries.
 
-The order grain carries every additive figure the reports need. Distinct people, medians
-and ranks do not add up across summaries and are always taken from the facts.
+Reports over attached layers read the summaries instead of the item lines (see
+``operators.totals``). Distinct people, medians and ranks do not add up across months and
+are always taken from the orders.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallworks.functions.expressions import month_label, month_start, pct, ratio
-from stallworks.operators.grain import delivery, order_score, order_value
-from stallworks.plans.business import trend_report
+from stallworks.operators.grain import (
+    DELIVERED,
+    category_lines,
+    delivery,
+    order_score,
+    order_value,
+    product_lines,
+    seller_lines,
+    valid_orders,
+)
+from stallworks.operators.totals import MONTH
 from stallworks.sources.tables import Tables
-from stallworks.sources.warehouse import MONTH
 
 
-def order_facts(t: Tables) -> DataFrame:
-    """One row per order of any status: amounts, score, delivery, and the purchase month."""
-    placed = t["orders"].select(
+def order_months(t: Tables) -> DataFrame:
+    return t["orders"].select(
         "order_id",
         "customer_id",
         "order_status",
         month_label(month_start(F.col("order_purchase_timestamp"))).alias(MONTH),
     )
+
+
+def order_facts(t: Tables) -> DataFrame:
+    """One row per order of any status: amounts, score, delivery, and the purchase month."""
     served = delivery(t["orders"], need_estimate=False).drop("customer_id", "late_days")
     return (
-        placed.join(order_value(t["order_items"]), "order_id", "left")
+        order_months(t)
+        .join(order_value(t["order_items"]), "order_id", "left")
         .join(order_score(t["order_reviews"]), "order_id", "left")
         .join(served, "order_id", "left")
     )
 
 
-def month_summary(facts: DataFrame) -> DataFrame:
-    """(month, status) -> additive sums."""
+def month_summary(t: Tables) -> DataFrame:
+    """(month, status) -> additive sums, from the stored facts where they are attached."""
+    stored = t.layer("order_facts")
+    facts = order_facts(t) if stored is None else stored
     return facts.groupBy(MONTH, "order_status").agg(
         F.count("*").alias("placed_orders"),
         F.count("units").alias("orders"),
@@ -48,50 +64,73 @@ def month_summary(facts: DataFrame) -> DataFrame:
     )
 
 
-def _store(df: DataFrame, path: str) -> None:
-    (
-        df.hint("rebalance", MONTH)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(MONTH)
-        .parquet(path)
+def by_month(t: Tables, lines: DataFrame, key: str) -> DataFrame:
+    """(key, month, status) -> distinct orders and sums, from (key, order) lines."""
+    measures = [c for c in lines.columns if c not in (key, "order_id")]
+    return (
+        lines.join(order_months(t).drop("customer_id"), "order_id")
+        .groupBy(key, MONTH, "order_status")
+        .agg(F.count("*").alias("orders"), *[F.sum(m).alias(m) for m in measures])
     )
 
 
-def refresh_layers(t: Tables, folder: str, months: Sequence[str] | None = None) -> None:
-    """Write the facts and the summary; with ``months``, replace only those partitions."""
+LAYERS: dict[str, Callable[[Tables], DataFrame]] = {
+    "order_facts": order_facts,
+    "month_summary": month_summary,
+    "seller_months": lambda t: by_month(t, seller_lines(t), "seller_id"),
+    "category_months": lambda t: by_month(t, category_lines(t), "raw_category"),
+    "product_months": lambda t: by_month(t, product_lines(t), "product_id"),
+}
+
+
+def refresh_layers(
+    t: Tables,
+    folder: str,
+    months: Sequence[str] | None = None,
+    names: Sequence[str] = tuple(LAYERS),
+) -> None:
+    """Write the named layers; with ``months``, replace only those partitions.
+
+    On tables stored by month, the named months are all that is read.
+    """
 
     def chosen(df: DataFrame) -> DataFrame:
-        """Only the wanted months; on monthly stored tables this prunes partitions."""
         if months is None or MONTH not in df.columns:
             return df
         return df.filter(F.col(MONTH).isin(list(months)))
 
     pruned = t.replaced(orders=chosen(t["orders"]), order_items=chosen(t["order_items"]))
-    facts = chosen(order_facts(pruned))
-    _store(facts, f"{folder}/order_facts")
-    stored = facts.sparkSession.read.schema(facts.schema).parquet(f"{folder}/order_facts")
-    _store(month_summary(chosen(stored)), f"{folder}/month_summary")
+    for name in names:
+        (
+            chosen(LAYERS[name](pruned))
+            .hint("rebalance", MONTH)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(MONTH)
+            .parquet(f"{folder}/{name}")
+        )
+        if name == "order_facts":
+            pruned = attach_layers(pruned, t["orders"].sparkSession, folder, [name])
 
 
 def read_layer(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}")
+    layer = spark.read.parquet(f"{folder}/{name}")
+    return layer.withColumn(MONTH, F.col(MONTH).cast("string"))
 
 
-def trend_from_summary(summary: DataFrame, status: str = "delivered") -> DataFrame:
-    """The monthly trend, read from the summary alone."""
-    months = (
-        summary.filter((F.col("order_status") == status) & (F.col("orders") > 0))
-        .groupBy(F.to_date(MONTH, "yyyy-MM").alias("month"))
-        .agg(F.sum("orders").alias("orders"), F.sum("gmv").alias("gmv"))
-    )
-    return trend_report(months)
+def attach_layers(
+    t: Tables, spark: SparkSession, folder: str, names: Sequence[str] = tuple(LAYERS)
+) -> Tables:
+    return t.with_layers(**{name: partial(read_layer, spark, folder, name) for name in names})
 
 
-def service_from_summary(summary: DataFrame, status: str = "delivered") -> DataFrame:
-    """Late rate and mean score per month, read from the summary alone."""
+def monthly_service(t: Tables, status: str = DELIVERED) -> DataFrame:
+    """Late rate and mean score per month, read from the stored summary."""
+    summary = t.layer("month_summary")
+    if summary is None:
+        raise KeyError("attach the layer 'month_summary' first")
     return (
-        summary.filter(F.col("order_status") == status)
+        valid_orders(summary, status)
         .groupBy(F.col(MONTH).alias("ym"))
         .agg(*[F.sum(c).alias(c) for c in ("eligible", "late", "score_sum", "scored_orders")])
         .orderBy("ym")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stallworks.functions.expressions import mean, money, pct, ratio
 from stallworks.operators.grain import delivery, order_score, with_labels
+from stallworks.operators.totals import category_totals
 from stallworks.plans import business, customers, logistics, products, reviews, sellers
 from stallworks.sources.tables import Tables
 
@@ -111,7 +112,7 @@ def cohort_matrix(t: Tables, periods: int | None = None) -> DataFrame:
 
 def category_scatter(t: Tables) -> DataFrame:
     """Orders against GMV for every category."""
-    return with_labels(products.category_totals(t), t).select(
+    return with_labels(category_totals(t), t).select(
         "category",
         F.coalesce("raw_category", F.lit("")).alias("raw_category"),
         "orders",

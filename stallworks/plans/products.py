@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallworks.functions.expressions import (
-    cents,
     money,
     money_ratio,
     pct,
@@ -19,25 +18,13 @@ from stallworks.operators.grain import (
     category_order_value,
     order_score,
     product_category,
-    valid_orders,
     with_labels,
 )
 from stallworks.operators.shaping import top_k, top_k_per_group, whole
+from stallworks.operators.totals import category_totals, product_totals
 from stallworks.sources.tables import Tables
 
 
-def category_totals(t: Tables, status: str = DELIVERED) -> DataFrame:
-    """raw category -> orders, gmv, freight, units and value counts (a bounded table)."""
-    return (
-        category_order_value(t, status)
-        .groupBy("raw_category")
-        .agg(
-            F.count("*").alias("orders"),
-            *[F.sum(c).alias(c) for c in ("gmv", "freight", "units", "priced", "freighted")],
-        )
-    )
-
-
 def prod_category_rank(t: Tables, k: int = 20, status: str = DELIVERED) -> DataFrame:
     ranked = with_labels(category_totals(t, status), t).select(
         "*",
@@ -76,15 +63,7 @@ def prod_top_per_category(
     t: Tables, per_group: int = 1, k: int = 15, status: str = DELIVERED
 ) -> DataFrame:
     """Best products of each category by orders, then the largest of those by GMV."""
-    per_product = (
-        t["order_items"]
-        .groupBy("product_id", "order_id")
-        .agg(F.sum(cents(F.col("price"))).alias("gmv"))
-        .join(valid_orders(t["orders"], status).select("order_id"), "order_id")
-        .groupBy("product_id")
-        .agg(F.count("*").alias("orders"), F.sum("gmv").alias("gmv"))
-    )
-    labelled = per_product.join(
+    labelled = product_totals(t, status).join(
         product_category(t, fallback=None).select("product_id", "category"), "product_id"
     )
     best = top_k_per_group(

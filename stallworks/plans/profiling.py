@@ -9,7 +9,7 @@ from stallworks.functions.expressions import mean, money, money_ratio, pct, roun
 from stallworks.operators.checks import stacked
 from stallworks.operators.cleaning import duplicate_reviews
 from stallworks.operators.grain import DELIVERED, valid_orders
-from stallworks.plans.business import sales_totals
+from stallworks.operators.totals import sales_totals
 from stallworks.plans.logistics import scored_deliveries
 from stallworks.plans.quality import ORDER_TIMES
 from stallworks.sources.tables import Tables

@@ -12,10 +12,10 @@ from stallworks.operators.grain import (
     DELIVERED,
     order_score,
     seller_order_value,
-    seller_totals,
 )
 from stallworks.operators.ranking import tier, with_rank, with_running_sum
 from stallworks.operators.shaping import band, by_band, share_of_total, top_k
+from stallworks.operators.totals import seller_totals
 from stallworks.sources.tables import Tables
 
 

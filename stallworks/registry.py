@@ -180,6 +180,18 @@ VARIANTS: dict[str, Plan] = CHECKS | {
 }
 
 
+# Reports answered from one stored layer.
+FROM_LAYERS: dict[str, tuple[Plan, str]] = {
+    "layer_monthly_trend": (business.biz_monthly_trend, "month_summary"),
+    "layer_monthly_service": (layers.monthly_service, "month_summary"),
+    "layer_core_kpis": (business.biz_core_kpis, "month_summary"),
+    "layer_seller_tiers": (sellers.seller_tiers, "seller_months"),
+    "layer_seller_concentration": (sellers.seller_concentration, "seller_months"),
+    "layer_category_rank": (products.prod_category_rank, "category_months"),
+    "layer_top_products": (products.prod_top_per_category, "product_months"),
+}
+
+
 def _plain(df: DataFrame) -> DataFrame:
     """Types every client reads alike: times as text, amounts and ratios as double."""
 
@@ -220,10 +232,10 @@ def _from_warehouse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return business.biz_monthly_trend(warehouse.read_warehouse(spark, folder))
 
 
-def _from_layers(read: Callable[[DataFrame], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _new_folder(spark)
-    layers.refresh_layers(role_tables(spark, sf_dir), folder)
-    return read(layers.read_layer(spark, folder, "month_summary"))
+def _from_layers(plan: Plan, layer: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, t = _new_folder(spark), role_tables(spark, sf_dir)
+    layers.refresh_layers(t, folder, names=[layer])
+    return plan(layers.attach_layers(t, spark, folder, names=[layer]))
 
 
 def _over_roles(plan: Plan, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,6 +256,7 @@ def registered_queries() -> dict[str, Query]:
     )
     found["csv_monthly_trend"] = _from_csv
     found["warehouse_monthly_trend"] = _from_warehouse
-    found["layer_monthly_trend"] = partial(_from_layers, layers.trend_from_summary)
-    found["layer_monthly_service"] = partial(_from_layers, layers.service_from_summary)
+    found |= {
+        name: partial(_from_layers, plan, layer) for name, (plan, layer) in FROM_LAYERS.items()
+    }
     return found

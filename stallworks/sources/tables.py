@@ -15,22 +15,28 @@ class Tables:
     """Up to eight tables by name; a table a query does not touch may be left out.
 
     A table may be given as a function, which is called when a query first asks for it.
+    Stored summary layers may be attached; totals are then read from them.
     """
 
-    def __init__(self, **sources: Source):
+    def __init__(self, layers: dict[str, Source] | None = None, **sources: Source):
         unknown = set(sources) - set(TABLE_NAMES)
         if unknown:
             raise KeyError(f"unknown tables {sorted(unknown)}")
         self._sources = sources
+        self._layers = dict(layers or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in TABLE_NAMES:
             raise KeyError(f"unknown table {name!r}")
         if name not in self._sources:
             raise KeyError(f"table {name!r} was not loaded")
-        source = self._sources[name]
+        return self._resolved(self._sources, name)
+
+    @staticmethod
+    def _resolved(sources: dict[str, Source], name: str) -> DataFrame:
+        source = sources[name]
         if not isinstance(source, DataFrame):
-            source = self._sources[name] = source()
+            source = sources[name] = source()
         return source
 
     def present(self) -> list[str]:
@@ -38,8 +44,15 @@ class Tables:
         return [name for name in TABLE_NAMES if name in self._sources]
 
     def replaced(self, **sources: Source) -> Tables:
+        """The same bundle with some tables exchanged; layers no longer fit and are dropped."""
         return Tables(**(self._sources | sources))
 
+    def with_layers(self, **layers: Source) -> Tables:
+        return Tables(layers=self._layers | layers, **self._sources)
+
+    def layer(self, name: str) -> DataFrame | None:
+        return self._resolved(self._layers, name) if name in self._layers else None
+
     def register_views(self) -> None:
         """Expose the tables to ``spark.sql`` under their own names."""
         for name in self.present():

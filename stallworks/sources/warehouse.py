@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallworks.functions.expressions import month_label, month_start
+from stallworks.operators.totals import MONTH
 from stallworks.sources.formats import format_options
 from stallworks.sources.schemas import (
     FOREIGN_KEYS,
@@ -21,7 +22,6 @@ from stallworks.sources.schemas import (
 )
 from stallworks.sources.tables import Tables
 
-MONTH = "purchase_ym"
 # Tables stored by purchase month; items take the month of their order.
 MONTHLY = ("orders", "order_items")
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from stallworks.__main__ import main
 from stallworks.operators.cleaning import CLEANERS, clean_order_reviews
-from stallworks.plans import layers
+from stallworks.plans import business, derived, layers, pages, products, sellers
 from stallworks.plans.business import biz_core_kpis, biz_monthly_trend
 from stallworks.sources import warehouse
 from stallworks.sources.raw_csv import clean_all, read_raw
@@ -222,12 +222,42 @@ def test_declared_tables(spark, raw, tmp_path):
     spark.sql("DROP DATABASE declared CASCADE")
 
 
+@pytest.fixture(scope="module")
+def layered(spark, small_dir, tmp_path_factory):
+    t, folder = role_tables(spark, small_dir), str(tmp_path_factory.mktemp("layers"))
+    layers.refresh_layers(t, folder)
+    return t, layers.attach_layers(t, spark, folder)
+
+
+@pytest.mark.parametrize(
+    "report",
+    [
+        business.biz_core_kpis, business.biz_monthly_trend, business.biz_monthly_mom,
+        business.biz_category_structure, products.prod_category_rank,
+        products.prod_category_concentration, products.prod_freight_sensitivity,
+        products.prod_top_per_category, sellers.seller_concentration, sellers.seller_tiers,
+        sellers.seller_order_bands, sellers.seller_ranking, derived.tier_by_cum_share,
+        derived.monthly_yoy, derived.freight_ratio, pages.category_scatter,
+    ],
+)
+def test_layers_give_the_same_reports_without_reading_items(layered, report):
+    t, stored = layered
+    assert spark_rows(report(stored)) == spark_rows(report(t))
+    plan = report(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "l_extendedprice" not in plan
+
+
+def _summary(t, spark, folder):
+    return layers.attach_layers(t, spark, folder).layer("month_summary")
+
+
 def test_layers_refresh_only_the_named_months(spark, small_dir, tmp_path):
     t, folder = role_tables(spark, small_dir), str(tmp_path / "layers")
-    layers.refresh_layers(t, folder)
-    before = spark_rows(layers.read_layer(spark, folder, "month_summary"))
-    layers.refresh_layers(t, folder, months=["1996-03", "1996-04"])
-    assert spark_rows(layers.read_layer(spark, folder, "month_summary")) == before
+    names = ["month_summary"]
+    layers.refresh_layers(t, folder, names=names)
+    before = spark_rows(_summary(t, spark, folder))
+    layers.refresh_layers(t, folder, months=["1996-03", "1996-04"], names=names)
+    assert spark_rows(_summary(t, spark, folder)) == before
 
     # A corrected month replaces itself and leaves the others alone.
     march = F.date_format("order_purchase_timestamp", "yyyy-MM") == "1996-03"
@@ -236,21 +266,23 @@ def test_layers_refresh_only_the_named_months(spark, small_dir, tmp_path):
             "order_status", F.when(march, "canceled").otherwise(F.col("order_status"))
         )
     )
-    layers.refresh_layers(corrected, folder, months=["1996-03"])
-    summary = layers.read_layer(spark, folder, "month_summary")
-    march_rows = rows(summary.filter("purchase_ym = '1996-03'"))
-    assert [r["order_status"] for r in march_rows] == ["canceled"]
-    others = spark_rows(summary.filter("purchase_ym <> '1996-03'"))[1]
-    assert len(others) == len(before[1]) - 3
-    trend = {r["ym"] for r in rows(layers.trend_from_summary(summary))}
+    layers.refresh_layers(corrected, folder, months=["1996-03"], names=names)
+    summary = _summary(t, spark, folder)
+    assert [r["order_status"] for r in rows(summary.filter("purchase_ym = '1996-03'"))] == [
+        "canceled"
+    ]
+    assert len(spark_rows(summary.filter("purchase_ym <> '1996-03'"))[1]) == len(before[1]) - 3
+    trend = {r["ym"] for r in rows(biz_monthly_trend(t.with_layers(month_summary=summary)))}
     assert "1996-03" not in trend and "1996-04" in trend
 
 
 def test_layers_from_the_monthly_warehouse_prune_partitions(spark, small_dir, tmp_path):
-    t = role_tables(spark, small_dir)
+    t, folder = role_tables(spark, small_dir), str(tmp_path / "l")
     warehouse.load_warehouse(t, str(tmp_path / "w"))
     stored = warehouse.read_warehouse(spark, str(tmp_path / "w"))
-    layers.refresh_layers(stored, str(tmp_path / "l"), months=["1996-03"])
-    summary = layers.read_layer(spark, str(tmp_path / "l"), "month_summary")
+    layers.refresh_layers(stored, folder, months=["1996-03"])
     month = next(r for r in rows(biz_monthly_trend(t)) if r["ym"] == "1996-03")
-    assert rows(layers.trend_from_summary(summary))[0]["gmv"] == month["gmv"]
+    only = rows(biz_monthly_trend(layers.attach_layers(t, spark, folder)))
+    assert [(r["ym"], r["gmv"], r["orders"]) for r in only] == [
+        ("1996-03", month["gmv"], month["orders"])
+    ]
