@@ -21,11 +21,9 @@ from stallworks.operators.grain import (
     valid_order_value,
     valid_orders,
 )
+from stallworks.sources.schemas import MONTH
 from stallworks.sources.tables import Tables
 
-# Month of purchase as stored in partition folders, yyyy-MM.
-MONTH = "purchase_ym"
-
 CATEGORY_MEASURES = ("gmv", "freight", "units", "priced", "freighted")
 
 

@@ -24,7 +24,7 @@ from stallworks.operators.grain import (
     seller_lines,
     valid_orders,
 )
-from stallworks.operators.totals import MONTH
+from stallworks.sources.schemas import MONTH
 from stallworks.sources.tables import Tables
 
 

@@ -133,6 +133,9 @@ FOREIGN_KEYS: tuple[Reference, ...] = (
     Reference("order_reviews", "order_id", "orders"),
 )
 
+# Tables stored by month carry the month of purchase, yyyy-MM, as their partition column.
+MONTH = "purchase_ym"
+
 # Lookups that the database would serve by a secondary index; here they choose
 # the clustering columns of the written tables.
 LOOKUP_COLUMNS: dict[str, tuple[str, ...]] = {

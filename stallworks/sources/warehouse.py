@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallworks.functions.expressions import month_label, month_start
-from stallworks.operators.totals import MONTH
 from stallworks.sources.formats import format_options
 from stallworks.sources.schemas import (
     FOREIGN_KEYS,
     LOOKUP_COLUMNS,
+    MONTH,
     PRIMARY_KEYS,
     SCHEMAS,
     TABLE_NAMES,
