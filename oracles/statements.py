@@ -798,6 +798,9 @@ GRAINS = {
 LAYERS = {
     "csv_monthly_trend": BUSINESS["biz_monthly_trend"],
     "warehouse_monthly_trend": BUSINESS["biz_monthly_trend"],
+    "warehouse_category_rank": PRODUCTS["prod_category_rank"],
+    "warehouse_seller_concentration": SELLERS["seller_concentration"],
+    "warehouse_category_score": REVIEWS["rev_category_score"],
     "layer_monthly_trend": BUSINESS["biz_monthly_trend"],
     "layer_core_kpis": BUSINESS["biz_core_kpis"],
     "layer_seller_tiers": SELLERS["seller_tiers"],

@@ -8,6 +8,8 @@ leaves each task as a single row instead of travelling to one reducer.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,31 +57,46 @@ def distinct_grain(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys).distinct()
 
 
-def seller_lines(t: Tables) -> DataFrame:
-    """(seller, order of any status) -> gmv in cents, units."""
-    return (
-        t["order_items"]
-        .groupBy("seller_id", "order_id")
-        .agg(F.sum(cents(F.col("price"))).alias("gmv"), F.count("*").alias("units"))
-    )
+def of_valid_orders(lines: DataFrame, t: Tables, status: str = DELIVERED) -> DataFrame:
+    return lines.join(valid_orders(t["orders"], status).select("order_id"), "order_id")
 
 
-def product_lines(t: Tables) -> DataFrame:
-    """(product, order of any status) -> gmv in cents."""
-    return (
-        t["order_items"]
-        .groupBy("product_id", "order_id")
-        .agg(F.sum(cents(F.col("price"))).alias("gmv"))
+def valid_lines(
+    t: Tables, reduce: Callable[[DataFrame], DataFrame], status: str = DELIVERED
+) -> DataFrame:
+    """Items of valid orders, reduced to (some key, order).
+
+    Stored items carry the status of their order and are filtered in the scan. Raw items
+    are reduced first and then joined with the valid orders.
+    """
+    items = t["order_items"]
+    if "order_status" in items.columns:
+        return reduce(valid_orders(items, status))
+    return of_valid_orders(reduce(items), t, status)
+
+
+def seller_lines(items: DataFrame) -> DataFrame:
+    """(seller, order) -> gmv in cents, units."""
+    return items.groupBy("seller_id", "order_id").agg(
+        F.sum(cents(F.col("price"))).alias("gmv"), F.count("*").alias("units")
     )
 
 
-def of_valid_orders(lines: DataFrame, t: Tables, status: str = DELIVERED) -> DataFrame:
-    return lines.join(valid_orders(t["orders"], status).select("order_id"), "order_id")
+def product_lines(items: DataFrame) -> DataFrame:
+    """(product, order) -> gmv in cents."""
+    return items.groupBy("product_id", "order_id").agg(
+        F.sum(cents(F.col("price"))).alias("gmv")
+    )
 
 
 def seller_order_value(t: Tables, status: str = DELIVERED) -> DataFrame:
     """(seller, valid order) -> gmv in cents, units."""
-    return of_valid_orders(seller_lines(t), t, status)
+    return valid_lines(t, seller_lines, status)
+
+
+def product_order_value(t: Tables, status: str = DELIVERED) -> DataFrame:
+    """(product, valid order) -> gmv in cents."""
+    return valid_lines(t, product_lines, status)
 
 
 def product_category(t: Tables, fallback: str | None = UNKNOWN_CATEGORY) -> DataFrame:
@@ -102,19 +119,18 @@ def category_label(english: str, raw: str, fallback: str | None):
     return F.coalesce(*names).alias("category")
 
 
-def category_lines(t: Tables) -> DataFrame:
-    """(raw category, order of any status) -> gmv and freight in cents, units, and the
-    counts behind averages.
+def category_lines(items: DataFrame, products: DataFrame) -> DataFrame:
+    """(raw category, order) -> gmv and freight in cents, units, and the counts behind
+    averages.
 
     The raw name decides the English one, so translation waits until the categories
     are aggregated (see ``with_labels``).
     """
-    categories = t["products"].select(
+    categories = products.select(
         "product_id", F.col("product_category_name").alias("raw_category")
     )
     return (
-        t["order_items"]
-        .join(categories, "product_id")
+        items.join(categories, "product_id")
         .groupBy("raw_category", "order_id")
         .agg(
             F.sum(cents(F.col("price"))).alias("gmv"),
@@ -128,7 +144,7 @@ def category_lines(t: Tables) -> DataFrame:
 
 def category_order_value(t: Tables, status: str = DELIVERED) -> DataFrame:
     """``category_lines`` of valid orders."""
-    return of_valid_orders(category_lines(t), t, status)
+    return valid_lines(t, lambda items: category_lines(items, t["products"]), status)
 
 
 def with_labels(
@@ -147,12 +163,12 @@ def with_labels(
 def label_orders(t: Tables, status: str = DELIVERED) -> DataFrame:
     """Distinct (category label, valid order): two raw names may share a label."""
     labels = product_category(t).select("product_id", "category")
-    pairs = distinct_grain(
-        t["order_items"].select("order_id", "product_id").join(labels, "product_id"),
-        "category",
-        "order_id",
-    )
-    return of_valid_orders(pairs, t, status)
+
+    def pairs(items: DataFrame) -> DataFrame:
+        labelled = items.select("order_id", "product_id").join(labels, "product_id")
+        return distinct_grain(labelled, "category", "order_id")
+
+    return valid_lines(t, pairs, status)
 
 
 def person_orders(t: Tables, status: str = DELIVERED) -> DataFrame:

@@ -15,8 +15,7 @@ from stallworks.functions.expressions import month_start
 from stallworks.operators.grain import (
     DELIVERED,
     category_order_value,
-    of_valid_orders,
-    product_lines,
+    product_order_value,
     seller_order_value,
     valid_order_value,
     valid_orders,
@@ -92,7 +91,7 @@ def product_totals(t: Tables, status: str = DELIVERED) -> DataFrame:
     if stored is not None:
         return _summed(valid_orders(stored, status), "product_id", "orders", "gmv")
     return (
-        of_valid_orders(product_lines(t), t, status)
+        product_order_value(t, status)
         .groupBy("product_id")
         .agg(F.count("*").alias("orders"), F.sum("gmv").alias("gmv"))
     )

@@ -77,9 +77,11 @@ def by_month(t: Tables, lines: DataFrame, key: str) -> DataFrame:
 LAYERS: dict[str, Callable[[Tables], DataFrame]] = {
     "order_facts": order_facts,
     "month_summary": month_summary,
-    "seller_months": lambda t: by_month(t, seller_lines(t), "seller_id"),
-    "category_months": lambda t: by_month(t, category_lines(t), "raw_category"),
-    "product_months": lambda t: by_month(t, product_lines(t), "product_id"),
+    "seller_months": lambda t: by_month(t, seller_lines(t["order_items"]), "seller_id"),
+    "category_months": lambda t: by_month(
+        t, category_lines(t["order_items"], t["products"]), "raw_category"
+    ),
+    "product_months": lambda t: by_month(t, product_lines(t["order_items"]), "product_id"),
 }
 
 

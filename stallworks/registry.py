@@ -180,6 +180,16 @@ VARIANTS: dict[str, Plan] = CHECKS | {
 }
 
 
+# Reports answered from tables stored by month, and the tables they need.
+SALES_TABLES = ("orders", "order_items")
+CATEGORY_TABLES = (*SALES_TABLES, "products", "category_name")
+FROM_WAREHOUSE: dict[str, tuple[Plan, tuple[str, ...]]] = {
+    "warehouse_monthly_trend": (business.biz_monthly_trend, SALES_TABLES),
+    "warehouse_category_rank": (products.prod_category_rank, CATEGORY_TABLES),
+    "warehouse_seller_concentration": (sellers.seller_concentration, SALES_TABLES),
+    "warehouse_category_score": (reviews.rev_category_score, (*CATEGORY_TABLES, "order_reviews")),
+}
+
 # Reports answered from one stored layer.
 FROM_LAYERS: dict[str, tuple[Plan, str]] = {
     "layer_monthly_trend": (business.biz_monthly_trend, "month_summary"),
@@ -226,10 +236,12 @@ def _from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return business.biz_monthly_trend(warehouse.read_clean(spark, f"{folder}/clean").tables)
 
 
-def _from_warehouse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _new_folder(spark)
-    warehouse.load_warehouse(role_tables(spark, sf_dir), folder)
-    return business.biz_monthly_trend(warehouse.read_warehouse(spark, folder))
+def _from_warehouse(
+    plan: Plan, names: tuple[str, ...], spark: SparkSession, sf_dir: str
+) -> DataFrame:
+    folder, t = _new_folder(spark), role_tables(spark, sf_dir)
+    warehouse.load_warehouse(Tables(**{name: t[name] for name in names}), folder)
+    return plan(warehouse.read_warehouse(spark, folder))
 
 
 def _from_layers(plan: Plan, layer: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +267,10 @@ def registered_queries() -> dict[str, Query]:
         raw_tables(spark, sf_dir)["order_reviews"]
     )
     found["csv_monthly_trend"] = _from_csv
-    found["warehouse_monthly_trend"] = _from_warehouse
+    found |= {
+        name: partial(_from_warehouse, plan, needed)
+        for name, (plan, needed) in FROM_WAREHOUSE.items()
+    }
     found |= {
         name: partial(_from_layers, plan, layer) for name, (plan, layer) in FROM_LAYERS.items()
     }

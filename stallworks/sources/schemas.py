@@ -136,8 +136,14 @@ FOREIGN_KEYS: tuple[Reference, ...] = (
 # Tables stored by month carry the month of purchase, yyyy-MM, as their partition column.
 MONTH = "purchase_ym"
 
-# Lookups that the database would serve by a secondary index; here they choose
-# the clustering columns of the written tables.
+# Columns that stored tables carry beyond the contract. Items copy the status of their
+# order, so that reports on valid items need no join; both tables are written together.
+STORED_EXTRAS: dict[str, tuple[str, ...]] = {
+    "orders": (MONTH,),
+    "order_items": ("order_status", MONTH),
+}
+
+# Lookups that a database would serve by a secondary index; declared as table properties.
 LOOKUP_COLUMNS: dict[str, tuple[str, ...]] = {
     "sellers": ("seller_state",),
     "products": ("product_category_name",),

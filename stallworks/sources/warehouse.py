@@ -17,15 +17,12 @@ from stallworks.sources.schemas import (
     MONTH,
     PRIMARY_KEYS,
     SCHEMAS,
+    STORED_EXTRAS,
     TABLE_NAMES,
     nullable_schema,
 )
 from stallworks.sources.tables import Tables
 
-# Tables stored by purchase month; items take the month of their order.
-MONTHLY = ("orders", "order_items")
-
-
 @dataclass(frozen=True)
 class Loaded:
     tables: Tables
@@ -62,9 +59,8 @@ def create_statements(database: str) -> list[str]:
             f"{f.name} {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}"
             for f in SCHEMAS[name].fields
         ]
-        partitioning = f" PARTITIONED BY ({MONTH})" if name in MONTHLY else ""
-        if name in MONTHLY:
-            columns.append(f"{MONTH} string")
+        columns += [f"{extra} string" for extra in STORED_EXTRAS.get(name, ())]
+        partitioning = f" PARTITIONED BY ({MONTH})" if name in STORED_EXTRAS else ""
         properties = {"primary_key": ",".join(PRIMARY_KEYS[name])}
         for ref in FOREIGN_KEYS:
             if ref.child == name:
@@ -85,26 +81,32 @@ def create_schema(spark: SparkSession, database: str) -> None:
         spark.sql(statement)
 
 
-def with_month(t: Tables, name: str) -> DataFrame:
-    """A monthly table with its partition column."""
-    months = t["orders"].select(
-        "order_id", month_label(month_start(F.col("order_purchase_timestamp"))).alias(MONTH)
-    )
-    return t[name].join(months, "order_id", "left")
+def with_extras(t: Tables, name: str) -> DataFrame:
+    """A table as it is stored: contract columns, then what it copies from its order."""
+    extras = STORED_EXTRAS.get(name, ())
+    month = month_label(month_start(F.col("order_purchase_timestamp"))).alias(MONTH)
+    contract = t[name].drop(*[c for c in extras if c not in SCHEMAS[name].names])
+    if name == "orders":
+        return contract.select("*", month)
+    if extras:
+        of_order = t["orders"].select("order_id", "order_status", month)
+        return contract.join(of_order, "order_id", "left")
+    return contract
 
 
 def load_warehouse(t: Tables, folder: str) -> dict[str, str]:
     """Write every present table to Parquet and return the paths.
 
     A rerun replaces what it wrote, month by month for the monthly tables. The rebalance
-    hint gathers a month into few files and splits a month too large for one task.
+    hint gathers a month into few files and splits a month too large for one task. Items
+    copy the status of their order: load them again whenever orders change.
     """
     paths = {}
     for name in t.present():
         path = f"{folder}/{name}"
-        if name in MONTHLY:
+        if name in STORED_EXTRAS:
             (
-                with_month(t, name)
+                with_extras(t, name)
                 .hint("rebalance", MONTH)
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
@@ -120,12 +122,10 @@ def load_warehouse(t: Tables, folder: str) -> dict[str, str]:
 def load_database(t: Tables, database: str) -> None:
     """Fill the declared tables; a rerun replaces what it wrote, month by month."""
     for name in t.present():
-        monthly = name in MONTHLY
-        table = (with_month(t, name) if monthly else t[name]).select(
-            *SCHEMAS[name].names, *([MONTH] if monthly else [])
-        )
+        extras = STORED_EXTRAS.get(name, ())
+        table = with_extras(t, name).select(*SCHEMAS[name].names, *extras)
         (
-            (table.hint("rebalance", MONTH) if monthly else table)
+            (table.hint("rebalance", MONTH) if extras else table)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .insertInto(f"{database}.{name}")
@@ -141,7 +141,9 @@ def read_warehouse(spark: SparkSession, folder: str) -> Tables:
 
     def stored(name: str) -> DataFrame:
         table = spark.read.parquet(f"{folder}/{name}")
-        return table.withColumn(MONTH, F.col(MONTH).cast("string")) if name in MONTHLY else table
+        if name not in STORED_EXTRAS:
+            return table
+        return table.withColumn(MONTH, F.col(MONTH).cast("string"))
 
     return Tables(**{name: partial(stored, name) for name in TABLE_NAMES})
 

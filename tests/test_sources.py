@@ -11,12 +11,12 @@ from pyspark.sql import types as T
 
 from stallworks.__main__ import main
 from stallworks.operators.cleaning import CLEANERS, clean_order_reviews
-from stallworks.plans import business, derived, layers, pages, products, sellers
+from stallworks.plans import business, derived, layers, pages, products, reviews, sellers
 from stallworks.plans.business import biz_core_kpis, biz_monthly_trend
 from stallworks.sources import warehouse
 from stallworks.sources.raw_csv import clean_all, read_raw
 from stallworks.sources.roles import role_tables
-from stallworks.sources.schemas import SCHEMAS, TABLE_NAMES
+from stallworks.sources.schemas import MONTH, SCHEMAS, TABLE_NAMES
 from tests.compare import spark_rows
 from tests.shop import rows
 
@@ -187,14 +187,14 @@ def test_loading_twice_changes_nothing(spark, small_dir, tmp_path):
     for name in TABLE_NAMES:
         assert stored[name].count() == t[name].count(), name
     assert spark_rows(biz_monthly_trend(stored)) == spark_rows(biz_monthly_trend(t))
-    pruned = stored["orders"].filter(F.col(warehouse.MONTH) == "1996-03")
+    pruned = stored["orders"].filter(F.col(MONTH) == "1996-03")
     plan = pruned._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(purchase_ym" in plan
 
 
 def test_months_are_gathered_and_split_by_a_rebalance(spark, small_dir):
     t = role_tables(spark, small_dir)
-    plan = warehouse.with_month(t, "orders").hint("rebalance", warehouse.MONTH)
+    plan = warehouse.with_extras(t, "orders").hint("rebalance", MONTH)
     assert "REBALANCE_PARTITIONS_BY_COL" in plan._jdf.queryExecution().executedPlan().toString()
 
 
@@ -222,6 +222,29 @@ def test_declared_tables(spark, raw, tmp_path):
     spark.sql("DROP DATABASE declared CASCADE")
 
 
+@pytest.fixture(scope="module")
+def monthly(spark, small_dir, tmp_path_factory):
+    t, folder = role_tables(spark, small_dir), str(tmp_path_factory.mktemp("monthly"))
+    warehouse.load_warehouse(t, folder)
+    return t, warehouse.read_warehouse(spark, folder)
+
+
+@pytest.mark.parametrize(
+    "report",
+    [
+        business.biz_category_structure, products.prod_category_score,
+        products.prod_top_per_category, sellers.seller_concentration,
+        sellers.seller_order_bands, derived.category_new_buyers, derived.seller_health,
+        reviews.rev_category_score, pages.category_scatter, sellers.seller_quality_risk,
+    ],
+)
+def test_stored_items_need_no_order_join(monthly, report):
+    t, stored = monthly
+    assert spark_rows(report(stored)) == spark_rows(report(t))
+    plan = report(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(order_status,delivered)" in plan
+
+
 @pytest.fixture(scope="module")
 def layered(spark, small_dir, tmp_path_factory):
     t, folder = role_tables(spark, small_dir), str(tmp_path_factory.mktemp("layers"))
