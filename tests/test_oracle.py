@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as contract
+from oracles.statements import all_statements
+from stallworks.registry import registered_queries
 from tests.compare import connect, difference
 
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = registered_queries()
+SQL = all_statements()
 
 
 def test_every_query_has_sql_and_every_sql_a_query():
