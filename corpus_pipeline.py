@@ -5,31 +5,59 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stallworks.llm.decontamination import decontaminated
 from stallworks.llm.mixing import fair_mix
+from stallworks.llm.near_dedup import deduplicated
+from stallworks.llm.sampling import fold
+from stallworks.llm.substring_dedup import without_repeats
+from stallworks.llm.toxicity import toxicity_scores
 from stallworks.operators.ranking import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier does not reject; learned as in its query."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(F.col("doc_id"), 4) != 2)
+    scored = toxicity_scores(docs, labels, keep_text=True)
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with five-word shingles at 0.8 similarity or more."""
+    return deduplicated(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without words that an earlier document has in the same 50-word window."""
+    cut = without_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return cut
+    return cut.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars"))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with how often it takes them."""
+    """Documents that the mix takes, with ``times`` each is taken."""
     return fair_mix(docs).where("times > 0")
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", reject_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("substring deduplication", cut_repeats),
     ("benchmark decontamination", decontaminate),
     ("mixing sources", mix_sources),
 ]
 
-# The toxicity stage learns a model, which SQL cannot express; tests compare each stage
-# with a brute-force version instead.
+# The toxicity stage learns a model, which SQL cannot express; tests compare the stages
+# with brute-force versions instead.
 ORACLE_SQL = None
 
 

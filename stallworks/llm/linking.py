@@ -21,34 +21,36 @@ Verify = Callable[[DataFrame], DataFrame]
 
 
 def linked_components(
-    members: DataFrame,
-    prepare: Callable[[DataFrame], Verify],
-    filters: str = "true",
-    home: str = "true",
+    members: DataFrame, prepare: Callable[[DataFrame], Verify], filters: str, home: str = "true"
 ) -> DataFrame:
     """``(id, component)`` of every id that is linked to another.
 
-    ``members`` holds ``(bucket, id, ...)`` of all buckets. ``prepare`` is given the ids that share
-    a bucket with another and returns the check of pairs of them. ``filters`` is a condition over the columns of two rows ``x`` and ``y``
-    that every linked pair meets. ``home`` tells rows that may lead a bucket and of which one
-    is in every pair (as a condition over one row, whose columns are unqualified).
+    ``members`` holds ``(bucket, id, ...)`` of all buckets. ``prepare`` is given the ids that may
+    be in a pair and returns the check of pairs of them. ``filters`` is a condition over the
+    columns of two rows ``x`` and ``y`` that linked pairs meet and others mostly fail. ``home``
+    is a condition over one row ``x``: only such rows lead, and one of every pair must be one.
     """
-    homes = members.withColumn("is_home", F.expr(home))
+    rest = [c for c in members.columns if c != "bucket"]
+    rows = members.select("bucket", F.struct(*rest).alias("x"))
     leaders = (
-        homes.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.min(F.when(F.col("is_home"), F.col("id"))).alias("lead"))
-        .where("n > 1 AND lead IS NOT NULL")
-        .select("bucket", "lead")
+        rows.groupBy("bucket")
+        .agg(F.count("*").alias("n"), F.min(F.when(F.expr(home), F.col("x"))).alias("y"))
+        .where("n > 1 AND y IS NOT NULL")
+        .select("bucket", "y")
+    )
+    shared = written(rows.join(leaders, "bucket"))
+    verify = prepare(shared.select("x.id").distinct())
+    stars = shared.where("x.id <> y.id").where(filters)
+    first = written(
+        verify(stars.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     )
-    shared = written(homes.join(leaders, "bucket"))
-    verify = prepare(shared.select("id").distinct())
-    stars = shared.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-    first = written(verify(stars.distinct()))
     found = components(first)
 
+    named = found.withColumnRenamed("id", "__id")
     placed = written(
-        shared.join(found.withColumnsRenamed({"id": "__id"}), F.col("id") == F.col("__id"), "left")
-        .withColumn("component", F.coalesce("component", "id"))
+        shared.select("bucket", "x", F.col("y.id").alias("lead"))
+        .join(named, F.col("x.id") == F.col("__id"), "left")
+        .withColumn("component", F.coalesce("component", "x.id"))
         .drop("__id")
     )
     mixed = (
@@ -57,17 +59,18 @@ def linked_components(
         .where("least < most")
         .select("bucket")
     )
-    open_rows = written(placed.join(mixed, "bucket", "left_semi"))
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    apart = x.join(
-        y,
-        (F.col("x.bucket") == F.col("y.bucket"))
-        & F.expr("x.id < y.id AND x.component <> y.component AND (x.is_home OR y.is_home)")
-        # Pairs with the leader have been compared.
-        & F.expr("x.id <> x.lead AND y.id <> y.lead")
-        & F.expr(filters),
-    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    second = written(verify(apart.distinct()))
+    # Pairs with the leader have been compared.
+    left = written(
+        placed.where("x.id <> lead").drop("lead").join(mixed, "bucket", "left_semi")
+    )
+    right = left.withColumnsRenamed({"x": "y", "component": "other"})
+    one_home = F.expr(home) | F.expr(home.replace("x.", "y."))
+    apart = left.join(right, "bucket").where(
+        F.expr("x.id < y.id AND component <> other") & one_home & F.expr(filters)
+    )
+    second = written(
+        verify(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    )
     if second.isEmpty():
         return found
     return components(first.unionAll(second))

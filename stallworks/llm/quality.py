@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stallworks.llm.sampling import bounded_sample
+from stallworks.llm.sampling import labelled_sample
 from stallworks.llm.text import text_blocks
 
 FILTERS = 16
@@ -158,11 +158,10 @@ def fit(texts: list[bytes], good: np.ndarray, epochs: int = EPOCHS, seed: int =
     return w
 
 
-def fitted(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Weights | float:
+def fitted(texts: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Weights | float:
     """Weights, or a constant probability where there is nothing to tell apart."""
-    known = labelled.where("quality IS NOT NULL").select("doc_id", "text", "quality")
     rows = (
-        bounded_sample(known, "doc_id", fit_rows)
+        labelled_sample(texts, labels, "quality", fit_rows)
         .select(F.xxhash64("doc_id").alias("k"), "text", "quality")
         .toPandas()
         .sort_values(["k", "quality"], kind="stable")
@@ -191,12 +190,12 @@ def _scored(model, kept: list[str]):
     return run
 
 
-def quality_scores(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Columns of ``docs`` but ``text``, with ``score`` (probability of good) and ``predicted``.
 
-    ``labelled`` has ``doc_id``, ``text`` and ``quality``; only it is learned from.
+    ``labels`` has ``doc_id`` and ``quality``; only its rows that are in ``docs`` are learned from.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fitted(labelled, fit_rows))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, fit_rows))
     kept = [c for c in docs.columns if c not in ("text", "score", "predicted", "__text")]
     schema = T.StructType(
         [docs.schema[c] for c in kept]

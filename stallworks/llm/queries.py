@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from stallworks.llm import statements
 from stallworks.llm.decontamination import overlaps
+from stallworks.llm.embedding_dedup import embedding_duplicates
+from stallworks.llm.language_id import identified
 from stallworks.llm.mixing import fair_mix
+from stallworks.llm.near_dedup import near_duplicates
+from stallworks.llm.quality import quality_scores
+from stallworks.llm.sampling import fold
+from stallworks.llm.substring_dedup import removed_spans
 from stallworks.llm.token_counts import model_path, token_counts
+from stallworks.llm.toxicity import toxicity_scores
 from stallworks.llm.url_filter import url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +40,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 4) != 2)
+    scored = toxicity_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return scored.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = fair_mix(_read(spark, sf_dir, "documents"))
     taken = (F.col("times") * F.col("size")).alias("taken")
@@ -44,18 +57,49 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, model_path())
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labelled = docs.where(fold(F.col("doc_id"), 4) != 2)
+    found = identified(docs.select("doc_id", "text"), labelled)
+    return found.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
+    scored = quality_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return scored.withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_verdicts(_read(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_spans(_read(spark, sf_dir, "documents"))
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_decontamination,
+        op2_toxicity,
         op3_mixing,
         op4_token_counts,
+        op5_near_duplicates,
+        op6_language,
+        op7_quality,
         op8_url_filter,
+        op9_substrings,
+        op10_embeddings,
     )
 }
 

@@ -23,3 +23,14 @@ def bounded_sample(rows: DataFrame, key: str, about: int) -> DataFrame:
         return rows
     share = int(_SCALE * about / total)
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(_SCALE)) < share)
+
+
+def labelled_sample(texts: DataFrame, labels: DataFrame, value: str, about: int) -> DataFrame:
+    """``(doc_id, text, value)`` of a bounded sample of the labelled rows.
+
+    Labels are sampled before texts are joined; the sample is small by its bound, so texts
+    are filtered where they are read.
+    """
+    known = labels.where(F.col(value).isNotNull()).select("doc_id", value)
+    picked = bounded_sample(known, "doc_id", about)
+    return texts.select("doc_id", "text").join(F.broadcast(picked), "doc_id")

@@ -139,8 +139,88 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
 FROM pages LEFT JOIN grouped USING (url) LEFT JOIN decided USING (component)
 """
 
+# Sets of 2-word shingles, links by counting shared ones, components by reachability.
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w
+    FROM documents
+), shingle AS (
+    SELECT DISTINCT doc_id, w[pos] || ' ' || w[pos + 1] AS s
+    FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS pos FROM doc)
+    UNION SELECT doc_id, w[1] FROM doc WHERE len(w) = 1
+), size AS (
+    SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), shared AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+    FROM shingle AS x JOIN shingle AS y ON x.s = y.s AND x.doc_id < y.doc_id
+    GROUP BY x.doc_id, y.doc_id
+), link AS (
+    SELECT a, b FROM shared JOIN size AS x ON x.doc_id = a JOIN size AS y ON y.doc_id = b
+    WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+), both_ways AS (
+    SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+    SELECT a AS node, a AS other FROM both_ways
+    UNION SELECT node, b FROM reach JOIN both_ways ON other = a
+), component AS (
+    SELECT node, min(other) AS least FROM reach GROUP BY node
+)
+SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, doc.doc_id) AS component_id,
+    doc.doc_id = coalesce(least, doc.doc_id) AS kept
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN component ON node = doc.doc_id
+"""
+
+SUBSTRINGS = rf"""
+WITH doc AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents
+), block AS (
+    SELECT doc_id, pos, array_to_string(list_slice(w, pos, pos + 49), ' ') AS words
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS pos FROM doc)
+), repeated AS (
+    SELECT doc_id, pos FROM (
+        SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY words) AS least FROM block)
+    WHERE least < doc_id
+), word AS (
+    SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM doc
+), judged AS (
+    SELECT word.doc_id, word.pos, word, coalesce(max(repeated.pos) OVER (
+        PARTITION BY word.doc_id ORDER BY word.pos) > word.pos - 50, false) AS gone
+    FROM word LEFT JOIN repeated ON word.doc_id = repeated.doc_id AND word.pos = repeated.pos
+), kept AS (
+    SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+        coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS text
+    FROM judged GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+    sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""
+
+EMBEDDINGS = """
+WITH RECURSIVE vector AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), link AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM vector AS x JOIN vector AS y
+    ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.v, y.v) >= 0.9
+), reach AS (
+    SELECT a AS node, a AS other FROM link
+    UNION SELECT node, b FROM reach JOIN link ON other = a
+), component AS (
+    SELECT node, min(other) AS least FROM reach GROUP BY node
+), degree AS (
+    SELECT a, count(*) AS n FROM link GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least, vec_id) AS component_id,
+    vec_id = coalesce(least, vec_id) AS kept
+FROM vector LEFT JOIN degree ON a = vec_id LEFT JOIN component ON node = vec_id
+"""
+
 STATEMENTS: dict[str, str] = {
     "op1_decontamination": DECONTAMINATION,
     "op3_mixing": MIXING,
+    "op5_near_duplicates": NEAR_DUPLICATES,
     "op8_url_filter": URL_FILTER,
+    "op9_substrings": SUBSTRINGS,
+    "op10_embeddings": EMBEDDINGS,
 }

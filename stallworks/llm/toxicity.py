@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stallworks.llm.sampling import bounded_sample
+from stallworks.llm.sampling import labelled_sample
 from stallworks.llm.text import NOT_LETTER, lists, mix, span_hashes, spans, text_blocks
 
 FIT_ROWS = 8_000
@@ -178,10 +178,9 @@ def fit(ids: np.ndarray, rows: np.ndarray, toxic: np.ndarray) -> Model:
     return Model(features[order], weights[order], intercept)
 
 
-def fitted(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    known = labelled.where("toxic IS NOT NULL").select("doc_id", "text", "toxic")
+def fitted(texts: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     sample = (
-        bounded_sample(known, "doc_id", fit_rows)
+        labelled_sample(texts, labels, "toxic", fit_rows)
         .select(F.xxhash64("doc_id").alias("k"), "text", F.col("toxic").cast("int"))
         .mapInArrow(_sampled, "k long, toxic int, ids array<int>")
         .toPandas()
@@ -231,14 +230,14 @@ def _scored(model, kept: list[str]):
 
 
 def toxicity_scores(
-    docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, keep_text: bool = False
+    docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep_text: bool = False
 ) -> DataFrame:
     """Columns of ``docs`` with ``score`` (probability of toxic) and ``predicted``.
 
-    ``labelled`` has ``doc_id``, ``text`` and ``toxic``; only it is learned from. ``text`` is
-    returned only if asked for.
+    ``labels`` has ``doc_id`` and ``toxic``; only its rows that are in ``docs`` are learned
+    from. ``text`` is returned only if asked for.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fitted(labelled, fit_rows))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, fit_rows))
     replaced = ("score", "predicted", "__text", *(() if keep_text else ("text",)))
     kept = [c for c in docs.columns if c not in replaced]
     schema = T.StructType(
