@@ -82,18 +82,47 @@ ROLES: dict[str, str] = {
 }
 
 
-def with_roles(statement: str) -> str:
+# Orders after a month has been emptied and some orders have moved to another month.
+CHANGED_ROLES = ROLES | {
+    "r_orders": f"""
+        SELECT * REPLACE (CASE WHEN order_id % 10 = 4 THEN bought + to_days(45) ELSE bought END
+            AS bought)
+        FROM ({ROLES['r_orders']}) WHERE strftime(bought, '%Y-%m') <> '1995-01'""",
+}
+
+# Tables that break every rule the checks know.
+DIRTY_ROLES = ROLES | {
+    "r_customers": f"SELECT * FROM ({ROLES['r_customers']}) WHERE customer_id % 11 <> 5",
+    "r_orders": f"""
+        SELECT * REPLACE (CASE WHEN order_id % 23 <> 7 THEN customer_id END AS customer_id)
+        FROM ({ROLES['r_orders']}) WHERE order_id % 29 <> 8""",
+    "r_items": f"""
+        SELECT * REPLACE (CASE WHEN order_id % 13 = 2 THEN -price ELSE price END AS price,
+            CASE WHEN order_id % 19 <> 3 THEN order_item_id END AS order_item_id,
+            CASE WHEN order_id % 17 = 1 THEN -1 ELSE freight END AS freight)
+        FROM ({ROLES['r_items']})""",
+    "r_payments": f"""
+        SELECT * REPLACE (CASE WHEN order_id % 31 = 4 THEN -payment_value ELSE payment_value END
+            AS payment_value)
+        FROM ({ROLES['r_payments']})""",
+    "r_reviews": f"""
+        SELECT * REPLACE (CASE WHEN order_id % 7 = 6 THEN 9 ELSE stars END AS stars)
+        FROM ({ROLES['r_reviews']})""",
+}
+
+
+def with_roles(statement: str, roles: dict[str, str] = ROLES) -> str:
     """Prefix a statement with the views it names, and those that they name in turn."""
     needed: list[str] = []
 
     def visit(text: str) -> None:
-        for name, body in ROLES.items():
+        for name, body in roles.items():
             if name not in needed and re.search(rf"\b{name}\b", text):
                 visit(body)
                 needed.append(name)
 
     visit(statement)
-    views = ",\n".join(f"{name} AS ({ROLES[name]})" for name in needed)
+    views = ",\n".join(f"{name} AS ({roles[name]})" for name in needed)
     body = statement.strip()
     if not views:
         return body

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.roles import with_roles
+from oracles.roles import CHANGED_ROLES, DIRTY_ROLES, with_roles
 
 
 def rounded(value: str, digits: int) -> str:
@@ -213,9 +213,9 @@ RFM = f"""
     FROM bought_by b LEFT JOIN r_items i ON i.order_id = b.order_id GROUP BY b.person"""
 RFM_BANDS = f"""
     SELECT person, r, f, m,
-           CASE WHEN row_number() OVER (ORDER BY r, person) * 10 <= count(*) OVER () * 3
+           CASE WHEN row_number() OVER (ORDER BY r NULLS FIRST, person) * 10 <= count(*) OVER () * 3
                 THEN 'near' ELSE 'far' END AS r_band,
-           CASE WHEN row_number() OVER (ORDER BY f DESC, person) * 10 <= count(*) OVER () * 3
+           CASE WHEN row_number() OVER (ORDER BY f DESC NULLS LAST, person) * 10 <= count(*) OVER () * 3
                 THEN 'high' ELSE 'low' END AS f_band,
            CASE WHEN row_number() OVER (ORDER BY m DESC NULLS LAST, person) * 10
                      <= count(*) OVER () * 3 THEN 'high' ELSE 'low' END AS m_band
@@ -678,6 +678,18 @@ def _service_by(*dims: str) -> str:
         LEFT JOIN stars_of USING (order_id) {group}"""
 
 
+def _service_over(dim: str, values: str) -> str:
+    """Service measures by a dimension of which an order can have several values."""
+    return f"""
+        SELECT {dim}, count(days) AS delivered, {mean('days', 1)} AS avg_days,
+               {share('count(*) FILTER (WHERE late)', 'count(late)')} AS late_rate,
+               {mean('score')} AS avg_score
+        FROM (SELECT DISTINCT {dim}, a.order_id, a.days, a.late
+              FROM arrivals a JOIN ({values}) v ON v.order_id = a.order_id
+              JOIN bought_by b ON b.order_id = a.order_id WHERE a.late IS NOT NULL)
+        LEFT JOIN stars_of USING (order_id) GROUP BY {dim}"""
+
+
 METRICS = {
     "metric_sales_total": _sales_by(),
     "metric_sales_by_month": _sales_by("ym"),
@@ -688,9 +700,16 @@ METRICS = {
     "metric_service_total": _service_by(),
     "metric_service_by_state": _service_by("state"),
     "metric_service_by_month": _service_by("ym"),
+    "metric_service_by_category": _service_over("category", CATEGORY_ROWS),
+    "metric_service_by_payment_type": _service_over("payment_type", "SELECT * FROM r_payments"),
+    "metric_all_by_seller_state": f"""
+        SELECT coalesce(a.seller_state, s.seller_state) AS seller_state, gmv, freight, valid_orders,
+               aov, buyers, repeat_buyers, repeat_rate, delivered, avg_days, late_rate, avg_score
+        FROM ({_sales_by('seller_state', rows=SELLER_ROWS)}) a
+        FULL JOIN ({_service_over('seller_state', SELLER_ROWS)}) s
+            ON a.seller_state IS NOT DISTINCT FROM s.seller_state""",
 }
 
-PERIODS = 84
 PAGES = {
     "page_overview_figures": BUSINESS["biz_core_kpis"],
     "page_customer_figures": f"""
@@ -729,14 +748,13 @@ PAGES = {
         SELECT coalesce(english, raw_name, 'unknown') AS category, orders, {dbl('gmv')} AS gmv
         FROM ({CATEGORY_SALES}) c ORDER BY c.gmv DESC, category, raw_name LIMIT 10""",
     "page_cohort_matrix": f"""
-        WITH active AS ({COHORT})
-        SELECT b.first_ym, b.users AS cohort_size,
-               {', '.join(
-                   f"max({share('a.users', 'b.users')}) FILTER (WHERE a.period = {p}) AS p{p:02d}"
-                   for p in range(1, PERIODS + 1)
-               )}
-        FROM active a JOIN active b ON b.first_ym = a.first_ym AND b.purchase_ym = b.first_ym
-        GROUP BY b.first_ym, b.users""",
+        WITH active AS ({COHORT}),
+        cohort AS (SELECT first_ym, users FROM active WHERE purchase_ym = first_ym),
+        grid AS (SELECT first_ym, users, unnest(range(1, (SELECT max(period) FROM active) + 1)) AS period
+                 FROM cohort)
+        SELECT g.first_ym, g.users AS cohort_size, g.period,
+               {share('a.users', 'g.users')} AS retention_pct
+        FROM grid g LEFT JOIN active a ON a.first_ym = g.first_ym AND a.period = g.period""",
     "page_category_scatter": f"""
         SELECT coalesce(english, raw_name, 'unknown') AS category,
                coalesce(raw_name, '') AS raw_category, orders, {dbl('gmv')} AS gmv
@@ -801,6 +819,8 @@ LAYERS = {
     "warehouse_category_rank": PRODUCTS["prod_category_rank"],
     "warehouse_seller_concentration": SELLERS["seller_concentration"],
     "warehouse_category_score": REVIEWS["rev_category_score"],
+    "warehouse_core_kpis": BUSINESS["biz_core_kpis"],
+    "warehouse_metric_month": _sales_by("ym", where="ym = '1996-03'"),
     "layer_monthly_trend": BUSINESS["biz_monthly_trend"],
     "layer_core_kpis": BUSINESS["biz_core_kpis"],
     "layer_seller_tiers": SELLERS["seller_tiers"],
@@ -822,5 +842,25 @@ GROUPS = (
 )
 
 
+CHANGED = {
+    "warehouse_reload_monthly_trend": BUSINESS["biz_monthly_trend"],
+    "warehouse_reload_category_score": REVIEWS["rev_category_score"],
+    "warehouse_months_core_kpis": BUSINESS["biz_core_kpis"],
+    "layer_refresh_monthly_trend": BUSINESS["biz_monthly_trend"],
+    "layer_refresh_seller_tiers": SELLERS["seller_tiers"],
+    "layer_refresh_monthly_service": LAYERS["layer_monthly_service"],
+}
+
+DIRTY = {
+    "dq_orphan_orders_dirty": QUALITY["dq_orphan_orders"],
+    "dq_price_anomalies_dirty": QUALITY["dq_price_anomalies"],
+    "check_foreign_keys_dirty": CHECKS["check_foreign_keys"],
+    "check_not_null_dirty": CHECKS["check_not_null"],
+    "check_domains_dirty": CHECKS["check_domains"],
+}
+
+
 def all_statements() -> dict[str, str]:
-    return {name: with_roles(sql) for group in GROUPS for name, sql in group.items()}
+    found = {name: with_roles(sql) for group in GROUPS for name, sql in group.items()}
+    found |= {name: with_roles(sql, CHANGED_ROLES) for name, sql in CHANGED.items()}
+    return found | {name: with_roles(sql, DIRTY_ROLES) for name, sql in DIRTY.items()}

@@ -103,7 +103,9 @@ CLEANERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def duplicate_reviews(raw: DataFrame) -> DataFrame:
-    """Rows before and after cleaning, and the difference."""
+    """Rows before and after cleaning, and the difference. Rows without an id are one id."""
+    unnamed = F.coalesce(F.max(F.col("review_id").isNull().cast("int")), F.lit(0))
     return raw.agg(
-        F.count("*").alias("raw_rows"), F.count_distinct("review_id").alias("clean_rows")
+        F.count("*").alias("raw_rows"),
+        (F.count_distinct("review_id") + unnamed).alias("clean_rows"),
     ).withColumn("removed_rows", F.col("raw_rows") - F.col("clean_rows"))

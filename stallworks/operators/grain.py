@@ -8,9 +8,9 @@ leaves each task as a single row instead of travelling to one reducer.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallworks.functions.expressions import calendar_days, cents, elapsed_days, month_start
@@ -37,12 +37,20 @@ def order_value(items: DataFrame) -> DataFrame:
     )
 
 
+def known_valid(items: DataFrame, status: str = DELIVERED) -> DataFrame:
+    """Items without those of which the stored status already says that they are not valid.
+
+    Raw items do not know their order's status and stay all.
+    """
+    return valid_orders(items, status) if "order_status" in items.columns else items
+
+
 def valid_order_value(t: Tables, status: str = DELIVERED) -> DataFrame:
     """Valid orders that have items, one row each, with their amounts."""
     placed = valid_orders(t["orders"], status).select(
         "order_id", "customer_id", "order_purchase_timestamp"
     )
-    return placed.join(order_value(t["order_items"]), "order_id")
+    return placed.join(order_value(known_valid(t["order_items"], status)), "order_id")
 
 
 def order_score(reviews: DataFrame) -> DataFrame:
@@ -160,15 +168,20 @@ def with_labels(
     )
 
 
-def label_orders(t: Tables, status: str = DELIVERED) -> DataFrame:
-    """Distinct (category label, valid order): two raw names may share a label."""
+def label_lines(t: Tables) -> Callable[[DataFrame], DataFrame]:
+    """From items to distinct (category label, order): two raw names may share a label."""
     labels = product_category(t).select("product_id", "category")
 
     def pairs(items: DataFrame) -> DataFrame:
         labelled = items.select("order_id", "product_id").join(labels, "product_id")
         return distinct_grain(labelled, "category", "order_id")
 
-    return valid_lines(t, pairs, status)
+    return pairs
+
+
+def label_orders(t: Tables, status: str = DELIVERED) -> DataFrame:
+    """Distinct (category label, valid order)."""
+    return valid_lines(t, label_lines(t), status)
 
 
 def person_orders(t: Tables, status: str = DELIVERED) -> DataFrame:
@@ -226,13 +239,8 @@ def person_days(t: Tables, status: str = DELIVERED) -> DataFrame:
     )
 
 
-def delivery(
-    orders: DataFrame,
-    sla_grain: str = "day",
-    need_estimate: bool = True,
-    status: str = DELIVERED,
-) -> DataFrame:
-    """Delivered orders with delivery_days, late_days and is_late.
+def delivery_columns(sla_grain: str = "day") -> dict[str, Column]:
+    """delivery_days, late_days and is_late of an order; NULL where a date is missing.
 
     ``sla_grain='day'`` compares dates. ``'timestamp'`` compares instants and counts
     24-hour days; it only serves to reproduce figures published before the day rule.
@@ -242,17 +250,29 @@ def delivery(
     bought = F.col("order_purchase_timestamp")
     arrived = F.col("order_delivered_customer_date")
     promised = F.col("order_estimated_delivery_date")
-    arrivals = valid_orders(orders, status).filter(arrived.isNotNull())
-    if need_estimate:
-        arrivals = arrivals.filter(promised.isNotNull())
     by_day = sla_grain == "day"
     late = arrived.cast("date") > promised.cast("date") if by_day else arrived > promised
+    return {
+        "delivery_days": (calendar_days if by_day else elapsed_days)(bought, arrived),
+        "late_days": calendar_days(promised, arrived),
+        "is_late": late,
+    }
+
+
+def delivery(
+    orders: DataFrame,
+    sla_grain: str = "day",
+    need_estimate: bool = True,
+    status: str = DELIVERED,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Delivered orders with ``delivery_columns`` and the order columns to ``keep``."""
+    columns = delivery_columns(sla_grain)
+    arrivals = valid_orders(orders, status).filter("order_delivered_customer_date IS NOT NULL")
+    if need_estimate:
+        arrivals = arrivals.filter("order_estimated_delivery_date IS NOT NULL")
     return arrivals.select(
-        "order_id",
-        "customer_id",
-        (calendar_days if by_day else elapsed_days)(bought, arrived).alias("delivery_days"),
-        calendar_days(promised, arrived).alias("late_days"),
-        late.alias("is_late"),
+        "order_id", "customer_id", *keep, *[c.alias(name) for name, c in columns.items()]
     )
 
 

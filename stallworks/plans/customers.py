@@ -15,13 +15,14 @@ from stallworks.functions.expressions import (
 )
 from stallworks.operators.grain import (
     DELIVERED,
+    known_valid,
     order_value,
     person_days,
     person_months,
     person_totals,
     valid_orders,
 )
-from stallworks.operators.ranking import with_rank
+from stallworks.operators.ranking import with_rank, written
 from stallworks.operators.shaping import (
     histogram,
     mean_and_lower_median,
@@ -30,6 +31,9 @@ from stallworks.operators.shaping import (
 )
 from stallworks.sources.tables import Tables
 
+# Width of the logarithmic bins in which RFM looks for its cut in amounts.
+_BINS_PER_DOUBLING = 64
+
 
 def cust_id_vs_person(t: Tables) -> DataFrame:
     """Order-level ids against real people; each count reads only its own column."""
@@ -133,7 +137,8 @@ def person_rfm(t: Tables, status: str = DELIVERED) -> DataFrame:
     placed = valid_orders(t["orders"], status).select(
         "order_id", "customer_id", "order_purchase_timestamp"
     )
-    valued = placed.join(order_value(t["order_items"]).select("order_id", "gmv"), "order_id", "left")
+    values = order_value(known_valid(t["order_items"], status)).select("order_id", "gmv")
+    valued = placed.join(values, "order_id", "left")
     per_customer = valued.groupBy("customer_id").agg(
         F.max("order_purchase_timestamp").alias("last"),
         F.count("*").alias("f_orders"),
@@ -161,60 +166,72 @@ def person_rfm(t: Tables, status: str = DELIVERED) -> DataFrame:
 def rfm_bands(t: Tables, top_pct: int = 30, status: str = DELIVERED) -> DataFrame:
     """Every person with R, F and M bands; the best ``top_pct`` percent are near/high.
 
-    The three rankings are one sort: each person appears once per measure, turned so that
-    smaller is better. Each measure then needs only its cut, the key of the last person
-    inside the top share, against which all people are compared without a join.
+    Smaller keys are better. An unknown last purchase sorts first and an unknown amount last, as
+    NULLs do in ascending and descending order; ties go by person. A measure needs only its cut,
+    the key of the last person inside the top share, against which all people are compared
+    without a join. The cut is found in two steps: a histogram over bins that keep the order
+    (days, orders, logarithms of amounts: bounded whatever the number of people) tells the bin
+    it is in, and only the people of that bin are ranked.
     """
-    people = person_rfm(t, status)
-
-    values = ("r_days", "f_orders", "m_gmv")
-    keys = {"r": F.col("r_days"), "f": -F.col("f_orders"), "m": -F.col("m_gmv")}
-
-    def position(key: Column) -> Column:
-        return F.struct(key.isNull().alias("unknown"), key.alias("key"), F.col("person"))
+    people = written(person_rfm(t, status))
+    m = F.col("m_gmv")
+    keys = {"r": F.col("r_days"), "f": -F.col("f_orders"), "m": -m}
+    bins = {
+        "r": F.col("r_days"),
+        "f": -F.col("f_orders"),
+        "m": -F.signum(m) * F.floor(F.log2(F.abs(m) + 1) * _BINS_PER_DOUBLING),
+    }
+
+    def position(name: str) -> Column:
+        key = keys[name]
+        unknown = key.isNotNull() if name == "r" else key.isNull()
+        return F.struct(unknown.alias("side"), key.alias("key"), F.col("person"))
 
     entries = people.select(
-        *values,
         F.inline(
             F.array(
                 *[
-                    F.struct(F.lit(name).alias("measure"), position(key).alias("at"))
-                    for name, key in keys.items()
+                    F.struct(
+                        F.lit(name).alias("measure"),
+                        F.coalesce(bins[name].cast("bigint"), F.lit(0)).alias("bin"),
+                        position(name).alias("at"),
+                    )
+                    for name in keys
                 ]
             )
-        ),
-    ).select(
-        "measure",
-        "at.*",
-        # One of a person's three entries carries the values.
-        *[F.when(F.col("measure") == "m", F.col(v)).alias(v) for v in values],
-    )
-    order = [F.col(c) for c in ("measure", "unknown", "key", "person")]
-    ranked = with_rank(entries, *order)
-    everyone = ranked.filter(F.col("measure") == "m").drop("measure", "unknown", "key", "rn")
-
-    last_inside = (
-        ranked.groupBy("measure")
-        .agg(F.count("*").alias("n"), F.min("rn").alias("first_rn"))
-        .withColumn("inside", F.expr(f"n * {int(top_pct)} div 100"))
-        .filter(F.col("inside") > 0)
-        .select("measure", (F.col("first_rn") - 1 + F.col("inside")).alias("rn"))
+        )
+    ).select("measure", "bin", "at.*")
+    order = Window.partitionBy("measure").orderBy("side", "bin")
+    upto = F.sum("n").over(order)
+    inside = F.expr(f"sum(n) OVER (PARTITION BY measure) * {int(top_pct)} DIV 100")
+    edges = (
+        entries.groupBy("measure", "side", "bin")
+        .agg(F.count("*").alias("n"))
+        .select("measure", "side", "bin", (upto - F.col("n")).alias("before"), upto.alias("upto"),
+                inside.alias("inside"))
+        .filter("before < inside AND inside <= upto")
+        .select("measure", "side", "bin", (F.col("inside") - F.col("before")).alias("nth"))
     )
     # Three rows at most, one per measure.
-    cut_rows = ranked.join(F.broadcast(last_inside), ["measure", "rn"], "left_semi")
-    place = F.struct("unknown", "key", "person")
+    tied = entries.join(F.broadcast(edges), ["measure", "side", "bin"]).drop("bin")
+    ranked = with_rank(tied, *[F.col(c) for c in ("measure", "side", "key", "person")])
+    starts = ranked.groupBy("measure").agg(F.min("rn").alias("first_rn"))
+    cut_rows = ranked.join(F.broadcast(starts), "measure").filter("rn = first_rn - 1 + nth")
+    place = F.struct("side", "key", "person")
     cut = cut_rows.agg(
         F.struct(*[F.max(F.when(F.col("measure") == name, place)).alias(name) for name in keys])
     ).scalar()
 
     def banded(name: str, best: str, rest: str) -> Column:
         # A NULL cut means that nobody is inside; the comparison is then not true.
-        inside = position(keys[name]) <= cut.getField(name)
-        return F.when(inside, best).otherwise(rest).alias(f"{name}_band")
+        is_inside = position(name) <= cut.getField(name)
+        return F.when(is_inside, best).otherwise(rest).alias(f"{name}_band")
 
-    return everyone.select(
+    return people.select(
         "person",
-        *values,
+        "r_days",
+        "f_orders",
+        "m_gmv",
         banded("r", "near", "far"),
         banded("f", "high", "low"),
         banded("m", "high", "low"),

@@ -16,7 +16,8 @@ from stallworks.functions.expressions import (
 from stallworks.operators.grain import (
     DELIVERED,
     delivery,
-    label_orders,
+    known_valid,
+    label_lines,
     order_score,
     order_value,
     payment_by_order,
@@ -144,8 +145,9 @@ def category_new_buyers(t: Tables, status: str = DELIVERED) -> DataFrame:
         .agg(F.min(F.struct("order_purchase_timestamp", "order_id")).alias("first"))
         .select(F.col("first.order_id").alias("order_id"))
     )
+    # First orders are valid, so the pairs need no join with the valid orders.
     return (
-        label_orders(t, status)
+        label_lines(t)(known_valid(t["order_items"], status))
         .join(first_orders, "order_id")
         .groupBy("category")
         .agg(F.count("*").alias("new_persons"))

@@ -10,41 +10,57 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import partial
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallworks.functions.expressions import month_label, month_start, pct, ratio
+from stallworks.functions.expressions import pct, ratio
 from stallworks.operators.grain import (
     DELIVERED,
     category_lines,
-    delivery,
+    delivery_columns,
     order_score,
     order_value,
     product_lines,
     seller_lines,
     valid_orders,
 )
+from stallworks.sources.monthly import (
+    Month,
+    among,
+    month_of_purchase,
+    read_monthly,
+    refuse_half_moves,
+    replace_months,
+)
 from stallworks.sources.schemas import MONTH
 from stallworks.sources.tables import Tables
 
 
 def order_months(t: Tables) -> DataFrame:
-    return t["orders"].select(
-        "order_id",
-        "customer_id",
-        "order_status",
-        month_label(month_start(F.col("order_purchase_timestamp"))).alias(MONTH),
-    )
+    return t["orders"].select("order_id", "customer_id", "order_status", month_of_purchase())
 
 
 def order_facts(t: Tables) -> DataFrame:
-    """One row per order of any status: amounts, score, delivery, and the purchase month."""
-    served = delivery(t["orders"], need_estimate=False).drop("customer_id", "late_days")
+    """One row per order of any status: amounts, score, delivery, and the purchase month.
+
+    Delivery is computed on the order's own row, for delivered orders that arrived.
+    """
+    arrived = (F.col("order_status") == DELIVERED) & F.col(
+        "order_delivered_customer_date"
+    ).isNotNull()
+    served = delivery_columns()
     return (
-        order_months(t)
+        t["orders"]
+        .select(
+            "order_id",
+            "customer_id",
+            "order_status",
+            month_of_purchase(),
+            *[F.when(arrived, served[c]).alias(c) for c in ("delivery_days", "is_late")],
+        )
         .join(order_value(t["order_items"]), "order_id", "left")
         .join(order_score(t["order_reviews"]), "order_id", "left")
-        .join(served, "order_id", "left")
     )
 
 
@@ -85,44 +101,96 @@ LAYERS: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+# What the layers were made from: per month, the orders and a checksum of them.
+SEEN = "orders_seen"
+
+
+def _seen(t: Tables) -> DataFrame:
+    mark = F.xxhash64("order_id", "customer_id", "order_status").cast("decimal(38,0)")
+    return (
+        t["orders"]
+        .select(month_of_purchase(), mark.alias("mark"))
+        .groupBy(MONTH)
+        .agg(F.count("*").alias("orders"), F.sum("mark").alias("checksum"))
+    )
+
+
 def refresh_layers(
     t: Tables,
     folder: str,
-    months: Sequence[str] | None = None,
+    months: Sequence[Month] | None = None,
     names: Sequence[str] = tuple(LAYERS),
 ) -> None:
-    """Write the named layers; with ``months``, replace only those partitions.
+    """Write the named layers whole, or replace only the named ``months``.
 
-    On tables stored by month, the named months are all that is read.
+    A named month that has no rows any more is emptied; None names the rows without a month.
+    An order that changed month needs both named, which is checked against the stored order
+    facts. On tables stored by month, only the named months of orders, items and reviews
+    are read.
     """
-
-    def chosen(df: DataFrame) -> DataFrame:
-        if months is None or MONTH not in df.columns:
-            return df
-        return df.filter(F.col(MONTH).isin(list(months)))
-
-    pruned = t.replaced(orders=chosen(t["orders"]), order_items=chosen(t["order_items"]))
-    for name in names:
-        (
-            chosen(LAYERS[name](pruned))
-            .hint("rebalance", MONTH)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(MONTH)
-            .parquet(f"{folder}/{name}")
-        )
+    spark = t["orders"].sparkSession
+
+    def chosen(name: str) -> DataFrame:
+        table = t[name]
+        if months is None or MONTH not in table.columns:
+            return table
+        return table.filter(among(F.col(MONTH), months))
+
+    present = [n for n in ("orders", "order_items", "order_reviews") if n in t.present()]
+    pruned = t.replaced(**{name: chosen(name) for name in present})
+    before = _stored_facts(spark, folder) if months is not None else None
+    if before is not None and "order_facts" in names:
+        refuse_half_moves(order_months(t), before, months)
+    for name in (*names, SEEN):
+        layer = _seen(pruned) if name == SEEN else LAYERS[name](pruned)
+        if months is not None:
+            layer = layer.filter(among(F.col(MONTH), months))
+        replace_months(layer, f"{folder}/{name}", months)
         if name == "order_facts":
-            pruned = attach_layers(pruned, t["orders"].sparkSession, folder, [name])
+            pruned = attach_layers(pruned, spark, folder, [name], verify=False)
+
+
+def _stored_facts(spark: SparkSession, folder: str) -> DataFrame | None:
+    try:
+        return read_monthly(spark, f"{folder}/order_facts")
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+        return None
 
 
 def read_layer(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    layer = spark.read.parquet(f"{folder}/{name}")
-    return layer.withColumn(MONTH, F.col(MONTH).cast("string"))
+    return read_monthly(spark, f"{folder}/{name}")
+
+
+def stale_months(t: Tables, spark: SparkSession, folder: str) -> list[Month]:
+    """Months whose orders are not those the layers were made from."""
+    seen = read_monthly(spark, f"{folder}/{SEEN}").select(
+        F.col(MONTH).alias("was"), F.col("orders").alias("had"), F.col("checksum").alias("sum")
+    )
+    differ = _seen(t).join(seen, F.col(MONTH).eqNullSafe(F.col("was")), "full").filter(
+        ~(F.col("orders").eqNullSafe(F.col("had")) & F.col("checksum").eqNullSafe(F.col("sum")))
+    )
+    found = differ.select(F.when(F.col("orders").isNull(), F.col("was")).otherwise(F.col(MONTH)))
+    return sorted({r[0] for r in found.collect()}, key=str)
 
 
 def attach_layers(
-    t: Tables, spark: SparkSession, folder: str, names: Sequence[str] = tuple(LAYERS)
+    t: Tables,
+    spark: SparkSession,
+    folder: str,
+    names: Sequence[str] = tuple(LAYERS),
+    verify: bool = True,
 ) -> Tables:
+    """The tables with stored layers, from which totals are then read.
+
+    Layers made from other orders than these are refused (a scan of three order columns);
+    ``verify=False`` takes them as they are, for instance when only some months were stored.
+    """
+    if verify:
+        stale = stale_months(t, spark, folder)
+        if stale:
+            raise ValueError(f"layers are stale; refresh the months {stale}")
     return t.with_layers(**{name: partial(read_layer, spark, folder, name) for name in names})
 
 

@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallworks.functions.expressions import mean, pct, ratio, share_true
-from stallworks.operators.grain import DELIVERED, delivery, distinct_grain, order_score
+from stallworks.operators.grain import (
+    DELIVERED,
+    delivery,
+    distinct_grain,
+    known_valid,
+    order_score,
+)
 from stallworks.operators.shaping import (
     band,
     by_band,
@@ -91,7 +97,7 @@ def log_state(t: Tables, min_orders: int = 200, k: int = 12, status: str = DELIV
 
 def seller_deliveries(t: Tables, status: str = DELIVERED) -> DataFrame:
     """(seller, delivered order) with delivery_days and is_late, one row per pair."""
-    pairs = distinct_grain(t["order_items"], "seller_id", "order_id")
+    pairs = distinct_grain(known_valid(t["order_items"], status), "seller_id", "order_id")
     arrivals = delivery(t["orders"], status=status).select("order_id", "delivery_days", "is_late")
     return pairs.join(arrivals, "order_id")
 

@@ -19,21 +19,25 @@ from stallworks.functions.expressions import (
     money,
     money_ratio,
     month_label,
-    month_start,
     pct,
     share_true,
 )
 from stallworks.operators.grain import (
     DELIVERED,
     delivery,
+    distinct_grain,
+    known_valid,
     order_score,
     product_category,
     valid_orders,
 )
+from stallworks.sources.monthly import month_date
+from stallworks.sources.schemas import MONTH
 from stallworks.sources.tables import Tables
 
-ORDER_DIMENSIONS = ("ym", "state")
-ITEM_DIMENSIONS = ("category", "product_id", "seller_id", "seller_state")
+ORDER_DIMENSIONS = ("ym", "state", "city")
+ITEM_DIMENSIONS = ("category", "product_id", "seller_id", "seller_state", "seller_city")
+PAYMENT_DIMENSIONS = ("payment_type",)
 
 SALES_MEASURES: dict[str, Callable[[], Column]] = {
     "gmv": lambda: money(F.sum("gmv")),
@@ -53,31 +57,48 @@ ORDER_MEASURES: dict[str, Callable[[], Column]] = {
 }
 
 
-def _order_facts(t: Tables, dims: Sequence[str], status: str) -> DataFrame:
-    """Valid orders with person and the wanted order-level dimensions."""
+def _with_customer(orders: DataFrame, t: Tables, dims: Sequence[str]) -> DataFrame:
+    """Order rows with person and the wanted order-level dimensions.
+
+    Months come from the partition column where the table is stored by month, so that a
+    condition on months prunes its partitions.
+    """
     people = t["customers"].select(
         "customer_id",
         F.col("customer_unique_id").alias("person"),
         F.col("customer_state").alias("state"),
+        F.col("customer_city").alias("city"),
     )
-    facts = (
-        valid_orders(t["orders"], status)
-        .withColumn("ym", month_start(F.col("order_purchase_timestamp")))
-        .join(people, "customer_id")
-    )
-    return facts.select("order_id", "person", *[d for d in dims if d in ORDER_DIMENSIONS])
+    facts = orders.withColumn("ym", month_date(orders.columns)).join(people, "customer_id")
+    wanted = [d for d in dims if d in ORDER_DIMENSIONS]
+    others = [c for c in orders.columns if c not in ("customer_id", MONTH, *ORDER_DIMENSIONS)]
+    return facts.select(*others, "person", *wanted)
 
 
-def _line_facts(t: Tables, dims: Sequence[str]) -> DataFrame:
-    """Items with the wanted item-level dimensions."""
-    lines = t["order_items"]
+def _line_facts(
+    t: Tables, dims: Sequence[str], filters: Mapping[str, Column], status: str
+) -> DataFrame:
+    """Items with the wanted item-level dimensions; stored items are pruned by month and status."""
+    lines = known_valid(t["order_items"], status)
+    if MONTH in lines.columns and "ym" in filters:
+        lines = lines.withColumn("ym", month_date(lines.columns)).filter(filters["ym"]).drop("ym")
     if "category" in dims:
         lines = lines.join(product_category(t).select("product_id", "category"), "product_id")
-    if "seller_state" in dims:
-        lines = lines.join(t["sellers"].select("seller_id", "seller_state"), "seller_id")
+    if "seller_state" in dims or "seller_city" in dims:
+        lines = lines.join(t["sellers"].select("seller_id", "seller_state", "seller_city"), "seller_id")
+    for dim in ITEM_DIMENSIONS:
+        if dim in filters:
+            lines = lines.filter(filters[dim])
     return lines
 
 
+def _filtered_orders(facts: DataFrame, filters: Mapping[str, Column]) -> DataFrame:
+    for dim in ORDER_DIMENSIONS:
+        if dim in filters:
+            facts = facts.filter(filters[dim])
+    return facts
+
+
 def _check(names: Sequence[str], known: Sequence[str], kind: str) -> None:
     unknown = [n for n in names if n not in known]
     if unknown:
@@ -107,12 +128,12 @@ def metric_table(
     _check([*dims, *filters], ORDER_DIMENSIONS + ITEM_DIMENSIONS, "dimensions")
     used = list(dict.fromkeys([*dims, *filters]))
     of_items = [d for d in used if d in ITEM_DIMENSIONS]
-    orders, lines = _order_facts(t, used, status), _line_facts(t, of_items)
-    for dim, condition in filters.items():
-        if dim in ITEM_DIMENSIONS:
-            lines = lines.filter(condition)
-        else:
-            orders = orders.filter(condition)
+    months = [c for c in (MONTH,) if c in t["orders"].columns]
+    placed = valid_orders(t["orders"], status).select(
+        "order_id", "customer_id", "order_purchase_timestamp", *months
+    )
+    facts = _with_customer(placed, t, used).drop("order_purchase_timestamp")
+    orders, lines = _filtered_orders(facts, filters), _line_facts(t, of_items, filters, status)
     split = [d for d in dims if d in ITEM_DIMENSIONS]
     values = (
         lines.groupBy("order_id", *split)
@@ -146,16 +167,65 @@ def service_table(
     sla_grain: str = "day",
     status: str = DELIVERED,
 ) -> DataFrame:
-    """Delivery and score measures of delivered orders by order-level dimensions."""
+    """Delivery and score measures of delivered orders by any dimensions.
+
+    By an item or payment dimension an order counts once for each value it has. Orders are
+    read once: delivery is computed on the row that holds customer and month.
+    """
     filters = dict(filters or {})
     _check(measures, list(ORDER_MEASURES), "measures")
-    _check([*dims, *filters], ORDER_DIMENSIONS, "dimensions")
-    facts = _order_facts(t, list(dict.fromkeys([*dims, *filters])), status)
-    for condition in filters.values():
-        facts = facts.filter(condition)
-    served = delivery(t["orders"], sla_grain, status=status).drop("customer_id")
-    facts = facts.join(served, "order_id")
+    known = ORDER_DIMENSIONS + ITEM_DIMENSIONS + PAYMENT_DIMENSIONS
+    _check([*dims, *filters], known, "dimensions")
+    used = list(dict.fromkeys([*dims, *filters]))
+    keep = [c for c in ("order_purchase_timestamp", MONTH) if c in t["orders"].columns]
+    served = delivery(t["orders"], sla_grain, status=status, keep=keep)
+    facts = _filtered_orders(_with_customer(served, t, used), filters)
+    of_items = [d for d in used if d in ITEM_DIMENSIONS]
+    if of_items:
+        lines = _line_facts(t, of_items, filters, status)
+        split = [d for d in dims if d in ITEM_DIMENSIONS]
+        facts = facts.join(distinct_grain(lines, "order_id", *split), "order_id")
+    of_payments = [d for d in used if d in PAYMENT_DIMENSIONS]
+    if of_payments:
+        paid = t["order_payments"]
+        for dim in of_payments:
+            paid = paid.filter(filters[dim]) if dim in filters else paid
+        split = [d for d in dims if d in PAYMENT_DIMENSIONS]
+        facts = facts.join(distinct_grain(paid, "order_id", *split), "order_id")
     if "avg_score" in measures:
         facts = facts.join(order_score(t["order_reviews"]), "order_id", "left")
     table = facts.groupBy(*dims).agg(*[ORDER_MEASURES[m]().alias(m) for m in measures])
     return _present(table, dims)
+
+
+def measure_table(
+    t: Tables,
+    measures: Sequence[str],
+    dims: Sequence[str] = (),
+    filters: Mapping[str, Column] | None = None,
+    status: str = DELIVERED,
+) -> DataFrame:
+    """Sales, people and service measures side by side, by order and item dimensions.
+
+    Each kind keeps its own grain; the two results, one row per value of the dimensions, are
+    joined. A value that only one side has keeps its row, with NULL for the other side.
+    """
+    _check(measures, [*SALES_MEASURES, *ORDER_MEASURES], "measures")
+    sales = [m for m in measures if m in SALES_MEASURES]
+    service = [m for m in measures if m in ORDER_MEASURES]
+    if not service:
+        return metric_table(t, sales, dims, filters, status)
+    if not sales:
+        return service_table(t, service, dims, filters, status=status)
+    one = F.lit(1).alias("_one")
+    left = metric_table(t, sales, dims, filters, status).select("*", one)
+    right = service_table(t, service, dims, filters, status=status).select(
+        *[F.col(d).alias(f"_{d}") for d in dims], *service, F.lit(1).alias("_also")
+    )
+    same = F.col("_one") == F.col("_also")
+    for d in dims:
+        same = same & F.col(d).eqNullSafe(F.col(f"_{d}"))
+    own = [
+        F.when(F.col("_one").isNotNull(), F.col(d)).otherwise(F.col(f"_{d}")).alias(d) for d in dims
+    ]
+    return left.join(right, same, "full").select(*own, *measures)

@@ -88,15 +88,34 @@ def logistics_figures(t: Tables) -> DataFrame:
     )
 
 
+def cohort_grid(t: Tables) -> DataFrame:
+    """Retention of every cohort in every period up to the latest one, empty cells included.
+
+    Periods come from the data; cohorts and periods are months, so the grid is small.
+    """
+    retention = customers.cust_cohort_retention(t)
+    last = retention.agg(F.max("period")).scalar()
+    cells = (
+        retention.filter("period = 1")
+        .select("first_ym", "cohort_size")
+        .withColumn("period", F.explode(F.sequence(F.lit(1), last)))
+    )
+    found = retention.select("first_ym", "period", "retention_pct")
+    return cells.join(found, ["first_ym", "period"], "left").orderBy("first_ym", "period")
+
+
 def cohort_matrix(t: Tables, periods: int | None = None) -> DataFrame:
     """Retention percent per first-purchase month, one column per period.
 
-    Without ``periods`` the widest cohort sets the width (one small lookup of a single
-    number), so no period is cut off.
+    Without ``periods`` the widest cohort sets the width; fewer periods than the data has are
+    refused. Either way one number is looked up first.
     """
     retention = customers.cust_cohort_retention(t)
+    needed = retention.agg(F.coalesce(F.max("period"), F.lit(1))).first()[0]
     if periods is None:
-        periods = retention.agg(F.coalesce(F.max("period"), F.lit(1))).first()[0]
+        periods = needed
+    if periods < needed:
+        raise ValueError(f"the data has {needed} periods, more than {periods}")
     wide = (
         retention.groupBy("first_ym", "cohort_size")
         .pivot("period", list(range(1, periods + 1)))
@@ -158,5 +177,9 @@ PAGES: dict[str, dict[str, Callable[[Tables], DataFrame]]] = {
 
 
 def page(t: Tables, name: str) -> dict[str, DataFrame]:
-    """All tables of one page, lazily."""
+    """All tables of one page.
+
+    Two of them do work while they are built: seller tiers write their global sort, and the
+    cohort matrix looks up its width.
+    """
     return {part: build(t) for part, build in PAGES[name].items()}

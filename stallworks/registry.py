@@ -101,6 +101,8 @@ REPORTS = [n for n in PLANS if n.split("_")[0] in ("dq", "biz", "cust", "prod",
     n for n in PLANS if n.startswith("seller_") and n not in ("seller_health", "seller_ranking")
 ]
 
+DERIVED = [n for n, plan in PLANS.items() if plan.__module__ == derived.__name__]
+
 GRAINS: dict[str, Plan] = {
     "grain_valid_orders": lambda t: grain.valid_orders(t["orders"]).select(
         "order_id", "customer_id", _purchase_month()
@@ -169,12 +171,21 @@ VARIANTS: dict[str, Plan] = CHECKS | {
     "metric_service_total": partial(metrics.service_table, measures=SERVICE),
     "metric_service_by_state": partial(metrics.service_table, measures=SERVICE, dims=["state"]),
     "metric_service_by_month": partial(metrics.service_table, measures=SERVICE, dims=["ym"]),
+    "metric_service_by_category": partial(
+        metrics.service_table, measures=SERVICE, dims=["category"]
+    ),
+    "metric_service_by_payment_type": partial(
+        metrics.service_table, measures=SERVICE, dims=["payment_type"]
+    ),
+    "metric_all_by_seller_state": partial(
+        metrics.measure_table, measures=SALES + SERVICE, dims=["seller_state"]
+    ),
     "page_overview_figures": pages.overview_figures,
     "page_customer_figures": pages.customer_figures,
     "page_supply_figures": pages.supply_figures,
     "page_logistics_figures": pages.logistics_figures,
     "page_top_categories": pages.PAGES["overview"]["top_categories"],
-    "page_cohort_matrix": partial(pages.cohort_matrix, periods=84),
+    "page_cohort_matrix": pages.cohort_grid,
     "page_category_scatter": pages.category_scatter,
     "page_state_late_rates": pages.state_late_rates,
 }
@@ -182,12 +193,43 @@ VARIANTS: dict[str, Plan] = CHECKS | {
 
 # Reports answered from tables stored by month, and the tables they need.
 SALES_TABLES = ("orders", "order_items")
+KPI_TABLES = (*SALES_TABLES, "customers", "sellers", "products")
 CATEGORY_TABLES = (*SALES_TABLES, "products", "category_name")
 FROM_WAREHOUSE: dict[str, tuple[Plan, tuple[str, ...]]] = {
     "warehouse_monthly_trend": (business.biz_monthly_trend, SALES_TABLES),
     "warehouse_category_rank": (products.prod_category_rank, CATEGORY_TABLES),
     "warehouse_seller_concentration": (sellers.seller_concentration, SALES_TABLES),
     "warehouse_category_score": (reviews.rev_category_score, (*CATEGORY_TABLES, "order_reviews")),
+    "warehouse_core_kpis": (business.biz_core_kpis, KPI_TABLES),
+    "warehouse_metric_month": (
+        lambda t: metrics.metric_table(
+            t, SALES, ["ym"], {"ym": F.col("ym") == F.lit("1996-03-01").cast("date")}
+        ),
+        (*SALES_TABLES, "customers"),
+    ),
+}
+
+# The same after orders have gone and moved: stored once as they were, then again as they are.
+RELOADED: dict[str, tuple[Plan, tuple[str, ...], bool]] = {
+    "warehouse_reload_monthly_trend": (business.biz_monthly_trend, SALES_TABLES, False),
+    "warehouse_reload_category_score": (
+        reviews.rev_category_score, (*CATEGORY_TABLES, "order_reviews"), False
+    ),
+    "warehouse_months_core_kpis": (business.biz_core_kpis, KPI_TABLES, True),
+}
+REFRESHED: dict[str, tuple[Plan, tuple[str, ...]]] = {
+    "layer_refresh_monthly_trend": (business.biz_monthly_trend, ("order_facts", "month_summary")),
+    "layer_refresh_seller_tiers": (sellers.seller_tiers, ("seller_months",)),
+    "layer_refresh_monthly_service": (layers.monthly_service, ("month_summary",)),
+}
+
+# Checks over tables that break their rules.
+DIRTY: dict[str, Plan] = {
+    "dq_orphan_orders_dirty": quality.dq_orphan_orders,
+    "dq_price_anomalies_dirty": quality.dq_price_anomalies,
+    "check_foreign_keys_dirty": checks.foreign_key_check,
+    "check_not_null_dirty": checks.not_null_check,
+    "check_domains_dirty": checks.domain_check,
 }
 
 # Reports answered from one stored layer.
@@ -250,6 +292,62 @@ def _from_layers(plan: Plan, layer: str, spark: SparkSession, sf_dir: str) -> Da
     return plan(layers.attach_layers(t, spark, folder, names=[layer]))
 
 
+def _changed(t: Tables) -> Tables:
+    """January 1995 is gone and every tenth order was bought 45 days later."""
+    bought, month = F.col("order_purchase_timestamp"), _purchase_month()
+    later = F.when(F.col("order_id") % 10 == 4, bought + F.expr("INTERVAL 45 DAYS")).otherwise(bought)
+    kept = t["orders"].filter(month != "1995-01")
+    return t.replaced(orders=kept.withColumn("order_purchase_timestamp", later))
+
+
+def _reloaded(
+    plan: Plan, names: tuple[str, ...], by_month: bool, spark: SparkSession, sf_dir: str
+) -> DataFrame:
+    folder, t = _new_folder(spark), role_tables(spark, sf_dir)
+    before = Tables(**{name: t[name] for name in names})
+    warehouse.load_warehouse(before, folder)
+    now = _changed(before)
+    months = warehouse.months_to_load(now, folder) if by_month else None
+    warehouse.load_warehouse(now, folder, months)
+    return plan(warehouse.read_warehouse(spark, folder))
+
+
+def _refreshed(
+    plan: Plan, names: tuple[str, ...], spark: SparkSession, sf_dir: str
+) -> DataFrame:
+    folder, t = _new_folder(spark), role_tables(spark, sf_dir)
+    layers.refresh_layers(t, folder, names=names)
+    now = _changed(t)
+    layers.refresh_layers(now, folder, layers.stale_months(now, spark, folder), names)
+    return plan(layers.attach_layers(now, spark, folder, names=names))
+
+
+def _dirty(t: Tables) -> Tables:
+    """Orphans, NULL keys, negative amounts and scores out of range."""
+    key = F.col("order_id")
+
+    def unless(rest: int, modulus: int, column: str):
+        return F.when(key % modulus != rest, F.col(column))
+
+    def negative(rest: int, modulus: int, column: str):
+        return F.when(key % modulus == rest, -F.col(column)).otherwise(F.col(column))
+
+    freight = F.when(key % 17 == 1, F.lit(-1).cast("decimal(12,2)")).otherwise(F.col("freight_value"))
+    score = F.when(key % 7 == 6, 9).otherwise(F.col("review_score"))
+    return t.replaced(
+        customers=t["customers"].filter(F.col("customer_id") % 11 != 5),
+        orders=t["orders"].withColumn("customer_id", unless(7, 23, "customer_id")).filter(key % 29 != 8),
+        order_items=t["order_items"].withColumns(
+            {"price": negative(2, 13, "price"), "order_item_id": unless(3, 19, "order_item_id"),
+             "freight_value": freight}
+        ),
+        order_payments=t["order_payments"].withColumn(
+            "payment_value", negative(4, 31, "payment_value")
+        ),
+        order_reviews=t["order_reviews"].withColumn("review_score", score),
+    )
+
+
 def _over_roles(plan: Plan, spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(role_tables(spark, sf_dir))
 
@@ -274,4 +372,10 @@ def registered_queries() -> dict[str, Query]:
     found |= {
         name: partial(_from_layers, plan, layer) for name, (plan, layer) in FROM_LAYERS.items()
     }
+    found |= {name: partial(_reloaded, *how) for name, how in RELOADED.items()}
+    found |= {name: partial(_refreshed, *how) for name, how in REFRESHED.items()}
+    found |= {
+        name: partial(_over_roles, lambda t, plan=plan: plan(_dirty(t)))
+        for name, plan in DIRTY.items()
+    }
     return found

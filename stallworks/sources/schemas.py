@@ -137,20 +137,12 @@ FOREIGN_KEYS: tuple[Reference, ...] = (
 MONTH = "purchase_ym"
 
 # Columns that stored tables carry beyond the contract. Items copy the status of their
-# order, so that reports on valid items need no join; both tables are written together.
+# order, so that reports on valid items need no join; reviews are stored with their
+# order's month, so that a month can be refreshed alone. All are written together.
 STORED_EXTRAS: dict[str, tuple[str, ...]] = {
     "orders": (MONTH,),
     "order_items": ("order_status", MONTH),
-}
-
-# Lookups that a database would serve by a secondary index; declared as table properties.
-LOOKUP_COLUMNS: dict[str, tuple[str, ...]] = {
-    "sellers": ("seller_state",),
-    "products": ("product_category_name",),
-    "customers": ("customer_unique_id", "customer_state"),
-    "orders": ("customer_id",),
-    "order_items": ("product_id", "seller_id"),
-    "order_reviews": ("order_id",),
+    "order_reviews": (MONTH,),
 }
 
 

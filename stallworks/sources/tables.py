@@ -52,8 +52,3 @@ class Tables:
 
     def layer(self, name: str) -> DataFrame | None:
         return self._resolved(self._layers, name) if name in self._layers else None
-
-    def register_views(self) -> None:
-        """Expose the tables to ``spark.sql`` under their own names."""
-        for name in self.present():
-            self[name].createOrReplaceTempView(name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import partial
 
@@ -9,11 +10,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallworks.functions.expressions import month_label, month_start
 from stallworks.sources.formats import format_options
+from stallworks.sources.monthly import (
+    Month,
+    month_of_purchase,
+    months_that_differ,
+    read_monthly,
+    refuse_half_moves,
+    refuse_own_source,
+    replace_months,
+)
 from stallworks.sources.schemas import (
     FOREIGN_KEYS,
-    LOOKUP_COLUMNS,
     MONTH,
     PRIMARY_KEYS,
     SCHEMAS,
@@ -65,8 +73,6 @@ def create_statements(database: str) -> list[str]:
         for ref in FOREIGN_KEYS:
             if ref.child == name:
                 properties[f"references.{ref.column}"] = ref.parent
-        if name in LOOKUP_COLUMNS:
-            properties["lookup_columns"] = ",".join(LOOKUP_COLUMNS[name])
         declared = ", ".join(f"'{k}'='{v}'" for k, v in properties.items())
         statements.append(
             f"CREATE TABLE IF NOT EXISTS {database}.{name} ({', '.join(columns)})"
@@ -84,52 +90,84 @@ def create_schema(spark: SparkSession, database: str) -> None:
 def with_extras(t: Tables, name: str) -> DataFrame:
     """A table as it is stored: contract columns, then what it copies from its order."""
     extras = STORED_EXTRAS.get(name, ())
-    month = month_label(month_start(F.col("order_purchase_timestamp"))).alias(MONTH)
     contract = t[name].drop(*[c for c in extras if c not in SCHEMAS[name].names])
     if name == "orders":
-        return contract.select("*", month)
+        return contract.select("*", month_of_purchase())
     if extras:
-        of_order = t["orders"].select("order_id", "order_status", month)
-        return contract.join(of_order, "order_id", "left")
+        of_order = t["orders"].select("order_id", "order_status", month_of_purchase())
+        return contract.join(of_order.select("order_id", *extras), "order_id", "left")
     return contract
 
 
-def load_warehouse(t: Tables, folder: str) -> dict[str, str]:
+def _refuse_parts(t: Tables) -> None:
+    """Items and reviews copy columns of their orders, so stored copies must not go stale."""
+    present = set(t.present())
+    if "orders" in present and "order_items" not in present:
+        raise ValueError("load order_items with orders: stored items copy the status of their order")
+    alone = sorted(set(STORED_EXTRAS) & present)
+    if alone and "orders" not in present:
+        raise ValueError(f"load orders with {alone}: they copy columns of their orders")
+
+
+def load_warehouse(
+    t: Tables, folder: str, months: Sequence[Month] | None = None
+) -> dict[str, str]:
     """Write every present table to Parquet and return the paths.
 
-    A rerun replaces what it wrote, month by month for the monthly tables. The rebalance
-    hint gathers a month into few files and splits a month too large for one task. Items
-    copy the status of their order: load them again whenever orders change.
+    A rerun replaces what it wrote. With ``months`` only those months of the monthly tables are
+    replaced (None names the rows without a month), by nothing where they are empty now;
+    an order that changed month needs both named, which is checked.
     """
-    paths = {}
-    for name in t.present():
-        path = f"{folder}/{name}"
+    _refuse_parts(t)
+    paths = {name: f"{folder}/{name}" for name in t.present()}
+    if months is not None and "orders" in paths:
+        before = read_monthly(t["orders"].sparkSession, paths["orders"])
+        refuse_half_moves(with_extras(t, "orders"), before, months)
+    for name, path in paths.items():
         if name in STORED_EXTRAS:
-            (
-                with_extras(t, name)
-                .hint("rebalance", MONTH)
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy(MONTH)
-                .parquet(path)
-            )
+            replace_months(with_extras(t, name), path, months)
         else:
+            refuse_own_source(t[name], path)
             t[name].write.mode("overwrite").parquet(path)
-        paths[name] = path
     return paths
 
 
-def load_database(t: Tables, database: str) -> None:
-    """Fill the declared tables; a rerun replaces what it wrote, month by month."""
-    for name in t.present():
-        extras = STORED_EXTRAS.get(name, ())
-        table = with_extras(t, name).select(*SCHEMAS[name].names, *extras)
-        (
-            (table.hint("rebalance", MONTH) if extras else table)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .insertInto(f"{database}.{name}")
-        )
+def months_to_load(t: Tables, folder: str) -> list[Month]:
+    """Months in which the orders differ from the stored ones."""
+    before = read_monthly(t["orders"].sparkSession, f"{folder}/orders")
+    return months_that_differ(with_extras(t, "orders"), before)
+
+
+_OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
+
+
+def load_database(t: Tables, database: str, months: Sequence[Month] | None = None) -> None:
+    """Fill the declared tables; a rerun replaces what it wrote, as ``load_warehouse`` does."""
+    _refuse_parts(t)
+    spark = t[t.present()[0]].sparkSession
+    if months is not None and "orders" in t.present():
+        refuse_half_moves(with_extras(t, "orders"), spark.table(f"{database}.orders"), months)
+    mode = spark.conf.get(_OVERWRITE)
+    spark.conf.set(_OVERWRITE, "static")
+    try:
+        for name in t.present():
+            extras = STORED_EXTRAS.get(name, ())
+            table = with_extras(t, name).select(*SCHEMAS[name].names, *extras)
+            if not extras or months is None:
+                table = table.hint("rebalance", MONTH) if extras else table
+                table.write.mode("overwrite").insertInto(f"{database}.{name}")
+                continue
+            for month in months:
+                value = "null" if month is None else f"'{month}'"
+                rows = table.filter(F.col(MONTH).eqNullSafe(F.lit(month))).drop(MONTH)
+                rows.createOrReplaceTempView("_month_of_rows")
+                spark.sql(
+                    f"INSERT OVERWRITE {database}.{name} PARTITION ({MONTH} = {value})"
+                    " SELECT * FROM _month_of_rows"
+                )
+                spark.catalog.dropTempView("_month_of_rows")
+    finally:
+        spark.conf.set(_OVERWRITE, mode)
 
 
 def read_database(spark: SparkSession, database: str) -> Tables:
@@ -140,10 +178,8 @@ def read_warehouse(spark: SparkSession, folder: str) -> Tables:
     """The loaded tables; a filter on ``purchase_ym`` prunes months of the monthly ones."""
 
     def stored(name: str) -> DataFrame:
-        table = spark.read.parquet(f"{folder}/{name}")
-        if name not in STORED_EXTRAS:
-            return table
-        return table.withColumn(MONTH, F.col(MONTH).cast("string"))
+        path = f"{folder}/{name}"
+        return read_monthly(spark, path) if name in STORED_EXTRAS else spark.read.parquet(path)
 
     return Tables(**{name: partial(stored, name) for name in TABLE_NAMES})
 
@@ -156,9 +192,15 @@ def read_jdbc(
     split_column: str | None = None,
     bounds: tuple[object, object] | None = None,
     parts: int = 1,
+    single_task: bool = False,
 ) -> DataFrame:
-    """A table of a relational database, read in parallel slices of ``split_column``."""
+    """A table of a relational database, read in parallel slices of ``split_column``.
+
+    A table without a column to split by is read by one task, which has to be asked for.
+    """
     if split_column is None or bounds is None:
+        if not single_task:
+            raise ValueError("give split_column and bounds, or ask for single_task")
         return spark.read.jdbc(url, table, properties=properties)
     return spark.read.jdbc(
         url,
