@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallworks.llm.linking import linked_components
+from stallworks.llm.linking import linked_components, pairs_across
 from stallworks.llm.text import lists, mix, signed
 from stallworks.operators.ranking import written
 
@@ -249,9 +249,9 @@ def embedding_duplicates(
         "id", "s0", "s1", F.posexplode("cells").alias("place", "bucket")
     ).withColumn("own", F.col("place") < TABLES).drop("place")
     near = f"bit_count(x.s0 ^ y.s0) + bit_count(x.s1 ^ y.s1) <= {MOST_SIGNS_APART}"
-    found = linked_components(
-        members, lambda _: partial(_verified, chosen.select("id", "unit"), cosine), near, "x.own"
-    )
+    verify = partial(_verified, chosen.select("id", "unit"), cosine)
+    across = pairs_across(near, "x.own", verify)
+    found = linked_components(members, lambda _: (verify, across), near, "x.own")
     nodes = found.join(chosen.select("id", "unit", "weight"), "id")
     counts = _link_counts(nodes, cosine, block)
     by_class = (

@@ -1,9 +1,12 @@
 """Components of similar rows from candidate buckets, without all pairs of a bucket.
 
-First every row of a bucket is compared with the bucket's leader, its smallest id. Links found
-so join rows into components. Only buckets that still hold several components can hide a link
-that matters; their rows are compared across components, never within one. No bucket is
-capped, so every candidate pair is either verified or already connected.
+First every row of a bucket is compared with the bucket's leader. Links found so join rows
+into components. Only buckets that still hold several components can hide a link that
+matters; their rows are compared across components, never within one. No bucket is capped, so
+every candidate pair is verified, already connected, or ruled out by the caller's filter.
+
+Tables of leaders and of open buckets are written before they are joined: the join then
+shuffles both sides anew, and adaptive execution can split a hot bucket.
 """
 
 from __future__ import annotations
@@ -19,58 +22,88 @@ from stallworks.operators.ranking import written
 # Takes (a, b) id pairs and returns those that are linked.
 Verify = Callable[[DataFrame], DataFrame]
 
+# Takes rows (bucket, x, lead, component) of open buckets, ``lead`` being the id of the bucket's
+# leader, and returns the linked (a, b) pairs of different components that share a bucket.
+Across = Callable[[DataFrame], DataFrame]
+
+
+def pairs_across(filters: str, home: str, verify: Verify) -> Across:
+    """Pairs that pass the filter, then the check."""
+
+    def across(left: DataFrame) -> DataFrame:
+        right = left.select("bucket", F.col("x").alias("y"), F.col("component").alias("other"))
+        one_home = F.expr(home) | F.expr(home.replace("x.", "y."))
+        apart = left.join(right, "bucket").where(
+            F.expr("x.id < y.id AND component <> other") & one_home & F.expr(filters)
+        )
+        return verify(
+            apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        )
+
+    return across
+
 
 def linked_components(
-    members: DataFrame, prepare: Callable[[DataFrame], Verify], filters: str, home: str = "true"
+    members: DataFrame,
+    prepare: Callable[[DataFrame], tuple[Verify, Across]],
+    filters: str = "true",
+    home: str = "true",
+    central: bool = False,
 ) -> DataFrame:
     """``(id, component)`` of every id that is linked to another.
 
     ``members`` holds ``(bucket, id, ...)`` of all buckets. ``prepare`` is given the ids that may
-    be in a pair and returns the check of pairs of them. ``filters`` is a condition over the
-    columns of two rows ``x`` and ``y`` that linked pairs meet and others mostly fail. ``home``
-    is a condition over one row ``x``: only such rows lead, and one of every pair must be one.
+    be in a pair and returns the checks of pairs with a leader and of pairs without one.
+    ``filters`` is a condition over the columns of two rows ``x`` and ``y`` that linked pairs
+    meet. ``home`` is a condition over one row ``x``: only such rows lead. With ``central``
+    leaders are the rows that share most buckets with most rows, the centre of a family of
+    copies, and else the smallest ids.
     """
     rest = [c for c in members.columns if c != "bucket"]
     rows = members.select("bucket", F.struct(*rest).alias("x"))
-    leaders = (
-        rows.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.min(F.when(F.expr(home), F.col("x"))).alias("y"))
-        .where("n > 1 AND y IS NOT NULL")
-        .select("bucket", "y")
+    sizes = rows.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.max(F.expr(home).cast("int")).alias("led")
+    )
+    sizes = written(sizes.where("n > 1 AND led = 1").select("bucket", "n"))
+    shared = rows.join(sizes, "bucket")
+    if central:
+        shared = written(shared)
+        weights = written(
+            shared.groupBy(F.col("x.id").alias("__id")).agg((-F.sum("n")).alias("order"))
+        )
+        shared = shared.join(weights, F.col("x.id") == F.col("__id")).drop("__id")
+    else:
+        shared = shared.withColumn("order", F.lit(0))
+    shared = written(shared.drop("n"))
+    first_of = F.min(F.when(F.expr(home), F.struct("order", "x")))
+    leaders = written(
+        shared.groupBy("bucket").agg(first_of.alias("lead")).select("bucket", F.col("lead.x").alias("y"))
     )
-    shared = written(rows.join(leaders, "bucket"))
-    verify = prepare(shared.select("x.id").distinct())
-    stars = shared.where("x.id <> y.id").where(filters)
+    led = written(shared.drop("order").join(leaders, "bucket"))
+    verify, across = prepare(led.select("x.id").distinct())
+    stars = led.where("x.id <> y.id")
     first = written(
-        verify(stars.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+        verify(
+            stars.where(filters).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        )
     )
     found = components(first)
 
     named = found.withColumnRenamed("id", "__id")
     placed = written(
-        shared.select("bucket", "x", F.col("y.id").alias("lead"))
+        stars.select("bucket", "x", F.col("y.id").alias("lead"))
         .join(named, F.col("x.id") == F.col("__id"), "left")
         .withColumn("component", F.coalesce("component", "x.id"))
         .drop("__id")
     )
-    mixed = (
+    # Leaders have been compared with everyone, so buckets are open among the others.
+    still_open = written(
         placed.groupBy("bucket")
         .agg(F.min("component").alias("least"), F.max("component").alias("most"))
         .where("least < most")
         .select("bucket")
     )
-    # Pairs with the leader have been compared.
-    left = written(
-        placed.where("x.id <> lead").drop("lead").join(mixed, "bucket", "left_semi")
-    )
-    right = left.withColumnsRenamed({"x": "y", "component": "other"})
-    one_home = F.expr(home) | F.expr(home.replace("x.", "y."))
-    apart = left.join(right, "bucket").where(
-        F.expr("x.id < y.id AND component <> other") & one_home & F.expr(filters)
-    )
-    second = written(
-        verify(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    )
+    second = written(across(written(placed.join(still_open, "bucket", "left_semi"))))
     if second.isEmpty():
         return found
     return components(first.unionAll(second))

@@ -9,8 +9,11 @@ similarity 0.8 shares no band with probability 3e-6.
 
 Equal sets (128-bit digest) are one class from the start and only their smallest id is banded.
 Rows sharing a band are linked by ``linking.linked_components``; each link is confirmed on
-the full sets of 64-bit shingle hashes, built again from the text for candidates only. Components
-are found by union over the confirmed links (large and small stars).
+the full sets of 64-bit shingle hashes, built again from the text for candidates only. Pairs
+without a bucket's leader are confirmed by their differences from it, which are short in
+a family of copies: sets x and y differ in as many shingles as their differences from the
+leader do, so the condition is exact and only links leave the join. Components are found by
+union over the confirmed links (large and small stars).
 
 Defined cases: NULL and empty texts have an empty set and are linked with nothing; texts with
 fewer than k words have their whole sequence as one shingle; rows without doc_id are linked
@@ -63,8 +66,9 @@ def super_minhash(elements: np.ndarray, owner: np.ndarray, docs: int, slots: int
                 break
             elements, owner = elements[going], owner[going]
             if order is None:
-                order = np.empty((len(elements), slots), dtype=np.uint16)
-                order[:] = np.arange(slots, dtype=np.uint16)
+                kind = np.uint8 if slots <= 256 else np.uint16
+                order = np.empty((len(elements), slots), dtype=kind)
+                order[:] = np.arange(slots, dtype=kind)
                 rows = np.arange(len(elements))
                 order[rows, slot[going]] = 0
                 order[:, 0] = slot[going]
@@ -147,6 +151,37 @@ def _confirmed(sets: DataFrame, percent: int, pairs: DataFrame) -> DataFrame:
     )
 
 
+def _across(sets: DataFrame, percent: int, rows: DataFrame) -> DataFrame:
+    """Links between components of a bucket, from differences to its leader."""
+    left = sets.select(F.col("id").alias("a"), F.col("elements").alias("of_a"))
+    right = sets.select(F.col("id").alias("b"), F.col("elements").alias("of_b"))
+    pairs = rows.select(F.col("x.id").alias("a"), F.col("lead").alias("b")).distinct()
+    apart = F.concat(F.array_except("of_a", "of_b"), F.array_except("of_b", "of_a"))
+    differences = written(
+        pairs.join(left, "a").join(right, "b").select("a", "b", apart.alias("apart"))
+    )
+    x = written(
+        rows.join(differences, (F.col("x.id") == F.col("a")) & (F.col("lead") == F.col("b"))).select(
+            "bucket",
+            F.struct("x.id", "x.n_shingles", "component", "apart", F.size("apart").alias("n")).alias("x"),
+        )
+    )
+    y = x.withColumnRenamed("x", "y")
+    sizes = "(x.n_shingles + y.n_shingles)"
+
+    def within(differing: str) -> str:
+        return f"100 * ({sizes} - {differing}) >= {percent} * ({sizes} + {differing})"
+
+    # Two differences cannot be closer than their sizes are; most pairs end there.
+    between = "(x.n + y.n - 2 * size(array_intersect(x.apart, y.apart)))"
+    linked = x.join(y, "bucket").where(
+        F.expr("x.id < y.id AND x.component <> y.component")
+        & F.expr(within("abs(x.n - y.n)"))
+        & F.expr(within(between))
+    )
+    return linked.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     k: int = SHINGLE_WORDS,
@@ -175,11 +210,13 @@ def near_duplicates(
 
     def prepare(ids: DataFrame):
         wanted = narrow.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-        sets = wanted.mapInArrow(partial(_set_rows, k=k), "id long, elements array<long>")
-        return partial(_confirmed, written(sets), percent)
+        sets = written(
+            wanted.mapInArrow(partial(_set_rows, k=k), "id long, elements array<long>")
+        )
+        return partial(_confirmed, sets, percent), partial(_across, sets, percent)
 
     close = f"least(x.n_shingles, y.n_shingles) * 100 >= {percent} * greatest(x.n_shingles, y.n_shingles)"
-    found = linked_components(members, prepare, close)
+    found = linked_components(members, prepare, close, central=True)
     by_class = classes.join(
         found.withColumnRenamed("id", "rep"), "rep", "left"
     ).select("digest", F.coalesce("component", "rep").alias("component_id"))
