@@ -40,21 +40,22 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
+    """Where this application keeps what it writes for itself."""
     return f"{shared_folder(spark)}/stallworks/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and continue from there."""
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def remove_written(spark: SparkSession) -> None:
     """Delete what this application has written with ``written``; only after results are taken."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

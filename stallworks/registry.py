@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from stallworks.functions.expressions import clock_text, money, month_label, month_start
 from stallworks.operators import checks, cleaning, grain
-from stallworks.operators.ranking import shared_folder
+from stallworks.operators.ranking import own_folder
 from stallworks.plans import (
     business,
     customers,
@@ -265,7 +265,7 @@ def _cleaned(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/stallworks/{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
