@@ -211,7 +211,8 @@ def _cuts(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame
             "high long, low int, doc_id long, text_key long, at int",
         )
     )
-    index = (
+    # Written, so that the join below shuffles both sides anew and can split a hot block.
+    index = written(
         blocks.groupBy("high", "low")
         .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
         .where("least < most")
