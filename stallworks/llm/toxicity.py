@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from stallworks.llm.sampling import labelled_sample
 from stallworks.llm.text import NOT_LETTER, lists, mix, span_hashes, spans, text_blocks
 
-FIT_ROWS = 8_000
+FIT_ROWS = 5_000
 VOTERS = 400
 CLEAN_FEATURES = 50
 PATTERN_BYTES = (4, 5, 6)
@@ -91,9 +91,12 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _chosen(ids: np.ndarray, rows: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Voter features and clean features, by the difference of their rates in standard errors."""
-    known, place = np.unique(ids, return_inverse=True)
-    hits = np.bincount(place, weights=toxic[rows], minlength=len(known))
-    misses = np.bincount(place, minlength=len(known)) - hits
+    of_toxic = toxic[rows] > 0
+    known, total = np.unique(ids, return_counts=True)
+    met, n_met = np.unique(ids[of_toxic], return_counts=True)
+    hits = np.zeros(len(known))
+    hits[np.searchsorted(known, met)] = n_met
+    misses = total - hits
     n_hit, n_miss = toxic.sum(), len(toxic) - toxic.sum()
     rate = (hits + misses + 1) / (len(toxic) + 2)
     gap = hits / n_hit - misses / n_miss
