@@ -11,7 +11,8 @@ Seeds of the benchmark are broadcast while the benchmark is small (checked by co
 words); larger ones are joined by shuffle. Words compare without regard to A-Z case.
 
 Defined cases: NULL or empty texts match nothing; a NULL doc_id is an id like any other;
-rows that share an id share its decision; repeated items are matched each; input columns
+a NULL item_id too; rows that share an id share its decision; items that share an id are
+matched each and reported as one; input columns
 beyond doc_id and text are never touched.
 """
 
@@ -92,7 +93,9 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.slice("item_words", F.col("item_from") + 1, F.size("piece")),
         lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"),
     )
-    compared = aligned.join(sent(bench), "item_id").withColumn("equal", equal)
+    named = sent(bench.withColumnRenamed("item_id", "__item"))
+    same_item = F.col("item_id").eqNullSafe(F.col("__item"))
+    compared = aligned.join(named, same_item).withColumn("equal", equal)
     width = F.least(F.lit(WINDOW), F.size("item_words"))
     needed = width - F.floor(width * MISMATCHES / WINDOW)
     proven = F.exists(
