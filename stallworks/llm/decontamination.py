@@ -2,7 +2,8 @@
 
 A mask looks at six word positions and ignores those between them. The two masks below
 together hit every stretch of 13 aligned words in which any two are substituted (all 78
-pairs of places are covered; a test enumerates them). Each hit fixes an alignment of a
+pairs of places are covered) and every 9 to 12 in which any one is; a test enumerates both.
+Each hit fixes an alignment of a
 document with an item; the aligned words are compared, and the document is contaminated if
 13 consecutive aligned words differ in at most two places. Items of 9 to 12 words must align
 whole with at most one difference; shorter ones prove nothing and are never matched.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from stallworks.llm.text import lower_ascii, words
 
-MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 6, 7, 8))
+MASKS = ((0, 1, 3, 4, 5, 6), (0, 1, 2, 4, 7, 8))
 WINDOW = 13
 MISMATCHES = 2
 SHORTEST_ITEM = 9

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stallworks.llm import queries, statements
 from stallworks.llm.components import components
-from stallworks.llm.decontamination import MASKS, WINDOW, decontaminated, overlaps
+from stallworks.llm.decontamination import MASKS, SHORTEST_ITEM, WINDOW, decontaminated, overlaps
 from stallworks.llm.mixing import fair_mix
 from stallworks.llm.near_dedup import deduplicated, near_duplicates
 from stallworks.llm.substring_dedup import removed_spans, without_repeats
@@ -143,6 +143,28 @@ def test_masks_reach_every_window_with_two_substitutions():
         )
 
 
+def test_masks_reach_every_short_item_with_one_substitution():
+    for n in range(SHORTEST_ITEM, WINDOW):
+        for place in range(n):
+            assert any(
+                place not in {at + m for m in mask} for mask in MASKS for at in range(n - mask[-1])
+            ), (n, place)
+
+
+def test_short_items_with_any_one_word_substituted(spark):
+    """In mid-text, where no seed of a document ends with the item."""
+    items = [(n, " ".join(f"i{n}w{at}" for at in range(n))) for n in range(SHORTEST_ITEM, WINDOW)]
+    docs = []
+    for n, text in items:
+        for place in range(n):
+            w = text.split()
+            w[place] = "other"
+            docs.append((100 * n + place, " ".join(["before"] * 3 + w + ["after"] * 3)))
+    found = overlaps(table(spark, docs), table(spark, items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.matched_words for r in found.collect()}
+    assert got == {(d, d // 100): d // 100 - 1 for d, _ in docs}
+
+
 def test_decontamination(spark):
     rng, vocab = random.Random(3), vocabulary(3)
     items = [(i, " ".join(rng.choices(vocab, k=n))) for i, n in enumerate([40, 25, 13, 12, 9, 8, 3])]
