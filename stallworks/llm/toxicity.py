@@ -3,7 +3,9 @@
 Tokens are runs of letters with A-Z lower-cased. Voters are induced from a bounded sample of
 labelled rows: lexicon voters fire on a whole token, pattern voters on the first four to six
 bytes of a longer token; both are picked for occurring in toxic rows far more often than
-chance allows. A voter that does not fire abstains from "toxic".
+chance allows. A voter that does not fire abstains from "toxic". Features are counted on the
+executors; the driver receives the picked ones and which rows hold them, whatever the length
+of the texts.
 
 The label model treats the true class as hidden. Expectation maximisation estimates how
 often each voter fires in either class, and from the votes that the classes leave unexplained the
@@ -32,8 +34,9 @@ from pyspark.sql import types as T
 
 from stallworks.llm.sampling import labelled_sample
 from stallworks.llm.text import NOT_LETTER, lists, mix, span_hashes, spans, text_blocks
+from stallworks.operators.ranking import written
 
-FIT_ROWS = 5_000
+FIT_ROWS = 8_000
 VOTERS = 400
 CLEAN_FEATURES = 50
 PATTERN_BYTES = (4, 5, 6)
@@ -89,23 +92,34 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _chosen(ids: np.ndarray, rows: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _chosen(sample: DataFrame, n_hit: int, n_miss: int) -> tuple[np.ndarray, np.ndarray]:
     """Voter features and clean features, by the difference of their rates in standard errors."""
-    of_toxic = toxic[rows] > 0
-    known, total = np.unique(ids, return_counts=True)
-    met, n_met = np.unique(ids[of_toxic], return_counts=True)
-    hits = np.zeros(len(known))
-    hits[np.searchsorted(known, met)] = n_met
-    misses = total - hits
-    n_hit, n_miss = toxic.sum(), len(toxic) - toxic.sum()
-    rate = (hits + misses + 1) / (len(toxic) + 2)
-    gap = hits / n_hit - misses / n_miss
-    z = gap / np.sqrt(rate * (1 - rate) * (1 / n_hit + 1 / n_miss))
-    good = np.flatnonzero((z >= LEAST_Z) & (hits >= LEAST_ROWS) & (hits / n_hit > 3 * misses / n_miss))
-    voters = good[np.argsort(-z[good], kind="stable")][:VOTERS]
-    clean = np.argsort(z, kind="stable")[:CLEAN_FEATURES]
-    clean = np.setdiff1d(clean[z[clean] < -LEAST_Z], voters)
-    return known[voters], known[clean]
+    counted = (
+        sample.select((F.col("toxic") > 0).cast("long").alias("hit"), F.explode("ids").alias("id"))
+        .groupBy("id")
+        .agg(F.sum("hit").alias("hits"), F.sum(1 - F.col("hit")).alias("misses"))
+    )
+    hits, misses = F.col("hits"), F.col("misses")
+    rate = (hits + misses + 1) / (n_hit + n_miss + 2)
+    error = F.sqrt(rate * (1 - rate) * (1 / n_hit + 1 / n_miss))
+    # Written, as both picks below read the counts.
+    z = written(
+        counted.select(
+            F.expr("pmod(CAST(id AS BIGINT), 4294967296)").alias("id"),
+            "hits",
+            "misses",
+            ((hits / n_hit - misses / n_miss) / error).alias("z"),
+        )
+    )
+    often = (hits >= LEAST_ROWS) & (hits / n_hit > 3 * misses / n_miss)
+    good = z.where((F.col("z") >= LEAST_Z) & often)
+    least = z.where(F.col("z") < -LEAST_Z)
+
+    def first(rows: DataFrame, order, n: int) -> np.ndarray:
+        return np.array([r.id for r in rows.orderBy(order, "id").limit(n).collect()], dtype=np.uint32)
+
+    voters = first(good, F.col("z").desc(), VOTERS)
+    return voters, np.setdiff1d(first(least, F.col("z"), CLEAN_FEATURES), voters)
 
 
 def _matrix(ids: np.ndarray, rows: np.ndarray, n: int, features: np.ndarray) -> np.ndarray:
@@ -170,9 +184,10 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = RIDGE) -> tuple[n
     return w[:-1], float(w[-1])
 
 
-def fit(ids: np.ndarray, rows: np.ndarray, toxic: np.ndarray) -> Model:
-    """A classifier from sparse ``(feature, row)`` pairs and the rows' labels."""
-    voters, clean = _chosen(ids, rows, toxic)
+def fit(
+    ids: np.ndarray, rows: np.ndarray, toxic: np.ndarray, voters: np.ndarray, clean: np.ndarray
+) -> Model:
+    """A classifier from the rows' labels and the sparse ``(feature, row)`` pairs of the features."""
     n = len(toxic)
     posterior, _ = label_posterior(_matrix(ids, rows, n, voters).astype(np.float64), toxic)
     features = np.concatenate([voters, clean])
@@ -182,21 +197,28 @@ def fit(ids: np.ndarray, rows: np.ndarray, toxic: np.ndarray) -> Model:
 
 
 def fitted(texts: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    sample = (
+    # Written, as counts and votes both read it.
+    sample = written(
         labelled_sample(texts, labels, "toxic", fit_rows)
         .select(F.xxhash64("doc_id").alias("k"), "text", F.col("toxic").cast("int"))
         .mapInArrow(_sampled, "k long, toxic int, ids array<int>")
+    )
+    n, n_hit = sample.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
+    if n_hit in (0, n):
+        share = np.clip(n_hit / n if n else 0.0, 1e-9, 1 - 1e-9)
+        return Model(np.zeros(0, dtype=np.uint32), np.zeros(0), float(np.log(share / (1 - share))))
+    voters, clean = _chosen(sample, n_hit, n - n_hit)
+    features = np.concatenate([voters, clean]).view(np.int32).tolist()
+    picked = F.lit(features) if features else F.lit([]).cast("array<int>")
+    votes = (
+        sample.select("k", "toxic", F.array_intersect("ids", picked).alias("ids"))
         .toPandas()
         .sort_values(["k", "toxic"], kind="stable")
     )
-    toxic = (sample["toxic"].to_numpy() > 0).astype(np.float64)
-    none = np.zeros(0, dtype=np.uint32)
-    if len(toxic) == 0 or toxic.min() == toxic.max():
-        share = np.clip(toxic.mean() if len(toxic) else 0.0, 1e-9, 1 - 1e-9)
-        return Model(none, np.zeros(0), float(np.log(share / (1 - share))))
-    each = [np.asarray(x, dtype=np.int32).view(np.uint32) for x in sample["ids"]]
+    toxic = (votes["toxic"].to_numpy() > 0).astype(np.float64)
+    each = [np.asarray(x, dtype=np.int32).view(np.uint32) for x in votes["ids"]]
     rows = np.repeat(np.arange(len(each)), [len(x) for x in each])
-    return fit(np.concatenate(each) if each else none, rows, toxic)
+    return fit(np.concatenate(each), rows, toxic, voters, clean)
 
 
 def scores(data: np.ndarray, offsets: np.ndarray, model: Model, lookup: np.ndarray) -> np.ndarray:

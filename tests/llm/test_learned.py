@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stallworks.llm import embedding_dedup as vectors
-from stallworks.llm import queries
+from stallworks.llm import queries, toxicity
 from stallworks.llm.embedding_dedup import embedding_duplicates
 from stallworks.llm.language_id import identified
 from stallworks.llm.near_dedup import band_hashes, super_minhash
@@ -28,6 +28,9 @@ ODD = [
 ]
 
 
+DIGITS = str.maketrans("0123456789", "ghijklmnop")  # only letters make a token
+
+
 def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
@@ -154,6 +157,29 @@ def test_label_model_recovers_accuracies():
     assert damp[0] == pytest.approx(1 / 3, abs=0.05) and damp[1] > 0.7
 
 
+def test_toxicity_fits_on_all_rows_but_only_on_picked_features(spark, monkeypatch):
+    """6,000 labelled rows of words that are mostly met once, and 30 that tell the classes apart."""
+    seen, fit = [], toxicity.fit
+
+    def spy(ids, rows, toxic, *picked):
+        seen.append((ids, toxic))
+        return fit(ids, rows, toxic, *picked)
+
+    monkeypatch.setattr(toxicity, "fit", spy)
+    data = [
+        (i, " ".join(f"{'xy'[i % 2]}{chr(97 + (i // 2 + j) % 15)}" for j in range(2))
+            + "".join(f" w{chr(97 + i % 26)}{hex(i * 40 + j)[2:].translate(DIGITS)}" for j in range(40)), i % 2)
+        for i in range(6000)
+    ]
+    docs = frame(spark, data, "doc_id long, text string, toxic int")
+    scored = toxicity_scores(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert scored.join(docs, "doc_id").where("predicted <> toxic").count() == 0
+    ((ids, toxic),) = seen
+    assert len(toxic) == 6000
+    assert len(np.unique(ids)) <= toxicity.VOTERS + toxicity.CLEAN_FEATURES
+    assert len(ids) < 20 * 6000
+
+
 LEARNED = (
     (toxicity_scores, "toxic"),
     (quality_scores, "quality"),
