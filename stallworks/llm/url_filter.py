@@ -8,11 +8,15 @@ components of these edges. Within a component an explicit allow overrides any bl
 component without a decision is allowed.
 
 Addresses are first mapped to their plain form, which settles the last kind of edge without
-a graph; only redirect and canonical links are left as edges, over plain forms.
+a graph; only redirect and canonical links are left as edges, over plain forms. Pages may
+declare several; relative ones are resolved against the first ``<base href>``, or else the url,
+of their page.
 
 Defined cases: a NULL url, or one without ``://``, has an empty host and path, fits no rule
-and is allowed; equal URLs are judged once and share their verdict; links that are relative,
-empty or lack ``://`` are ignored; input columns named like an output column are replaced.
+and is allowed; equal URLs are judged once and share their verdict; declared links that are empty,
+of a scheme without ``//`` (``mailto:``), or relative on a page without an absolute url are
+ignored, as are known links that lack ``://``; input columns named like an output column are
+replaced.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ from pyspark.sql import functions as F
 
 from stallworks.llm.components import components
 from stallworks.llm.text import lower_ascii
+from stallworks.operators.ranking import written
 
 # (verdict, host, path)
 Rule = tuple[str, str, str]
 
 _CANONICAL = r"(?i)<link\b[^>]*\brel=[\"']?canonical\b[^>]*>"
 _REFRESH = r"(?i)<meta\b[^>]*\bhttp-equiv=[\"']?refresh\b[^>]*>"
+_BASE = r"(?i)<base\b[^>]*\bhref=[^>]*>"
 _HREF = r"(?i)\bhref=[\"']?([^\"'\s>]+)"
 _TARGET = r"(?i)\burl=[\"']?([^\"'\s>;]+)"
 
@@ -54,13 +60,58 @@ def plain_form(url: Column) -> Column:
     return F.when(F.locate("://", url) > 0, F.concat(host_of(url), path))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that starts with a slash, with its ``.`` and ``..`` segments carried out."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, part: F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+        .when(part == ".", done)
+        .otherwise(F.concat(done, F.array(part))),
+    )
+    closing = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.array_join(kept, "/"), closing)
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """``target`` as an address with ``://``, seen from ``base``; NULL where there is none."""
+    scheme = F.regexp_extract(base, r"^([^/?#]*:)//", 1)
+    site = F.regexp_extract(base, r"^[^/?#]*://[^/?#]*", 0)
+    path = F.regexp_extract(base, r"^[^/?#]*://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_extract(base, r"^[^/?#]*://[^/?#]*([^?#]*/)?", 1)
+    named = F.regexp_extract(target, r"^[^?#]*", 0)
+    rest = F.regexp_extract(target, r"[?#].*", 0)
+    rooted = F.when(named.startswith("/"), named).otherwise(
+        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), named)
+    )
+    whole = F.when(named == "", path).otherwise(_without_dots(rooted))
+    return (
+        F.when(target == "", F.lit(None))
+        .when(target.rlike(r"^[^/?#]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None))
+        .when(site == "", F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .otherwise(F.concat(site, whole, rest))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """Redirect and canonical edges ``(url, target)`` that the pages themselves declare."""
-    tag = F.regexp_extract("html", _CANONICAL, 0)
-    refresh = F.regexp_extract("html", _REFRESH, 0)
-    targets = F.array(F.regexp_extract(tag, _HREF, 1), F.regexp_extract(refresh, _TARGET, 1))
-    return pages.select("url", F.explode(targets).alias("target")).where(
-        F.locate("://", F.col("target")) > 0
+
+    def declared(tag: str, target: str) -> Column:
+        return F.transform(
+            F.regexp_extract_all("html", F.lit(tag), F.lit(0)),
+            lambda found: F.regexp_extract(found, target, 1),
+        )
+
+    named = F.regexp_extract(F.regexp_extract("html", _BASE, 0), _HREF, 1)
+    targets = F.concat(declared(_CANONICAL, _HREF), declared(_REFRESH, _TARGET))
+    return (
+        pages.select("url", F.explode(targets).alias("target"), named.alias("named"))
+        .select("url", "target", F.coalesce(resolved(F.col("url"), F.col("named")), "url").alias("base"))
+        .select("url", resolved(F.col("base"), F.col("target")).alias("target"))
+        .where("target IS NOT NULL")
     )
 
 
@@ -105,7 +156,8 @@ def url_verdicts(
     ``links`` holds known redirect edges ``(url, target)``; those the pages declare in
     ``html`` are added if that column is there.
     """
-    declared = page_links(pages) if "html" in pages.columns else None
+    # Written, as several plans below read the links: pages are searched for tags once.
+    declared = written(page_links(pages)) if "html" in pages.columns else None
     edges = [df.select("url", "target") for df in (links, declared) if df is not None]
     named = pages.select("url")
     graph = None

@@ -282,6 +282,36 @@ def test_url_aliases_take_decisions(spark):
     assert verdicts(spark, []) == []
 
 
+def test_url_links_of_every_tag_and_form(spark):
+    def to(*targets):
+        return "".join(f'<link rel="canonical" href="{t}">' for t in targets)
+
+    def hop(*targets):
+        return "".join(f'<meta http-equiv="refresh" content="0; url={t}">' for t in targets)
+
+    blocked = [
+        ("https://a.net/1", to("https://x.net/none", "https://bad.org/1")),  # the second tag
+        ("https://a.net/2", hop("https://x.net/none2", "https://bad.org/2")),
+        ("https://bad.org/x/3", to("/y/3?q#f")), ("https://a.net/3", hop("//bad.org/y/3")),
+        ("https://b.net/d/e/4.html?u=/v/", to("../f/./4")), ("https://b.net/d/f/4", to("//bad.org/4")),
+        ("https://c.net", hop("five")), ("http://c.net/five", hop("//bad.org/5")),
+        ("https://d.net/a/6?x=1", to("?x=2") + hop("//bad.org/6")),
+        ("https://e.net/7", '<base href="//bad.org/in/">' + to("7")),
+        ("https://f.net/8", to("/go?to=https://x.net/none3", "/../9")), ("https://f.net/9", hop("//bad.org/9")),
+    ]
+    free = [
+        ("https://g.net/1", to("mailto:a@bad.org", "javascript:void(0)", "#top", "", "g2")),
+        ("https://g.net/g2", None),
+        ("no scheme", to("/1")),
+        (None, to("/1")),
+        ("https://x.net/none3", None),
+    ]
+    got = verdicts(spark, blocked + free)
+    assert [v for _, v in got[: len(blocked)]] == [
+        "block" for _ in blocked
+    ] and [v for _, v in got[len(blocked) :]] == ["allow" for _ in free]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 3000), rng.randint(0, 3000)) for _ in range(1500)]
