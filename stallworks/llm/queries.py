@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stallworks.llm import statements
+from stallworks.llm.collocations import collocations
 from stallworks.llm.decontamination import overlaps
 from stallworks.llm.embedding_dedup import embedding_duplicates
 from stallworks.llm.language_id import identified
@@ -16,6 +17,8 @@ from stallworks.llm.mixing import fair_mix
 from stallworks.llm.near_dedup import near_duplicates
 from stallworks.llm.quality import quality_scores
 from stallworks.llm.sampling import fold
+from stallworks.llm.secret_scan import BASE_KINDS, secret_spans, written_out
+from stallworks.llm.source_audit import source_divergence
 from stallworks.llm.substring_dedup import removed_spans
 from stallworks.llm.token_counts import model_path, token_counts
 from stallworks.llm.toxicity import toxicity_scores
@@ -87,6 +90,29 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_read(spark, sf_dir, "documents"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(number, BASE_KINDS),
+        F.sha2(written_out(base), 256).alias("base_sha256"),
+        written_out(F.col("spans")).alias("spans"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -100,6 +126,9 @@ QUERIES: dict[str, Query] = {
         op8_url_filter,
         op9_substrings,
         op10_embeddings,
+        op11_source_divergence,
+        op12_secrets,
+        op13_collocations,
     )
 }
 

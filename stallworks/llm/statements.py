@@ -216,6 +216,94 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least, vec_id) AS component_i
 FROM vector LEFT JOIN degree ON a = vec_id LEFT JOIN component ON node = vec_id
 """
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+# Every kept term in every group, also where it does not occur.
+SOURCE_DIVERGENCE = rf"""
+WITH doc AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), {_LOWER}),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), met AS (
+    SELECT d, lang, source, unnest(terms) AS term FROM doc
+), kept AS (
+    SELECT lang, term, count(*) AS n FROM met GROUP BY lang, term HAVING count(DISTINCT d) >= 3
+), grp AS (
+    SELECT DISTINCT lang, source FROM doc
+), counted AS (
+    SELECT lang, source, term, count(*) AS n FROM met GROUP BY lang, source, term
+), cell AS (
+    SELECT kept.lang, grp.source, kept.term, coalesce(counted.n, 0)::HUGEINT AS n, kept.n AS of_lang
+    FROM kept JOIN grp ON kept.lang = grp.lang
+    LEFT JOIN counted ON counted.lang = kept.lang AND counted.source = grp.source
+        AND counted.term = kept.term
+), scaled AS (
+    SELECT lang, source, term, n,
+        1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source)
+            + count(*) OVER (PARTITION BY lang, source)) AS p,
+        1 + (1000000000 * (of_lang + 1)::HUGEINT) // (sum(of_lang) OVER (PARTITION BY lang, source)
+            + count(*) OVER (PARTITION BY lang, source)) AS q
+    FROM cell
+), pair AS (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+    FROM scaled AS x JOIN scaled AS y ON x.lang = y.lang AND x.term = y.term
+    WHERE x.source <> y.source GROUP BY x.lang, x.source, y.source
+), figure AS (
+    SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+    FROM grp AS x JOIN grp AS y ON x.lang = y.lang AND x.source <> y.source
+    LEFT JOIN pair ON pair.lang = x.lang AND pair.source = x.source AND pair.item = y.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM scaled WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+    FROM figure
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+COLLOCATIONS = rf"""
+WITH piece AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+            translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+), place AS (
+    SELECT lang, w, unnest(range(1, len(w) + 1)) AS at FROM piece
+), phrase AS (
+    SELECT lang, size, array_to_string(list_slice(w, at, at + size - 1), ' ') AS phrase,
+        count(*) AS f, any_value(list_slice(w, at, at + size - 1)) AS w
+    FROM place, (VALUES (1), (2), (3), (4)) AS sizes(size)
+    WHERE at + size - 1 <= len(w) GROUP BY ALL
+), total AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM phrase WHERE size = 1 GROUP BY lang
+), candidate AS (
+    SELECT lang, phrase, w, size, f AS a FROM phrase WHERE size > 1 AND f >= 30
+), cut AS (
+    SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r,
+        (2000000 * c.a::HUGEINT // (x.f + y.f))::BIGINT AS score
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM candidate) AS c
+    JOIN phrase AS x ON x.lang = c.lang AND x.size = k
+        AND x.phrase = array_to_string(list_slice(c.w, 1, k), ' ')
+    JOIN phrase AS y ON y.lang = c.lang AND y.size = c.size - k
+        AND y.phrase = array_to_string(list_slice(c.w, k + 1, c.size), ' ')
+), scored AS (
+    SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+    SELECT lang, array_to_string(list_slice(w, at, at + part - 1), ' ') AS phrase, max(a) AS longer
+    FROM (SELECT *, unnest(range(1, size - part + 2)) AS at FROM (
+        SELECT *, unnest(range(2, size)) AS part FROM candidate))
+    GROUP BY ALL
+), ranked AS (
+    SELECT scored.*, row_number() OVER (
+        PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM scored LEFT JOIN inside USING (lang, phrase)
+    WHERE longer IS NULL OR 100 * longer < 80 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 STATEMENTS: dict[str, str] = {
     "op1_decontamination": DECONTAMINATION,
     "op3_mixing": MIXING,
@@ -223,4 +311,6 @@ STATEMENTS: dict[str, str] = {
     "op8_url_filter": URL_FILTER,
     "op9_substrings": SUBSTRINGS,
     "op10_embeddings": EMBEDDINGS,
+    "op11_source_divergence": SOURCE_DIVERGENCE,
+    "op13_collocations": COLLOCATIONS,
 }

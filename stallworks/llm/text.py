@@ -81,7 +81,9 @@ def _first_powers(n: int) -> np.ndarray:
     return _POWERS[:n] if n <= len(_POWERS) else powers(_BASE, n)
 
 
-def text_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_blocks(
+    column: pa.Array, block_bytes: int = BLOCK_BYTES
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive rows; NULL is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -96,7 +98,7 @@ def text_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        stop = int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, side="right")) - 1
+        stop = int(np.searchsorted(offsets, offsets[row] + block_bytes, side="right")) - 1
         stop = min(max(stop, row + 1), len(column))
         yield row, whole[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
         row = stop
