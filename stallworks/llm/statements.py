@@ -270,12 +270,12 @@ WITH piece AS (
             translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\x0A-\x0D]')) AS piece
         FROM documents)
 ), place AS (
-    SELECT lang, w, unnest(range(1, len(w) + 1)) AS at FROM piece
+    SELECT lang, w, unnest(range(1, len(w) + 1)) AS pos FROM piece
 ), phrase AS (
-    SELECT lang, size, array_to_string(list_slice(w, at, at + size - 1), ' ') AS phrase,
-        count(*) AS f, any_value(list_slice(w, at, at + size - 1)) AS w
+    SELECT lang, size, array_to_string(list_slice(w, pos, pos + size - 1), ' ') AS phrase,
+        count(*) AS f, any_value(list_slice(w, pos, pos + size - 1)) AS w
     FROM place, (VALUES (1), (2), (3), (4)) AS sizes(size)
-    WHERE at + size - 1 <= len(w) GROUP BY ALL
+    WHERE pos + size - 1 <= len(w) GROUP BY ALL
 ), total AS (
     SELECT lang, sum(f)::BIGINT AS n FROM phrase WHERE size = 1 GROUP BY lang
 ), candidate AS (
@@ -291,8 +291,8 @@ WITH piece AS (
 ), scored AS (
     SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 ), inside AS (
-    SELECT lang, array_to_string(list_slice(w, at, at + part - 1), ' ') AS phrase, max(a) AS longer
-    FROM (SELECT *, unnest(range(1, size - part + 2)) AS at FROM (
+    SELECT lang, array_to_string(list_slice(w, pos, pos + part - 1), ' ') AS phrase, max(a) AS longer
+    FROM (SELECT *, unnest(range(1, size - part + 2)) AS pos FROM (
         SELECT *, unnest(range(2, size)) AS part FROM candidate))
     GROUP BY ALL
 ), ranked AS (
