@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallworks.llm.double_array import ROOT, DoubleArray, double_array
-from stallworks.llm.terms import COUNT_BLOCK_BYTES, encoded, runs, utf8
+from stallworks.llm.terms import encoded, runs, utf8
 from stallworks.llm.text import mix, signed, span_hashes, text_blocks
 from stallworks.operators.ranking import written
 
@@ -48,6 +48,9 @@ ROUND_BYTES = 48 << 20
 # A trie takes about so many bytes for each byte of its phrases.
 _TRIE_FACTOR = 16
 _CHUNK_BITS = 1 << 15  # of Spark's bitmap functions
+# Texts are worked on in blocks of so many bytes, and leave in batches of so many rows.
+_BLOCK_BYTES = 4 << 20
+_ROWS = 1 << 16
 
 _U64 = np.uint64
 # What ends a piece, and what parts words.
@@ -96,19 +99,26 @@ def _lang_hashes(langs: pa.Array) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Positions]]:
     for batch in batches:
         row_lang, langs = encoded(batch.column("lang"))
-        for row, data, offsets in text_blocks(batch.column("text"), COUNT_BLOCK_BYTES):
+        for row, data, offsets in text_blocks(batch.column("text"), _BLOCK_BYTES):
             yield langs, Positions(data, offsets, row_lang[row : row + len(offsets) - 1])
 
 
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for row in range(0, batch.num_rows, _ROWS):
+        yield batch.slice(row, _ROWS)
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for langs, at in _blocks(batches):
         cells, n = np.unique(at.lang * len(at.words) + at.codes, return_counts=True)
         if not len(cells):
             continue
         lang, code = np.divmod(cells, len(at.words))
-        yield pa.RecordBatch.from_arrays(
-            [langs.take(pa.array(lang)), at.words.take(pa.array(code)), pa.array(n, pa.int64())],
-            ["lang", "phrase", "n"],
+        yield from _sliced(
+            pa.RecordBatch.from_arrays(
+                [langs.take(pa.array(lang)), at.words.take(pa.array(code)), pa.array(n, pa.int64())],
+                ["lang", "phrase", "n"],
+            )
         )
 
 
@@ -143,19 +153,31 @@ def _pair_counts(bitmap: Broadcast, k: int):
             prefix, last = shorter[place], words[place + k - 1]
             both = longer_hashes(prefix, last)
             _, first, n = np.unique(both, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(signed(prefix[first])),
-                    pa.array(signed(last[first])),
-                    pa.array(signed(both[first])),
-                    pa.array(n, pa.int64()),
-                ],
-                ["prefix", "last", "hash", "n"],
+            yield from _sliced(
+                pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(signed(prefix[first])),
+                        pa.array(signed(last[first])),
+                        pa.array(n, pa.int64()),
+                    ],
+                    ["prefix", "last", "n"],
+                )
             )
 
     return run
 
 
+def _with_longer_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prefix, last = [
+            batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("prefix", "last")
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("lang"), batch.column("phrase"), pa.array(signed(longer_hashes(prefix, last)))],
+            ["lang", "phrase", "hash"],
+        )
+
+
 def _bitmap(phrases: DataFrame) -> np.ndarray:
     """One bit per hash, set on the executors; the driver puts chunks of 4 KB together."""
     bit = F.col("hash").bitwiseAND(F.lit(BITMAP_BITS - 1))
@@ -197,9 +219,9 @@ def candidates(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame,
         sent = spark.sparkContext.broadcast(_bitmap(shorter))
         often = written(
             _texts(docs)
-            .mapInArrow(_pair_counts(sent, k), "prefix long, last long, hash long, n long")
+            .mapInArrow(_pair_counts(sent, k), "prefix long, last long, n long")
             .groupBy("prefix", "last")
-            .agg(F.sum("n").alias("n"), F.first("hash").alias("hash"))
+            .agg(F.sum("n").alias("n"))
             .where(F.col("n") >= min_count)
             .drop("n")
         )
@@ -209,7 +231,8 @@ def candidates(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame,
             often.join(prefixes, "prefix")
             .join(last, "last")
             .where("lang = __lang")
-            .select("lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), "hash")
+            .select("lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), "prefix", "last")
+            .mapInArrow(_with_longer_hash, "lang string, phrase string, hash long")
         )
         levels.append(shorter.withColumn("words", F.lit(k)))
     found = levels[0]

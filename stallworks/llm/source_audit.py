@@ -131,8 +131,12 @@ def _shards(docs: DataFrame, min_documents: int, shard_keys: int) -> DataFrame:
         .select("lang", "term")
         .mapInArrow(_hashed, "lang string, term string, hash long")
     )
-    sizes = kept.groupBy("lang").agg(F.ceil(F.count("*") / shard_keys).alias("parts"))
-    parted = kept.join(sizes, "lang").withColumn("part", F.expr("pmod(shiftright(hash, 8), parts)"))
+    # As many parts for every language as the largest one needs.
+    largest = kept.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    parts = F.lit(-(-largest // shard_keys)).cast("long").alias("parts")
+    parted = kept.select("lang", "term", "hash", parts).withColumn(
+        "part", F.expr("pmod(shiftright(hash, 8), parts)")
+    )
     return written(parted.groupBy("lang", "part").applyInArrow(_built, _SHARD))
 
 
