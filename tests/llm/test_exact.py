@@ -13,7 +13,7 @@ from stallworks.llm.components import components
 from stallworks.llm.decontamination import MASKS, SHORTEST_ITEM, WINDOW, decontaminated, overlaps
 from stallworks.llm.mixing import fair_mix
 from stallworks.llm.near_dedup import deduplicated, near_duplicates
-from stallworks.llm.substring_dedup import removed_spans, without_repeats
+from stallworks.llm.substring_dedup import copied_factors, removed_spans, without_repeats
 from stallworks.llm.url_filter import url_verdicts
 from tests.compare import connect, difference
 from tests.llm import reference
@@ -337,3 +337,23 @@ def test_hot_groups_stay_whole(spark):
     links = reference.near_links(rows, 5, 80)
     want = reference.groups([d for d, _ in rows], links)
     assert sizes == {c: sum(1 for x in want.values() if x == c) for c in set(want.values())}
+
+
+def test_factors_copy_stretches_of_earlier_documents(spark, corpus):
+    rows = [(d, t) for d, t in corpus if d is not None]
+    by_id = {d: reference.words(t) for d, t in rows}
+    expected = reference.cut_words(rows, 50)
+    flags = {d: [False] * len(w) for d, w in by_id.items()}
+    found = copied_factors(table(spark, rows)).collect()
+    for f in found:
+        assert f.ref_id < f.doc_id and f.words >= 50
+        copy = by_id[f.doc_id][f.start : f.start + f.words]
+        source = by_id[f.ref_id][f.ref_start : f.ref_start + f.words]
+        assert copy == source and len(copy) == f.words
+        flags[f.doc_id][f.start : f.start + f.words] = [True] * f.words
+        # The factor ends where its reference stops to agree.
+        after = (by_id[f.doc_id][f.start + f.words :][:1], by_id[f.ref_id][f.ref_start + f.words :][:1])
+        others = [g for g in found if g.doc_id == f.doc_id and f.start < g.start <= f.start + f.words]
+        assert after[0] != after[1] or not after[0] or others
+    assert len(found) > 20
+    assert flags == {d: gone for d, (_, gone) in expected.items()}
