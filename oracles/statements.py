@@ -827,6 +827,21 @@ LAYERS = {
     "layer_seller_concentration": SELLERS["seller_concentration"],
     "layer_category_rank": PRODUCTS["prod_category_rank"],
     "layer_top_products": PRODUCTS["prod_top_per_category"],
+    "layer_repeat_rate": CUSTOMERS["cust_repeat_rate"],
+    "layer_frequency": CUSTOMERS["cust_frequency"],
+    "layer_new_by_month": CUSTOMERS["cust_new_by_month"],
+    "layer_cohort_retention": CUSTOMERS["cust_cohort_retention"],
+    "layer_active_by_month": DERIVED["active_by_month"],
+    "layer_metric_sales_by_month": METRICS["metric_sales_by_month"],
+    "warehouse_reload_reviews_category_score": REVIEWS["rev_category_score"],
+    "warehouse_reload_prices_core_kpis": BUSINESS["biz_core_kpis"],
+    "warehouse_merge_core_kpis": BUSINESS["biz_core_kpis"],
+    "warehouse_merge_payment_vs_score": REVIEWS["rev_payment_vs_score"],
+    "layer_refresh_prices_monthly_trend": BUSINESS["biz_monthly_trend"],
+    "layer_refresh_categories_rank": PRODUCTS["prod_category_rank"],
+    "bucketed_core_kpis": BUSINESS["biz_core_kpis"],
+    "bucketed_order_value": GRAINS["grain_order_value"],
+    "bucketed_payment_vs_score": REVIEWS["rev_payment_vs_score"],
     "layer_monthly_service": f"""
         SELECT strftime(o.bought, '%Y-%m') AS ym, count(late) AS eligible,
                {share('count(*) FILTER (WHERE late)', 'count(late)')} AS late_pct,
@@ -836,6 +851,8 @@ LAYERS = {
         WHERE o.order_status = 'delivered' GROUP BY ym""",
 }
 
+LAYERS["layer_refresh_reviews_monthly_service"] = LAYERS["layer_monthly_service"]
+
 GROUPS = (
     QUALITY, CHECKS, BUSINESS, CUSTOMERS, PRODUCTS, SELLERS, LOGISTICS, REVIEWS,
     CLEANING, PROFILING, DERIVED, METRICS, PAGES, GRAINS, LAYERS,
@@ -849,6 +866,10 @@ CHANGED = {
     "layer_refresh_monthly_trend": BUSINESS["biz_monthly_trend"],
     "layer_refresh_seller_tiers": SELLERS["seller_tiers"],
     "layer_refresh_monthly_service": LAYERS["layer_monthly_service"],
+    "layer_refresh_cohort_retention": CUSTOMERS["cust_cohort_retention"],
+    "layer_refresh_repeat_rate": CUSTOMERS["cust_repeat_rate"],
+    "layer_refresh_partial_monthly_trend": BUSINESS["biz_monthly_trend"],
+    "layer_refresh_partial_seller_tiers": SELLERS["seller_tiers"],
 }
 
 DIRTY = {

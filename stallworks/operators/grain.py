@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallworks.functions.expressions import calendar_days, cents, elapsed_days, month_start
+from stallworks.sources.schemas import MONTH
 from stallworks.sources.tables import Tables
 
 DELIVERED = "delivered"
@@ -221,8 +222,36 @@ def person_totals(t: Tables, status: str = DELIVERED) -> DataFrame:
     )
 
 
+def _stored_activity(stored: DataFrame, status: str) -> DataFrame:
+    """(person, month, orders); the month is a date, NULL where no purchase time is known."""
+    return valid_orders(stored, status).select(
+        "person", F.to_date(F.col(MONTH), "yyyy-MM").alias("month"), "orders"
+    )
+
+
+def person_activity(t: Tables, status: str = DELIVERED) -> DataFrame:
+    """person -> valid orders and first purchase month; from stored person months where attached.
+
+    A person's months are distinct rows of a month each, so counts add up and the first
+    month is the least one; no order is read.
+    """
+    stored = t.layer("person_months")
+    if stored is not None:
+        return (
+            _stored_activity(stored, status)
+            .groupBy("person")
+            .agg(F.sum("orders").alias("orders"), F.min("month").alias("first_month"))
+        )
+    return person_totals(t, status).select(
+        "person", "orders", month_start(F.col("first_purchase")).alias("first_month")
+    )
+
+
 def person_months(t: Tables, status: str = DELIVERED) -> DataFrame:
-    """Distinct (person, purchase month)."""
+    """Distinct (person, purchase month), from the stored person months where attached."""
+    stored = t.layer("person_months")
+    if stored is not None:
+        return distinct_grain(_stored_activity(stored, status), "person", "month")
     return distinct_grain(
         person_orders(t, status).withColumn("month", month_start(F.col("order_purchase_timestamp"))),
         "person",

@@ -9,7 +9,6 @@ from stallworks.functions.expressions import (
     calendar_days,
     money,
     month_label,
-    month_start,
     months_apart,
     pct,
 )
@@ -17,9 +16,9 @@ from stallworks.operators.grain import (
     DELIVERED,
     known_valid,
     order_value,
+    person_activity,
     person_days,
     person_months,
-    person_totals,
     valid_orders,
 )
 from stallworks.operators.ranking import with_rank, written
@@ -50,7 +49,7 @@ def cust_id_vs_person(t: Tables) -> DataFrame:
 
 def cust_frequency(t: Tables, status: str = DELIVERED) -> DataFrame:
     counts = (
-        person_totals(t, status)
+        person_activity(t, status)
         .groupBy(F.col("orders").alias("order_cnt"))
         .agg(F.count("*").alias("persons"))
     )
@@ -59,7 +58,7 @@ def cust_frequency(t: Tables, status: str = DELIVERED) -> DataFrame:
 
 def cust_repeat_rate(t: Tables, min_orders: int = 2, status: str = DELIVERED) -> DataFrame:
     return (
-        person_totals(t, status)
+        person_activity(t, status)
         .agg(
             F.count("*").alias("buyers"),
             F.count_if(F.col("orders") >= min_orders).alias("repeat_buyers"),
@@ -70,8 +69,8 @@ def cust_repeat_rate(t: Tables, min_orders: int = 2, status: str = DELIVERED) ->
 
 def cust_new_by_month(t: Tables, status: str = DELIVERED) -> DataFrame:
     return (
-        person_totals(t, status)
-        .groupBy(month_start(F.col("first_purchase")).alias("month"))
+        person_activity(t, status)
+        .groupBy(F.col("first_month").alias("month"))
         .agg(F.count("*").alias("new_persons"))
         .orderBy("month")
         .select(month_label(F.col("month")).alias("first_ym"), "new_persons")

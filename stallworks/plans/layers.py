@@ -1,8 +1,11 @@
 """Stored layers, refreshed month by month: order facts, and additive monthly summaries.
 
 Reports over attached layers read the summaries instead of the item lines (see
-``operators.totals``). Distinct people, medians and ranks do not add up across months and
-are always taken from the orders.
+``operators.totals``). Distinct people do not add up across months, but a person's months do:
+``person_months`` answers buyers, repeat purchase, cohorts and activity. Medians and ranks are
+taken from the orders. Every layer keeps fingerprints of the rows it was made from, so a changed
+price, a late review or a moved category makes the months stale that it touches, and
+refreshing one layer leaves the others as stale as they are.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from stallworks.operators.grain import (
     seller_lines,
     valid_orders,
 )
+from stallworks.operators.ranking import written
+from stallworks.sources.fingerprints import Part, different_months, fingerprints, whole_table
 from stallworks.sources.monthly import (
     Month,
     among,
@@ -33,7 +38,7 @@ from stallworks.sources.monthly import (
     refuse_half_moves,
     replace_months,
 )
-from stallworks.sources.schemas import MONTH
+from stallworks.sources.schemas import MONTH, STORED_EXTRAS
 from stallworks.sources.tables import Tables
 
 
@@ -90,6 +95,28 @@ def by_month(t: Tables, lines: DataFrame, key: str) -> DataFrame:
     )
 
 
+def person_month_orders(t: Tables) -> DataFrame:
+    """(person, month, status) -> orders, those with items, and their amounts in cents."""
+    people = t["customers"].select("customer_id", F.col("customer_unique_id").alias("person"))
+    measures = ("orders", "item_orders", "gmv", "freight")
+    per_customer = (
+        order_months(t)
+        .join(order_value(t["order_items"]), "order_id", "left")
+        .groupBy("customer_id", MONTH, "order_status")
+        .agg(
+            F.count("*").alias("orders"),
+            F.count("units").alias("item_orders"),
+            F.sum("gmv").alias("gmv"),
+            F.sum("freight").alias("freight"),
+        )
+    )
+    return (
+        per_customer.join(people, "customer_id")
+        .groupBy("person", MONTH, "order_status")
+        .agg(*[F.sum(m).alias(m) for m in measures])
+    )
+
+
 LAYERS: dict[str, Callable[[Tables], DataFrame]] = {
     "order_facts": order_facts,
     "month_summary": month_summary,
@@ -98,21 +125,43 @@ LAYERS: dict[str, Callable[[Tables], DataFrame]] = {
         t, category_lines(t["order_items"], t["products"]), "raw_category"
     ),
     "product_months": lambda t: by_month(t, product_lines(t["order_items"]), "product_id"),
+    "person_months": person_month_orders,
 }
 
 
-# What the layers were made from: per month, the orders and a checksum of them.
-SEEN = "orders_seen"
+# What a layer is made from. Its fingerprint tells, month by month, whether it still is.
+_ORDER_PARTS: dict[str, Part] = {
+    "orders": whole_table("orders"),
+    "values": ("order_items", ("order_id", "price", "freight_value")),
+    "scores": ("order_reviews", ("order_id", "review_score")),
+}
+_STATUS: dict[str, Part] = {"status": ("orders", ("order_id", "order_status"))}
+LAYER_PARTS: dict[str, dict[str, Part]] = {
+    "order_facts": _ORDER_PARTS,
+    "month_summary": _ORDER_PARTS,
+    "seller_months": _STATUS
+    | {"sellers": ("order_items", ("order_id", "seller_id", "price"))},
+    "category_months": _STATUS
+    | {
+        "categories": (
+            "order_items", ("order_id", "product_category_name", "price", "freight_value"),
+        )
+    },
+    "product_months": _STATUS
+    | {"products": ("order_items", ("order_id", "product_id", "price"))},
+    "person_months": {
+        "people": ("orders", ("order_id", "order_status", "customer_unique_id")),
+        "values": _ORDER_PARTS["values"],
+    },
+}
+
+# Where the fingerprints of a layer are kept, beside it.
+SEEN = "seen"
 
 
-def _seen(t: Tables) -> DataFrame:
-    mark = F.xxhash64("order_id", "customer_id", "order_status").cast("decimal(38,0)")
-    return (
-        t["orders"]
-        .select(month_of_purchase(), mark.alias("mark"))
-        .groupBy(MONTH)
-        .agg(F.count("*").alias("orders"), F.sum("mark").alias("checksum"))
-    )
+def _parts(names: Sequence[str]) -> dict[str, Part]:
+    """Parts of several layers under one name for equal parts, so that each is computed once."""
+    return {part: what for name in names for part, what in LAYER_PARTS[name].items()}
 
 
 def refresh_layers(
@@ -136,23 +185,28 @@ def refresh_layers(
             return table
         return table.filter(among(F.col(MONTH), months))
 
-    present = [n for n in ("orders", "order_items", "order_reviews") if n in t.present()]
+    present = [n for n in STORED_EXTRAS if n in t.present()]
     pruned = t.replaced(**{name: chosen(name) for name in present})
-    before = _stored_facts(spark, folder) if months is not None else None
+    before = _stored(spark, f"{folder}/order_facts") if months is not None else None
     if before is not None and "order_facts" in names:
         refuse_half_moves(order_months(t), before, months)
-    for name in (*names, SEEN):
-        layer = _seen(pruned) if name == SEEN else LAYERS[name](pruned)
+    marks = written(fingerprints(pruned, _parts(names)))
+    for name in names:
+        layer = LAYERS[name](pruned)
+        made_from = marks.filter(F.col("part").isin(list(LAYER_PARTS[name])))
         if months is not None:
             layer = layer.filter(among(F.col(MONTH), months))
+            made_from = made_from.filter(among(F.col(MONTH), months))
+        # The mark goes last: a refresh that fails half-way leaves the months stale.
         replace_months(layer, f"{folder}/{name}", months)
+        replace_months(made_from, f"{folder}/{SEEN}/{name}", months)
         if name == "order_facts":
             pruned = attach_layers(pruned, spark, folder, [name], verify=False)
 
 
-def _stored_facts(spark: SparkSession, folder: str) -> DataFrame | None:
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return read_monthly(spark, f"{folder}/order_facts")
+        return read_monthly(spark, path)
     except AnalysisException as problem:
         if "PATH_NOT_FOUND" not in str(problem):
             raise
@@ -163,16 +217,34 @@ def read_layer(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_monthly(spark, f"{folder}/{name}")
 
 
-def stale_months(t: Tables, spark: SparkSession, folder: str) -> list[Month]:
-    """Months whose orders are not those the layers were made from."""
-    seen = read_monthly(spark, f"{folder}/{SEEN}").select(
-        F.col(MONTH).alias("was"), F.col("orders").alias("had"), F.col("checksum").alias("sum")
-    )
-    differ = _seen(t).join(seen, F.col(MONTH).eqNullSafe(F.col("was")), "full").filter(
-        ~(F.col("orders").eqNullSafe(F.col("had")) & F.col("checksum").eqNullSafe(F.col("sum")))
-    )
-    found = differ.select(F.when(F.col("orders").isNull(), F.col("was")).otherwise(F.col(MONTH)))
-    return sorted({r[0] for r in found.collect()}, key=str)
+def stale_layers(
+    t: Tables, spark: SparkSession, folder: str, names: Sequence[str] | None = None
+) -> dict[str, list[Month]]:
+    """Months in which a stored layer was made from other rows than these; by layer.
+
+    Without ``names`` all layers that are stored. The source tables are read once for all.
+    """
+    asked = LAYERS if names is None else names
+    found = {name: _stored(spark, f"{folder}/{SEEN}/{name}") for name in asked}
+    missing = [name for name, seen in found.items() if seen is None]
+    if names is not None and missing:
+        raise ValueError(f"layers {missing} are not stored in {folder}")
+    seen = {name: table for name, table in found.items() if table is not None}
+    if not seen:
+        return {}
+    now = written(fingerprints(t, _parts(list(seen))))
+    return {
+        name: different_months(now.filter(F.col("part").isin(list(LAYER_PARTS[name]))), before)
+        for name, before in seen.items()
+    }
+
+
+def stale_months(
+    t: Tables, spark: SparkSession, folder: str, names: Sequence[str] | None = None
+) -> list[Month]:
+    """Months in which any of the stored layers has to be refreshed."""
+    stale = stale_layers(t, spark, folder, names)
+    return sorted({month for months in stale.values() for month in months}, key=str)
 
 
 def attach_layers(
@@ -184,11 +256,12 @@ def attach_layers(
 ) -> Tables:
     """The tables with stored layers, from which totals are then read.
 
-    Layers made from other orders than these are refused (a scan of three order columns);
-    ``verify=False`` takes them as they are, for instance when only some months were stored.
+    Layers made from other rows than these are refused, which scans the columns that the layers
+    are made from; ``verify=False`` takes them as they are, for instance when only some months
+    were stored.
     """
     if verify:
-        stale = stale_months(t, spark, folder)
+        stale = {n: months for n, months in stale_layers(t, spark, folder, names).items() if months}
         if stale:
             raise ValueError(f"layers are stale; refresh the months {stale}")
     return t.with_layers(**{name: partial(read_layer, spark, folder, name) for name in names})

@@ -121,12 +121,47 @@ def metric_table(
     Without an item-level dimension, orders lacking items still make buyers; with one,
     an order belongs to the values its items have. ``filters`` maps a dimension to the
     condition it must meet, whether or not the result is split by it; months are
-    compared as dates (their first day).
+    compared as dates (their first day). Without dimensions other than months, stored
+    ``person_months`` answer where they are attached, and no order or item is read.
     """
     filters = dict(filters or {})
     _check(measures, list(SALES_MEASURES), "measures")
     _check([*dims, *filters], ORDER_DIMENSIONS + ITEM_DIMENSIONS, "dimensions")
     used = list(dict.fromkeys([*dims, *filters]))
+    stored = _stored_people(t, used, filters, status)
+    per_person = _people(t, dims, used, filters, status) if stored is None else stored
+    per_person = per_person.groupBy(*dims, "person").agg(
+        *[F.sum(m).alias(m) for m in ("orders", "item_orders", "gmv", "freight")]
+    )
+    table = per_person.groupBy(*dims).agg(
+        *[SALES_MEASURES[m]().cast("bigint" if m in _COUNTS else "double").alias(m) for m in measures]
+    )
+    return _present(table, dims)
+
+
+def _stored_people(
+    t: Tables, used: Sequence[str], filters: Mapping[str, Column], status: str
+) -> DataFrame | None:
+    """The stored person months, if they can answer: a person's state or items are not in them.
+
+    A condition on months prunes the stored months.
+    """
+    stored = t.layer("person_months")
+    if stored is None or not set(used) <= {"ym"}:
+        return None
+    return _filtered_orders(
+        valid_orders(stored, status).withColumn("ym", month_date(stored.columns)), filters
+    )
+
+
+def _people(
+    t: Tables,
+    dims: Sequence[str],
+    used: Sequence[str],
+    filters: Mapping[str, Column],
+    status: str,
+) -> DataFrame:
+    """One row per valid order and values of the dimensions, from orders and item lines."""
     of_items = [d for d in used if d in ITEM_DIMENSIONS]
     months = [c for c in (MONTH,) if c in t["orders"].columns]
     placed = valid_orders(t["orders"], status).select(
@@ -144,16 +179,14 @@ def metric_table(
         .withColumn("has_items", F.lit(1))
     )
     facts = orders.join(values, "order_id", "inner" if of_items else "left")
-    per_person = facts.groupBy(*dims, "person").agg(
-        F.count("*").alias("orders"),
-        F.count("has_items").alias("item_orders"),
-        F.sum("gmv").alias("gmv"),
-        F.sum("freight").alias("freight"),
+    return facts.select(
+        *dims,
+        "person",
+        F.lit(1).alias("orders"),
+        F.coalesce("has_items", F.lit(0)).alias("item_orders"),
+        "gmv",
+        "freight",
     )
-    table = per_person.groupBy(*dims).agg(
-        *[SALES_MEASURES[m]().cast("bigint" if m in _COUNTS else "double").alias(m) for m in measures]
-    )
-    return _present(table, dims)
 
 
 _COUNTS = ("valid_orders", "buyers", "repeat_buyers", "delivered")

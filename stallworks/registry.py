@@ -27,7 +27,7 @@ from stallworks.plans import (
     reviews,
     sellers,
 )
-from stallworks.sources import raw_csv, warehouse
+from stallworks.sources import bucketed, raw_csv, warehouse
 from stallworks.sources.formats import CSV
 from stallworks.sources.roles import raw_tables, role_tables
 from stallworks.sources.tables import Tables
@@ -221,6 +221,42 @@ REFRESHED: dict[str, tuple[Plan, tuple[str, ...]]] = {
     "layer_refresh_monthly_trend": (business.biz_monthly_trend, ("order_facts", "month_summary")),
     "layer_refresh_seller_tiers": (sellers.seller_tiers, ("seller_months",)),
     "layer_refresh_monthly_service": (layers.monthly_service, ("month_summary",)),
+    "layer_refresh_cohort_retention": (customers.cust_cohort_retention, ("person_months",)),
+    "layer_refresh_repeat_rate": (customers.cust_repeat_rate, ("person_months",)),
+}
+
+# Rows were corrected, or came late, since tables and layers were stored: what was stored first
+# lacks the corrections, and only the months in which anything differs are replaced.
+CORRECTED: dict[str, tuple[Plan, tuple[str, ...], str]] = {
+    "warehouse_reload_reviews_category_score": (
+        reviews.rev_category_score, (*CATEGORY_TABLES, "order_reviews"), "order_reviews"
+    ),
+    "warehouse_reload_prices_core_kpis": (business.biz_core_kpis, KPI_TABLES, "order_items"),
+}
+MERGED: dict[str, tuple[Plan, tuple[str, ...]]] = {
+    "warehouse_merge_core_kpis": (business.biz_core_kpis, KPI_TABLES),
+    "warehouse_merge_payment_vs_score": (
+        reviews.rev_payment_vs_score, (*SALES_TABLES, "order_payments", "order_reviews")
+    ),
+}
+LAYERS_CORRECTED: dict[str, tuple[Plan, str, str]] = {
+    "layer_refresh_prices_monthly_trend": (business.biz_monthly_trend, "month_summary", "order_items"),
+    "layer_refresh_reviews_monthly_service": (layers.monthly_service, "month_summary", "order_reviews"),
+    "layer_refresh_categories_rank": (products.prod_category_rank, "category_months", "products"),
+}
+# One layer is refreshed alone; the other is stale until it is refreshed too.
+PARTLY_REFRESHED: dict[str, tuple[Plan, str, str]] = {
+    "layer_refresh_partial_monthly_trend": (business.biz_monthly_trend, "seller_months", "month_summary"),
+    "layer_refresh_partial_seller_tiers": (sellers.seller_tiers, "month_summary", "seller_months"),
+}
+
+# Reports from order tables stored in buckets.
+BUCKETED: dict[str, tuple[Plan, tuple[str, ...]]] = {
+    "bucketed_core_kpis": (business.biz_core_kpis, KPI_TABLES),
+    "bucketed_order_value": (lambda t: _plain(GRAINS["grain_order_value"](t)), SALES_TABLES),
+    "bucketed_payment_vs_score": (
+        reviews.rev_payment_vs_score, ("orders", "order_payments", "order_reviews")
+    ),
 }
 
 # Checks over tables that break their rules.
@@ -241,6 +277,14 @@ FROM_LAYERS: dict[str, tuple[Plan, str]] = {
     "layer_seller_concentration": (sellers.seller_concentration, "seller_months"),
     "layer_category_rank": (products.prod_category_rank, "category_months"),
     "layer_top_products": (products.prod_top_per_category, "product_months"),
+    "layer_repeat_rate": (customers.cust_repeat_rate, "person_months"),
+    "layer_frequency": (customers.cust_frequency, "person_months"),
+    "layer_new_by_month": (customers.cust_new_by_month, "person_months"),
+    "layer_cohort_retention": (customers.cust_cohort_retention, "person_months"),
+    "layer_active_by_month": (derived.active_by_month, "person_months"),
+    "layer_metric_sales_by_month": (
+        partial(metrics.metric_table, measures=SALES, dims=["ym"]), "person_months"
+    ),
 }
 
 
@@ -322,6 +366,76 @@ def _refreshed(
     return plan(layers.attach_layers(now, spark, folder, names=names))
 
 
+def _uncorrected(t: Tables, table: str) -> Tables:
+    """The tables as they were before late reviews came, prices or categories were corrected."""
+    rows = t[table]
+    if table == "order_reviews":
+        return t.replaced(order_reviews=rows.filter(F.col("order_id") % 5 != 3))
+    if table == "order_items":
+        wrong = (F.col("price") + 1).cast(rows.schema["price"].dataType)
+        price = F.when(F.col("order_id") % 7 == 2, wrong).otherwise(F.col("price"))
+        return t.replaced(order_items=rows.withColumn("price", price))
+    name = F.col("product_category_name")
+    moved = F.when(F.col("product_id") % 6 == 1, F.lit("Brand#1")).otherwise(name)
+    return t.replaced(products=rows.withColumn("product_category_name", moved))
+
+
+def _corrected(
+    plan: Plan, names: tuple[str, ...], table: str, spark: SparkSession, sf_dir: str
+) -> DataFrame:
+    folder, t = _new_folder(spark), role_tables(spark, sf_dir)
+    now = Tables(**{name: t[name] for name in names})
+    warehouse.load_warehouse(_uncorrected(now, table), folder)
+    warehouse.load_warehouse(now, folder, warehouse.months_to_load(now, folder))
+    return plan(warehouse.read_warehouse(spark, folder))
+
+
+def _merged(plan: Plan, names: tuple[str, ...], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some orders are missing at first and others have wrong times; both come as a delta."""
+    folder, t = _new_folder(spark), role_tables(spark, sf_dir)
+    now = Tables(**{name: t[name] for name in names})
+    of_order = [name for name in names if "order_id" in now[name].columns]
+    key = F.col("order_id")
+    early = F.when(key % 11 == 4, F.col("order_purchase_timestamp") - F.expr("INTERVAL 40 DAYS"))
+    first = {name: now[name].filter(key % 11 != 7) for name in of_order}
+    first["orders"] = first["orders"].withColumn(
+        "order_purchase_timestamp", F.coalesce(early, "order_purchase_timestamp")
+    )
+    warehouse.load_warehouse(now.replaced(**first), folder)
+    delta = {name: now[name].filter((key % 11).isin(4, 7)) for name in of_order}
+    warehouse.merge_orders(Tables(**delta), folder)
+    return plan(warehouse.read_warehouse(spark, folder))
+
+
+def _layers_corrected(
+    plan: Plan, layer: str, table: str, spark: SparkSession, sf_dir: str
+) -> DataFrame:
+    folder, t = _new_folder(spark), role_tables(spark, sf_dir)
+    layers.refresh_layers(_uncorrected(t, table), folder, names=[layer])
+    layers.refresh_layers(t, folder, layers.stale_months(t, spark, folder), [layer])
+    return plan(layers.attach_layers(t, spark, folder, names=[layer]))
+
+
+def _partly_refreshed(
+    plan: Plan, first: str, second: str, spark: SparkSession, sf_dir: str
+) -> DataFrame:
+    folder, t, names = _new_folder(spark), role_tables(spark, sf_dir), [first, second]
+    layers.refresh_layers(t, folder, names=names)
+    now = _changed(t)
+    for name in names:
+        layers.refresh_layers(now, folder, layers.stale_months(now, spark, folder, [name]), [name])
+    return plan(layers.attach_layers(now, spark, folder, names=names))
+
+
+def _bucketed(plan: Plan, names: tuple[str, ...], spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, t = _new_folder(spark), role_tables(spark, sf_dir)
+    database = f"bucketed_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{folder}'")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucketed.load_bucketed(Tables(**{name: t[name] for name in names}), database, buckets)
+    return plan(bucketed.read_bucketed(spark, database))
+
+
 def _dirty(t: Tables) -> Tables:
     """Orphans, NULL keys, negative amounts and scores out of range."""
     key = F.col("order_id")
@@ -374,6 +488,11 @@ def registered_queries() -> dict[str, Query]:
     }
     found |= {name: partial(_reloaded, *how) for name, how in RELOADED.items()}
     found |= {name: partial(_refreshed, *how) for name, how in REFRESHED.items()}
+    found |= {name: partial(_corrected, *how) for name, how in CORRECTED.items()}
+    found |= {name: partial(_merged, *how) for name, how in MERGED.items()}
+    found |= {name: partial(_layers_corrected, *how) for name, how in LAYERS_CORRECTED.items()}
+    found |= {name: partial(_partly_refreshed, *how) for name, how in PARTLY_REFRESHED.items()}
+    found |= {name: partial(_bucketed, *how) for name, how in BUCKETED.items()}
     found |= {
         name: partial(_over_roles, lambda t, plan=plan: plan(_dirty(t)))
         for name, plan in DIRTY.items()

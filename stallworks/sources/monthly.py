@@ -97,27 +97,3 @@ def refuse_half_moves(now: DataFrame, before: DataFrame, months: Sequence[Month]
     also = sorted({m for r in half for m in r if m not in months}, key=str)
     if also:
         raise ValueError(f"orders moved between months; name these too: {also}")
-
-
-def months_that_differ(now: DataFrame, before: DataFrame) -> list[Month]:
-    """Months of orders that were added, removed, moved or changed status."""
-    ours = now.select("order_id", F.col(MONTH).alias("now"), F.col("order_status").alias("s"))
-    theirs = before.select(
-        F.col("order_id").alias("id"), F.col(MONTH).alias("was"), F.col("order_status").alias("z")
-    )
-    same = F.col("now").eqNullSafe(F.col("was")) & F.col("s").eqNullSafe(F.col("z"))
-    both = ours.join(theirs, F.col("order_id") == F.col("id"), "full").filter(
-        F.col("order_id").isNull() | F.col("id").isNull() | ~same
-    )
-    ends = both.select(
-        F.explode(
-            F.filter(
-                F.array(
-                    F.when(F.col("order_id").isNotNull(), F.struct(F.col("now").alias("m"))),
-                    F.when(F.col("id").isNotNull(), F.struct(F.col("was").alias("m"))),
-                ),
-                lambda x: x.isNotNull(),
-            )
-        ).alias("end")
-    )
-    return sorted((r.m for r in ends.select("end.m").distinct().collect()), key=str)

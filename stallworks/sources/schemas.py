@@ -137,11 +137,12 @@ FOREIGN_KEYS: tuple[Reference, ...] = (
 MONTH = "purchase_ym"
 
 # Columns that stored tables carry beyond the contract. Items copy the status of their
-# order, so that reports on valid items need no join; reviews are stored with their
-# order's month, so that a month can be refreshed alone. All are written together.
+# order, so that reports on valid items need no join; payments and reviews are stored with
+# their order's month, so that a month can be read or refreshed alone. All are written together.
 STORED_EXTRAS: dict[str, tuple[str, ...]] = {
     "orders": (MONTH,),
     "order_items": ("order_status", MONTH),
+    "order_payments": (MONTH,),
     "order_reviews": (MONTH,),
 }
 

@@ -7,14 +7,18 @@ from dataclasses import dataclass
 from functools import partial
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from stallworks.operators.ranking import written
+from stallworks.sources.fingerprints import different_months, fingerprints, whole_table
 from stallworks.sources.formats import format_options
 from stallworks.sources.monthly import (
+    NO_MONTH,
     Month,
+    among,
     month_of_purchase,
-    months_that_differ,
     read_monthly,
     refuse_half_moves,
     refuse_own_source,
@@ -100,7 +104,7 @@ def with_extras(t: Tables, name: str) -> DataFrame:
 
 
 def _refuse_parts(t: Tables) -> None:
-    """Items and reviews copy columns of their orders, so stored copies must not go stale."""
+    """Items, payments and reviews copy columns of their orders; stored copies must not go stale."""
     present = set(t.present())
     if "orders" in present and "order_items" not in present:
         raise ValueError("load order_items with orders: stored items copy the status of their order")
@@ -133,9 +137,50 @@ def load_warehouse(
 
 
 def months_to_load(t: Tables, folder: str) -> list[Month]:
-    """Months in which the orders differ from the stored ones."""
-    before = read_monthly(t["orders"].sparkSession, f"{folder}/orders")
-    return months_that_differ(with_extras(t, "orders"), before)
+    """Months in which orders, items, payments or reviews differ from the stored ones."""
+    stored = read_warehouse(t["orders"].sparkSession, folder)
+    parts = {name: whole_table(name) for name in STORED_EXTRAS if name in t.present()}
+    return different_months(fingerprints(t, parts), fingerprints(stored, parts))
+
+
+def _merged_by_key(changed: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    rest = stored.join(changed.select(*keys).distinct(), list(keys), "left_anti")
+    return rest.select(changed.columns).unionAll(changed)
+
+
+def merge_orders(
+    changed: Tables, folder: str, removed: DataFrame | None = None
+) -> list[Month]:
+    """Replace single orders in a loaded warehouse; the months that were rewritten.
+
+    ``changed`` holds new and changed orders, each whole: its row and all of its items,
+    payments and reviews; ``removed`` has the ``order_id`` of orders that are gone. Rows of other
+    tables in ``changed`` replace stored rows of the same primary key. Only months that such
+    an order is in now or was in before are read and written. New contents are written beside
+    the warehouse first, as they are made from what they replace.
+    """
+    spark = changed["orders"].sparkSession
+    stored = read_warehouse(spark, folder)
+    ids = changed["orders"].select("order_id")
+    ids = written((ids if removed is None else ids.unionAll(removed.select("order_id"))).distinct())
+    now = with_extras(changed, "orders").select(MONTH)
+    was = stored["orders"].join(ids, "order_id", "left_semi").select(MONTH)
+    months = sorted((r[0] for r in now.unionAll(was).distinct().collect()), key=str)
+    fresh = {}
+    for name in changed.present():
+        new = with_extras(changed, name)
+        if name in STORED_EXTRAS:
+            before = stored[name].filter(among(F.col(MONTH), months))
+            kept = before.join(ids, "order_id", "left_anti")
+            fresh[name] = written(kept.select(new.columns).unionAll(new))
+        else:
+            fresh[name] = written(_merged_by_key(new, stored[name], PRIMARY_KEYS[name]))
+    for name, table in fresh.items():
+        if name in STORED_EXTRAS:
+            replace_months(table, f"{folder}/{name}", months)
+        else:
+            table.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return months
 
 
 _OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
@@ -148,28 +193,36 @@ def load_database(t: Tables, database: str, months: Sequence[Month] | None = Non
     if months is not None and "orders" in t.present():
         refuse_half_moves(with_extras(t, "orders"), spark.table(f"{database}.orders"), months)
     mode = spark.conf.get(_OVERWRITE)
-    spark.conf.set(_OVERWRITE, "static")
+    spark.conf.set(_OVERWRITE, "static" if months is None else "dynamic")
     try:
         for name in t.present():
             extras = STORED_EXTRAS.get(name, ())
-            table = with_extras(t, name).select(*SCHEMAS[name].names, *extras)
-            if not extras or months is None:
-                table = table.hint("rebalance", MONTH) if extras else table
-                table.write.mode("overwrite").insertInto(f"{database}.{name}")
-                continue
-            for month in months:
-                value = "null" if month is None else f"'{month}'"
-                rows = table.filter(F.col(MONTH).eqNullSafe(F.lit(month))).drop(MONTH)
-                rows.createOrReplaceTempView("_month_of_rows")
-                spark.sql(
-                    f"INSERT OVERWRITE {database}.{name} PARTITION ({MONTH} = {value})"
-                    " SELECT * FROM _month_of_rows"
-                )
-                spark.catalog.dropTempView("_month_of_rows")
+            table, target = with_extras(t, name).select(*SCHEMAS[name].names, *extras), f"{database}.{name}"
+            if not extras:
+                spark.conf.set(_OVERWRITE, "static")
+                table.write.mode("overwrite").insertInto(target)
+                spark.conf.set(_OVERWRITE, "static" if months is None else "dynamic")
+            elif months is None:
+                table.hint("rebalance", MONTH).write.mode("overwrite").insertInto(target)
+            else:
+                _insert_months(table, target, months)
     finally:
         spark.conf.set(_OVERWRITE, mode)
 
 
+def _insert_months(table: DataFrame, target: str, months: Sequence[Month]) -> None:
+    """One INSERT for all named months; months that have no rows any more are dropped."""
+    seen = Observation()
+    rows = table.filter(among(F.col(MONTH), months)).hint("rebalance", MONTH)
+    found = F.collect_set(F.coalesce(F.col(MONTH), F.lit(NO_MONTH))).alias("months")
+    rows.observe(seen, found).write.mode("overwrite").insertInto(target)
+    present = set(seen.get["months"] or ())
+    for month in months:
+        if (NO_MONTH if month is None else month) not in present:
+            value = "null" if month is None else f"'{month}'"
+            table.sparkSession.sql(f"ALTER TABLE {target} DROP IF EXISTS PARTITION ({MONTH} = {value})")
+
+
 def read_database(spark: SparkSession, database: str) -> Tables:
     return Tables(**{name: partial(spark.table, f"{database}.{name}") for name in TABLE_NAMES})
 
@@ -179,7 +232,16 @@ def read_warehouse(spark: SparkSession, folder: str) -> Tables:
 
     def stored(name: str) -> DataFrame:
         path = f"{folder}/{name}"
-        return read_monthly(spark, path) if name in STORED_EXTRAS else spark.read.parquet(path)
+        if name not in STORED_EXTRAS:
+            return spark.read.parquet(path)
+        try:
+            return read_monthly(spark, path)
+        except AnalysisException as problem:
+            if "UNABLE_TO_INFER_SCHEMA" not in str(problem):
+                raise
+            # A table by month that holds no rows has no file that could tell its columns.
+            extras = [T.StructField(extra, T.StringType()) for extra in STORED_EXTRAS[name]]
+            return spark.createDataFrame([], T.StructType([*nullable_schema(name).fields, *extras]))
 
     return Tables(**{name: partial(stored, name) for name in TABLE_NAMES})
 

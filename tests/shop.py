@@ -74,5 +74,9 @@ def payment(order_id, number, kind, value=1):
     }
 
 
+def product(product_id, category):
+    return {"product_id": product_id, "product_category_name": category}
+
+
 def rows(df) -> list[dict]:
     return [r.asDict() for r in df.collect()]
