@@ -8,8 +8,12 @@ document with an item; the aligned words are compared, and the document is conta
 13 consecutive aligned words differ in at most two places. Items of 9 to 12 words must align
 whole with at most one difference; shorter ones prove nothing and are never matched.
 
-Seeds of the benchmark are broadcast while the benchmark is small (checked by counting its
-words); larger ones are joined by shuffle. Words compare without regard to A-Z case.
+What is shuffled is one word wide: a seed with its document and place, then the words of
+documents that were hit and the words that items expect at the aligned places, joined by
+document, place and word. No row carries a document, so its length does not matter. Seeds of a
+benchmark of up to ``BROADCAST_WORDS`` words, which are counted, reach the documents by
+broadcast, those of a larger one by shuffle; all else is the same. Words compare without
+regard to A-Z case.
 
 Defined cases: NULL or empty texts match nothing; a NULL doc_id is an id like any other;
 a NULL item_id too; rows that share an id share its decision; items that share an id are
@@ -23,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallworks.llm.text import lower_ascii, words
+from stallworks.operators.ranking import written
 
 MASKS = ((0, 1, 3, 4, 5, 6), (0, 1, 2, 4, 7, 8))
 WINDOW = 13
@@ -37,18 +42,31 @@ def _word_hashes(text: Column) -> Column:
     return F.transform(words(lower_ascii(text)), lambda w: F.xxhash64(w))
 
 
-def _seeds(hashes: Column, at: Column) -> Column:
-    return F.array(
-        *[
-            F.xxhash64(F.lit(number), *[F.get(hashes, at + place) for place in mask])
-            for number, mask in enumerate(MASKS)
-        ]
-    )
+def _once(column: Column) -> Column:
+    """Made once per row: without the generator, Spark would repeat it for every use below."""
+    return F.explode(F.array(column))
+
+
+def _seeds(hashes: str) -> Column:
+    """Of every word of an array, one seed for each mask."""
 
+    def at(place: Column) -> Column:
+        return F.array(
+            *[
+                F.xxhash64(F.lit(number), *[F.get(F.col(hashes), place + p) for p in mask])
+                for number, mask in enumerate(MASKS)
+            ]
+        )
 
-def _seeded(df: DataFrame, hashes: str, at: str) -> DataFrame:
-    """One row for each word and mask; seeds reaching past the end are verified away."""
-    return df.select("*", F.explode(_seeds(F.col(hashes), F.col(at))).alias("seed"))
+    return F.transform(hashes, lambda _, place: at(place))
+
+
+def _seeded(df: DataFrame, key: str, hashes: str, at: str) -> DataFrame:
+    """``(key, at, seed)`` for each word and mask; seeds reaching past the end are verified away."""
+    each = df.select(key, _seeds(hashes).alias("seeds"))
+    return each.select(key, F.posexplode("seeds").alias(at, "of_masks")).select(
+        key, at, F.explode("of_masks").alias("seed")
+    )
 
 
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -56,60 +74,67 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     ``matched_words`` is the largest number of equal words on one alignment.
     """
-    bench = items.select(
-        "item_id", _word_hashes(F.col("text")).alias("item_words")
-    ).where(F.size("item_words") >= SHORTEST_ITEM)
+    bench = (
+        items.select("item_id", _once(_word_hashes(F.col("text"))).alias("item_words"))
+        .where(F.size("item_words") >= SHORTEST_ITEM)
+        .select("item_words", F.struct("item_id", F.xxhash64("item_words").alias("of_text")).alias("item"))
+        .dropDuplicates(["item"])
+    )
     bench_size = bench.agg(F.sum(F.size("item_words"))).first()[0] or 0
     small = bench_size <= BROADCAST_WORDS
 
     def sent(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
-    placed = bench.select("item_id", "item_words", F.posexplode("item_words").alias("item_at", "_"))
-    reaches = F.col("item_at") + max(m[-1] for m in MASKS) < F.size("item_words")
-    ends = F.col("item_at") + min(m[-1] for m in MASKS) < F.size("item_words")
+    ends = F.col("item_at") + min(m[-1] for m in MASKS) < F.col("item_size")
+    sizes = bench.select(F.col("item").alias("__item"), F.size("item_words").alias("item_size"))
     seeds = (
-        _seeded(placed.where(ends | reaches), "item_words", "item_at")
-        .select("seed", "item_id", "item_at", F.size("item_words").alias("item_size"))
+        _seeded(bench, "item", "item_words", "item_at")
+        .join(sent(sizes), F.col("item") == F.col("__item"))
+        .where(ends)
+        .select("seed", "item", "item_at")
         .distinct()
     )
-
-    hashed = docs.select("doc_id", _word_hashes(F.col("text")).alias("doc_words"))
-    positions = hashed.select("doc_id", "doc_words", F.posexplode("doc_words").alias("doc_at", "_"))
-    shift = F.col("doc_at") - F.col("item_at")
-    hits = _seeded(positions, "doc_words", "doc_at").join(sent(seeds), "seed")
-    aligned = hits.select(
-        "doc_id",
-        "item_id",
-        F.greatest(-shift, F.lit(0)).alias("item_from"),
-        F.slice(
-            "doc_words",
-            F.greatest(shift, F.lit(0)) + 1,
-            F.col("item_size") + F.least(shift, F.lit(0)),
-        ).alias("piece"),
-    ).distinct()
-
-    equal = F.zip_with(
-        "piece",
-        F.slice("item_words", F.col("item_from") + 1, F.size("piece")),
-        lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"),
+    narrow = docs.select(F.struct("doc_id", F.xxhash64("text").alias("of_text")).alias("doc"), "text")
+    hashed = narrow.select("doc", _once(_word_hashes(F.col("text"))).alias("doc_words"))
+    # Few words are met by a seed; what they align is written and read twice.
+    aligned = written(
+        _seeded(hashed, "doc", "doc_words", "doc_at")
+        .join(sent(seeds), "seed")
+        .select("doc", "item", (F.col("doc_at") - F.col("item_at")).alias("shift"))
+        .distinct()
+    )
+    expected = (
+        aligned.join(
+            bench.select(F.col("item").alias("__item"), F.posexplode("item_words").alias("item_at", "word")),
+            F.col("item") == F.col("__item"),
+        )
+        .withColumn("doc_at", F.col("item_at") + F.col("shift"))
+        .drop("__item")
+    )
+    hit = aligned.select(F.col("doc").alias("__doc")).distinct()
+    words_hit = (
+        narrow.join(hit, F.col("doc") == F.col("__doc"), "left_semi")
+        .dropDuplicates(["doc"])
+        .select("doc", F.posexplode(_word_hashes(F.col("text"))).alias("doc_at", "word"))
     )
-    named = sent(bench.withColumnRenamed("item_id", "__item"))
-    same_item = F.col("item_id").eqNullSafe(F.col("__item"))
-    compared = aligned.join(named, same_item).withColumn("equal", equal)
-    width = F.least(F.lit(WINDOW), F.size("item_words"))
-    needed = width - F.floor(width * MISMATCHES / WINDOW)
-    proven = F.exists(
-        F.sequence(F.lit(1), F.greatest(F.size("equal") - width + 1, F.lit(1))),
-        lambda at: F.aggregate(F.slice("equal", at, width), F.lit(0), lambda s, x: s + x)
-        >= needed,
+    item_width = F.least(F.lit(WINDOW), F.col("item_size"))
+    needed = F.col("width") - F.floor(F.col("width") * MISMATCHES / WINDOW).cast("int")
+    # As many equal places as are needed lie within the width.
+    close = F.exists(
+        F.sequence(F.lit(0), F.greatest(F.size("equal") - F.col("needed"), F.lit(0))),
+        lambda i: F.get("equal", i + F.col("needed") - 1) - F.get("equal", i) < F.col("width"),
     )
-    matched = F.aggregate("equal", F.lit(0), lambda s, x: s + x)
     return (
-        compared.where(proven)
-        .select("doc_id", "item_id", matched.cast("long").alias("matched_words"))
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("matched_words").alias("matched_words"))
+        expected.join(words_hit, ["doc", "doc_at", "word"])
+        .groupBy("doc", "item", "shift")
+        .agg(F.sort_array(F.collect_list("item_at")).alias("equal"))
+        .join(sizes, F.col("item") == F.col("__item"))
+        .withColumn("width", item_width)
+        .withColumn("needed", needed)
+        .where((F.size("equal") >= F.col("needed")) & close)
+        .groupBy("doc.doc_id", "item.item_id")
+        .agg(F.max(F.size("equal")).cast("long").alias("matched_words"))
     )
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallworks.llm.linking import linked_components, pairs_across
+from stallworks.llm.linking import components_of_ids, linked_components, node_numbers, pairs_across
 from stallworks.llm.text import lists, mix, signed
 from stallworks.operators.ranking import written
 
@@ -234,14 +234,15 @@ def embedding_duplicates(
     )
     named = prepared.where("vec_id IS NOT NULL AND digest IS NOT NULL")
     classes = written(
-        named.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+        node_numbers(
+            named.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+        )
     )
-    firsts = classes.select(F.col("digest").alias("__digest"), "rep", "weight")
+    firsts = classes.withColumnsRenamed({"digest": "__digest", "node": "id"})
     chosen = written(
         named.join(
             firsts, (F.col("vec_id") == F.col("rep")) & (F.col("digest") == F.col("__digest"))
         )
-        .withColumnRenamed("vec_id", "id")
         .dropDuplicates(["id"])
         .select("id", "unit", "cells", "s0", "s1", "weight")
     )
@@ -254,13 +255,12 @@ def embedding_duplicates(
     found = linked_components(members, lambda _: (verify, across), near, "x.own")
     nodes = found.join(chosen.select("id", "unit", "weight"), "id")
     counts = _link_counts(nodes, cosine, block)
+    ids = named.select(F.col("vec_id").alias("id"), "digest")
     by_class = (
-        classes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-        .join(counts.withColumnRenamed("id", "rep"), "rep", "left")
+        classes.join(counts.withColumnRenamed("id", "node"), "node", "left")
+        .join(components_of_ids(found, classes, ids), "digest")
         .select(
-            "digest",
-            F.coalesce("component", "rep").alias("component_id"),
-            F.coalesce("n_links", F.col("weight") - 1).alias("n_links"),
+            "digest", "component_id", F.coalesce("n_links", F.col("weight") - 1).alias("n_links")
         )
     )
     digest = F.when(F.col("vec_id").isNotNull(), F.col("digest")).alias("digest")

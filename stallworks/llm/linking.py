@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallworks.llm.components import components
@@ -107,3 +107,49 @@ def linked_components(
     if second.isEmpty():
         return found
     return components(first.unionAll(second))
+
+
+def node_numbers(classes: DataFrame) -> DataFrame:
+    """``classes(digest, rep, ...)`` with ``node``, a number that no two classes share.
+
+    The smallest id of a class is its number, unless classes begin with the same id; all but one
+    of these are numbered by a hash of the digest, anew until no number occurs twice.
+    """
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("digest"))
+    placed = written(classes.withColumn("place", place))
+    salt = 0
+    while True:
+        other = F.xxhash64(F.lit(salt), "digest")
+        numbered = placed.withColumn("node", F.when(F.col("place") == 1, F.col("rep")).otherwise(other))
+        if numbered.groupBy("node").count().where("count > 1").isEmpty():
+            return numbered.drop("place")
+        salt += 1
+
+
+def components_of_ids(
+    found: DataFrame, classes: DataFrame, rows: DataFrame
+) -> DataFrame:
+    """``(digest, component_id)``: the smallest id that a class reaches.
+
+    ``found(id, component)`` joins classes by links, ``classes(digest, rep, node)`` names them, and
+    ``rows(id, digest)`` are all rows: an id of several classes joins them too.
+    """
+    spread = rows.groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
+    spread = written(spread.where("least < most").select(F.col("id").alias("__id"), "least"))
+    if not spread.isEmpty():
+        names = classes.select("digest", "node")
+        same_id = (
+            rows.join(spread, F.col("id") == F.col("__id"))
+            .join(names.withColumnsRenamed({"digest": "__d", "node": "b"}), F.col("least") == F.col("__d"))
+            .join(names.withColumnRenamed("node", "a"), "digest")
+            .select("a", "b")
+        )
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(same_id))
+    joined = classes.join(found.withColumnRenamed("id", "node"), "node", "left").select(
+        "digest", "rep", F.coalesce("component", "node").alias("component_id")
+    )
+    if classes.where("node <> rep").isEmpty():
+        return joined.drop("rep")
+    # A number made from a hash may be the least of its component; the least id is asked for.
+    least = joined.groupBy("component_id").agg(F.min("rep").alias("least_id"))
+    return joined.join(least, "component_id").select("digest", F.col("least_id").alias("component_id"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallworks.llm.linking import linked_components
+from stallworks.llm.linking import components_of_ids, linked_components, node_numbers
 from stallworks.llm.text import grams, lists, mix, signed, span_hashes, spans, text_blocks
 from stallworks.operators.ranking import written
 
@@ -104,6 +104,10 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield row, [shingles(hashes[a:b], k) for a, b in zip(before[:-1], before[1:])]
 
 
+def _digests(sets: list[np.ndarray]) -> list[bytes | None]:
+    return [hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets]
+
+
 def _signed(
     batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int
 ) -> Iterator[pa.RecordBatch]:
@@ -113,7 +117,7 @@ def _signed(
             owner = np.repeat(np.arange(len(sets)), sizes)
             signature = super_minhash(np.concatenate(sets), owner, len(sets), bands * rows)
             keys = band_hashes(signature, bands, rows)[sizes > 0]
-            digests = [hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets]
+            digests = _digests(sets)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(row, len(sets)),
@@ -132,9 +136,10 @@ def _set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(row, len(sets)),
+                    pa.array(_digests(sets), pa.binary()),
                     lists(signed(np.concatenate(sets)), sizes, pa.int64()),
                 ],
-                ["id", "elements"],
+                ["id", "digest", "elements"],
             )
 
 
@@ -198,28 +203,40 @@ def near_duplicates(
         )
     )
     named = signatures.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = written(named.groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    classes = written(node_numbers(named.groupBy("digest").agg(F.min("doc_id").alias("rep"))))
     chosen = named.join(
         classes.withColumnsRenamed({"digest": "__digest"}),
         (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("__digest")),
-        "left_semi",
     )
     members = chosen.select(
-        F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), "n_shingles"
+        F.explode("bands").alias("bucket"), F.col("node").alias("id"), "n_shingles"
     )
+    # Texts of classes that begin with the same id are told apart by their digests.
+    several = written(classes.groupBy("rep").count().where("count > 1").select("rep"))
+    apart = not several.isEmpty()
 
     def prepare(ids: DataFrame):
-        wanted = narrow.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-        sets = written(
-            wanted.mapInArrow(partial(_set_rows, k=k), "id long, elements array<long>")
-        )
+        plain = ids
+        if apart:
+            plain = ids.join(several, F.col("id") == F.col("rep"), "left_anti")
+        wanted = narrow.join(plain, F.col("doc_id") == F.col("id"), "left_semi")
+        columns = "id long, digest binary, elements array<long>"
+        sets = wanted.mapInArrow(partial(_set_rows, k=k), columns).drop("digest")
+        if apart:
+            shared = narrow.join(several, F.col("doc_id") == F.col("rep"), "left_semi")
+            named_sets = shared.mapInArrow(partial(_set_rows, k=k), columns).join(
+                classes.select("rep", "node", F.col("digest").alias("__digest")),
+                (F.col("id") == F.col("rep")) & (F.col("digest") == F.col("__digest")),
+            )
+            wanted_sets = named_sets.select(F.col("node").alias("id"), "elements")
+            sets = sets.unionAll(wanted_sets.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+        sets = written(sets)
         return partial(_confirmed, sets, percent), partial(_across, sets, percent)
 
     close = f"least(x.n_shingles, y.n_shingles) * 100 >= {percent} * greatest(x.n_shingles, y.n_shingles)"
     found = linked_components(members, prepare, close, central=True)
-    by_class = classes.join(
-        found.withColumnRenamed("id", "rep"), "rep", "left"
-    ).select("digest", F.coalesce("component", "rep").alias("component_id"))
+    rows_of = named.select(F.col("doc_id").alias("id"), "digest")
+    by_class = components_of_ids(found, classes, rows_of)
     return (
         signatures.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
         .join(by_class, "digest", "left")

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stallworks.llm import queries, statements
+from stallworks.llm import decontamination, queries, statements
 from stallworks.llm.components import components
 from stallworks.llm.decontamination import MASKS, SHORTEST_ITEM, WINDOW, decontaminated, overlaps
 from stallworks.llm.mixing import fair_mix
@@ -357,3 +357,40 @@ def test_factors_copy_stretches_of_earlier_documents(spark, corpus):
         assert after[0] != after[1] or not after[0] or others
     assert len(found) > 20
     assert flags == {d: gone for d, (_, gone) in expected.items()}
+
+
+def test_ids_shared_by_different_texts_lose_no_link(spark):
+    rng, vocab = random.Random(31), vocabulary(31)
+    b, c, d = (rng.choices(vocab, k=120) for _ in range(3))
+    near = lambda w: " ".join(changed(rng, w, 2))
+    rows = [(3, " ".join(b)), (9, near(b)), (9, " ".join(c)), (12, near(c)), (20, " ".join(d))]
+    found = near_duplicates(table(spark, rows), k=2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [
+        (3, 3, True), (9, 3, False), (9, 3, False), (12, 3, False), (20, 20, True),
+    ]
+    # Two classes that begin with the same id, linked with different documents.
+    rows = [(3, " ".join(b)), (3, " ".join(c)), (7, near(b)), (8, near(c)), (-5, " ".join(d))]
+    found = near_duplicates(table(spark, rows), k=2).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(3, 3), (7, 3), (8, 3), (-5, -5)}
+
+
+def test_long_texts_and_large_benchmarks_take_the_same_way(spark, monkeypatch):
+    rng, vocab = random.Random(32), vocabulary(32, 5000)
+    passages = [rng.choices(vocab, k=rng.choice([9, 12, 20, 40])) for _ in range(30)]
+    items = [(i, " ".join(p)) for i, p in enumerate(passages)] + [(0, " ".join(passages[0]))]
+    long = rng.choices(vocab, k=100_000)
+    long[50_000:50_000] = changed(rng, passages[5], 1)
+    long[99_000:99_000] = passages[7]
+    docs = [(1, " ".join(long)), (None, " ".join(passages[3])), (2, "short"), (2, None)]
+    docs += [(10 + i, " ".join(rng.choices(vocab, k=30) + changed(rng, p, 1))) for i, p in enumerate(passages)]
+    small = {(r.doc_id, r.item_id): r.matched_words for r in overlaps(
+        table(spark, docs), table(spark, items, "item_id long, text string")).collect()}
+    monkeypatch.setattr(decontamination, "BROADCAST_WORDS", 0)
+    by_shuffle = overlaps(table(spark, docs), table(spark, items, "item_id long, text string"))
+    plan = by_shuffle._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.item_id): r.matched_words for r in by_shuffle.collect()} == small
+    exchanged = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanged and not any("doc_words" in line for line in exchanged)
+    assert small[1, 5] == len(passages[5]) - 1 and small[1, 7] == len(passages[7])
+    short = [(d, t) for d, t in docs if d != 1]
+    assert {k: n for k, n in small.items() if k[0] != 1} == reference.leaks(short, items)

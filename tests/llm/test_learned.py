@@ -334,3 +334,19 @@ def test_pipeline_on_empty_documents(spark, check_dir):
     docs = spark.read.parquet(f"{check_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, check_dir).count() == 0
+
+
+def test_vectors_under_a_shared_id_lose_no_link(spark):
+    rng = np.random.default_rng(41)
+    b, c = rng.normal(size=(2, 64))
+    b, c = b / np.linalg.norm(b), c / np.linalg.norm(c)
+
+    def beside(v):
+        other = rng.normal(size=64)
+        other -= (other @ v) * v
+        return 0.998 * v + math.sqrt(1 - 0.998**2) * other / np.linalg.norm(other)
+
+    rows = [(3, b), (3, c), (7, beside(b)), (8, beside(c)), (11, rng.normal(size=64))]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    found = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_duplicates(table).collect())
+    assert found == [(3, 1, 3, True), (3, 1, 3, True), (7, 1, 3, False), (8, 1, 3, False), (11, 0, 11, True)]
