@@ -815,6 +815,13 @@ GRAINS = {
 
 LAYERS = {
     "csv_monthly_trend": BUSINESS["biz_monthly_trend"],
+    "csv_review_records": f"""
+        SELECT {big('stars')} AS review_score, count(*) AS records,
+               {big('sum(length(message))')} AS message_chars,
+               count(message) AS whole_messages
+        FROM (SELECT stars, 'line one, "' || order_id || '"' || chr(10) || chr(10)
+                  || 'line three "' || cast(stars AS bigint) || '"' AS message FROM r_reviews)
+        GROUP BY stars""",
     "warehouse_monthly_trend": BUSINESS["biz_monthly_trend"],
     "warehouse_category_rank": PRODUCTS["prod_category_rank"],
     "warehouse_seller_concentration": SELLERS["seller_concentration"],

@@ -75,13 +75,18 @@ def _with_customer(orders: DataFrame, t: Tables, dims: Sequence[str]) -> DataFra
     return facts.select(*others, "person", *wanted)
 
 
+def _of_months(rows: DataFrame, filters: Mapping[str, Column]) -> DataFrame:
+    """Rows of an order's table; a condition on months prunes it where it is stored by month."""
+    if MONTH not in rows.columns or "ym" not in filters:
+        return rows
+    return rows.withColumn("ym", month_date(rows.columns)).filter(filters["ym"]).drop("ym")
+
+
 def _line_facts(
     t: Tables, dims: Sequence[str], filters: Mapping[str, Column], status: str
 ) -> DataFrame:
     """Items with the wanted item-level dimensions; stored items are pruned by month and status."""
-    lines = known_valid(t["order_items"], status)
-    if MONTH in lines.columns and "ym" in filters:
-        lines = lines.withColumn("ym", month_date(lines.columns)).filter(filters["ym"]).drop("ym")
+    lines = _of_months(known_valid(t["order_items"], status), filters)
     if "category" in dims:
         lines = lines.join(product_category(t).select("product_id", "category"), "product_id")
     if "seller_state" in dims or "seller_city" in dims:
@@ -226,7 +231,8 @@ def service_table(
         split = [d for d in dims if d in PAYMENT_DIMENSIONS]
         facts = facts.join(distinct_grain(paid, "order_id", *split), "order_id")
     if "avg_score" in measures:
-        facts = facts.join(order_score(t["order_reviews"]), "order_id", "left")
+        reviews = _of_months(t["order_reviews"], filters)
+        facts = facts.join(order_score(reviews), "order_id", "left")
     table = facts.groupBy(*dims).agg(*[ORDER_MEASURES[m]().alias(m) for m in measures])
     return _present(table, dims)
 

@@ -322,6 +322,28 @@ def _from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return business.biz_monthly_trend(warehouse.read_clean(spark, f"{folder}/clean").tables)
 
 
+def _review_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews whose messages hold quotes and line breaks, written and read back in byte ranges."""
+    folder = _new_folder(spark)
+    message = F.concat(
+        F.lit('line one, "'), F.col("order_id"), F.lit('"\n\nline three "'), F.col("review_score"), F.lit('"')
+    )
+    reviews = raw_tables(spark, sf_dir)["order_reviews"].withColumn("review_comment_message", message)
+    target = raw_csv.FILE_PATTERNS["order_reviews"].replace("*", "shop")
+    reviews.write.options(**CSV).csv(f"{folder}/{target}")
+    text = F.col("review_comment_message")
+    return (
+        raw_csv.read_raw(spark, folder, "order_reviews")
+        .groupBy(F.col("review_score").cast("bigint").alias("review_score"))
+        .agg(
+            F.count("*").alias("records"),
+            F.sum(F.length(text)).alias("message_chars"),
+            F.count_if(text.endswith(F.concat(F.lit('\n\nline three "'), F.col("review_score"), F.lit('"'))))
+            .alias("whole_messages"),
+        )
+    )
+
+
 def _from_warehouse(
     plan: Plan, names: tuple[str, ...], spark: SparkSession, sf_dir: str
 ) -> DataFrame:
@@ -479,6 +501,7 @@ def registered_queries() -> dict[str, Query]:
         raw_tables(spark, sf_dir)["order_reviews"]
     )
     found["csv_monthly_trend"] = _from_csv
+    found["csv_review_records"] = _review_records
     found |= {
         name: partial(_from_warehouse, plan, needed)
         for name, (plan, needed) in FROM_WAREHOUSE.items()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stallworks.operators.checks import stacked
 from stallworks.operators.cleaning import CLEANERS, FILE_ORDER
 from stallworks.sources.formats import CSV, format_options
+from stallworks.sources.quoted_records import read_quoted_csv
 from stallworks.sources.schemas import TABLE_NAMES, text_schema
 
 # Every business file is "<source>_<table>_dataset.csv" in the public data
@@ -30,27 +31,23 @@ def known(column: str) -> Column:
 def read_raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One raw table, every column as text.
 
-    Reviews hold free text with quotes and line breaks. Such a file cannot be split, so
-    very large review dumps should come as many files; their rows also carry the place
-    in the file, which decides which repeated review is the first.
+    Reviews hold free text with quotes and line breaks. Their files are split all the same,
+    and their rows also carry the place in the file, which decides which repeated review is
+    the first.
     """
-    reviews = name == "order_reviews"
-    raw = (
-        spark.read.schema(text_schema(name))
-        .options(**CSV, multiLine=reviews)
-        .option("enforceSchema", False)
-        .csv(f"{folder}/{FILE_PATTERNS[name]}")
-    )
-    if not reviews:
+    path = f"{folder}/{FILE_PATTERNS[name]}"
+    if name != "order_reviews":
+        raw = (
+            spark.read.schema(text_schema(name))
+            .options(**CSV)
+            .option("enforceSchema", False)
+            .csv(path)
+        )
         return raw.select(*[known(c) for c in raw.columns])
-    file, block, row = FILE_ORDER
-    place = {
-        file: F.col("_metadata.file_path"),
-        block: F.col("_metadata.file_block_start"),
-        row: F.monotonically_increasing_id(),
-    }
+    raw = read_quoted_csv(spark, path, text_schema(name), CSV["quote"], CSV["escape"])
+    place = zip(("file", "block", "row"), FILE_ORDER)
     return raw.select(
-        *[known(c) for c in raw.columns], *[column.alias(c) for c, column in place.items()]
+        *[known(c) for c in text_schema(name).names], *[F.col(c).alias(new) for c, new in place]
     )
 
 

@@ -147,6 +147,19 @@ def test_month_filter_prunes_orders_and_items(stored):
             assert re.search(rf"PartitionFilters: \[[^\]]*{MONTH}", scan), scan
 
 
+def test_month_filter_prunes_reviews(stored):
+    t, kept = stored
+    march = {"ym": F.col("ym") == F.lit("1996-03-01").cast("date")}
+    for measures in (["avg_score"], list(metrics.ORDER_MEASURES)):
+
+        def report(tables):
+            return metrics.service_table(tables, measures, ["state"], march)
+
+        assert spark_rows(report(kept)) == spark_rows(report(t))
+        (reviews,) = scans(plan_of(report(kept)), "review_score")
+        assert re.search(rf"PartitionFilters: \[[^\]]*{MONTH}", reviews), reviews
+
+
 def test_service_reads_orders_once(stored):
     t, kept = stored
     for tables, column in ((t, "o_orderdate"), (kept, "order_purchase_timestamp")):
