@@ -1,10 +1,11 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Both star steps keep components and move edges towards the smallest id, until every
-node points at the smallest id of its component. A node with a third of all edges is
-reduced to its smallest neighbour on the map side; the join that follows can be split
-by adaptive execution. Every round is written to the shared folder, so lineage stays short
-and lost executors cost one round at most.
+node points at the smallest id of its component. A node with a third of all edges never
+comes to one task: its edges are spread by a hash of their other end, each part is reduced to its
+smallest neighbour, the parts to the smallest of all, and that is sent back to every part.
+Every round is written to the shared folder, so lineage stays short and lost executors cost
+one round at most.
 """
 
 from __future__ import annotations
@@ -26,22 +27,36 @@ def _settled(edges: DataFrame) -> bool:
     return not nodes.agg(F.count_if(F.expr("points > 1 OR points = 1 AND root = 1"))).first()[0]
 
 
+def _with_least(edges: DataFrame, node: str, other: str) -> DataFrame:
+    """The edges with ``m``, the smallest ``other`` of each ``node``."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = edges.withColumn("part", F.pmod(F.xxhash64(other), F.lit(parts)))
+    least = (
+        spread.groupBy(node, "part")
+        .agg(F.min(other).alias("m"))
+        .groupBy(node)
+        .agg(F.min("m").alias("m"), F.collect_set("part").alias("parts"))
+        .select(node, "m", F.explode("parts").alias("part"))
+    )
+    return spread.join(least, [node, "part"]).drop("part")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(
         edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     )
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
     return (
-        both.join(least, "u")
+        _with_least(both, "u", "v")
         .where("v > u")
         .select(F.col("v").alias("hi"), F.least("u", "m").alias("lo"))
     )
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = edges.join(least, "hi").where("lo > m").select(F.col("lo").alias("hi"), "m")
-    return moved.unionAll(least).select("hi", F.col("m").alias("lo")).distinct()
+    starred = _with_least(edges, "hi", "lo")
+    # The smallest neighbour keeps its edge; the others move to it.
+    moved = F.when(F.col("lo") > F.col("m"), F.col("lo")).otherwise(F.col("hi"))
+    return starred.select(moved.alias("hi"), F.col("m").alias("lo")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

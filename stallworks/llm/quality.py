@@ -7,8 +7,9 @@ mean and their maximum, and a small dense layer turns these into one probability
 covers whole documents of any length, piece by piece. Training takes gradients through the
 maxima only, which touch one window per chunk and filter.
 
-Fitted on the driver from a bounded sample of labelled rows (``FIT_ROWS``, of which each
-document is read whole); weights are a few hundred kilobytes and are broadcast.
+Fitted on the driver from a bounded sample of labelled rows: about ``FIT_ROWS`` rows and
+``FIT_BYTES`` bytes at most, of which each document is read whole; documents longer than a 64th
+of the bytes teach nothing. Weights are a few hundred kilobytes and are broadcast.
 
 Defined cases: NULL is an empty text; a text shorter than a filter is padded with zero bytes
 and scored like any other; without labels, or with one class only, the score is the share of
@@ -34,6 +35,7 @@ WIDTH = 5
 HIDDEN = 16
 HALF_CHUNK = 128  # chunks are two halves long and start at every half
 FIT_ROWS = 4_000
+FIT_BYTES = 64 << 20
 EPOCHS = 6
 BATCH = 32
 RATE = 0.01
@@ -158,13 +160,15 @@ def fit(texts: list[bytes], good: np.ndarray, epochs: int = EPOCHS, seed: int =
     return w
 
 
-def fitted(texts: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Weights | float:
+def fitted(
+    texts: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES
+) -> Weights | float:
     """Weights, or a constant probability where there is nothing to tell apart."""
     rows = (
-        labelled_sample(texts, labels, "quality", fit_rows)
+        labelled_sample(texts, labels, "quality", fit_rows, fit_bytes)
         .select(F.xxhash64("doc_id").alias("k"), "text", "quality")
         .toPandas()
-        .sort_values(["k", "quality"], kind="stable")
+        .sort_values(["k", "quality", "text"], kind="stable")
     )
     good = rows["quality"].to_numpy(dtype=np.float32)
     if len(good) == 0 or good.min() == good.max():
@@ -190,12 +194,14 @@ def _scored(model, kept: list[str]):
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def quality_scores(
+    docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES
+) -> DataFrame:
     """Columns of ``docs`` but ``text``, with ``score`` (probability of good) and ``predicted``.
 
     ``labels`` has ``doc_id`` and ``quality``; only its rows that are in ``docs`` are learned from.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, fit_rows))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, fit_rows, fit_bytes))
     kept = [c for c in docs.columns if c not in ("text", "score", "predicted", "__text")]
     schema = T.StructType(
         [docs.schema[c] for c in kept]

@@ -82,30 +82,61 @@ SELECT doc_id, size, source_size, target,
 FROM spent GROUP BY doc_id, size, source_size, target, source
 """
 
-# Rules as text are host and path together; links that pages declare join plain forms.
+# Rules as text are host and path together; links that pages declare, all tags of both kinds, join
+# addresses. Targets are resolved against the first base of their page, or its url.
 _AFTER = "CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
-_FORMS = rf"""
-    SELECT url, translate(regexp_extract({_AFTER}, '^([^/?#]*)', 1),
-            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-        regexp_extract({_AFTER}, '^[^/?#]*([^?#]*)', 1) AS path
-    FROM address"""
+_ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_FORMS = rf'''
+    SELECT url, translate(regexp_extract({_AFTER}, '^([^/?#]*)', 1), {_ASCII}) AS host,
+        regexp_extract({_AFTER}, '^[^/?#]*([^?#]*)', 1) AS path,
+        regexp_extract({_AFTER}, '^[^?#]*(\?[^#]*)?', 1) AS query
+    FROM place'''
 
-URL_FILTER = rf"""
-WITH RECURSIVE link AS (
-    SELECT url, unnest([
-        regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel=["'']?canonical\b[^>]*>'),
-            '(?i)\bhref=["'']?([^"''\s>]+)', 1),
-        regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv=["'']?refresh\b[^>]*>'),
-            '(?i)\burl=["'']?([^"''\s>;]+)', 1)]) AS target
+
+def _resolved(base: str, target: str) -> str:
+    named = f"regexp_extract({target}, '^[^?#]*')"
+    folder = f"regexp_extract({base}, '^[^/?#]*://[^/?#]*([^?#]*/)?', 1)"
+    rooted = f'''CASE WHEN {named} LIKE '/%' THEN {named}
+        WHEN {folder} = '' THEN '/' || {named} ELSE {folder} || {named} END'''
+    parts = f"string_split({rooted}, '/')"
+    undotted = f'''array_to_string(list_reduce(list_transform({parts}, lambda x: [x]), lambda done, part:
+        CASE WHEN part[1] = '..' THEN done[1:greatest(len(done) - 1, 1)]
+             WHEN part[1] = '.' THEN done ELSE list_concat(done, part) END), '/')
+        || CASE WHEN {parts}[-1] IN ('.', '..') THEN '/' ELSE '' END'''
+    site = f"regexp_extract({base}, '^[^/?#]*://[^/?#]*')"
+    return rf'''CASE WHEN {target} = '' THEN NULL
+        WHEN regexp_matches({target}, '^[^/?#]*://') THEN {target}
+        WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN NULL
+        WHEN coalesce({site}, '') = '' THEN NULL
+        WHEN {target} LIKE '//%' THEN regexp_extract({base}, '^([^/?#]*:)//', 1) || {target}
+        WHEN {named} = '' THEN {site} || regexp_extract({base}, '^[^/?#]*://[^/?#]*([^?#]*)', 1)
+            || regexp_extract({target}, '[?#].*')
+        ELSE {site} || {undotted} || regexp_extract({target}, '[?#].*') END'''
+
+
+URL_FILTER = rf'''
+WITH RECURSIVE declared AS (
+    SELECT url, unnest(list_concat(
+        list_transform(regexp_extract_all(html, '(?i)<link\b[^>]*\brel=["'']?canonical\b[^>]*>'),
+            lambda tag: regexp_extract(tag, '(?i)\bhref=["'']?([^"''\s>]+)', 1)),
+        list_transform(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv=["'']?refresh\b[^>]*>'),
+            lambda tag: regexp_extract(tag, '(?i)\burl=["'']?([^"''\s>;]+)', 1)))) AS target,
+        regexp_extract(regexp_extract(html, '(?i)<base\b[^>]*\bhref=[^>]*>'),
+            '(?i)\bhref=["'']?([^"''\s>]+)', 1) AS named
     FROM pages
-), address AS (
+), based AS (
+    SELECT url, target, coalesce({_resolved('url', 'named')}, url) AS base FROM declared
+), link AS (
+    SELECT url, {_resolved('base', 'target')} AS target FROM based
+), place AS (
     SELECT url FROM pages WHERE url IS NOT NULL
-    UNION SELECT url FROM link WHERE target LIKE '%://%' AND url IS NOT NULL
-    UNION SELECT target FROM link WHERE target LIKE '%://%'
+    UNION SELECT url FROM link WHERE target IS NOT NULL AND url IS NOT NULL
+    UNION SELECT target FROM link WHERE target IS NOT NULL
 ), form AS ({_FORMS}
 ), plain AS (
     SELECT *, CASE WHEN url LIKE '%://%'
-        THEN host || regexp_replace(path, '(\.html?)?/*\z', '') END AS plain FROM form
+        THEN translate(substr(url, 1, strpos(url, '://') + 2), {_ASCII}) || host
+            || CASE WHEN path = '' THEN '/' ELSE path END || query END AS plain FROM form
 ), rule(verdict, rule_host, rule_path) AS (VALUES
     ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
     ('block', 'net', '/es/'), ('block', 'net', '/fr/')
@@ -137,7 +168,7 @@ WITH RECURSIVE link AS (
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
     coalesce(verdict, CASE WHEN NOT allowed THEN 'block' ELSE 'allow' END) AS verdict
 FROM pages LEFT JOIN grouped USING (url) LEFT JOIN decided USING (component)
-"""
+'''
 
 # Sets of 2-word shingles, links by counting shared ones, components by reachability.
 NEAR_DUPLICATES = rf"""

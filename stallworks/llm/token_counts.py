@@ -1,17 +1,21 @@
 """Exact token counts of every prefix of a text, for a public sentencepiece BPE model.
 
+The last token of every prefix determines its encoding: a prefix of an encoding is the encoding
+of its text, and a row of tokens is an encoding if merging never crosses from any token to the
+next. So the dynamic program goes from left to right and finds for each prefix the one piece that
+ends it and may follow the last token of the prefix before it; its count is one more. Whether
+one piece may follow another is decided by merging the two alone, and remembered. Characters the
+model has no piece for are their UTF-8 bytes and never merge.
+
 The model writes a space as a mark and no piece holds a mark behind another character, so
 no merge ever crosses the place where a run of marks begins. A text therefore falls into
-chunks (marks and the characters up to the next mark) whose tokens are independent, and
-
-    tokens(prefix) = tokens(prefix up to the chunk it ends in) + tokens(part of that chunk)
-
-The dynamic program runs over chunks from left to right; its table holds the count at every
-chunk end, and the second term needs one chunk to be encoded, never the text. The claim about
-the pieces is checked when a model is loaded; a model that breaks it is refused.
+chunks (marks and the characters up to the next mark) whose tables are independent; the table of
+a text is made of theirs, and the total of a chunk met again is not computed again. Both claims are
+checked when a model is loaded, the first by the library's counts of a probe; a model that breaks
+them is refused. Tables answer questions about truncation and budgets without any encoding.
 
-Chunk counts are remembered per task in a table of bounded size. The model file is found
-by path on the executors.
+What a task remembers (totals of chunks, beginnings of tables, pairs) is bounded by number and
+characters. The model file is found by path on the executors.
 
 Defined cases: a NULL text is empty; an empty text has no tokens; a prefix is measured in
 characters and may end anywhere; repeated rows are counted each; input columns named like an
@@ -20,10 +24,10 @@ output column are replaced.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import math
 from collections.abc import Iterator
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +37,13 @@ MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 
 _MARK = "▁"
-_REMEMBERED = 500_000
-_REMEMBERED_CHARACTERS = 10_000_000
-# Texts are cut together in groups of about so many characters.
-_GROUP = 1 << 20
+_REMEMBERED = 400_000
+_REMEMBERED_CHARACTERS = 8_000_000
+_REMEMBERED_PAIRS = 300_000
+_REMEMBERED_HEADS = 100_000
+_HEAD = 6
+_LONG_CHUNK = 1_000
+_PROBE = "A probe:  tokens, ünïcode 中文 \x00\t\r\n▁marks▁▁▁ <s> 12345 aaaaaaaaab ﬁ Å \U0001f600 "
 
 
 def model_path(name: str = MODEL) -> str:
@@ -46,47 +53,126 @@ def model_path(name: str = MODEL) -> str:
 
 
 class PrefixCounter:
-    """Token counts by chunk, and answers about prefixes, for one model."""
+    """Token counts of all prefixes of texts for one model."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = (self.model.id_to_piece(i) for i in range(self.model.vocab_size()))
-        if any(_MARK in p.lstrip(_MARK) for p in pieces):
+        model = self.model
+        self._scores = {
+            model.id_to_piece(i): model.get_score(i)
+            for i in range(model.vocab_size())
+            if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i))
+        }
+        if any(_MARK in p.lstrip(_MARK) for p in self._scores):
             raise ValueError("pieces of this model cross word boundaries")
-        self._known: dict[str, int] = {}
+        # Lengths of the pieces by their last two characters.
+        self._tails: dict[str, list[int]] = {}
+        for n, tail in sorted({(len(p), p[-2:]) for p in self._scores if len(p) > 1}, reverse=True):
+            self._tails.setdefault(tail, []).append(n)
+        self._split: dict[str, tuple[str, str] | None] = {}
+        self._heads: dict[str, tuple[list[str], list[int]]] = {}
+        self._totals: dict[str, int] = {}
         self._characters = 0
+        self._follows: dict[tuple[str, str], bool] = {}
+        if self.total(_PROBE) != len(model.encode(_PROBE)):
+            raise ValueError("this model does not merge as the dynamic program expects")
+
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that merge last when ``piece`` is encoded alone; None if it is not met.
+
+        The best pair merges first, of equals the leftmost.
+        """
+        if piece not in self._split:
+            parts, last = list(piece), None
+            while len(parts) > 1:
+                scored = [
+                    (-self._scores[a + b], i)
+                    for i, (a, b) in enumerate(zip(parts, parts[1:]))
+                    if a + b in self._scores
+                ]
+                if not scored:
+                    break
+                at = min(scored)[1]
+                last = (parts[at], parts[at + 1])
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self._split[piece] = last if len(parts) == 1 else None
+        return self._split[piece]
+
+    def _may_follow(self, before: str, piece: str) -> bool:
+        """Whether merging ``before + piece`` never crosses from one to the other.
+
+        Merges are taken back from the last to the first. Between two of them the parts at the
+        border stand side by side, and would merge if their pair came before the next merge.
+        """
+        if len(piece) > 1 and self._halves(piece) is None:
+            return False
+        left, right = before, piece
+        score, next_score, next_is_right = self._scores.get, -math.inf, False
+        while left:
+            pair = score(left + right)
+            if pair is not None and (pair > next_score or pair == next_score and next_is_right):
+                return False
+            if len(left) == 1 and len(right) == 1:
+                break
+            # Of equal merges the right one comes later.
+            next_is_right = len(left) == 1 or len(right) > 1 and score(right) <= score(left)
+            if next_is_right:
+                next_score, right = score(right), self._halves(right)[0]
+            else:
+                next_score, left = score(left), self._halves(left)[1]
+        return True
 
-    def totals(self, texts: list[str]) -> list[int]:
-        """Tokens of whole texts.
+    def _counts(self, symbols: str) -> list[int]:
+        """Tokens of the first 0, 1, ... characters of a chunk that begins with a mark.
 
-        Chunks not met before are encoded in one call, which is cheaper than one by one.
-        The table is emptied first when it has outgrown its bound.
+        Chunks that begin alike share the first entries of their tables.
         """
-        if len(self._known) > _REMEMBERED or self._characters > _REMEMBERED_CHARACTERS:
-            self._known.clear()
-            self._characters = 0
-        known = self._known.get
-        counted, unknown = [], []
-        for text in texts:
-            chunks = self.chunks(text) if text else []
-            found = list(map(known, chunks))
-            counted.append(sum(filter(None, found)))
-            unknown.append([c for c, n in zip(chunks, found) if n is None])
-        new = list(set().union(*unknown))
-        for chunk, ids in zip(new, self.model.encode(new, num_threads=1)):
-            # An empty chunk is a mark alone, which the library does not add to nothing.
-            self._known[chunk] = len(ids) if chunk else 1
-            self._characters += len(chunk)
-        return [n + sum(map(self._known.__getitem__, c)) for n, c in zip(counted, unknown)]
-
-    def _count(self, chunk: str) -> int:
-        """Tokens of a chunk given without its first mark, which the library adds itself."""
-        found = self._known.get(chunk)
-        if found is None:
-            found = len(self.model.encode(chunk)) if chunk else 1
-        return found
+        scores, known, tails = self._scores, self._follows, self._tails
+        last, counts = [""], [0]
+        head = symbols[:_HEAD]
+        shared = self._heads.get(head)
+        if shared is not None:
+            last, counts = shared[0][:], shared[1][:]
+        for end in range(len(counts), len(symbols) + 1):
+            for size in tails.get(symbols[end - 2 : end] if end > 1 else symbols[:1], ()):
+                if size > end:
+                    continue
+                piece = symbols[end - size : end]
+                if piece not in scores:
+                    continue
+                key = (last[end - size], piece)
+                fits = known.get(key)
+                if fits is None:
+                    if len(known) >= _REMEMBERED_PAIRS:
+                        known.clear()
+                    fits = known[key] = self._may_follow(*key)
+                if fits:
+                    counts.append(counts[end - size] + 1)
+                    break
+            else:
+                piece = symbols[end - 1]
+                counts.append(counts[end - 1] + (1 if piece in scores else len(piece.encode())))
+            last.append(piece)
+            if end == _HEAD:
+                if len(self._heads) >= _REMEMBERED_HEADS:
+                    self._heads.clear()
+                self._heads[head] = last[:], counts[:]
+        return counts
+
+    def _total(self, chunk: str) -> int:
+        """Tokens of a chunk given without its first mark: the last entry of its table."""
+        n = self._totals.get(chunk)
+        if n is None:
+            n = self._counts(_MARK + chunk.replace(" ", _MARK))[-1]
+            if len(chunk) <= _LONG_CHUNK:
+                self._characters += len(chunk)
+                if len(self._totals) >= _REMEMBERED or self._characters > _REMEMBERED_CHARACTERS:
+                    self._totals.clear()
+                    self._characters = 0
+                self._totals[chunk] = n
+        return n
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -108,82 +194,64 @@ class PrefixCounter:
             out.append(" " * (marks - 1))
         return out
 
-    def table(self, text: str) -> tuple[list[int], list[int]]:
-        """(characters, tokens) up to the end of every chunk: the dynamic program's table."""
+    def total(self, text: str) -> int:
+        """Tokens of a whole text: the last entry of its table, which need not be put together."""
         if not text:
-            return [], []
-        chunks = self.chunks(text)
-        ends = list(accumulate((len(c) + 1 for c in chunks)))
-        # The first mark of the text is not one of its characters.
-        return [e - 1 for e in ends], list(accumulate(map(self._count, chunks)))
-
-    def prefix_count(self, text: str, table: tuple[list[int], list[int]], n: int) -> int:
-        """Tokens of the first ``n`` characters."""
-        n = min(n, len(text))
-        if n <= 0:
-            return 0
-        ends, counts = table
-        at = bisect_right(ends, n)
-        if at and ends[at - 1] == n:
-            return counts[at - 1]
-        start, before = (ends[at - 1], counts[at - 1]) if at else (-1, 0)
-        return before + self._count(text[start + 1 : n].replace(_MARK, " "))
-
-    def longest_prefix(self, text: str, table: tuple[list[int], list[int]], budget: int) -> int:
-        """Most characters that can be kept so that no shorter prefix breaks the budget.
-
-        Counts of prefixes never fall from one chunk end to the next, so the chunk is found
-        by bisection and only its own prefixes are encoded.
-        """
-        if budget <= 0 or not text:
             return 0
-        ends, counts = table
-        at = bisect_right(counts, budget)
-        if at == len(counts):
-            return len(text)
-        start = ends[at - 1] if at else 0
-        end = start
-        while end < ends[at] and self.prefix_count(text, table, end + 1) <= budget:
-            end += 1
-        return end
-
-
-def _groups(texts: list[str]) -> Iterator[list[str]]:
-    group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= _GROUP:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+        chunks = self.chunks(text)
+        found = list(map(self._totals.get, chunks))
+        if None not in found:
+            return sum(found)
+        return sum(self._total(chunk) if n is None else n for chunk, n in zip(chunks, found))
+
+    def table(self, text: str) -> np.ndarray:
+        """Tokens of the first 0, 1, ... characters: an entry for every prefix."""
+        if not text:
+            return np.zeros(1, dtype=np.int32)
+        parts, before = [], 0
+        for chunk in self.chunks(text):
+            counts = self._counts(_MARK + chunk.replace(" ", _MARK))
+            parts.append(np.array(counts[1:], dtype=np.int32) + np.int32(before))
+            before += counts[-1]
+        # The first mark of the text is not one of its characters; no prefix is that mark alone.
+        whole = np.concatenate(parts)
+        whole[0] = 0
+        return whole
+
+    @staticmethod
+    def longest_prefix(table: np.ndarray, budget: int) -> int:
+        """Most characters that can be kept so that no shorter prefix breaks the budget."""
+        over = table > max(budget, 0)
+        return int(over.argmax()) - 1 if over.any() else len(table) - 1
 
 
 def _per_batch(path: str, limit: int, with_table: bool, budget: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
             columns = [c for n, c in zip(batch.schema.names, batch.columns) if n != "__text"]
             names = [n for n in batch.schema.names if n != "__text"]
-            totals = [n for group in _groups(texts) for n in counter.totals(group)]
+            sizes, totals, tables, fits = [], [], [], []
+            for value in batch.column("__text"):
+                text = value.as_py() or ""
+                sizes.append(len(text.encode()))
+                totals.append(counter.total(text))
+                if with_table or budget is not None:
+                    table = counter.table(text)
+                    if with_table:
+                        tables.append(table)
+                    if budget is not None:
+                        fits.append(counter.longest_prefix(table, budget))
             columns += [
-                pa.array([len(t.encode()) for t in texts], pa.int64()),
+                pa.array(sizes, pa.int64()),
                 pa.array(totals, pa.int64()),
                 pa.array([n > limit for n in totals], pa.bool_()),
             ]
             names += ["n_bytes", "n_tokens", "over_limit"]
-            if with_table or budget is not None:
-                tables = [counter.table(t) for t in texts]
             if with_table:
-                columns += [
-                    pa.array([t[0] for t in tables], pa.list_(pa.int64())),
-                    pa.array([t[1] for t in tables], pa.list_(pa.int64())),
-                ]
-                names += ["prefix_ends", "prefix_tokens"]
+                columns.append(pa.array(tables, pa.list_(pa.int32())))
+                names.append("prefix_tokens")
             if budget is not None:
-                fits = [counter.longest_prefix(t, k, budget) for t, k in zip(texts, tables)]
                 columns.append(pa.array(fits, pa.int64()))
                 names.append("fits_chars")
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -200,15 +268,15 @@ def token_counts(
 ) -> DataFrame:
     """Input columns but ``text``, with ``n_bytes``, ``n_tokens`` and ``over_limit``.
 
-    ``with_table`` adds the stored table (``prefix_ends`` in characters, ``prefix_tokens``);
-    ``budget`` adds ``fits_chars``, the characters that fit into so many tokens.
+    ``with_table`` adds the stored table, ``prefix_tokens``: tokens of the first 0, 1, ...
+    characters. ``budget`` adds ``fits_chars``, the characters that fit into so many tokens.
     """
-    own = ["n_bytes", "n_tokens", "over_limit", "prefix_ends", "prefix_tokens", "fits_chars"]
+    own = ["n_bytes", "n_tokens", "over_limit", "prefix_tokens", "fits_chars"]
     kept = [c for c in docs.columns if c not in (*own, "text", "__text")]
     extra = [T.StructField(n, T.LongType()) for n in own[:2]]
     extra.append(T.StructField("over_limit", T.BooleanType()))
     if with_table:
-        extra += [T.StructField(n, T.ArrayType(T.LongType())) for n in own[3:5]]
+        extra.append(T.StructField("prefix_tokens", T.ArrayType(T.IntegerType())))
     if budget is not None:
         extra.append(T.StructField("fits_chars", T.LongType()))
     schema = T.StructType([docs.schema[c] for c in kept] + extra)

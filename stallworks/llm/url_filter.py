@@ -1,16 +1,16 @@
 """URL filtering with redirect equivalence.
 
 Explicit rules come first: a rule fits its host and all subdomains if the path starts with its
-path, and the longest fitting rule wins. URLs without a rule take the decision of their
-aliases: addresses that redirect to each other, name each other as canonical, or differ only
-in scheme, fragment, query, a closing slash or ``.html``. Aliases are the connected
-components of these edges. Within a component an explicit allow overrides any block; a
-component without a decision is allowed.
+path, and the longest fitting rule wins; of equal rules an allow. URLs without a rule take the
+decision of their aliases: addresses that are declared to redirect to each other or that name
+each other as canonical. Aliases are the connected components of these edges and of no others.
+Within a component an explicit allow overrides any block; a component without a decision is
+allowed.
 
-Addresses are first mapped to their plain form, which settles the last kind of edge without
-a graph; only redirect and canonical links are left as edges, over plain forms. Pages may
-declare several; relative ones are resolved against the first ``<base href>``, or else the url,
-of their page.
+Edges join addresses. URLs are one address if they differ only in the case of scheme or host, in
+the fragment, or in the slash of an empty path; a query, a scheme or ``.html`` tells them apart.
+Pages may declare several links; relative ones are resolved against the first ``<base href>``,
+or else the url, of their page.
 
 Defined cases: a NULL url, or one without ``://``, has an empty host and path, fits no rule
 and is allowed; equal URLs are judged once and share their verdict; declared links that are empty,
@@ -54,10 +54,20 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
 
 
-def plain_form(url: Column) -> Column:
-    """Host and path without scheme, query, fragment, closing slashes and ``.html``."""
-    path = F.regexp_replace(path_of(url), r"(\.html?)?/*\z", "")
-    return F.when(F.locate("://", url) > 0, F.concat(host_of(url), path))
+def address_of(url: Column) -> Column:
+    """What edges join: the URL without fragment, scheme and host in lower case; NULL without ``://``."""
+    at = F.locate("://", url)
+    path = path_of(url)
+    query = F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)?", 1)
+    return F.when(
+        at > 0,
+        F.concat(
+            lower_ascii(F.substring(url, F.lit(1), at + 2)),
+            host_of(url),
+            F.when(path == "", F.lit("/")).otherwise(path),
+            query,
+        ),
+    )
 
 
 def _without_dots(path: Column) -> Column:
@@ -137,7 +147,14 @@ def with_rules(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         .where(F.expr("startswith(path, rule_path)"))
     )
     best = fitting.groupBy("url").agg(
-        F.max(F.struct(F.length("rule").alias("n"), "rule", "rule_verdict")).alias("best")
+        F.max(
+            F.struct(
+                F.length("rule").alias("n"),
+                "rule",
+                (F.col("rule_verdict") == "allow").alias("allows"),
+                "rule_verdict",
+            )
+        ).alias("best")
     )
     return urls.join(
         best.select(
@@ -171,17 +188,17 @@ def url_verdicts(
         .distinct()
         .select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     )
-    ruled = with_rules(urls, rules).withColumn("plain", plain_form(F.col("url")))
+    ruled = with_rules(urls, rules).withColumn("address", address_of(F.col("url")))
     if graph is None:
-        grouped = ruled.withColumn("component", F.col("plain"))
+        grouped = ruled.withColumn("component", F.col("address"))
     else:
         found = components(
             graph.select(
-                plain_form(F.col("url")).alias("a"), plain_form(F.col("target")).alias("b")
+                address_of(F.col("url")).alias("a"), address_of(F.col("target")).alias("b")
             )
         )
-        grouped = ruled.join(found, F.col("plain") == F.col("id"), "left").withColumn(
-            "component", F.coalesce("component", "plain")
+        grouped = ruled.join(found, F.col("address") == F.col("id"), "left").withColumn(
+            "component", F.coalesce("component", "address")
         )
     decided = (
         grouped.where("rule_verdict IS NOT NULL AND component IS NOT NULL")

@@ -53,10 +53,23 @@ def test_token_counts_equal_the_library(spark, check_dir, counter):
 
 
 def test_every_prefix_is_exact(counter):
-    for text in [*ODD[:-4], "Some words,\nand  more▁words \t of  all kinds  "]:
+    rng = np.random.default_rng(7)
+    parts = list("aeioutnrsl  <>▁▁/é中😀\n\r\t0123ABC.,;") + ["the ", "ing", "tion", " and", "   ", "ﬁ", "　"]
+    mixed = ["".join(rng.choice(parts, rng.integers(1, 40))) for _ in range(300)]
+    for text in [*ODD, *mixed, "Some words,\nand  more▁words \t of  all kinds  "]:
         table = counter.table(text)
-        for n in range(len(text) + 1):
-            assert counter.prefix_count(text, table, n) == len(counter.model.encode(text[:n]))
+        assert len(table) == len(text) + 1 and table[-1] == counter.total(text)
+        for n in range(len(text) + 1) if len(text) < 100 else (1, 777, 2000, len(text)):
+            assert table[n] == len(counter.model.encode(text[:n]))
+
+
+def test_tables_hold_when_memory_is_full(counter, monkeypatch):
+    from stallworks.llm import token_counts as module
+
+    for name in ("_REMEMBERED", "_REMEMBERED_PAIRS", "_REMEMBERED_HEADS"):
+        monkeypatch.setattr(module, name, 3)
+    text = "words that are longer than heads, thatched and that are not met again " * 3
+    assert counter.total(text) == len(counter.model.encode(text)) == counter.table(text)[-1]
 
 
 def test_odd_texts_and_budgets(spark, counter):
@@ -66,7 +79,7 @@ def test_odd_texts_and_budgets(spark, counter):
     for r, (_, text, _, _) in zip(got, rows):
         text = text or ""
         assert r.n_tokens == len(counter.model.encode(text)) and r.over_limit == (r.n_tokens > 10)
-        assert (r.prefix_tokens[-1] if text else 0) == r.n_tokens
+        assert len(r.prefix_tokens) == len(text) + 1 and r.prefix_tokens[-1] == r.n_tokens
         assert len(counter.model.encode(text[: r.fits_chars])) <= 3
         if r.fits_chars < len(text):
             assert len(counter.model.encode(text[: r.fits_chars + 1])) > 3
@@ -217,6 +230,117 @@ def test_language_on_edge_rows(spark):
     assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
 
 
+def plain_grams(text):
+    """Counts of the bins of all three and four characters, one by one."""
+    from stallworks.llm.language_id import BINS, gram_bins
+
+    shown = [" ", *("".join(c.lower() if c.isalpha() else " ") if c < "\x80" else c for c in text), " "]
+    counts = np.zeros(BINS, dtype=np.int64)
+    for n in (3, 4):
+        for i in range(len(shown) - n + 1):
+            codes = np.array([ord(c) for c in shown[i : i + n]], dtype=np.uint32)
+            counts[gram_bins(codes)[n - 3][0]] += 1
+    return counts
+
+
+def test_language_equals_plain_naive_bayes(spark, monkeypatch):
+    from stallworks.llm import language_id
+
+    monkeypatch.setattr(language_id, "_GROUP_BYTES", 700)  # long texts are cut into pieces
+    rng = np.random.default_rng(5)
+    words = {"en": ["the", "cat", "and", "dog"], "ru": ["кот", "и", "пёс", "дом"], "zh": ["中文", "语言", "的"]}
+    rows = []
+    for i in range(150):
+        lang = ["en", "ru", "zh"][i % 3]
+        text = " ".join(rng.choice(words[lang if rng.random() < 0.9 else "en"], rng.integers(1, 15)))
+        rows.append((i, text * (60 if i % 50 == 0 else 1) + "X1", lang))
+    texts = {i: t for i, t, _ in rows}
+    counts = {i: plain_grams(t) for i, t in texts.items()}
+    assert len(next(language_id._pieces(np.frombuffer(texts[50].encode(), np.uint8)))) < len(texts[50].encode())
+    for i, t in texts.items():
+        data = np.frombuffer(t.encode(), np.uint8)
+        assert (language_id._long_counts(data) == counts[i]).all()
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+    known = docs.where("doc_id % 2 = 0")
+    langs = sorted(words)
+    prior = np.log([sum(1 for i, _, x in rows if x == lang and i % 2 == 0) / 75 for lang in langs])
+    matrix = np.stack([sum(counts[i] for i, _, x in rows if x == lang and i % 2 == 0) + 0.1 for lang in langs])
+    logs = np.log(matrix / matrix.sum(axis=1, keepdims=True))
+    found = identified(docs.drop("lang"), known).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        total = prior + logs @ counts[r.doc_id]
+        assert r.lang_pred == langs[int(total.argmax())]
+        assert r.score == pytest.approx(1 / np.exp(total - total.max()).sum(), abs=1e-9)
+
+
+def test_more_languages_than_a_task_or_the_model_holds(spark, monkeypatch):
+    from stallworks.llm import language_id
+
+    monkeypatch.setattr(language_id, "_TASK_LANGUAGES", 2)
+    monkeypatch.setattr(language_id, "LANGUAGES", 5)
+    rows = [(100 * n + i, f"{chr(97 + n) * 4} word", f"l{n}") for n in range(8) for i in range(20 - n)]
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+    langs, prior, logs = language_id.fit(docs)
+    assert langs == ["l0", "l1", "l2", "l3", "l4"] and logs.shape == (language_id.BINS, 5)
+    assert np.exp(prior) == pytest.approx(np.array([20, 19, 18, 17, 16]) / 90)
+
+
+def test_quality_network_equals_plain_loops():
+    from stallworks.llm import quality
+
+    rng = np.random.default_rng(6)
+    w = quality.initial(3)
+    w["bias"] += rng.normal(0, 0.1, w["bias"].shape).astype(np.float32)
+
+    def plain(data):
+        data = bytes(data).ljust(quality.WIDTH, b"\0")
+        at = range(len(data) - quality.WIDTH + 1)
+        hits = np.array([sum(w["table"][j, data[i + j]].astype(float) for j in range(quality.WIDTH)) for i in at])
+        half = quality.HALF_CHUNK
+        starts = range(0, max(len(hits) - half, 1), half)
+        chunks = np.array([np.maximum(hits[s : s + 2 * half].max(axis=0) + w["bias"], 0) for s in starts])
+        pooled = np.concatenate([chunks.mean(axis=0), chunks.max(axis=0)])
+        hidden = np.maximum(pooled @ w["dense"] + w["dense_bias"], 0)
+        return 1 / (1 + np.exp(-(hidden @ w["out"] + w["out_bias"][0])))
+
+    for n in (0, 1, 4, 5, 6, 131, 132, 133, 260, 261, 1000, 9000):
+        data = rng.integers(0, 256, n).astype(np.uint8)
+        assert quality.probability(data, w) == pytest.approx(plain(data), abs=1e-4)
+
+
+HELD_OUT = ((queries.op2_toxicity, "toxic", 4, 2), (queries.op7_quality, "quality", 5, 0))
+
+
+@pytest.mark.parametrize("query, value, modulus, rest", HELD_OUT)
+def test_held_out_labels_are_never_learned(spark, small_dir, tmp_path, query, value, modulus, rest):
+    """Turning the labels of held-out rows, and renaming lang and source, changes no score."""
+    labels = spark.read.parquet(f"{small_dir}/labels.parquet")
+    hidden = F.crc32(F.col("doc_id").cast("string")) % modulus == rest
+    labels.withColumn(value, F.when(hidden, 1 - F.col(value)).otherwise(F.col(value))).write.parquet(
+        f"{tmp_path}/labels.parquet"
+    )
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    docs.withColumns({"lang": F.lit("x"), "source": F.lit("y")}).write.parquet(f"{tmp_path}/documents.parquet")
+    before = {r.doc_id: r.score for r in query(spark, small_dir).collect()}
+    after = {r.doc_id: r.score for r in query(spark, str(tmp_path)).collect()}
+    assert before.keys() == after.keys()
+    assert list(before.values()) == pytest.approx([after[d] for d in before], abs=1e-6)
+
+
+def test_label_samples_are_bounded_for_repeated_ids_and_by_bytes(spark):
+    from stallworks.llm.sampling import labelled_sample
+
+    texts = frame(spark, [(1, f"t{i}") for i in range(3000)] + [(2, "y")] * 50 + [(3, "z" * 5000)], "doc_id long, text string")
+    labels = frame(spark, [(1, 1)] * 4000 + [(2, 0), (3, 1)], "doc_id long, toxic int")
+    assert 150 < labelled_sample(texts, labels, "toxic", 300).count() < 450
+    everything = labelled_sample(texts, labels, "toxic", 5000)
+    assert everything.count() == 3002 and everything.where("doc_id = 2").count() == 1
+    small = labelled_sample(texts, labels, "toxic", 5000, 6400)
+    n_bytes = small.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert 4000 < n_bytes < 9000 and small.where("doc_id = 3").count() == 0
+
+
 def test_samples_are_bounded_and_repeatable(spark):
     rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
     first = {r.doc_id for r in bounded_sample(rows, "doc_id", 1000).collect()}
