@@ -18,20 +18,35 @@ from stallworks.operators.ranking import written
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+# Columns the toxicity stage makes; the caller's of that name are set aside meanwhile.
+_SCORED = ("score", "predicted")
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject; learned as in its query."""
+    """Documents that the toxicity classifier does not reject; learned as in its query.
+
+    NULL and empty texts are scored like any other, equal rows alike, and all columns stay as they are.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(F.col("doc_id"), 4) != 2)
-    scored = toxicity_scores(docs, labels, keep_text=True)
-    return scored.where("predicted = 0").select(*docs.columns)
+    aside = {c: f"__own_{c}" for c in _SCORED if c in docs.columns}
+    scored = toxicity_scores(docs.withColumnsRenamed(aside), labels, keep_text=True)
+    kept = scored.where("predicted = 0").drop(*_SCORED)
+    return kept.withColumnsRenamed({new: c for c, new in aside.items()}).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with five-word shingles at 0.8 similarity or more."""
+    """One document of each group with five-word shingles at 0.8 similarity or more.
+
+    Texts without words are in no group and stay; of equal rows one stays; rows without an id stay.
+    """
     return deduplicated(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without words that an earlier document has in the same 50-word window."""
+    """All documents, without words that an earlier document has in the same 50-word window.
+
+    No row goes, and NULL texts stay NULL; ``n_chars``, where it is there, follows the text.
+    """
     cut = without_repeats(docs)
     if "n_chars" not in docs.columns:
         return cut
@@ -39,12 +54,16 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages; rows without an id or a text are judged too."""
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with ``times`` each is taken."""
+    """Documents that the mix takes, with ``times`` each is taken.
+
+    Adds ``size``, ``source_size``, ``target`` and ``times``; a caller's columns of these names
+    are replaced, as this stage is the last.
+    """
     return fair_mix(docs).where("times > 0")
 
 
