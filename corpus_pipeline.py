@@ -37,7 +37,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with five-word shingles at 0.8 similarity or more.
 
-    Texts without words are in no group and stay; of equal rows one stays; rows without an id stay.
+    Texts without words are in no group and stay, as do rows without an id; rows that repeat an id
+    with the same text are one document and stay or go together.
     """
     return deduplicated(docs)
 
