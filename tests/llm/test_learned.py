@@ -460,6 +460,32 @@ def test_pipeline_on_empty_documents(spark, check_dir):
         assert stage(spark, docs, check_dir).count() == 0
 
 
+def test_pipeline_stages_keep_odd_rows_and_clashing_columns(spark, check_dir):
+    """NULLs in any column, repeated rows, empty texts, and columns named like those of a stage."""
+    long = " ".join(f"w{i}" for i in range(3000))
+    rows = [
+        (1, None, None, None, 42.5, "p", 7), (2, "", "en", "s", None, None, None), (None, "no id here", None, "s", 1.0, "q", 1),
+        (5, long, "en", "s", 2.0, "r", 2), (5, long, "en", "s", 2.0, "r", 2), (6, "short and clean text", "en", None, 3.0, "t", 3),
+    ]
+    schema = "doc_id long, text string, lang string, source string, score double, predicted string, n_chars long"
+    docs = frame(spark, rows, schema)
+
+    def after(stage):
+        return sorted(map(tuple, stage(spark, docs, check_dir).select(docs.columns).collect()), key=repr)
+
+    everything = sorted(rows, key=repr)
+    assert after(corpus_pipeline.reject_toxic) == everything
+    assert after(corpus_pipeline.decontaminate) == everything
+    assert after(corpus_pipeline.drop_near_duplicates) == everything
+    cut = corpus_pipeline.cut_repeats(spark, docs, check_dir)
+    assert cut.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r.score) for r in cut.collect()), key=repr) == sorted(
+        ((r[0], r[1], r[4]) for r in rows), key=repr
+    )
+    mixed = corpus_pipeline.mix_sources(spark, docs, check_dir)
+    assert mixed.columns[: len(docs.columns)] == docs.columns and mixed.where("times > 2").count() == 0
+
+
 def test_vectors_under_a_shared_id_lose_no_link(spark):
     rng = np.random.default_rng(41)
     b, c = rng.normal(size=(2, 64))
