@@ -859,6 +859,22 @@ LAYERS = {
 }
 
 LAYERS["layer_refresh_reviews_monthly_service"] = LAYERS["layer_monthly_service"]
+LAYERS |= {
+    f"layer_{name}": METRICS[name]
+    for name in (
+        "metric_sales_by_state",
+        "metric_sales_by_category",
+        "metric_sales_by_seller_state_month",
+        "metric_sales_filtered",
+        "metric_service_by_state",
+        "metric_service_by_category",
+        "metric_all_by_seller_state",
+    )
+}
+LAYERS |= {
+    "layer_refresh_prices_metric_sales_by_category": METRICS["metric_sales_by_category"],
+    "layer_refresh_reviews_metric_service_by_state": METRICS["metric_service_by_state"],
+}
 
 GROUPS = (
     QUALITY, CHECKS, BUSINESS, CUSTOMERS, PRODUCTS, SELLERS, LOGISTICS, REVIEWS,

@@ -3,7 +3,8 @@
 Reports over attached layers read the summaries instead of the item lines (see
 ``operators.totals``). Distinct people do not add up across months, but a person's months do:
 ``person_months`` answers buyers, repeat purchase, cohorts and activity. Medians and ranks are
-taken from the orders. Every layer keeps fingerprints of the rows it was made from, so a changed
+taken from the orders. Any other group-by of the measures can be stored as a grain
+(``operators.lattice``), refreshed and attached by its name. Every layer keeps fingerprints of the rows it was made from, so a changed
 price, a late review or a moved category makes the months stale that it touches, and
 refreshing one layer leaves the others as stale as they are.
 """
@@ -28,7 +29,9 @@ from stallworks.operators.grain import (
     seller_lines,
     valid_orders,
 )
+from stallworks.operators.lattice import Grain, grain_of
 from stallworks.operators.ranking import written
+from stallworks.plans.metrics import grain_table
 from stallworks.sources.fingerprints import Part, different_months, fingerprints, whole_table
 from stallworks.sources.monthly import (
     Month,
@@ -158,10 +161,58 @@ LAYER_PARTS: dict[str, dict[str, Part]] = {
 # Where the fingerprints of a layer are kept, beside it.
 SEEN = "seen"
 
+# What a grain is made from beside orders, amounts and scores, if it has one of these dimensions.
+_LOOKED_UP: dict[str, Part] = {
+    "buyers": (
+        "orders",
+        ("order_id", "has_customer", "customer_unique_id", "customer_state", "customer_city"),
+    ),
+    "products": ("order_items", ("order_id", "product_id", "price", "freight_value")),
+    "categories_shown": (
+        "order_items",
+        (
+            "order_id",
+            "has_product",
+            "product_category_name",
+            "product_category_name_english",
+            "price",
+            "freight_value",
+        ),
+    ),
+    "sellers": ("order_items", ("order_id", "seller_id", "price", "freight_value")),
+    "seller_places": (
+        "order_items",
+        ("order_id", "has_seller", "seller_state", "seller_city", "price", "freight_value"),
+    ),
+}
+_SEEN_BY = {
+    "product_id": "products",
+    "category": "categories_shown",
+    "seller_id": "sellers",
+    "seller_state": "seller_places",
+    "seller_city": "seller_places",
+}
+
+
+def _grain_parts(grain: Grain) -> dict[str, Part]:
+    """Every grain leaves out orders without a customer, so all look at buyers."""
+    seen = {"buyers", *[_SEEN_BY[d] for d in grain.of_items]}
+    return _ORDER_PARTS | {f"{part}_of_grain": _LOOKED_UP[part] for part in sorted(seen)}
+
+
+def _layer(name: str) -> Callable[[Tables], DataFrame]:
+    grain = grain_of(name)
+    return LAYERS[name] if grain is None else partial(grain_table, grain=grain)
+
+
+def layer_parts(name: str) -> dict[str, Part]:
+    grain = grain_of(name)
+    return LAYER_PARTS[name] if grain is None else _grain_parts(grain)
+
 
 def _parts(names: Sequence[str]) -> dict[str, Part]:
     """Parts of several layers under one name for equal parts, so that each is computed once."""
-    return {part: what for name in names for part, what in LAYER_PARTS[name].items()}
+    return {part: what for name in names for part, what in layer_parts(name).items()}
 
 
 def refresh_layers(
@@ -172,6 +223,7 @@ def refresh_layers(
 ) -> None:
     """Write the named layers whole, or replace only the named ``months``.
 
+    Names are those of ``LAYERS`` and of grains, ``grain(["state"], people=True).name``.
     A named month that has no rows any more is emptied; None names the rows without a month.
     An order that changed month needs both named, which is checked against the stored order
     facts. On tables stored by month, only the named months of orders, items and reviews
@@ -192,18 +244,29 @@ def refresh_layers(
         refuse_half_moves(order_months(t), before, months)
     marks = written(fingerprints(pruned, _parts(names)))
     for name in names:
-        layer = LAYERS[name](pruned)
-        made_from = marks.filter(F.col("part").isin(list(LAYER_PARTS[name])))
+        layer = _layer(name)(pruned)
+        made_from = marks.filter(F.col("part").isin(list(layer_parts(name))))
         if months is not None:
             layer = layer.filter(among(F.col(MONTH), months))
             made_from = made_from.filter(among(F.col(MONTH), months))
         # The mark goes last: a refresh that fails half-way leaves the months stale.
         replace_months(layer, f"{folder}/{name}", months)
-        replace_months(made_from, f"{folder}/{SEEN}/{name}", months)
+        _store_marks(made_from, f"{folder}/{SEEN}/{name}", months)
         if name == "order_facts":
             pruned = attach_layers(pruned, spark, folder, [name], verify=False)
 
 
+def _store_marks(marks: DataFrame, path: str, months: Sequence[Month] | None) -> None:
+    """Fingerprints in one file, a row per part and month; those of other months stay.
+
+    A failure while the file is replaced leaves none, which ``stale_layers`` refuses.
+    """
+    before = _stored(marks.sparkSession, path) if months is not None else None
+    if before is not None:
+        marks = written(before.filter(~among(F.col(MONTH), months)).unionByName(marks))
+    marks.coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return read_monthly(spark, path)
@@ -222,7 +285,8 @@ def stale_layers(
 ) -> dict[str, list[Month]]:
     """Months in which a stored layer was made from other rows than these; by layer.
 
-    Without ``names`` all layers that are stored. The source tables are read once for all.
+    Without ``names`` all of ``LAYERS`` that are stored; grains are named. The source tables are
+    read once for all.
     """
     asked = LAYERS if names is None else names
     found = {name: _stored(spark, f"{folder}/{SEEN}/{name}") for name in asked}
@@ -234,7 +298,7 @@ def stale_layers(
         return {}
     now = written(fingerprints(t, _parts(list(seen))))
     return {
-        name: different_months(now.filter(F.col("part").isin(list(LAYER_PARTS[name]))), before)
+        name: different_months(now.filter(F.col("part").isin(list(layer_parts(name)))), before)
         for name, before in seen.items()
     }
 
@@ -264,7 +328,12 @@ def attach_layers(
         stale = {n: months for n, months in stale_layers(t, spark, folder, names).items() if months}
         if stale:
             raise ValueError(f"layers are stale; refresh the months {stale}")
-    return t.with_layers(**{name: partial(read_layer, spark, folder, name) for name in names})
+    # Counts of stored rows come from the footers of files; only grains compete by size.
+    sized = [n for n in names if grain_of(n) is not None or n == "person_months"]
+    rows = {n: read_layer(spark, folder, n).count() for n in sized} if len(sized) > 1 else {}
+    return t.with_layers(
+        rows, **{name: partial(read_layer, spark, folder, name) for name in names}
+    )
 
 
 def monthly_service(t: Tables, status: str = DELIVERED) -> DataFrame:

@@ -20,23 +20,31 @@ from stallworks.functions.expressions import (
     money_ratio,
     month_label,
     pct,
+    ratio,
     share_true,
 )
 from stallworks.operators.grain import (
     DELIVERED,
     delivery,
+    delivery_columns,
     distinct_grain,
     known_valid,
     order_score,
     product_category,
     valid_orders,
 )
-from stallworks.sources.monthly import month_date
+from stallworks.operators.lattice import (
+    ITEM_DIMENSIONS,
+    ORDER_DIMENSIONS,
+    PEOPLE,
+    PERSON,
+    Grain,
+    serving_layer,
+)
+from stallworks.sources.monthly import month_date, month_of_purchase
 from stallworks.sources.schemas import MONTH
 from stallworks.sources.tables import Tables
 
-ORDER_DIMENSIONS = ("ym", "state", "city")
-ITEM_DIMENSIONS = ("category", "product_id", "seller_id", "seller_state", "seller_city")
 PAYMENT_DIMENSIONS = ("payment_type",)
 
 SALES_MEASURES: dict[str, Callable[[], Column]] = {
@@ -56,6 +64,14 @@ ORDER_MEASURES: dict[str, Callable[[], Column]] = {
     "avg_score": lambda: mean(F.col("score")),
 }
 
+# The same from the sums that a stored grain keeps.
+STORED_ORDER_MEASURES: dict[str, Callable[[], Column]] = {
+    "delivered": lambda: F.coalesce(F.sum("delivered"), F.lit(0)),
+    "avg_days": lambda: ratio(F.sum("days"), F.sum("delivered"), 1),
+    "late_rate": lambda: pct(F.sum("late"), F.sum("judged")),
+    "avg_score": lambda: ratio(F.sum("score_sum"), F.sum("scored")),
+}
+
 
 def _with_customer(orders: DataFrame, t: Tables, dims: Sequence[str]) -> DataFrame:
     """Order rows with person and the wanted order-level dimensions.
@@ -83,10 +99,14 @@ def _of_months(rows: DataFrame, filters: Mapping[str, Column]) -> DataFrame:
 
 
 def _line_facts(
-    t: Tables, dims: Sequence[str], filters: Mapping[str, Column], status: str
+    t: Tables, dims: Sequence[str], filters: Mapping[str, Column], status: str | None
 ) -> DataFrame:
-    """Items with the wanted item-level dimensions; stored items are pruned by month and status."""
-    lines = _of_months(known_valid(t["order_items"], status), filters)
+    """Items with the wanted item-level dimensions; stored items are pruned by month and status.
+
+    Without a status the items of all orders are taken.
+    """
+    items = t["order_items"] if status is None else known_valid(t["order_items"], status)
+    lines = _of_months(items, filters)
     if "category" in dims:
         lines = lines.join(product_category(t).select("product_id", "category"), "product_id")
     if "seller_state" in dims or "seller_city" in dims:
@@ -126,36 +146,99 @@ def metric_table(
     Without an item-level dimension, orders lacking items still make buyers; with one,
     an order belongs to the values its items have. ``filters`` maps a dimension to the
     condition it must meet, whether or not the result is split by it; months are
-    compared as dates (their first day). Without dimensions other than months, stored
-    ``person_months`` answer where they are attached, and no order or item is read.
+    compared as dates (their first day). Where an attached layer holds what is asked
+    (``operators.lattice``), the smallest such layer answers, and no order or item is read.
     """
     filters = dict(filters or {})
     _check(measures, list(SALES_MEASURES), "measures")
     _check([*dims, *filters], ORDER_DIMENSIONS + ITEM_DIMENSIONS, "dimensions")
-    used = list(dict.fromkeys([*dims, *filters]))
-    stored = _stored_people(t, used, filters, status)
-    per_person = _people(t, dims, used, filters, status) if stored is None else stored
-    per_person = per_person.groupBy(*dims, "person").agg(
-        *[F.sum(m).alias(m) for m in ("orders", "item_orders", "gmv", "freight")]
-    )
-    table = per_person.groupBy(*dims).agg(
+    stored = _stored(t, measures, dims, filters, status)
+    if stored is None:
+        used = list(dict.fromkeys([*dims, *filters]))
+        facts = _people(t, dims, used, filters, status)
+    else:
+        facts = stored
+    if stored is None or PEOPLE.intersection(measures):
+        facts = facts.groupBy(*dims, PERSON).agg(
+            *[F.sum(m).alias(m) for m in ("orders", "item_orders", "gmv", "freight")]
+        )
+    table = facts.groupBy(*dims).agg(
         *[SALES_MEASURES[m]().cast("bigint" if m in _COUNTS else "double").alias(m) for m in measures]
     )
     return _present(table, dims)
 
 
-def _stored_people(
-    t: Tables, used: Sequence[str], filters: Mapping[str, Column], status: str
+def _stored(
+    t: Tables,
+    measures: Sequence[str],
+    dims: Sequence[str],
+    filters: Mapping[str, Column],
+    status: str,
 ) -> DataFrame | None:
-    """The stored person months, if they can answer: a person's state or items are not in them.
+    """Rows of the smallest attached layer that can answer, filtered; None if there is none.
 
     A condition on months prunes the stored months.
     """
-    stored = t.layer("person_months")
-    if stored is None or not set(used) <= {"ym"}:
+    name = serving_layer(t, measures, dims, filters)
+    if name is None:
         return None
-    return _filtered_orders(
-        valid_orders(stored, status).withColumn("ym", month_date(stored.columns)), filters
+    stored = t.layer(name)
+    rows = valid_orders(stored, status).withColumn("ym", month_date(stored.columns))
+    for condition in filters.values():
+        rows = rows.filter(condition)
+    return rows
+
+
+def grain_table(t: Tables, grain: Grain) -> DataFrame:
+    """(month, status, the grain's dimensions, its person) -> sums behind all measures.
+
+    With item dimensions an order is one row per combination of their values and its lines are
+    reduced to that first; without, orders lacking items are in it too. Delivery and score are
+    summed over orders that arrived and were promised a date, as in ``service_table``.
+    """
+    of_items = grain.of_items
+    served = F.col("order_delivered_customer_date").isNotNull() & F.col(
+        "order_estimated_delivery_date"
+    ).isNotNull()
+    placed = t["orders"].select(
+        "order_id",
+        "customer_id",
+        "order_status",
+        month_of_purchase(),
+        served.alias("served"),
+        *[
+            F.when(served, column).alias(name)
+            for name, column in delivery_columns().items()
+            if name != "late_days"
+        ],
+    )
+    orders = _with_customer(placed, t, ["ym", *grain.dims]).withColumn(
+        MONTH, month_label(F.col("ym"))
+    )
+    values = (
+        _line_facts(t, of_items, {}, None)
+        .groupBy("order_id", *of_items)
+        .agg(
+            F.sum(cents(F.col("price"))).alias("gmv"),
+            F.sum(cents(F.col("freight_value"))).alias("freight"),
+        )
+        .withColumn("has_items", F.lit(1))
+    )
+    facts = orders.join(values, "order_id", "inner" if of_items else "left")
+    facts = facts.join(order_score(t["order_reviews"]), "order_id", "left")
+    score = F.when(F.col("served"), F.col("score"))
+    return facts.groupBy(MONTH, "order_status", *grain.dims, *[PERSON] * grain.people).agg(
+        F.count("*").alias("orders"),
+        F.count("has_items").alias("item_orders"),
+        F.sum("gmv").alias("gmv"),
+        F.sum("freight").alias("freight"),
+        F.count_if("served").alias("served"),
+        F.count("delivery_days").alias("delivered"),
+        F.sum("delivery_days").alias("days"),
+        F.count("is_late").alias("judged"),
+        F.count_if("is_late").alias("late"),
+        F.sum(score).alias("score_sum"),
+        F.count(score).alias("scored"),
     )
 
 
@@ -208,12 +291,18 @@ def service_table(
     """Delivery and score measures of delivered orders by any dimensions.
 
     By an item or payment dimension an order counts once for each value it has. Orders are
-    read once: delivery is computed on the row that holds customer and month.
+    read once: delivery is computed on the row that holds customer and month. An attached layer
+    that holds what is asked answers instead, as for ``metric_table``; lateness by instants
+    is in none.
     """
     filters = dict(filters or {})
     _check(measures, list(ORDER_MEASURES), "measures")
     known = ORDER_DIMENSIONS + ITEM_DIMENSIONS + PAYMENT_DIMENSIONS
     _check([*dims, *filters], known, "dimensions")
+    stored = _stored(t, measures, dims, filters, status) if sla_grain == "day" else None
+    if stored is not None:
+        table = stored.filter("served > 0").groupBy(*dims)
+        return _present(table.agg(*[STORED_ORDER_MEASURES[m]().alias(m) for m in measures]), dims)
     used = list(dict.fromkeys([*dims, *filters]))
     keep = [c for c in ("order_purchase_timestamp", MONTH) if c in t["orders"].columns]
     served = delivery(t["orders"], sla_grain, status=status, keep=keep)

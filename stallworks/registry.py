@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stallworks.functions.expressions import clock_text, money, month_label, month_start
-from stallworks.operators import checks, cleaning, grain
+from stallworks.operators import checks, cleaning, grain, lattice
 from stallworks.operators.ranking import own_folder
 from stallworks.plans import (
     business,
@@ -240,6 +240,16 @@ MERGED: dict[str, tuple[Plan, tuple[str, ...]]] = {
     ),
 }
 LAYERS_CORRECTED: dict[str, tuple[Plan, str, str]] = {
+    "layer_refresh_prices_metric_sales_by_category": (
+        partial(metrics.metric_table, measures=SALES, dims=["category"]),
+        lattice.grain(["category"], people=True).name,
+        "order_items",
+    ),
+    "layer_refresh_reviews_metric_service_by_state": (
+        partial(metrics.service_table, measures=SERVICE, dims=["state"]),
+        lattice.grain(["state"]).name,
+        "order_reviews",
+    ),
     "layer_refresh_prices_monthly_trend": (business.biz_monthly_trend, "month_summary", "order_items"),
     "layer_refresh_reviews_monthly_service": (layers.monthly_service, "month_summary", "order_reviews"),
     "layer_refresh_categories_rank": (products.prod_category_rank, "category_months", "products"),
@@ -287,6 +297,38 @@ FROM_LAYERS: dict[str, tuple[Plan, str]] = {
     ),
 }
 
+# Measures answered from stored grains, from the smallest that can where there are two.
+FROM_GRAINS: dict[str, tuple[Plan, tuple[str, ...]]] = {
+    "layer_metric_sales_by_state": (
+        partial(metrics.metric_table, measures=SALES, dims=["state"]),
+        (lattice.grain(["state"], people=True).name,),
+    ),
+    "layer_metric_sales_by_category": (
+        partial(metrics.metric_table, measures=SALES, dims=["category"]),
+        (lattice.grain(["category"]).name, lattice.grain(["category"], people=True).name),
+    ),
+    "layer_metric_sales_by_seller_state_month": (
+        partial(metrics.metric_table, measures=SALES, dims=["seller_state", "ym"]),
+        (lattice.grain(["seller_state"], people=True).name,),
+    ),
+    "layer_metric_sales_filtered": (
+        lambda t: metrics.metric_table(t, SALES, ["ym"], {"state": F.col("state") == "NATION_3"}),
+        (lattice.grain(["state"], people=True).name,),
+    ),
+    "layer_metric_service_by_state": (
+        partial(metrics.service_table, measures=SERVICE, dims=["state"]),
+        (lattice.grain(["state"]).name,),
+    ),
+    "layer_metric_service_by_category": (
+        partial(metrics.service_table, measures=SERVICE, dims=["category"]),
+        (lattice.grain(["category"]).name,),
+    ),
+    "layer_metric_all_by_seller_state": (
+        partial(metrics.measure_table, measures=SALES + SERVICE, dims=["seller_state"]),
+        (lattice.grain(["seller_state"]).name, lattice.grain(["seller_state"], people=True).name),
+    ),
+}
+
 
 def _plain(df: DataFrame) -> DataFrame:
     """Types every client reads alike: times as text, amounts and ratios as double."""
@@ -352,10 +394,12 @@ def _from_warehouse(
     return plan(warehouse.read_warehouse(spark, folder))
 
 
-def _from_layers(plan: Plan, layer: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+def _from_layers(
+    plan: Plan, names: tuple[str, ...], spark: SparkSession, sf_dir: str
+) -> DataFrame:
     folder, t = _new_folder(spark), role_tables(spark, sf_dir)
-    layers.refresh_layers(t, folder, names=[layer])
-    return plan(layers.attach_layers(t, spark, folder, names=[layer]))
+    layers.refresh_layers(t, folder, names=names)
+    return plan(layers.attach_layers(t, spark, folder, names=names))
 
 
 def _changed(t: Tables) -> Tables:
@@ -507,8 +551,9 @@ def registered_queries() -> dict[str, Query]:
         for name, (plan, needed) in FROM_WAREHOUSE.items()
     }
     found |= {
-        name: partial(_from_layers, plan, layer) for name, (plan, layer) in FROM_LAYERS.items()
+        name: partial(_from_layers, plan, (layer,)) for name, (plan, layer) in FROM_LAYERS.items()
     }
+    found |= {name: partial(_from_layers, *how) for name, how in FROM_GRAINS.items()}
     found |= {name: partial(_reloaded, *how) for name, how in RELOADED.items()}
     found |= {name: partial(_refreshed, *how) for name, how in REFRESHED.items()}
     found |= {name: partial(_corrected, *how) for name, how in CORRECTED.items()}

@@ -18,10 +18,19 @@ from stallworks.sources.monthly import Month, month_of_purchase
 from stallworks.sources.schemas import MONTH, SCHEMAS
 from stallworks.sources.tables import Tables
 
-# Columns that a part may take from the parent of its table.
+# Columns that a part may take from the parent of its table; a ``has_`` column tells whether
+# there is a parent at all.
 BORROWED: dict[str, tuple[str, str]] = {
     "product_category_name": ("products", "product_id"),
+    "product_category_name_english": ("category_name", "product_category_name"),
     "customer_unique_id": ("customers", "customer_id"),
+    "customer_state": ("customers", "customer_id"),
+    "customer_city": ("customers", "customer_id"),
+    "seller_state": ("sellers", "seller_id"),
+    "seller_city": ("sellers", "seller_id"),
+    "has_customer": ("customers", "customer_id"),
+    "has_product": ("products", "product_id"),
+    "has_seller": ("sellers", "seller_id"),
 }
 
 Part = tuple[str, tuple[str, ...]]
@@ -41,11 +50,22 @@ def order_month(orders: DataFrame) -> Column:
     return F.col(MONTH) if MONTH in orders.columns else month_of_purchase()
 
 
+def _borrowed(t: Tables, rows: DataFrame, columns: set[str]) -> DataFrame:
+    """The rows with what they lack of the columns, joined once per parent, nearest parent first."""
+    missing = columns - set(rows.columns)
+    parents: dict[tuple[str, str], list[str]] = {}
+    for column in sorted(missing):
+        parents.setdefault(BORROWED[column], []).append(column)
+    for (parent, key), own in sorted(parents.items(), key=lambda p: p[0][1] in BORROWED):
+        if key not in rows.columns:
+            rows = _borrowed(t, rows, {key})
+        given = [F.lit(True).alias(c) if c.startswith("has_") else F.col(c) for c in own]
+        rows = rows.join(t[parent].select(key, *given), key, "left")
+    return rows
+
+
 def _of_table(t: Tables, table: str, parts: Mapping[str, tuple[str, ...]]) -> DataFrame:
-    rows = t[table]
-    for column in {c for columns in parts.values() for c in columns if c not in rows.columns}:
-        parent, key = BORROWED[column]
-        rows = rows.join(t[parent].select(key, column), key, "left")
+    rows = _borrowed(t, t[table], {c for columns in parts.values() for c in columns})
     sums = [F.sum(row_mark(columns)).alias(part) for part, columns in parts.items()]
     if table == "orders" or MONTH in rows.columns:
         month = order_month(rows) if table == "orders" else F.col(MONTH)

@@ -15,15 +15,22 @@ class Tables:
     """Up to eight tables by name; a table a query does not touch may be left out.
 
     A table may be given as a function, which is called when a query first asks for it.
-    Stored summary layers may be attached; totals are then read from them.
+    Stored summary layers may be attached, with their numbers of rows; totals are then read
+    from them.
     """
 
-    def __init__(self, layers: dict[str, Source] | None = None, **sources: Source):
+    def __init__(
+        self,
+        layers: dict[str, Source] | None = None,
+        rows: dict[str, int] | None = None,
+        **sources: Source,
+    ):
         unknown = set(sources) - set(TABLE_NAMES)
         if unknown:
             raise KeyError(f"unknown tables {sorted(unknown)}")
         self._sources = sources
         self._layers = dict(layers or {})
+        self._rows = dict(rows or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in TABLE_NAMES:
@@ -47,8 +54,17 @@ class Tables:
         """The same bundle with some tables exchanged; layers no longer fit and are dropped."""
         return Tables(**(self._sources | sources))
 
-    def with_layers(self, **layers: Source) -> Tables:
-        return Tables(layers=self._layers | layers, **self._sources)
+    def with_layers(self, rows: dict[str, int] | None = None, /, **layers: Source) -> Tables:
+        counted = {name: n for name, n in self._rows.items() if name not in layers} | (rows or {})
+        return Tables(layers=self._layers | layers, rows=counted, **self._sources)
+
+    def attached(self) -> list[str]:
+        """Names of the attached layers."""
+        return list(self._layers)
+
+    def layer_rows(self, name: str) -> float:
+        """Rows of an attached layer; infinity where nobody counted them."""
+        return self._rows.get(name, float("inf"))
 
     def layer(self, name: str) -> DataFrame | None:
         return self._resolved(self._layers, name) if name in self._layers else None
