@@ -478,7 +478,7 @@ def _layers_corrected(
 ) -> DataFrame:
     folder, t = _new_folder(spark), role_tables(spark, sf_dir)
     layers.refresh_layers(_uncorrected(t, table), folder, names=[layer])
-    layers.refresh_layers(t, folder, layers.stale_months(t, spark, folder), [layer])
+    layers.refresh_layers(t, folder, layers.stale_months(t, spark, folder, [layer]), [layer])
     return plan(layers.attach_layers(t, spark, folder, names=[layer]))
 
 
