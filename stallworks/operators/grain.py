@@ -84,16 +84,22 @@ def valid_lines(
     return of_valid_orders(reduce(items), t, status)
 
 
-def seller_lines(items: DataFrame) -> DataFrame:
+def _lines(items: DataFrame, together: bool) -> DataFrame:
+    """The items; with ``together`` sent to their order at once, so that lines reduced by order join
+    their order without a second exchange."""
+    return items.repartition("order_id") if together else items
+
+
+def seller_lines(items: DataFrame, together: bool = False) -> DataFrame:
     """(seller, order) -> gmv in cents, units."""
-    return items.groupBy("seller_id", "order_id").agg(
+    return _lines(items, together).groupBy("seller_id", "order_id").agg(
         F.sum(cents(F.col("price"))).alias("gmv"), F.count("*").alias("units")
     )
 
 
-def product_lines(items: DataFrame) -> DataFrame:
+def product_lines(items: DataFrame, together: bool = False) -> DataFrame:
     """(product, order) -> gmv in cents."""
-    return items.groupBy("product_id", "order_id").agg(
+    return _lines(items, together).groupBy("product_id", "order_id").agg(
         F.sum(cents(F.col("price"))).alias("gmv")
     )
 
@@ -128,7 +134,7 @@ def category_label(english: str, raw: str, fallback: str | None):
     return F.coalesce(*names).alias("category")
 
 
-def category_lines(items: DataFrame, products: DataFrame) -> DataFrame:
+def category_lines(items: DataFrame, products: DataFrame, together: bool = False) -> DataFrame:
     """(raw category, order) -> gmv and freight in cents, units, and the counts behind
     averages.
 
@@ -139,7 +145,7 @@ def category_lines(items: DataFrame, products: DataFrame) -> DataFrame:
         "product_id", F.col("product_category_name").alias("raw_category")
     )
     return (
-        items.join(categories, "product_id")
+        _lines(items.join(categories, "product_id"), together)
         .groupBy("raw_category", "order_id")
         .agg(
             F.sum(cents(F.col("price"))).alias("gmv"),

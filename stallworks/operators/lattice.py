@@ -58,6 +58,11 @@ class Grain:
     def of_items(self) -> list[str]:
         return [d for d in self.dims if d in ITEM_DIMENSIONS]
 
+    @property
+    def many_rows(self) -> bool:
+        """Whether there is a row per person or id, so that rows by month are many."""
+        return self.people or bool({"product_id", "seller_id"} & {*self.dims})
+
     def answers(self, measures: Iterable[str], dims: Sequence[str], filters: Iterable[str]) -> bool:
         wanted = set(measures)
         used = {*dims, *filters}

@@ -36,6 +36,7 @@ from stallworks.sources.fingerprints import Part, different_months, fingerprints
 from stallworks.sources.monthly import (
     Month,
     among,
+    gathered,
     month_of_purchase,
     read_monthly,
     refuse_half_moves,
@@ -88,13 +89,25 @@ def month_summary(t: Tables) -> DataFrame:
     )
 
 
-def by_month(t: Tables, lines: DataFrame, key: str) -> DataFrame:
-    """(key, month, status) -> distinct orders and sums, from (key, order) lines."""
+def by_month(
+    t: Tables, reduce: Callable[[DataFrame], DataFrame], key: str, spread: bool = True
+) -> DataFrame:
+    """(key, month, status) -> distinct orders and sums, from items reduced to (key, order).
+
+    Items are sent to their order once, for the reduction and the join. With ``spread`` the lines
+    are then sent to their month and slot at once, for the sums and for writing by month.
+    """
+    lines = reduce(t["order_items"])
     measures = [c for c in lines.columns if c not in (key, "order_id")]
+    found = lines.join(order_months(t).drop("customer_id"), "order_id").drop("order_id")
+    slot = []
+    if spread:
+        found, name = gathered(found, key)
+        slot = [name]
     return (
-        lines.join(order_months(t).drop("customer_id"), "order_id")
-        .groupBy(key, MONTH, "order_status")
+        found.groupBy(key, MONTH, "order_status", *slot)
         .agg(F.count("*").alias("orders"), *[F.sum(m).alias(m) for m in measures])
+        .drop(*slot)
     )
 
 
@@ -113,25 +126,32 @@ def person_month_orders(t: Tables) -> DataFrame:
             F.sum("freight").alias("freight"),
         )
     )
+    found, slot = gathered(per_customer.join(people, "customer_id").drop("customer_id"), "person")
     return (
-        per_customer.join(people, "customer_id")
-        .groupBy("person", MONTH, "order_status")
+        found.groupBy("person", MONTH, "order_status", slot)
         .agg(*[F.sum(m).alias(m) for m in measures])
+        .drop(slot)
     )
 
 
 LAYERS: dict[str, Callable[[Tables], DataFrame]] = {
     "order_facts": order_facts,
     "month_summary": month_summary,
-    "seller_months": lambda t: by_month(t, seller_lines(t["order_items"]), "seller_id"),
+    "seller_months": lambda t: by_month(t, partial(seller_lines, together=True), "seller_id"),
     "category_months": lambda t: by_month(
-        t, category_lines(t["order_items"], t["products"]), "raw_category"
+        t,
+        partial(category_lines, products=t["products"], together=True),
+        "raw_category",
+        spread=False,
     ),
-    "product_months": lambda t: by_month(t, product_lines(t["order_items"]), "product_id"),
+    "product_months": lambda t: by_month(t, partial(product_lines, together=True), "product_id"),
     "person_months": person_month_orders,
 }
 
 
+# Layers whose rows come gathered by month.
+_ARRANGED = ("seller_months", "product_months", "person_months")
+
 # What a layer is made from. Its fingerprint tells, month by month, whether it still is.
 _ORDER_PARTS: dict[str, Part] = {
     "orders": whole_table("orders"),
@@ -195,9 +215,13 @@ _SEEN_BY = {
 
 
 def _grain_parts(grain: Grain) -> dict[str, Part]:
-    """Every grain leaves out orders without a customer, so all look at buyers."""
+    """Every grain leaves out orders without a customer, so all look at buyers.
+
+    Parts by item dimensions hold the amounts too, which then need no part of their own.
+    """
     seen = {"buyers", *[_SEEN_BY[d] for d in grain.of_items]}
-    return _ORDER_PARTS | {f"{part}_of_grain": _LOOKED_UP[part] for part in sorted(seen)}
+    of_orders = {p: what for p, what in _ORDER_PARTS.items() if p != "values" or not grain.of_items}
+    return of_orders | {f"{part}_of_grain": _LOOKED_UP[part] for part in sorted(seen)}
 
 
 def _layer(name: str) -> Callable[[Tables], DataFrame]:
@@ -205,6 +229,11 @@ def _layer(name: str) -> Callable[[Tables], DataFrame]:
     return LAYERS[name] if grain is None else partial(grain_table, grain=grain)
 
 
+def _is_arranged(name: str) -> bool:
+    grain = grain_of(name)
+    return name in _ARRANGED if grain is None else grain.many_rows
+
+
 def layer_parts(name: str) -> dict[str, Part]:
     grain = grain_of(name)
     return LAYER_PARTS[name] if grain is None else _grain_parts(grain)
@@ -215,11 +244,21 @@ def _parts(names: Sequence[str]) -> dict[str, Part]:
     return {part: what for name in names for part, what in layer_parts(name).items()}
 
 
+def layer_marks(t: Tables, names: Sequence[str] = tuple(LAYERS)) -> DataFrame:
+    """Fingerprints of all that the named layers are made from, written once.
+
+    Handed to ``stale_layers`` and then to ``refresh_layers`` they spare scanning the same tables
+    again. Rows that change after they were taken make their months stale.
+    """
+    return written(fingerprints(t, _parts(names)))
+
+
 def refresh_layers(
     t: Tables,
     folder: str,
     months: Sequence[Month] | None = None,
     names: Sequence[str] = tuple(LAYERS),
+    marks: DataFrame | None = None,
 ) -> None:
     """Write the named layers whole, or replace only the named ``months``.
 
@@ -227,7 +266,7 @@ def refresh_layers(
     A named month that has no rows any more is emptied; None names the rows without a month.
     An order that changed month needs both named, which is checked against the stored order
     facts. On tables stored by month, only the named months of orders, items and reviews
-    are read.
+    are read. ``marks`` are the ``layer_marks`` of these tables, if they were taken before.
     """
     spark = t["orders"].sparkSession
 
@@ -242,7 +281,7 @@ def refresh_layers(
     before = _stored(spark, f"{folder}/order_facts") if months is not None else None
     if before is not None and "order_facts" in names:
         refuse_half_moves(order_months(t), before, months)
-    marks = written(fingerprints(pruned, _parts(names)))
+    marks = layer_marks(pruned, names) if marks is None else marks
     for name in names:
         layer = _layer(name)(pruned)
         made_from = marks.filter(F.col("part").isin(list(layer_parts(name))))
@@ -250,7 +289,7 @@ def refresh_layers(
             layer = layer.filter(among(F.col(MONTH), months))
             made_from = made_from.filter(among(F.col(MONTH), months))
         # The mark goes last: a refresh that fails half-way leaves the months stale.
-        replace_months(layer, f"{folder}/{name}", months)
+        replace_months(layer, f"{folder}/{name}", months, _is_arranged(name))
         _store_marks(made_from, f"{folder}/{SEEN}/{name}", months)
         if name == "order_facts":
             pruned = attach_layers(pruned, spark, folder, [name], verify=False)
@@ -281,12 +320,16 @@ def read_layer(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stale_layers(
-    t: Tables, spark: SparkSession, folder: str, names: Sequence[str] | None = None
+    t: Tables,
+    spark: SparkSession,
+    folder: str,
+    names: Sequence[str] | None = None,
+    marks: DataFrame | None = None,
 ) -> dict[str, list[Month]]:
     """Months in which a stored layer was made from other rows than these; by layer.
 
     Without ``names`` all of ``LAYERS`` that are stored; grains are named. The source tables are
-    read once for all.
+    read once for all, or not at all where their ``layer_marks`` are given.
     """
     asked = LAYERS if names is None else names
     found = {name: _stored(spark, f"{folder}/{SEEN}/{name}") for name in asked}
@@ -296,7 +339,7 @@ def stale_layers(
     seen = {name: table for name, table in found.items() if table is not None}
     if not seen:
         return {}
-    now = written(fingerprints(t, _parts(list(seen))))
+    now = layer_marks(t, list(seen)) if marks is None else marks
     return {
         name: different_months(now.filter(F.col("part").isin(list(layer_parts(name)))), before)
         for name, before in seen.items()
@@ -304,10 +347,14 @@ def stale_layers(
 
 
 def stale_months(
-    t: Tables, spark: SparkSession, folder: str, names: Sequence[str] | None = None
+    t: Tables,
+    spark: SparkSession,
+    folder: str,
+    names: Sequence[str] | None = None,
+    marks: DataFrame | None = None,
 ) -> list[Month]:
     """Months in which any of the stored layers has to be refreshed."""
-    stale = stale_layers(t, spark, folder, names)
+    stale = stale_layers(t, spark, folder, names, marks)
     return sorted({month for months in stale.values() for month in months}, key=str)
 
 

@@ -41,7 +41,7 @@ from stallworks.operators.lattice import (
     Grain,
     serving_layer,
 )
-from stallworks.sources.monthly import month_date, month_of_purchase
+from stallworks.sources.monthly import gathered, month_date, month_of_purchase
 from stallworks.sources.schemas import MONTH
 from stallworks.sources.tables import Tables
 
@@ -194,7 +194,9 @@ def grain_table(t: Tables, grain: Grain) -> DataFrame:
 
     With item dimensions an order is one row per combination of their values and its lines are
     reduced to that first; without, orders lacking items are in it too. Delivery and score are
-    summed over orders that arrived and were promised a date, as in ``service_table``.
+    summed over orders that arrived and were promised a date, as in ``service_table``. Lines are sent
+    to their order once, for the sums and the join; rows of a grain with many rows are sent to
+    their month at once, as sums per person hardly shrink them.
     """
     of_items = grain.of_items
     served = F.col("order_delivered_customer_date").isNotNull() & F.col(
@@ -215,8 +217,9 @@ def grain_table(t: Tables, grain: Grain) -> DataFrame:
     orders = _with_customer(placed, t, ["ym", *grain.dims]).withColumn(
         MONTH, month_label(F.col("ym"))
     )
+    lines = _line_facts(t, of_items, {}, None)
     values = (
-        _line_facts(t, of_items, {}, None)
+        (lines.repartition("order_id") if of_items else lines)
         .groupBy("order_id", *of_items)
         .agg(
             F.sum(cents(F.col("price"))).alias("gmv"),
@@ -226,8 +229,13 @@ def grain_table(t: Tables, grain: Grain) -> DataFrame:
     )
     facts = orders.join(values, "order_id", "inner" if of_items else "left")
     facts = facts.join(order_score(t["order_reviews"]), "order_id", "left")
-    score = F.when(F.col("served"), F.col("score"))
-    return facts.groupBy(MONTH, "order_status", *grain.dims, *[PERSON] * grain.people).agg(
+    facts = facts.withColumn("score", F.when(F.col("served"), F.col("score")))
+    keys = [MONTH, "order_status", *grain.dims, *[PERSON] * grain.people]
+    spread = []
+    if grain.many_rows:
+        facts, slot = gathered(facts.drop("order_id"), *keys[2:])
+        spread = [slot]
+    summed = facts.groupBy(*keys, *spread).agg(
         F.count("*").alias("orders"),
         F.count("has_items").alias("item_orders"),
         F.sum("gmv").alias("gmv"),
@@ -237,9 +245,10 @@ def grain_table(t: Tables, grain: Grain) -> DataFrame:
         F.sum("delivery_days").alias("days"),
         F.count("is_late").alias("judged"),
         F.count_if("is_late").alias("late"),
-        F.sum(score).alias("score_sum"),
-        F.count(score).alias("scored"),
+        F.sum("score").alias("score_sum"),
+        F.count("score").alias("scored"),
     )
+    return summed.drop(*spread)
 
 
 def _people(

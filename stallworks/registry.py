@@ -428,7 +428,9 @@ def _refreshed(
     folder, t = _new_folder(spark), role_tables(spark, sf_dir)
     layers.refresh_layers(t, folder, names=names)
     now = _changed(t)
-    layers.refresh_layers(now, folder, layers.stale_months(now, spark, folder), names)
+    marks = layers.layer_marks(now, names)
+    months = layers.stale_months(now, spark, folder, marks=marks)
+    layers.refresh_layers(now, folder, months, names, marks)
     return plan(layers.attach_layers(now, spark, folder, names=names))
 
 
@@ -478,7 +480,9 @@ def _layers_corrected(
 ) -> DataFrame:
     folder, t = _new_folder(spark), role_tables(spark, sf_dir)
     layers.refresh_layers(_uncorrected(t, table), folder, names=[layer])
-    layers.refresh_layers(t, folder, layers.stale_months(t, spark, folder, [layer]), [layer])
+    marks = layers.layer_marks(t, [layer])
+    months = layers.stale_months(t, spark, folder, [layer], marks)
+    layers.refresh_layers(t, folder, months, [layer], marks)
     return plan(layers.attach_layers(t, spark, folder, names=[layer]))
 
 
@@ -488,8 +492,10 @@ def _partly_refreshed(
     folder, t, names = _new_folder(spark), role_tables(spark, sf_dir), [first, second]
     layers.refresh_layers(t, folder, names=names)
     now = _changed(t)
+    marks = layers.layer_marks(now, names)
     for name in names:
-        layers.refresh_layers(now, folder, layers.stale_months(now, spark, folder, [name]), [name])
+        months = layers.stale_months(now, spark, folder, [name], marks)
+        layers.refresh_layers(now, folder, months, [name], marks)
     return plan(layers.attach_layers(now, spark, folder, names=names))
 
 

@@ -42,17 +42,38 @@ def refuse_own_source(df: DataFrame, path: str) -> None:
         raise ValueError(f"{path} is read by the plan that is to replace it")
 
 
-def replace_months(df: DataFrame, path: str, months: Sequence[Month] | None = None) -> None:
+# Into so many tasks the rows of a month are spread at most where they are gathered by month.
+MONTH_SLOTS = 8
+
+
+def gathered(rows: DataFrame, *keys: str) -> tuple[DataFrame, str]:
+    """Rows spread by month and a hash of some keys, and the column that says where to.
+
+    Grouped by month, these keys, that column and whatever else, they need no further exchange, and
+    neither does writing the groups by month.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(MONTH_SLOTS))
+    return rows.withColumn("_slot", slot).repartition(MONTH, "_slot"), "_slot"
+
+
+def replace_months(
+    df: DataFrame, path: str, months: Sequence[Month] | None = None, arranged: bool = False
+) -> None:
     """Write a table by month.
 
     Without ``months`` the whole table is replaced, months that are gone included. With them each
     named month is replaced, by nothing if it has no rows any more; the others stay.
-    The rebalance hint gathers a month into few files and splits one too large for a task.
+    The rebalance hint gathers a month into few files and splits one too large for a task; rows
+    that are ``arranged`` by month already are written as they come.
     """
     refuse_own_source(df, path)
+
+    def by_month(rows: DataFrame) -> DataFrame:
+        return rows if arranged else rows.hint("rebalance", MONTH)
+
     if months is None:
         (
-            df.hint("rebalance", MONTH)
+            by_month(df)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "static")
             .partitionBy(MONTH)
@@ -60,7 +81,7 @@ def replace_months(df: DataFrame, path: str, months: Sequence[Month] | None = No
         )
         return
     seen = Observation()
-    rows = df.filter(among(F.col(MONTH), months)).hint("rebalance", MONTH)
+    rows = by_month(df.filter(among(F.col(MONTH), months)))
     (
         rows.observe(seen, F.collect_set(F.coalesce(F.col(MONTH), F.lit(NO_MONTH))).alias("months"))
         .write.mode("overwrite")
