@@ -6,6 +6,10 @@ twice), odd inside. Quotes are counted within each range; the counts of all rang
 row per range, are summed up to the parity each range begins with. A line inside a quoted
 value belongs to the last record begun before it, which may be in an earlier range.
 
+Ranges are read in order and in batches, so no line is sorted or shuffled to be numbered: only the
+running count goes from batch to batch. Records that lie within a batch are put together there;
+only those that cross a batch or a range are gathered by a shuffle, two a batch at most.
+
 Defined cases: a line ends with a line feed, and a carriage return before it is dropped, inside
 values too; empty lines between records are skipped; quotes stand around whole values or, doubled,
 inside them; a quoted value that is never closed takes the rest of its file; a byte order mark
@@ -14,38 +18,98 @@ at the start is ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _RANGE = ("file", "block")
+_PIECE = (
+    "file string, block long, row long, at_block long, at_row long, text string, whole boolean"
+)
 
 
-def _numbered_lines(spark: SparkSession, path: str, quote: str) -> DataFrame:
-    """``(file, block, row, line, quotes, inside)``: place, quotes, and quotes before in the range.
-
-    A window holds one byte range, so its size is bounded by how files are split.
-    """
-    lines = (
+def _lines(spark: SparkSession, path: str, quote: str) -> DataFrame:
+    """``(file, block, line, quotes)`` in the order of the ranges."""
+    return (
         spark.read.option("lineSep", "\n")
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("_at"),
             F.regexp_replace("value", r"\r\z", "").alias("line"),
         )
         .withColumn("quotes", F.length("line") - F.length(F.replace("line", F.lit(quote), F.lit(""))))
     )
-    in_order = Window.partitionBy(*_RANGE).orderBy("_at")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    return lines.select(
-        *_RANGE,
-        F.row_number().over(in_order).alias("row"),
-        "line",
-        "quotes",
-        F.coalesce(F.sum("quotes").over(before), F.lit(0)).alias("inside"),
-    )
+
+
+def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Per batch and range its lines, the number of the first, and the quotes before each in the range.
+
+    Lines of a range follow one another, in one task.
+    """
+    current, row, quotes = None, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file = batch.column("file").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        block = batch.column("block").to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((np.diff(file) != 0) | (np.diff(block) != 0)) + 1
+        for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+            part = batch.slice(start, end - start)
+            where = (part.column("file")[0].as_py(), part.column("block")[0].as_py())
+            if where != current:
+                current, row, quotes = where, 0, 0
+            counts = part.column("quotes").to_numpy(zero_copy_only=False).astype(np.int64)
+            after = quotes + np.cumsum(counts)
+            yield where, part, row, after - counts
+            row, quotes = row + len(counts), int(after[-1])
+
+
+def _numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, part, row, inside in _stretches(batches):
+        numbers = np.arange(row + 1, row + 1 + len(inside), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [part.column("file"), part.column("block"), pa.array(numbers),
+             pa.array(part.column("quotes").cast(pa.int64())), pa.array(inside)],
+            names=["file", "block", "row", "quotes", "inside"],
+        )
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a batch joined to records; ``whole`` are those that begin and end within the batch.
+
+    Others are pieces: they tell the record they belong to, and where they begin themselves.
+    """
+    current, begun = None, (None, None)
+    for where, part, row, inside in _stretches(batches):
+        if where != current:
+            current = where
+            begun = (part.column("open_block")[0].as_py(), part.column("open_row")[0].as_py())
+        before = part.column("before")[0].as_py()
+        begins = np.flatnonzero((before + inside) % 2 == 0)
+        cuts = begins if len(begins) and begins[0] == 0 else np.concatenate([[0], begins])
+        cuts = cuts.astype(np.int32)
+        offsets = pa.array(np.append(cuts, len(inside)).astype(np.int32))
+        text = pc.binary_join(pa.ListArray.from_arrays(offsets, part.column("line")), "\n")
+        at_row = cuts.astype(np.int64) + row + 1
+        block, rows = [where[1]] * len(cuts), at_row.tolist()
+        whole = np.ones(len(cuts), dtype=bool)
+        whole[-1] = False
+        if len(begins) < len(cuts):
+            block[0], rows[0] = begun
+            whole[0] = False
+        begun = (block[-1], rows[-1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([where[0]] * len(cuts), pa.string()), pa.array(block, pa.int64()),
+             pa.array(rows, pa.int64()), pa.array([where[1]] * len(cuts), pa.int64()),
+             pa.array(at_row), text.cast(pa.string()), pa.array(whole)],
+            names=["file", "block", "row", "at_block", "at_row", "text", "whole"],
+        )
 
 
 def _range_starts(lines: DataFrame) -> DataFrame:
@@ -73,25 +137,27 @@ def quoted_records(spark: SparkSession, path: str, quote: str = '"') -> DataFram
 
     Ordered by ``(file, block, row)`` the records are in file order.
     """
-    lines = _numbered_lines(spark, path, quote)
-    starts = _range_starts(lines)
+    lines = _lines(spark, path, quote)
+    numbered = lines.select(*_RANGE, "quotes").mapInArrow(
+        _numbered, "file string, block long, row long, quotes long, inside long"
+    )
+    # One row per range; a broadcast join leaves the lines where and in the order they are.
+    starts = F.broadcast(_range_starts(numbered))
     placed = lines.join(
         starts, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block"))
+    ).select(
+        *_RANGE, "line", "quotes", "before",
+        F.col("open.block").alias("open_block"), F.col("open.row").alias("open_row"),
+    )
+    pieces = placed.mapInArrow(_pieces, _PIECE)
+    crossing = (
+        pieces.where("NOT whole")
+        .groupBy("file", "block", "row")
+        .agg(F.array_sort(F.collect_list(F.struct("at_block", "at_row", "text"))).alias("parts"))
+        .select("file", "block", "row", F.array_join("parts.text", "\n").alias("record"))
     )
-    begins = (F.col("before") + F.col("inside")) % 2 == 0
-    so_far = Window.partitionBy(*_RANGE).orderBy("row")
-    own = F.last(F.when(begins, F.struct("block", "row")), ignorenulls=True).over(so_far)
-    of_record = placed.withColumn("start", F.coalesce(own, "open"))
-    # A record of one line, as most are, is carried along; longer ones are put together in order.
-    whole = of_record.groupBy("file", "start").agg(
-        F.array_sort(F.collect_list(F.struct("block", "row", "line"))).alias("parts")
-    )
-    return whole.select(
-        "file",
-        F.col("start.block").alias("block"),
-        F.col("start.row").alias("row"),
-        F.array_join("parts.line", "\n").alias("record"),
-    ).where("record <> ''")
+    inside = pieces.where("whole").select("file", "block", "row", F.col("text").alias("record"))
+    return inside.unionByName(crossing).where("record <> ''")
 
 
 def read_quoted_csv(

@@ -1,4 +1,4 @@
-"""What the plans of layers move: each row once per step."""
+"""What the plans of layers and of review files move: each row once per step, and no whole file in a task."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from stallworks.plans import layers
 from stallworks.plans.metrics import grain_table
 from stallworks.registry import registered_queries
 from stallworks.sources.fingerprints import different_months, fingerprints
+from stallworks.sources.quoted_records import quoted_records
 from stallworks.sources.roles import role_tables
 from tests.compare import spark_rows
 from tests.shop import customer, item, order, product, shop
@@ -97,3 +98,15 @@ def test_lines_of_a_layer_are_sent_to_their_order_once(spark, small_dir, no_broa
     )
     files = [len(list(month.glob("*.parquet"))) for month in (tmp_path / layer).glob("purchase_ym=*")]
     assert max(files) <= 8
+
+
+def test_review_lines_are_neither_sorted_nor_shuffled_by_range(spark, tmp_path):
+    text = 'review_id,message\n' + "".join(f'r{i},"one\n""two""\nthree"\n' for i in range(30_000))
+    (tmp_path / "a.csv").write_text(text)
+    found = quoted_records(spark, str(tmp_path))
+    assert not re.search(r"hashpartitioning\(file#\d+, block#\d+L, 8\).*\n.*line#", plan_of(found))
+    assert "Window [row_number" not in plan_of(found)
+    rows = found.orderBy("block", "row").collect()
+    assert [r.record for r in rows] == ["review_id,message"] + [
+        f'r{i},"one\n""two""\nthree"' for i in range(30_000)
+    ]
