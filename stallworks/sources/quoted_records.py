@@ -18,13 +18,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_RANGE = ("file", "block")
+_RANGE = ("file", "block", "chunk")
+# A chunk holds at most two to this power lines; windows go over chunks, so that they stay small
+# and spread over tasks however long the ranges are.
+_CHUNK_BITS = 14
 
 
 def _numbered_lines(spark: SparkSession, path: str, quote: str) -> DataFrame:
-    """``(file, block, row, line, quotes, inside)``: place, quotes, and quotes before in the range.
+    """``(file, block, chunk, row, line, quotes, inside)``: place, quotes, and quotes before in the chunk.
 
-    A window holds one byte range, so its size is bounded by how files are split.
+    A chunk is a stretch of lines of one byte range; a window holds one chunk.
     """
     lines = (
         spark.read.option("lineSep", "\n")
@@ -35,6 +38,7 @@ def _numbered_lines(spark: SparkSession, path: str, quote: str) -> DataFrame:
             F.monotonically_increasing_id().alias("_at"),
             F.regexp_replace("value", r"\r\z", "").alias("line"),
         )
+        .withColumn("chunk", F.shiftright("_at", _CHUNK_BITS))
         .withColumn("quotes", F.length("line") - F.length(F.replace("line", F.lit(quote), F.lit(""))))
     )
     in_order = Window.partitionBy(*_RANGE).orderBy("_at")
@@ -48,22 +52,33 @@ def _numbered_lines(spark: SparkSession, path: str, quote: str) -> DataFrame:
     )
 
 
-def _range_starts(lines: DataFrame) -> DataFrame:
-    """Per range the quotes before it in its file, and the last record begun before it."""
+def _number(row: str):
+    """Number of a line in its range from its row in the chunk: 1 first, in order, gaps allowed."""
+    return F.shiftleft(F.col("chunk") - F.col("first_chunk"), _CHUNK_BITS) + F.col(row)
+
+
+def _chunk_starts(lines: DataFrame) -> DataFrame:
+    """Per chunk the quotes before it in its file, the last record begun before it, and its range's first."""
     even = F.col("inside") % 2 == 0
-    ranges = lines.groupBy(*_RANGE).agg(
+    chunks = lines.groupBy(*_RANGE).agg(
         F.sum("quotes").alias("quotes"),
         F.max(F.when(even, F.col("row"))).alias("last_even"),
         F.max(F.when(~even, F.col("row"))).alias("last_odd"),
     )
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counted = ranges.withColumn("before", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)))
-    last = F.when(F.col("before") % 2 == 0, F.col("last_even")).otherwise(F.col("last_odd"))
-    begun = F.when(last.isNotNull(), F.struct("block", last.alias("row")))
+    earlier = (
+        Window.partitionBy("file").orderBy("block", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    counted = chunks.withColumn("before", F.coalesce(F.sum("quotes").over(earlier), F.lit(0))).withColumn(
+        "first_chunk", F.min("chunk").over(Window.partitionBy("file", "block"))
+    )
+    counted = counted.withColumn(
+        "last", F.when(F.col("before") % 2 == 0, F.col("last_even")).otherwise(F.col("last_odd"))
+    )
+    begun = F.when(F.col("last").isNotNull(), F.struct("block", _number("last").alias("row")))
     return counted.withColumn("begun", begun).select(
-        F.col("file").alias("_file"),
-        F.col("block").alias("_block"),
+        *[F.col(c).alias(f"_{c}") for c in _RANGE],
         "before",
+        "first_chunk",
         F.last("begun", ignorenulls=True).over(earlier).alias("open"),
     )
 
@@ -74,17 +89,15 @@ def quoted_records(spark: SparkSession, path: str, quote: str = '"') -> DataFram
     Ordered by ``(file, block, row)`` the records are in file order.
     """
     lines = _numbered_lines(spark, path, quote)
-    starts = _range_starts(lines)
-    placed = lines.join(
-        starts, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block"))
-    )
+    same = [F.col(c) == F.col(f"_{c}") for c in _RANGE]
+    placed = lines.join(_chunk_starts(lines), same).withColumn("number", _number("row"))
     begins = (F.col("before") + F.col("inside")) % 2 == 0
     so_far = Window.partitionBy(*_RANGE).orderBy("row")
-    own = F.last(F.when(begins, F.struct("block", "row")), ignorenulls=True).over(so_far)
+    own = F.last(F.when(begins, F.struct("block", F.col("number").alias("row"))), ignorenulls=True).over(so_far)
     of_record = placed.withColumn("start", F.coalesce(own, "open"))
     # A record of one line, as most are, is carried along; longer ones are put together in order.
     whole = of_record.groupBy("file", "start").agg(
-        F.array_sort(F.collect_list(F.struct("block", "row", "line"))).alias("parts")
+        F.array_sort(F.collect_list(F.struct("block", "number", "line"))).alias("parts")
     )
     return whole.select(
         "file",

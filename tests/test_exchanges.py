@@ -11,6 +11,7 @@ from stallworks.plans import layers
 from stallworks.plans.metrics import grain_table
 from stallworks.registry import registered_queries
 from stallworks.sources.fingerprints import different_months, fingerprints
+from stallworks.sources.quoted_records import quoted_records
 from stallworks.sources.roles import role_tables
 from tests.compare import spark_rows
 from tests.shop import customer, item, order, product, shop
@@ -97,3 +98,14 @@ def test_lines_of_a_layer_are_sent_to_their_order_once(spark, small_dir, no_broa
     )
     files = [len(list(month.glob("*.parquet"))) for month in (tmp_path / layer).glob("purchase_ym=*")]
     assert max(files) <= 8
+
+
+def test_review_lines_are_numbered_in_chunks_of_a_range(spark, tmp_path):
+    lines = "".join(f'r{i},"one\n""two""\nthree"\n' for i in range(12_000))
+    (tmp_path / "a.csv").write_text("review_id,message\n" + lines)
+    found = quoted_records(spark, str(tmp_path))
+    windows = [line for line in plan_of(found).split("\n") if "row_number()" in line]
+    assert windows and all("chunk#" in line for line in windows)
+    rows = found.orderBy("block", "row").collect()
+    assert (rows[0].block, rows[0].row, rows[0].record) == (0, 1, "review_id,message")
+    assert [r.record for r in rows[1:]] == [f'r{i},"one\n""two""\nthree"' for i in range(12_000)]
