@@ -57,16 +57,22 @@ def gathered(rows: DataFrame, *keys: str) -> tuple[DataFrame, str]:
 
 
 def replace_months(
-    df: DataFrame, path: str, months: Sequence[Month] | None = None, arranged: bool = False
+    df: DataFrame,
+    path: str,
+    months: Sequence[Month] | None = None,
+    arranged: bool = False,
+    from_itself: bool = False,
 ) -> None:
     """Write a table by month.
 
     Without ``months`` the whole table is replaced, months that are gone included. With them each
     named month is replaced, by nothing if it has no rows any more; the others stay.
     The rebalance hint gathers a month into few files and splits one too large for a task; rows
-    that are ``arranged`` by month already are written as they come.
+    that are ``arranged`` by month already are written as they come. Named months may be made
+    ``from_itself``: Spark writes them beside the table and moves them in when all rows are read.
     """
-    refuse_own_source(df, path)
+    if months is None or not from_itself:
+        refuse_own_source(df, path)
 
     def by_month(rows: DataFrame) -> DataFrame:
         return rows if arranged else rows.hint("rebalance", MONTH)

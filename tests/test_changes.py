@@ -11,6 +11,7 @@ from stallworks.sources import bucketed, warehouse
 from stallworks.sources.fingerprints import different_months, fingerprints
 from stallworks.sources.roles import role_tables
 from stallworks.sources.schemas import MONTH
+from stallworks.sources.tables import Tables
 from tests.compare import spark_rows
 from tests.shop import customer, item, order, product, review, rows, shop
 
@@ -107,6 +108,64 @@ def test_a_merge_replaces_single_orders(spark, tmp_path):
     assert warehouse.merge_orders(shop(spark), folder) == []
 
 
+def test_a_merge_stages_the_delta_and_moves_stored_rows_once(spark, tmp_path, monkeypatch, no_broadcast):
+    folder, days = str(tmp_path), range(10, 28)
+    first = shop(
+        spark,
+        orders=[order(f"o{d}", f"1995-01-{d}") for d in days],
+        order_items=[item(f"o{d}", n, 7) for d in days for n in (1, 2)],
+        order_reviews=[review(f"r{d}", f"o{d}", 4) for d in days],
+    )
+    warehouse.load_warehouse(first, folder)
+    staged, plans, real, replace = [], {}, warehouse.written, warehouse.replace_months
+
+    def staging(rows):
+        made = real(rows)
+        staged.append(made.count())
+        return made
+
+    def replacing(rows, path, *how, **more):
+        plans[path.rsplit("/", 1)[1]] = plan_of(rows)
+        return replace(rows, path, *how, **more)
+
+    monkeypatch.setattr(warehouse, "written", staging)
+    monkeypatch.setattr(warehouse, "replace_months", replacing)
+    delta = shop(spark, orders=[order("o12", "1995-01-30")], order_items=[item("o12", 1, 9)])
+    assert warehouse.merge_orders(delta, folder) == ["1995-01"]
+    assert max(staged) <= 1
+    assert list(plans)[-1] == "orders"
+    assert all("REPARTITION_BY_COL" in p and "LeftAnti" not in p for p in plans.values())
+    stored = warehouse.read_warehouse(spark, folder)
+    assert sorted(r.order_id for r in stored["orders"].collect()) == [f"o{d}" for d in days]
+    assert stored["order_items"].count() == 2 * len(days) - 1
+    assert {r.review_id for r in stored["order_reviews"].collect()} == {f"r{d}" for d in days if d != 12}
+
+
+def test_a_merge_of_rows_read_from_the_warehouse_itself(spark, tmp_path):
+    folder = str(tmp_path)
+    first = shop(
+        spark,
+        orders=[order("a", "1995-01-05"), order("a", "1995-02-05"), order("b", "1995-02-06"), order(None, "1995-02-07")],
+        order_items=[item("a", 1, 5), item("b", 1, 7), item(None, 1, 8), item("lost", 1, 9)],
+        order_reviews=[review("r1", "b", 4), review("r1", "b", 4), review("r2", None, 3)],
+    )
+    warehouse.load_warehouse(first, folder)
+    stored = warehouse.read_warehouse(spark, folder)
+    mine = F.col("order_id") == "b"
+    later = F.col("order_purchase_timestamp") + F.expr("INTERVAL 31 DAYS")
+    delta = {name: stored[name].filter(mine) for name in ("order_items", "order_reviews")}
+    delta["orders"] = stored["orders"].filter(mine).withColumn("order_purchase_timestamp", later)
+    gone = spark.createDataFrame([("a",), (None,)], "order_id string")
+    months = warehouse.merge_orders(Tables(**delta), folder, gone)
+    assert months == ["1995-01", "1995-02", "1995-03"]
+    stored = warehouse.read_warehouse(spark, folder)
+    found = {name: sorted(((r.order_id, r[MONTH]) for r in stored[name].collect()), key=str)
+             for name in ("orders", "order_items", "order_reviews")}
+    assert found["orders"] == [("b", "1995-03"), (None, "1995-02")]
+    assert found["order_items"] == [("b", "1995-03"), ("lost", None), (None, None)]
+    assert found["order_reviews"] == [("b", "1995-03"), ("b", "1995-03"), (None, None)]
+
+
 def test_database_months_take_one_insert_per_table(spark, tmp_path, monkeypatch):
     spark.sql(f"CREATE DATABASE once LOCATION '{tmp_path}/once'")
     warehouse.create_schema(spark, "once")
