@@ -10,8 +10,8 @@ word they are joined back to words.
 The published counts come from a recount of the candidates: shards of them become double-array
 tries over bytes, which are broadcast; at all word positions of a block at once, states advance
 level by level, one more word each, and the accepting states are counted by ``bincount``; sums over
-tasks and shards are exact. One broadcast holds about ``ROUND_BYTES`` of tries; more candidates take
-more rounds, each of which reads the documents again.
+tasks and shards are exact. One broadcast holds ``ROUND_BYTES`` of built tries at most, or one larger
+trie; more candidates take more rounds, each of which reads the documents again.
 
 Cuts, containment and the order of results are joins and windows over the counted phrases.
 
@@ -45,7 +45,7 @@ NO_LANG = "und"
 BITMAP_BITS = 1 << 26  # 8 MB as a broadcast
 SHARD_BYTES = 16 << 20
 ROUND_BYTES = 48 << 20
-# A trie takes about so many bytes for each byte of its phrases.
+# For the number of shards: a trie takes at most about so many bytes for each byte of its phrases.
 _TRIE_FACTOR = 16
 _CHUNK_BITS = 1 << 15  # of Spark's bitmap functions
 # Texts are worked on in blocks of so many bytes, and leave in batches of so many rows.
@@ -270,16 +270,26 @@ _TRIE = (
 )
 
 
-def _accepted(trie: DoubleArray, langs: pa.Array, at: Positions) -> Iterator[np.ndarray]:
+def _first_words(at: Positions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Languages and codes of the distinct (lang, word), and which of these is at every position."""
+    cells, inverse = np.unique(at.lang * len(at.words) + at.codes, return_inverse=True)
+    lang, code = np.divmod(cells, max(len(at.words), 1))
+    return lang, code, inverse
+
+
+def _accepted(
+    trie: DoubleArray,
+    langs: pa.Array,
+    at: Positions,
+    first_words: tuple[np.ndarray, np.ndarray, np.ndarray],
+) -> Iterator[np.ndarray]:
     """Numbers of the phrases accepted at all positions, one level of words after the other."""
     data, starts, lengths = utf8(at.words)
     lang_data, lang_starts, lang_lengths = utf8(langs)
     states = trie.walk(np.full(len(langs), ROOT), lang_data, lang_starts, lang_lengths)
     met = np.flatnonzero(states >= 0)
     states[met] = trie.step(states[met], _AFTER_LANG[0])
-    # The first word is walked once for each distinct (lang, word).
-    cells, inverse = np.unique(at.lang * len(at.words) + at.codes, return_inverse=True)
-    lang, code = np.divmod(cells, max(len(at.words), 1))
+    lang, code, inverse = first_words
     after = trie.walk(states[lang], data, starts[code], lengths[code])[inverse]
     place = np.flatnonzero(after >= 0)
     after = after[place]
@@ -301,8 +311,10 @@ def _recounted(tries: Broadcast):
         for langs, at in _blocks(batches):
             if not len(at.codes):
                 continue
+            # The first word is walked once for each distinct (lang, word), found once for all tries.
+            first_words = _first_words(at)
             for (_, n, trie), total in zip(shards, sums):
-                for numbers in _accepted(trie, langs, at):
+                for numbers in _accepted(trie, langs, at, first_words):
                     total += np.bincount(numbers, minlength=n)
         for (shard, _, _), total in zip(shards, sums):
             met = np.flatnonzero(total)
@@ -314,6 +326,18 @@ def _recounted(tries: Broadcast):
     return run
 
 
+def _rounds(sizes: list[tuple[int, int]], round_bytes: int) -> list[list[int]]:
+    """Shards, given with their bytes, in rounds of so many bytes at most, or of one larger shard."""
+    out, held = [], 0
+    for shard, size in sizes:
+        if not out or held + size > round_bytes:
+            out.append([])
+            held = 0
+        out[-1].append(shard)
+        held += size
+    return out
+
+
 def phrase_counts(
     docs: DataFrame,
     phrases: DataFrame,
@@ -324,17 +348,17 @@ def phrase_counts(
     spark = docs.sparkSession
     size = phrases.agg(F.sum(F.octet_length("phrase") + F.octet_length("lang") + 1)).first()[0] or 0
     shards = max(1, -(-size * _TRIE_FACTOR // shard_bytes))
-    rounds = max(1, -(-size * _TRIE_FACTOR // round_bytes))
     # All phrases that begin with the same word are walked in one trie.
     first_word = F.substring_index("phrase", " ", 1)
     shard = F.pmod(F.xxhash64("lang", first_word), F.lit(shards))
     built = written(phrases.withColumn("shard", shard).groupBy("shard").applyInArrow(_trie, _TRIE))
     arrays = built.select("shard", "base", "check", "accept", F.size("phrases").alias("n"))
+    made = arrays.select("shard", sum(F.octet_length(c) for c in ("base", "check", "accept")))
     found = None
-    for r in range(rounds):
+    for members in _rounds(sorted(map(tuple, made.collect())), round_bytes) or [[]]:
         loaded = [
             (row["shard"], row["n"], DoubleArray(*[np.frombuffer(row[c], np.int32) for c in ("base", "check", "accept")]))
-            for row in arrays.where(F.col("shard") % rounds == r).collect()
+            for row in arrays.where(F.col("shard").isin(members)).collect()
         ]
         sent = spark.sparkContext.broadcast(loaded)
         sums = (

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from stallworks.llm import collocations as colloc
 from stallworks.llm import queries
 from stallworks.llm.collocations import collocations
 from stallworks.llm.double_array import ROOT, double_array
@@ -304,3 +305,33 @@ def test_collocations_top_ties_and_extra_columns(spark):
 def test_collocations_of_nothing(spark):
     assert collocations(table(spark, [])).collect() == []
     assert collocations(table(spark, [(1, None, None, None), (2, "a b", "en", "s")])).collect() == []
+
+
+def test_recounts_read_the_documents_as_often_as_built_tries_need(spark, monkeypatch):
+    rows, rounds, real = phrase_rows(8, 150), [], colloc._recounted
+    monkeypatch.setattr(colloc, "_recounted", lambda sent: rounds.append(sent.value) or real(sent))
+    best = best_phrases(rows, 5, 2000)
+    small = {"min_count": 5, "shard_bytes": 2000}
+    same_rows(collocations(table(spark, rows), round_bytes=1, **small), best)
+    sizes = [sum(x.nbytes for x in (t.base, t.check, t.accept)) for r in rounds for _, _, t in r]
+    assert len(sizes) == len(rounds) > 3
+    rounds.clear()
+    same_rows(collocations(table(spark, rows), round_bytes=sum(sizes), **small), best)
+    assert len(rounds) == 1
+    rounds.clear()
+    half = max(sum(sizes) // 2, max(sizes))
+    same_rows(collocations(table(spark, rows), round_bytes=half, **small), best)
+    assert 2 <= len(rounds) <= 3
+    assert all(sum(x.nbytes for _, _, t in r for x in (t.base, t.check, t.accept)) <= half for r in rounds)
+
+
+def test_first_words_are_found_once_for_all_tries(monkeypatch):
+    calls, real = [], colloc._first_words
+    monkeypatch.setattr(colloc, "_first_words", lambda at: calls.append(1) or real(at))
+    keys = [colloc._key("en", p) for p in ("a", "a b", "b")]
+    tries = [(i, len(k), double_array(k)) for i, k in enumerate((keys[:2], keys[2:]))]
+    sent = type("Sent", (), {"value": tries})
+    docs = pa.RecordBatch.from_pydict({"lang": ["en", "de"], "text": ["a b, a B b", "a b"]})
+    counted = [r for b in colloc._recounted(sent)(iter([docs])) for r in b.to_pylist()]
+    assert [(r["shard"], r["at"], r["f"]) for r in counted] == [(0, 0, 2), (0, 1, 2), (1, 0, 3)]
+    assert len(calls) == 1
