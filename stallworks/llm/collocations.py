@@ -51,6 +51,8 @@ _CHUNK_BITS = 1 << 15  # of Spark's bitmap functions
 # Texts are worked on in blocks of so many bytes, and leave in batches of so many rows.
 _BLOCK_BYTES = 4 << 20
 _ROWS = 1 << 16
+# Cells of (lang, word) are marked in an array, without a sort, up to so many for each position.
+_DENSE = 4
 
 _U64 = np.uint64
 # What ends a piece, and what parts words.
@@ -135,6 +137,16 @@ def _known(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(bit >> _U64(3)).astype(np.int64)] >> (bit & _U64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where one of each distinct hash is, and how often it occurs."""
+    order = np.argsort(hashes)
+    sorted_hashes = hashes[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = sorted_hashes[1:] != sorted_hashes[:-1]
+    starts = np.flatnonzero(new)
+    return order[starts], np.diff(starts, append=len(hashes))
+
+
 def _pair_counts(bitmap: Broadcast, k: int):
     """Occurrences of (phrase of k - 1 words, next word) by hash, where Apriori leaves a chance."""
 
@@ -152,7 +164,7 @@ def _pair_counts(bitmap: Broadcast, k: int):
                 continue
             prefix, last = shorter[place], words[place + k - 1]
             both = longer_hashes(prefix, last)
-            _, first, n = np.unique(both, return_index=True, return_counts=True)
+            first, n = _counted(both)
             yield from _sliced(
                 pa.RecordBatch.from_arrays(
                     [
@@ -272,7 +284,14 @@ _TRIE = (
 
 def _first_words(at: Positions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Languages and codes of the distinct (lang, word), and which of these is at every position."""
-    cells, inverse = np.unique(at.lang * len(at.words) + at.codes, return_inverse=True)
+    cell = at.lang * len(at.words) + at.codes
+    most = int(cell.max(initial=-1)) + 1
+    if most <= _DENSE * len(cell):
+        met = np.zeros(most, dtype=bool)
+        met[cell] = True
+        cells, inverse = np.flatnonzero(met), (np.cumsum(met) - 1)[cell]
+    else:
+        cells, inverse = np.unique(cell, return_inverse=True)
     lang, code = np.divmod(cells, max(len(at.words), 1))
     return lang, code, inverse
 

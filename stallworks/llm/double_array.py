@@ -32,13 +32,16 @@ class DoubleArray:
     ) -> np.ndarray:
         """States after all bytes of one span per state, all spans advancing together."""
         out = states.copy()
-        alive = np.flatnonzero(out >= 0)
-        depth = 0
+        alive = np.flatnonzero((out >= 0) & (lengths > 0))
+        now, at = out[alive], starts[alive]
+        ends = at + lengths[alive]
         while len(alive):
-            alive = alive[lengths[alive] > depth]
-            out[alive] = self.step(out[alive], data[starts[alive] + depth])
-            alive = alive[out[alive] >= 0]
-            depth += 1
+            now = self.step(now, data[at])
+            at = at + 1
+            more = (now >= 0) & (at < ends)
+            out[alive[~more]] = now[~more]
+            left = np.flatnonzero(more)
+            alive, now, at, ends = alive[left], now[left], at[left], ends[left]
         return out
 
 

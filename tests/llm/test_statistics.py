@@ -335,3 +335,27 @@ def test_first_words_are_found_once_for_all_tries(monkeypatch):
     counted = [r for b in colloc._recounted(sent)(iter([docs])) for r in b.to_pylist()]
     assert [(r["shard"], r["at"], r["f"]) for r in counted] == [(0, 0, 2), (0, 1, 2), (1, 0, 3)]
     assert len(calls) == 1
+
+
+def test_hash_counts_and_first_words_equal_a_sort(monkeypatch):
+    hashes = np.array([5, 9, 5, 1, 9, 5], dtype=np.uint64)
+    first, n = colloc._counted(hashes)
+    assert dict(zip(hashes[first].tolist(), n.tolist())) == {1: 1, 5: 3, 9: 2}
+    assert [len(x) for x in colloc._counted(hashes[:0])] == [0, 0]
+    docs = pa.RecordBatch.from_pydict({"lang": ["en", "de", "en"], "text": ["a b, a B b", "b a", "c"]})
+    (_, at), = colloc._blocks(iter([docs]))
+    dense = [x.tolist() for x in colloc._first_words(at)]
+    monkeypatch.setattr(colloc, "_DENSE", 0)
+    assert [x.tolist() for x in colloc._first_words(at)] == dense
+    assert len(dense[2]) == 8
+
+
+def test_a_walk_of_empty_and_unknown_spans():
+    trie = double_array([b"ab", b"abc"])
+    data = np.frombuffer(b"abcx", dtype=np.uint8)
+    starts, lengths = np.array([0, 0, 0, 1, 2, 0]), np.array([2, 3, 0, 1, 2, 4])
+    states = np.array([ROOT, ROOT, ROOT, ROOT, -1, ROOT])
+    found = trie.walk(states, data, starts, lengths)
+    assert found[2] == ROOT and found[3] == -1 and found[4] == -1 and found[5] == -1
+    assert trie.accept[found[:2]].tolist() == [0, 1]
+    assert states.tolist() == [ROOT, ROOT, ROOT, ROOT, -1, ROOT]
