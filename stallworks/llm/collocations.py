@@ -2,16 +2,19 @@
 
 Candidates come level by level, safely after Apriori: a phrase of k words can only be frequent
 if its first and its last k - 1 words are. Every level reads the documents, drops
-positions whose two shorter phrases are missing in a bitmap of fixed size, and adds up the rest by
-64-bit hashes. Bitmap and hashes may let a rare phrase through but never lose a frequent
+positions whose two shorter phrases are missing in a bitmap of bounded size, and adds up the rest by
+64-bit hashes, of the last word by 32 bits. Bitmap and hashes may let a rare phrase through but never lose a frequent
 one, so candidates are a superset of the frequent phrases; as hashes of a shorter phrase and a
 word they are joined back to words.
 
-The published counts come from a recount of the candidates: shards of them become double-array
-tries over bytes, which are broadcast; at all word positions of a block at once, states advance
-level by level, one more word each, and the accepting states are counted by ``bincount``; sums over
-tasks and shards are exact. One broadcast holds ``ROUND_BYTES`` of built tries at most, or one larger
-trie; more candidates take more rounds, each of which reads the documents again.
+The published counts come from a recount of the candidates. The documents are read once for it, and
+every word position leaves its window: the words from there on as long as a bitmap of all beginnings
+of candidates lets them through. Windows are compared by words, equal ones are added up, and no
+candidate is longer than the window it begins. Shards of the candidates become double-array tries over
+bytes, which are broadcast; at all windows of a block at once, states advance level by level, one more
+word each, and the accepting states are counted as often as the window occurs; sums over tasks
+and shards are exact. One broadcast holds ``ROUND_BYTES`` of built tries at most, or one larger trie;
+more candidates take more rounds, each of which reads the windows that begin with its first words.
 
 Cuts, containment and the order of results are joins and windows over the counted phrases.
 
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,7 +46,12 @@ TOP = 2000
 SCALE = 2_000_000
 NO_LANG = "und"
 
-BITMAP_BITS = 1 << 26  # 8 MB as a broadcast
+# Bitmaps have 8 MB as a broadcast, or 16 MB where that is less than so many bits for each phrase.
+BITMAP_BITS = 1 << 26
+_MOST_BITS = 1 << 27
+_BITS_EACH = 16
+# The last word of a phrase is counted by so many bits of its hash; more words than one may fit.
+_LAST_BITS = 32
 SHARD_BYTES = 16 << 20
 ROUND_BYTES = 48 << 20
 # For the number of shards: a trie takes at most about so many bytes for each byte of its phrases.
@@ -68,9 +77,19 @@ _SPACE = ord(" ")
 
 
 class Positions:
-    """The words of a block: codes, distinct words, languages, and which word has a next one."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, row_lang: np.ndarray):
+    """The words of a block: codes, distinct words, languages, and which word has a next one.
+
+    Where the texts are windows, phrases are counted from ``heads`` only, the first word of each, as
+    often as ``times`` says; elsewhere from every word, and both are None.
+    """
+
+    def __init__(
+        self,
+        data: np.ndarray,
+        offsets: np.ndarray,
+        row_lang: np.ndarray,
+        times: np.ndarray | None = None,
+    ):
         found, starts, rows = runs(data, offsets, _IS_BREAK)
         self.codes, self.words = encoded(found)
         self.lang = row_lang[rows]
@@ -78,6 +97,10 @@ class Positions:
         self.joined = np.zeros(len(starts), dtype=bool)
         if len(starts):
             self.joined[:-1] = (rows[1:] == rows[:-1]) & (cuts[1:] == cuts[:-1])
+        self.heads = self.times = None
+        if times is not None:
+            self.heads = np.flatnonzero(np.diff(rows, prepend=-1))
+            self.times = times[rows[self.heads]]
 
     def hashes(self, lang_hashes: np.ndarray) -> np.ndarray:
         """Of (lang, word) at every position."""
@@ -99,10 +122,14 @@ def _lang_hashes(langs: pa.Array) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Positions]]:
+    """Blocks of texts or, where rows have ``times``, of windows."""
     for batch in batches:
         row_lang, langs = encoded(batch.column("lang"))
+        windows = "times" in batch.schema.names
+        times = batch.column("times").to_numpy(zero_copy_only=False) if windows else None
         for row, data, offsets in text_blocks(batch.column("text"), _BLOCK_BYTES):
-            yield langs, Positions(data, offsets, row_lang[row : row + len(offsets) - 1])
+            rows = slice(row, row + len(offsets) - 1)
+            yield langs, Positions(data, offsets, row_lang[rows], times[rows] if windows else None)
 
 
 def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -133,7 +160,7 @@ def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _known(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bit = hashes & _U64(BITMAP_BITS - 1)
+    bit = hashes & _U64(len(bitmap) * 8 - 1)
     return (bitmap[(bit >> _U64(3)).astype(np.int64)] >> (bit & _U64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -169,7 +196,7 @@ def _pair_counts(bitmap: Broadcast, k: int):
                 pa.RecordBatch.from_arrays(
                     [
                         pa.array(signed(prefix[first])),
-                        pa.array(signed(last[first])),
+                        pa.array(signed(last[first] & _U64((1 << _LAST_BITS) - 1))),
                         pa.array(n, pa.int64()),
                     ],
                     ["prefix", "last", "n"],
@@ -182,7 +209,7 @@ def _pair_counts(bitmap: Broadcast, k: int):
 def _with_longer_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prefix, last = [
-            batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("prefix", "last")
+            batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("prefix", "word_hash")
         ]
         yield pa.RecordBatch.from_arrays(
             [batch.column("lang"), batch.column("phrase"), pa.array(signed(longer_hashes(prefix, last)))],
@@ -190,17 +217,27 @@ def _with_longer_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         )
 
 
-def _bitmap(phrases: DataFrame) -> np.ndarray:
-    """One bit per hash, set on the executors; the driver puts chunks of 4 KB together."""
-    bit = F.col("hash").bitwiseAND(F.lit(BITMAP_BITS - 1))
+def _bits(n: int) -> int:
+    """Bits of a bitmap of so many phrases; the largest one is crowded, and lets more through."""
+    return min(max(1 << (n * _BITS_EACH).bit_length(), BITMAP_BITS), _MOST_BITS)
+
+
+def _bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
+    """One bit per hash, set on the executors; the driver puts chunks of 4 KB together.
+
+    Hashes are dealt by chunk first, so that no task makes more of the bitmap than its share.
+    """
+    bit = F.col("hash").bitwiseAND(F.lit(bits - 1))
     chunks = (
-        phrases.groupBy(F.shiftright(bit, 15).alias("chunk"))
-        .agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit(_CHUNK_BITS - 1))).alias("bits"))
+        phrases.select(F.shiftright(bit, 15).alias("chunk"), bit.bitwiseAND(F.lit(_CHUNK_BITS - 1)).alias("bit"))
+        .repartition("chunk")
+        .groupBy("chunk")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
         .collect()
     )
-    out = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for chunk, bits in chunks:
-        out[chunk * (_CHUNK_BITS // 8) :][: len(bits)] = np.frombuffer(bits, dtype=np.uint8)
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for chunk, part in chunks:
+        out[chunk * (_CHUNK_BITS // 8) :][: len(part)] = np.frombuffer(part, dtype=np.uint8)
     return out
 
 
@@ -226,9 +263,14 @@ def candidates(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame,
         .mapInArrow(_with_hash, "lang string, phrase string, hash long")
     )
     levels, shorter = [singles.withColumn("words", F.lit(1))], singles
-    last = singles.select(F.col("lang").alias("__lang"), F.col("phrase").alias("word"), F.col("hash").alias("last"))
+    last = singles.select(
+        F.col("lang").alias("__lang"),
+        F.col("phrase").alias("word"),
+        F.col("hash").alias("word_hash"),
+        F.col("hash").bitwiseAND(F.lit((1 << _LAST_BITS) - 1)).alias("last"),
+    )
     for k in range(2, MOST_WORDS + 1):
-        sent = spark.sparkContext.broadcast(_bitmap(shorter))
+        sent = spark.sparkContext.broadcast(_bitmap(shorter, _bits(shorter.count())))
         often = written(
             _texts(docs)
             .mapInArrow(_pair_counts(sent, k), "prefix long, last long, n long")
@@ -237,13 +279,13 @@ def candidates(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame,
             .where(F.col("n") >= min_count)
             .drop("n")
         )
-        sent.unpersist()
+        sent.destroy()
         prefixes = shorter.withColumnRenamed("hash", "prefix")
         shorter = written(
             often.join(prefixes, "prefix")
             .join(last, "last")
             .where("lang = __lang")
-            .select("lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), "prefix", "last")
+            .select("lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), "prefix", "word_hash")
             .mapInArrow(_with_longer_hash, "lang string, phrase string, hash long")
         )
         levels.append(shorter.withColumn("words", F.lit(k)))
@@ -301,26 +343,28 @@ def _accepted(
     langs: pa.Array,
     at: Positions,
     first_words: tuple[np.ndarray, np.ndarray, np.ndarray],
-) -> Iterator[np.ndarray]:
-    """Numbers of the phrases accepted at all positions, one level of words after the other."""
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers and times of the phrases accepted from all heads, one level of words after the other."""
     data, starts, lengths = utf8(at.words)
     lang_data, lang_starts, lang_lengths = utf8(langs)
     states = trie.walk(np.full(len(langs), ROOT), lang_data, lang_starts, lang_lengths)
     met = np.flatnonzero(states >= 0)
     states[met] = trie.step(states[met], _AFTER_LANG[0])
     lang, code, inverse = first_words
-    after = trie.walk(states[lang], data, starts[code], lengths[code])[inverse]
-    place = np.flatnonzero(after >= 0)
-    after = after[place]
+    cells = inverse if at.heads is None else inverse[at.heads]
+    after = trie.walk(states[lang], data, starts[code], lengths[code])[cells]
+    met = np.flatnonzero(after >= 0)
+    place, after = met if at.heads is None else at.heads[met], after[met]
+    times = np.ones(len(met), dtype=np.int64) if at.times is None else at.times[met]
     for _ in range(MOST_WORDS):
         numbers = trie.accept[after]
-        yield numbers[numbers >= 0]
+        yield numbers[numbers >= 0], times[numbers >= 0]
         more = at.joined[place]
-        place, after = place[more] + 1, trie.step(after[more], _SPACE)
-        place, after = place[after >= 0], after[after >= 0]
+        place, after, times = place[more] + 1, trie.step(after[more], _SPACE), times[more]
+        place, after, times = place[after >= 0], after[after >= 0], times[after >= 0]
         code = at.codes[place]
         after = trie.walk(after, data, starts[code], lengths[code])
-        place, after = place[after >= 0], after[after >= 0]
+        place, after, times = place[after >= 0], after[after >= 0], times[after >= 0]
 
 
 def _recounted(tries: Broadcast):
@@ -332,9 +376,9 @@ def _recounted(tries: Broadcast):
                 continue
             # The first word is walked once for each distinct (lang, word), found once for all tries.
             first_words = _first_words(at)
-            for (_, n, trie), total in zip(shards, sums):
-                for numbers in _accepted(trie, langs, at, first_words):
-                    total += np.bincount(numbers, minlength=n)
+            for (_, _, trie), total in zip(shards, sums):
+                for numbers, times in _accepted(trie, langs, at, first_words):
+                    np.add.at(total, numbers, times)
         for (shard, _, _), total in zip(shards, sums):
             met = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
@@ -345,6 +389,60 @@ def _recounted(tries: Broadcast):
     return run
 
 
+def _begin_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the first word, the first two words and so on of given windows."""
+    for langs, at in _blocks(batches):
+        words = at.hashes(_lang_hashes(langs))
+        place, begins = at.heads, words[at.heads]
+        for k in range(1, MOST_WORDS + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(signed(begins))], ["hash"])
+            more = at.joined[place + k - 1]
+            place = place[more]
+            begins = longer_hashes(begins[more], words[place + k])
+
+
+def _windows(bitmap: Broadcast):
+    """Windows of all word positions as ``(lang, text, times)``, equal ones of a block in one row.
+
+    A window grows as long as the bitmap has its words so far. Windows of k words are numbered by
+    the number of their first k - 1 words and the last one, so equal numbers are equal words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for langs, at in _blocks(batches):
+            words = at.hashes(_lang_hashes(langs))
+            place = np.flatnonzero(_known(bits, words))
+            begins, number = words[place], _first_words(at)[2][place]
+            for k in range(1, MOST_WORDS + 1):
+                if not len(place):
+                    break
+                going = np.flatnonzero(at.joined[place + k - 1]) if k < MOST_WORDS else place[:0]
+                longer = longer_hashes(begins[going], words[place[going] + k])
+                known = _known(bits, longer)
+                going, begins = going[known], longer[known]
+                ends = np.ones(len(place), dtype=bool)
+                ends[going] = False
+                n = np.bincount(number[ends])
+                one = np.zeros(len(n), dtype=np.int64)
+                one[number[ends]] = place[ends]
+                met = np.flatnonzero(n)
+                one = one[met]
+                texts = [at.words.take(pa.array(at.codes[one + i])) for i in range(k)]
+                text = pc.binary_join_element_wise(*texts, " ") if k > 1 else texts[0]
+                yield from _sliced(
+                    pa.RecordBatch.from_arrays(
+                        [langs.take(pa.array(at.lang[one])), text, pa.array(n[met], pa.int64())],
+                        ["lang", "text", "times"],
+                    )
+                )
+                place = place[going]
+                number = number[going] * len(at.words) + at.codes[place + k]
+                number = np.unique(number, return_inverse=True)[1]
+
+    return run
+
+
 def _rounds(sizes: list[tuple[int, int]], round_bytes: int) -> list[list[int]]:
     """Shards, given with their bytes, in rounds of so many bytes at most, or of one larger shard."""
     out, held = [], 0
@@ -365,29 +463,47 @@ def phrase_counts(
 ) -> DataFrame:
     """``(lang, phrase, words, f)``: exact occurrences of given phrases of one to four words."""
     spark = docs.sparkSession
-    size = phrases.agg(F.sum(F.octet_length("phrase") + F.octet_length("lang") + 1)).first()[0] or 0
-    shards = max(1, -(-size * _TRIE_FACTOR // shard_bytes))
-    # All phrases that begin with the same word are walked in one trie.
-    first_word = F.substring_index("phrase", " ", 1)
-    shard = F.pmod(F.xxhash64("lang", first_word), F.lit(shards))
-    built = written(phrases.withColumn("shard", shard).groupBy("shard").applyInArrow(_trie, _TRIE))
+    n, size = phrases.agg(F.count("*"), F.sum(F.octet_length("phrase") + F.octet_length("lang") + 1)).first()
+    shards = max(1, -(-(size or 0) * _TRIE_FACTOR // shard_bytes))
+
+    def shard(phrase: str) -> Column:
+        # All phrases that begin with the same word are walked in one trie.
+        return F.pmod(F.xxhash64("lang", F.substring_index(phrase, " ", 1)), F.lit(shards))
+
+    begins = phrases.select("lang", F.col("phrase").alias("text"), F.lit(1).alias("times"))
+    sent = spark.sparkContext.broadcast(_bitmap(begins.mapInArrow(_begin_hashes, "hash long"), _bits(n)))
+    windows = written(
+        _texts(docs)
+        .mapInArrow(_windows(sent), "lang string, text string, times long")
+        .groupBy("lang", "text")
+        .agg(F.sum("times").alias("times"))
+        .withColumn("shard", shard("text"))
+        .sortWithinPartitions("shard")  # so that a round reads little more than its own pages
+    )
+    sent.destroy()
+    built = written(
+        phrases.withColumn("shard", shard("phrase")).groupBy("shard").applyInArrow(_trie, _TRIE)
+    )
     arrays = built.select("shard", "base", "check", "accept", F.size("phrases").alias("n"))
     made = arrays.select("shard", sum(F.octet_length(c) for c in ("base", "check", "accept")))
     found = None
-    for members in _rounds(sorted(map(tuple, made.collect())), round_bytes) or [[]]:
+    for members in _rounds(sorted(map(tuple, made.collect())), round_bytes) or [[-1]]:
+        these = F.col("shard").between(members[0], members[-1])
         loaded = [
             (row["shard"], row["n"], DoubleArray(*[np.frombuffer(row[c], np.int32) for c in ("base", "check", "accept")]))
-            for row in arrays.where(F.col("shard").isin(members)).collect()
+            for row in arrays.where(these).collect()
         ]
         sent = spark.sparkContext.broadcast(loaded)
+        del loaded
         sums = (
-            _texts(docs)
+            windows.where(these)
+            .drop("shard")
             .mapInArrow(_recounted(sent), "shard long, at long, f long")
             .groupBy("shard", "at")
             .agg(F.sum("f").alias("f"))
         )
         sums = written(sums)
-        sent.unpersist()
+        sent.destroy()
         found = sums if found is None else found.unionAll(sums)
     names = built.select("shard", F.posexplode(F.arrays_zip("langs", "phrases", "words")).alias("at", "x"))
     return names.join(found, ["shard", "at"]).select(

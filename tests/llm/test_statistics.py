@@ -325,6 +325,63 @@ def test_recounts_read_the_documents_as_often_as_built_tries_need(spark, monkeyp
     assert all(sum(x.nbytes for _, _, t in r for x in (t.base, t.check, t.accept)) <= half for r in rounds)
 
 
+def test_rounds_do_not_read_the_documents_again(spark, monkeypatch):
+    rows, reads, rounds = phrase_rows(9, 150), [], []
+    texts, recounted = colloc._texts, colloc._recounted
+    monkeypatch.setattr(colloc, "_texts", lambda docs: reads.append(1) or texts(docs))
+    monkeypatch.setattr(colloc, "_recounted", lambda sent: rounds.append(1) or recounted(sent))
+    found = collocations(table(spark, rows), min_count=5, shard_bytes=2000, round_bytes=1)
+    same_rows(found, best_phrases(rows, 5, 2000))
+    assert len(rounds) > 3
+    assert len(reads) == 1 + (colloc.MOST_WORDS - 1) + 1
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_given_phrases_are_counted_whatever_the_bitmap_lets_through(spark, monkeypatch, full):
+    if full:
+        monkeypatch.setattr(colloc, "_bitmap", lambda *_: np.full(1 << 12, 255, dtype=np.uint8))
+    rows = [(i, "a b c d e, b c d e. c d\te f\nA B c", "en", None) for i in range(40)]
+    rows += [(99, "b c d é " * 2000, "en", None), (100, None, None, None), (101, "c d", None, None)]
+    # No phrase has its own beginning among the phrases.
+    wanted = [("en", "b c d e", 4), ("en", "c d", 2), ("und", "c d", 2), ("en", "d é b c", 4), ("en", "x y", 2)]
+    phrases = spark.createDataFrame(wanted, "lang string, phrase string, words int")
+    found = colloc.phrase_counts(table(spark, rows), phrases, shard_bytes=1, round_bytes=1)
+    same_rows(found, [("en", "b c d e", 4, 80), ("en", "c d", 2, 2120), ("und", "c d", 2, 1), ("en", "d é b c", 4, 1999)])
+
+
+def test_last_words_of_equal_hash_bits_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(colloc, "_LAST_BITS", 1)
+    monkeypatch.setattr(colloc, "_bitmap", lambda *_: np.full(1 << 12, 255, dtype=np.uint8))
+    rows = phrase_rows(10, 150)
+    same_rows(collocations(table(spark, rows), min_count=5), best_phrases(rows, 5, 2000))
+
+
+def test_bitmaps_grow_with_the_phrases_up_to_a_bound():
+    assert [colloc._bits(n) for n in (0, 1 << 20, 1 << 22, 1 << 30)] == [1 << 26, 1 << 26, 1 << 27, 1 << 27]
+
+
+def test_windows_grow_as_long_as_their_words_so_far_are_in_the_bitmap():
+    docs = pa.RecordBatch.from_pydict({"lang": ["en", "de", "en"], "text": ["a b c d e", "a b", "A b c. x a b"]})
+    begins = pa.RecordBatch.from_pydict({"lang": ["en", "en"], "text": ["a b c", "c d e"], "times": [1, 1]})
+    hashes = np.concatenate([b.column("hash").to_numpy() for b in colloc._begin_hashes(iter([begins]))])
+    assert len(hashes) == 6
+    bitmap = np.zeros(1 << 20, dtype=np.uint8)
+    bit = hashes.view(np.uint64) % np.uint64(1 << 23)
+    np.bitwise_or.at(bitmap, (bit >> np.uint64(3)).astype(int), 1 << (bit & np.uint64(7)).astype(np.uint8))
+
+    def windows(bits):
+        sent = type("Sent", (), {"value": bits})
+        rows = [r for b in colloc._windows(sent)(iter([docs])) for r in b.to_pylist()]
+        return sorted((r["lang"], r["text"], r["times"]) for r in rows)
+
+    assert windows(bitmap) == [("en", "a b", 1), ("en", "a b c", 2), ("en", "c", 1), ("en", "c d e", 1)]
+    # A full bitmap lets all words through: windows of four words, shorter ones at the ends of pieces.
+    assert windows(np.full(8, 255, dtype=np.uint8)) == sorted(
+        [("en", w, 1) for w in ("a b c d", "b c d e", "c d e", "d e", "e", "a b c", "x a b", "a b")]
+        + [("en", w, 1) for w in ("b c", "c", "b")] + [("de", "a b", 1), ("de", "b", 1)]
+    )
+
+
 def test_first_words_are_found_once_for_all_tries(monkeypatch):
     calls, real = [], colloc._first_words
     monkeypatch.setattr(colloc, "_first_words", lambda at: calls.append(1) or real(at))
